@@ -1,0 +1,17 @@
+"""The registered queries of the library, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def candidates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+QUERIES = {"candidates_by_source": candidates_by_source}
+ORACLES = {"candidates_by_source": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1"}
