@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from curbside.llm import digest_index, mixing
+from curbside.llm import digest_index, mixing, quality, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality": quality.op3_quality,
     "op7_exact_dedup": digest_index.op7_exact_dedup,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_quality": quality.OP3_SQL,
     "op7_exact_dedup": digest_index.OP7_SQL,
+    "op10_url_filter": url_filter.OP10_SQL,
 }
