@@ -1,0 +1,62 @@
+"""Encoding by chunks that are remembered.
+
+Both tokenizers here work within bounds that a regular expression finds: no
+token crosses them, and what stands on one side has no influence on the other.
+Each distinct chunk is therefore encoded once per task and remembered, and a
+document is the concatenation of its chunks.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterable
+
+#: Chunks that a task remembers; the memory starts anew beyond that.
+REMEMBERED = 250_000
+#: Longer chunks aren't remembered.
+LONGEST = 64
+#: Characters of text that are cut into chunks at one time.
+BLOCK = 1 << 20
+
+
+class ChunkEncoder:
+    """``encode_many`` turns a list of chunks into a list of values, one each."""
+
+    def __init__(self, pattern: str, encode_many: Callable[[list[str]], list]):
+        self._find = re.compile(pattern).findall
+        self._encode_many, self._known = encode_many, {}
+
+    def __call__(self, texts: Iterable[str]) -> Iterable[list]:
+        """For each text the values of its chunks, in order."""
+        block, size = [], 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK:
+                yield from self._encode(block)
+                block, size = [], 0
+        yield from self._encode(block)
+
+    def _encode(self, block: list[str]) -> Iterable[list]:
+        cut = [self._find(text) for text in block]
+        if len(self._known) > REMEMBERED:
+            self._known = {}
+        missing = [c for c in set().union(*cut) if c not in self._known]
+        values = self._known
+        if missing:
+            found = dict(zip(missing, self._encode_many(missing), strict=True))
+            self._known.update((c, v) for c, v in found.items() if len(c) <= LONGEST)
+            if any(len(c) > LONGEST for c in missing):
+                values = self._known | found if len(found) > len(self._known) else _Both(self._known, found)
+        return [[values[c] for c in one] for one in cut]
+
+
+class _Both(dict):
+    """The remembered values, then those of this block alone."""
+
+    def __init__(self, known: dict, found: dict):
+        super().__init__(found)
+        self._rest = known
+
+    def __missing__(self, key):
+        return self._rest[key]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from curbside.llm import digest_index, mixing, quality, url_filter
+from curbside.llm import digest_index, mixing, quality, token_store, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op7_exact_dedup": digest_index.op7_exact_dedup,
+    "op8_token_store": token_store.op8_token_store,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
