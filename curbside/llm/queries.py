@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from curbside.llm import digest_index, mixing, quality, token_store, url_filter
+from curbside.llm import digest_index, mixing, quality, sp_tokenizers, token_store, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op7_exact_dedup": digest_index.op7_exact_dedup,
     "op8_token_store": token_store.op8_token_store,
+    "op9_sentencepiece": sp_tokenizers.op9_sentencepiece,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
