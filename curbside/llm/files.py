@@ -28,7 +28,7 @@ class Sink:
         self.uri = f"{base}/{own_name(suffix)}"
         fs, path = open_store(self.uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self._out, self.size = fs.open_output_stream(path), 0
+        self._out, self.size = fs.open_output_stream(path, compression=None), 0
 
     def write(self, data: bytes) -> int:
         """Appends; returns the offset at which the data starts."""
