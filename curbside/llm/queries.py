@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from curbside.llm import digest_index, mixing, quality, sp_tokenizers, token_store, url_filter, warc
+from curbside.llm import digest_index, mixing, near_dedup, quality, sp_tokenizers, token_store, url_filter, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op5_warc": warc.op5_warc,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_exact_dedup": digest_index.op7_exact_dedup,
     "op8_token_store": token_store.op8_token_store,
     "op9_sentencepiece": sp_tokenizers.op9_sentencepiece,
@@ -17,6 +18,7 @@ ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_quality": quality.OP3_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_exact_dedup": digest_index.OP7_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
