@@ -16,19 +16,20 @@ the id and the text are not read by ``encode``.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from curbside.llm.chunked import ChunkEncoder
+from curbside.llm.chunk_ids import ChunkIds
+from curbside.llm.token_store import byte_pieces
 from curbside.llm.words import whole
 
 MARK = "▁"
-#: A run of markers with what follows it. No piece has a marker after another character.
-CHUNK = f"{MARK}*[^{MARK}]+|{MARK}+"
 #: Threads of the library in each task.
 THREADS = 2
 
@@ -131,8 +132,16 @@ class Model:
         return normalizers.Sequence(steps).normalize_str
 
 
+def chunk_starts(b: np.ndarray) -> np.ndarray:
+    """Spaces after other bytes: no piece has a marker after another character."""
+    space = b == 32
+    mark = space.copy()
+    mark[1:] &= ~space[:-1]
+    return mark
+
+
 class Codec:
-    """Encodes and decodes texts; lives in a task."""
+    """Encodes and decodes texts; lives in a worker process."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -141,29 +150,57 @@ class Codec:
         self.model = Model(path)
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
         self.tokenizer, self.normalise = self.model.backend(), self.model.normaliser()
-        self._cut = ChunkEncoder(CHUNK, self._chunks)
+        self._chunks = ChunkIds(chunk_starts, self._many)
+        pieces = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self._length = np.asarray([len(p) for p in pieces], np.int64)
+        self._offset, self._bytes = np.cumsum(self._length) - self._length, np.frombuffer(b"".join(pieces), np.uint8)
 
-    def _ids(self, marked: list[str]) -> list[list[int]]:
+    def ids(self, marked: list[str]) -> list[list[int]]:
+        """What the backend makes of marked texts."""
         return [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> list[tuple[bytes, str, int]]:
-        """(ids, decoded text, 1 if the backend was wrong) of each chunk."""
-        ids = self._ids(chunks)
-        # A chunk starts with a marker, which SentencePiece puts before a text itself.
-        right = self.judge.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=THREADS)
-        right = [b if len(c) > 1 else a for c, a, b in zip(chunks, ids, right, strict=True)]
-        decoded = self.tokenizer.decode_batch(right)
-        return [(np.asarray(b, "<i4").tobytes(), text, int(a != b)) for a, b, text in zip(ids, right, decoded, strict=True)]
-
-    def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, str, int]]:
-        """(ids as 32-bit integers, decoded text, chunks in which the backend was wrong) of each text."""
-        if self.model.cuttable:
-            for parts in self._cut(map(self.normalise, texts)):
-                yield b"".join(p[0] for p in parts), "".join(p[1] for p in parts)[1:], sum(p[2] for p in parts)
-            return
-        for text in texts:
-            ids, right = self._ids([self.normalise(text)])[0], self.judge.encode(text)
-            yield np.asarray(right, "<i4").tobytes(), self.judge.decode(right), int(ids != right)
+    def _many(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the chunks, the ids of each, and a mark where the backend was wrong."""
+        texts = [c.decode() for c in chunks]
+        ours = self.ids([t.replace(" ", MARK) for t in texts])
+        # A chunk starts with a space, which SentencePiece puts before a text itself.
+        right = self.judge.encode([t[1:] for t in texts], num_threads=THREADS)
+        right = [b if len(t) > 1 else a for t, a, b in zip(texts, ours, right, strict=True)]
+        counts = np.fromiter(map(len, right), np.int64, len(right))
+        return np.fromiter(itertools.chain.from_iterable(right), np.int32, int(counts.sum())), counts, np.asarray([a != b for a, b in zip(ours, right, strict=True)], np.int32)
+
+    def _decoded(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids' pieces, markers as spaces: what the backend's decoder joins."""
+        size = self._length[ids]
+        start = np.cumsum(size) - size
+        return self._bytes[np.repeat(self._offset[ids] - start, size) + np.arange(size.sum())]
+
+    def spaced(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids of each, corrected chunks of each, whether each decodes to itself) of texts with a space before them."""
+        ids, counts, wrong = self._chunks(data, bounds)
+        back = self._decoded(ids)
+        size = np.concatenate([[0], np.cumsum(self._length[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+        if np.array_equal(size, bounds):
+            differs = np.concatenate([[0], np.cumsum(back != data)])
+            same = np.diff(differs[bounds]) == 0
+        else:
+            same = np.asarray([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(size, size[1:], bounds, bounds[1:], strict=False)])
+        return ids, counts, wrong, same
+
+    def whole(self, text: str) -> tuple[np.ndarray, int, bool]:
+        """(ids, 1 if the backend was wrong, whether they decode to the text) of any text."""
+        ours, right = self.ids([self.normalise(text)])[0], self.judge.encode(text)
+        return np.asarray(right, np.int32), int(ours != right), self.judge.decode(right) == text
+
+
+_codecs: dict[str, Codec] = {}
+
+
+def _codec(path: str) -> Codec:
+    """The worker process's codec: what it remembers serves all its tasks."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,24 +211,28 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            codec = codec or Codec(path)
-            texts, at, step = batch.column("text"), 0, 256
-            while at < batch.num_rows:
-                part = texts.slice(at, step).to_pylist()
-                found = list(codec(part))
-                sizes = np.asarray([len(f[0]) // 4 for f in found], np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(f[0] for f in found), "<i4")))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, step), ids, pa.array(sizes, pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[1] == t for f, t in zip(found, part, strict=True)])],
-                    names=["doc_id", "ids", "n_tokens", "n_corrected", "round_trip"],
-                )
-                at += step
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"))
+            codec, at = _codec(path), 0
+            for data, bounds in byte_pieces(batch.column("text"), 1 << 20):
+                n = len(bounds) - 1
+                # Markers in a text are spaces to SentencePiece; such texts, and models whose chunks aren't independent, go whole.
+                alone = np.full(n, not codec.model.cuttable)
+                for place in re.finditer(MARK.encode(), data):
+                    alone[np.searchsorted(bounds, place.start(), "right") - 1] = True
+                if alone.any():
+                    found = [codec.whole(data[a:b].tobytes().decode()) for a, b in zip(bounds, bounds[1:], strict=False)]
+                    ids, counts = np.concatenate([f[0] for f in found]), np.asarray([len(f[0]) for f in found])
+                    wrong, same = np.asarray([f[1] for f in found]), np.asarray([f[2] for f in found])
+                else:
+                    full = bounds[1:] > bounds[:-1]
+                    spaced = bounds + np.concatenate([[0], np.cumsum(full)])
+                    ids, counts, wrong, same = codec.spaced(np.insert(data, bounds[:-1][full], 32), spaced)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
+                columns = [batch.column("doc_id").slice(at, n), lists, pa.array(counts, pa.int32()), pa.array(wrong, pa.int32()), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "n_corrected", "round_trip"])
+                at += n
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).cast("binary").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(work, f"doc_id {kind}, ids array<int>, n_tokens int, n_corrected int, round_trip boolean")
 

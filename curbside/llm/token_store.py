@@ -17,7 +17,6 @@ text are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,15 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from curbside.llm import files
-from curbside.llm.chunked import ChunkEncoder
+from curbside.llm.chunk_ids import ChunkIds
 from curbside.llm.words import whole
 from curbside.runtime import cut, scratch
 
-#: Where a chunk ends: before white space that follows other characters. No token of a
-#: byte-level BPE with the usual splitting pattern crosses such a place.
-CHUNK = r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+"
-#: White space of other kinds joins runs in that pattern; texts with any of it aren't cut.
-ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+#: Bytes of text, about, that are encoded at one time.
+STEP = 1 << 20
 #: Ids per bucket of the index, about.
 BUCKET_KEYS = 50_000
 #: Bits per remaining key in a level of the hash.
@@ -44,24 +40,104 @@ GAMMA = 2
 _ENTRY = "doc_id long, shard string, part int, pos long, offset long, n_tokens long"
 
 
+def chunk_starts(b: np.ndarray) -> np.ndarray:
+    """White space after other bytes, and punctuation after a Latin letter.
+
+    No token of a byte-level BPE with the usual splitting pattern crosses such a
+    place, unless white space of other kinds joins the run.
+    """
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    lower = b | 32
+    before = np.empty(len(b), np.uint8)
+    before[0], before[1:] = 0, b[:-1]
+    letter = (lower >= 97) & (lower <= 122)
+    letter[1:] |= (before[1:] >= 0xC3) & (before[1:] <= 0xC9) & (b[1:] >= 0x80) & ~((before[1:] == 0xC3) & ((b[1:] == 0x97) | (b[1:] == 0xB7)))
+    mark = np.zeros(len(b), bool)
+    mark[1:] = (space[1:] & ~space[:-1]) | (_PUNCTUATION[b[1:]] & letter[:-1])
+    return mark
+
+
+_PUNCTUATION = np.isin(np.arange(256), list(b",.;:!?"))
+_ODD_LEADS = np.isin(np.arange(256), [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+
+
+def odd_places(b: np.ndarray) -> np.ndarray:
+    """Places of white space other than space, tab and line ends; texts with any are encoded whole."""
+    at = np.flatnonzero(_ODD_LEADS[b])
+    b = np.concatenate([b, np.zeros(2, np.uint8)])
+    x, y, z = b[at], b[at + 1], b[at + 2]
+    odd = (x < 0x20) | ((x == 0xC2) & ((y == 0x85) | (y == 0xA0))) | ((x == 0xE1) & ((y == 0x9A) | (y == 0xA0))) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+    odd |= ((x == 0xE2) & (((y == 0x80) & ((z <= 0x8F) | (z >= 0xA8))) | ((y == 0x81) & (z >= 0x9F)))) | ((x == 0xEF) & (y == 0xBB))
+    return at[odd]
+
+
 class ByteBpe:
-    """Encodes texts with a tokenizers file; ids as bytes of ``dtype``."""
+    """Encodes texts with a tokenizers file of a byte-level BPE; lives in a worker process."""
+
+    def __init__(self, path: str):
+        import json
 
-    def __init__(self, path: str, dtype: str = "<u2"):
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._dtype = Tokenizer.from_file(path), dtype
+        with open(path) as f:
+            added = json.load(f)["added_tokens"]
+        self._tokenizer, self._parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._cut = ChunkEncoder(CHUNK, self._many)
+        #: A special token parts a text before all else, so chunks joined by it are encoded as if alone.
+        self._part = next(((t["content"], t["id"]) for t in added if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])), None)
+        self._chunks = ChunkIds(chunk_starts, self._many)
+
+    def _alone(self, text: bytes) -> np.ndarray:
+        return np.asarray(self._tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.int32)
+
+    def _many(self, chunks: list[bytes], at_once: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the chunks, the number of ids of each, and no marks."""
+        ids, counts = [], []
+        for k in range(0, len(chunks), at_once):
+            some = chunks[k : k + at_once]
+            joined = b"" if self._part is None else self._part[0].encode().join(some)
+            if self._part is None or joined.count(self._part[0].encode()) != len(some) - 1:
+                parts = [self._alone(c) for c in some]
+                ids.append(np.concatenate(parts))
+                counts.append([len(p) for p in parts])
+                continue
+            flat = np.asarray(self._parted.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.int32)
+            parting = flat == self._part[1]
+            counts.append(np.diff(np.concatenate([[-1], np.flatnonzero(parting), [len(flat)]])) - 1)
+            ids.append(flat[~parting])
+        return np.concatenate(ids), np.concatenate(counts).astype(np.int64), np.zeros(len(chunks), np.int32)
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text; text i is data[bounds[i]:bounds[i + 1]]."""
+        odd = np.zeros(len(bounds) - 1, bool)
+        odd[np.searchsorted(bounds, odd_places(data), "right") - 1] = True
+        ids, counts, _ = self._chunks(data, bounds)
+        out = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._alone(data[bounds[i] : bounds[i + 1]].tobytes())
+        return out
+
+
+_encoders: dict[str, ByteBpe] = {}
+
+
+def _encoder(path: str) -> ByteBpe:
+    """The worker process's encoder: what it remembers serves all its tasks."""
+    if path not in _encoders:
+        _encoders[path] = ByteBpe(path)
+    return _encoders[path]
 
-    def _many(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self._dtype).tobytes() for e in self._tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [t for t in texts if not ODD_SPACE.search(t)]
-        found = iter(self._cut(plain))
-        for text in texts:
-            yield self._many([text])[0] if ODD_SPACE.search(text) else b"".join(next(found))
+def byte_pieces(column: pa.Array, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, bounds) of runs of rows of a binary column, of about ``step`` bytes each."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + step)))
+        to = min(to, len(column))
+        yield data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
+        at = to
 
 
 def write_store(docs: DataFrame, base: str, tokenizer_path: str, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,16 +150,17 @@ def write_store(docs: DataFrame, base: str, tokenizer_path: str, end_id: int, dt
     width = len(end)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink, encoder, pos, part = None, None, 0, TaskContext.get().partitionId()
+        sink, pos, part = None, 0, TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or ByteBpe(tokenizer_path, dtype)
+            encoder = _encoder(tokenizer_path)
             sink = sink or files.Sink(base, ".ids")
             offsets, counts = [], []
-            for ids in encoder(batch.column("text").to_pylist()):
-                offsets.append(sink.write(ids + end) // width)
-                counts.append(len(ids) // width + 1)
+            for data, bounds in byte_pieces(batch.column("text"), STEP):
+                for ids in encoder(data, bounds):
+                    offsets.append(sink.write(ids.astype(dtype).tobytes() + end) // width)
+                    counts.append(len(ids) + 1)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([sink.uri] * n), pa.array([part] * n, pa.int32()), pa.array(range(pos, pos + n), pa.int64()), pa.array(offsets, pa.int64()), pa.array(counts, pa.int64())],
@@ -94,7 +171,7 @@ def write_store(docs: DataFrame, base: str, tokenizer_path: str, end_id: int, dt
             sink.close()
 
     ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).alias("text"))
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).cast("binary").alias("text"))
         .withColumn("h", F.xxhash64("text"))
         .repartitionByRange("doc_id", "h")
         .sortWithinPartitions("doc_id", "h")

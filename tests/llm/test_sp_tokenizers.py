@@ -28,7 +28,7 @@ def test_against_sentencepiece(spark, sf_dir):
 def test_backend_alone_and_decode(spark):
     codec = sp.Codec(PATH)
     text = "The backend by itself agrees, in one piece."
-    assert codec._ids([codec.normalise(text)])[0] == codec.judge.encode(text)
+    assert codec.ids([codec.normalise(text)])[0] == codec.judge.encode(text)
     ids = spark.createDataFrame([(codec.judge.encode(t or ""),) for t in TEXTS[:2]] + [(None,)], "ids array<int>")
     assert [r.text for r in sp.decode(ids, PATH).collect()] == ["Hello   world \n x　y ﬁ", "", ""]
 
