@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
     return per.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(
+def plan(
     docs: DataFrame,
     weights: list[int],
     share: float = 1.5,
@@ -68,7 +68,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
+    """One row per document: doc_id, source, size, source_size, target, copies.
 
     After the cut, one more document of each source may be taken: the one whose
     size is nearest to the words still missing, where it brings the source
@@ -124,21 +124,35 @@ def mix(
     )
     more = F.col("f_rank").isNotNull() & ~F.col("hit") & (F.col("rank") == F.col("f_rank")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size"))
     return chosen.join(fill, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("copies") + F.when(F.col("hit") | more, 1).otherwise(0))).cast("long").alias("taken"),
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") + F.when(F.col("hit") | more, 1).otherwise(0)).cast("long").alias("copies")
     )
 
 
+def mix(docs: DataFrame, weights: list[int], share: float = 1.0, cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents of the mix, with their columns, each as often as it is taken.
+
+    Rows that share id, source and size are told apart by a number, so that the
+    plan of each reaches one of them.
+    """
+    twins = ["__id", "__source", "__size"]
+    number = F.row_number().over(Window.partitionBy(*twins).orderBy("__id"))
+    planned = plan(docs, weights, share, cap, seed, id_col, text_col, source_col)
+    planned = planned.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
+    planned = planned.withColumn("__n", number).filter("copies > 0").select(*(F.col(c).alias(c + "p") for c in (*twins, "__n")), F.col("copies").alias("__copies"))
+    own = docs.withColumn("__id", F.col(id_col)).withColumn("__source", F.col(source_col)).withColumn("__size", n_words(F.col(text_col))).withColumn("__n", number)
+    same = [F.col(c).eqNullSafe(F.col(c + "p")) for c in (*twins, "__n")]
+    taken = own.join(planned, same[0] & same[1] & same[2] & same[3]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return taken.select(docs.columns)
+
+
 #: The contract's settings.
 WEIGHTS, SHARE, CAP, SEED = [5, 2, 1], 1.5, 2.0, 17
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs, WEIGHTS, SHARE, CAP, SEED)
+    found = plan(docs, WEIGHTS, SHARE, CAP, SEED)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP2_SQL = r"""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from curbside.llm import digest_index, mixing, near_dedup, quality, sp_tokenizers, token_store, url_filter, warc
+from curbside.llm import automaton_dedup, bwt_dedup, digest_index, mixing, near_dedup, quality, sp_tokenizers, token_store, url_filter, warc
 
 QUERIES = {
+    "op1_suffix_dedup": bwt_dedup.op1_suffix_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
+    "op4_substring_dedup": automaton_dedup.op4_substring_dedup,
     "op5_warc": warc.op5_warc,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_exact_dedup": digest_index.op7_exact_dedup,
@@ -17,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_quality": quality.OP3_SQL,
+    "op4_substring_dedup": automaton_dedup.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_exact_dedup": digest_index.OP7_SQL,
