@@ -48,7 +48,9 @@ def area(b: Box) -> Column:
 
 
 def intersection(a: Box, b: Box) -> Column:
-    return _floor0(F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)) * _floor0(F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1))
+    """Area that both cover; null when either is missing."""
+    both = _floor0(F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)) * _floor0(F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1))
+    return F.when(a.x1.isNotNull() & b.x1.isNotNull(), both)
 
 
 def iou(a: Box, b: Box) -> Column:
@@ -157,4 +159,5 @@ def depth_order_ok(front: Box, behind: Box, most: float = 0.08, height_ratio: fl
     overlap = both / F.least(F.greatest(area(front), F.lit(1)), F.greatest(area(behind), F.lit(1)))
     tall, short = F.greatest(front.height, F.lit(1)), F.greatest(behind.height, F.lit(1))
     ok = (overlap <= most) & (tall > short) & (short <= tall * height_ratio) & (front.y2 >= behind.y2 - foot_delta) & (behind.y2 <= front.y2 + foot_delta)
-    return F.when(both <= 0, True).otherwise(ok), F.when(both <= 0, 0.0).otherwise(overlap)
+    apart = F.coalesce(both, F.lit(0.0)) <= 0
+    return F.when(apart, True).otherwise(ok), F.when(apart, 0.0).otherwise(overlap)

@@ -52,7 +52,7 @@ def render(template: str, fields: dict[str, Column]) -> Column:
     text = F.lit(template)
     for name, value in fields.items():
         text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.array_join(parts, ", ")
 
 

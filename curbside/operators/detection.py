@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from curbside.functions import geometry as geo
 
-_SIDES = "side int, idx int, x1 double, y1 double, x2 double, y2 double, conf double"
-
 
 def greedy_matches(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(image_id, tp, fn, fp): each true box, in label order, takes the free prediction with the largest IoU.
@@ -23,25 +21,42 @@ def greedy_matches(truth: DataFrame, predicted: DataFrame, threshold: float = 0.
     both = truth.withColumn("side", F.lit(0)).select(columns).unionByName(predicted.withColumn("side", F.lit(1)).select(columns))
     kind = dict(both.dtypes)["image_id"]
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "idx"])
-        boxes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        gt, pr = boxes[(pdf.side == 0).to_numpy()], boxes[(pdf.side == 1).to_numpy()]
+    def match(image_id, sides: np.ndarray, boxes: np.ndarray) -> tuple:
+        gt, pr = boxes[sides == 0], boxes[sides == 1]
         free, tp = np.ones(len(pr), bool), 0
-        size = lambda b: np.maximum(b[..., 2] - b[..., 0], 0) * np.maximum(b[..., 3] - b[..., 1], 0)
-        for g in gt:
-            if not free.any():
-                break
+        for g in gt if len(pr) else []:
             w = np.maximum(np.minimum(g[2], pr[:, 2]) - np.maximum(g[0], pr[:, 0]), 0)
             h = np.maximum(np.minimum(g[3], pr[:, 3]) - np.maximum(g[1], pr[:, 1]), 0)
-            iou = np.where(free, w * h / np.maximum(size(g) + size(pr) - w * h, 1), -1.0)
+            iou = np.where(free, w * h / np.maximum(_size(g) + _size(pr) - w * h, 1), -1.0)
             best = int(np.argmax(iou))
             if iou[best] >= threshold:
                 tp += 1
                 free[best] = False
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[:1], "tp": [tp], "fn": [len(gt) - tp], "fp": [len(pr) - tp]})
+        return image_id, tp, len(gt) - tp, len(pr) - tp
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = pdf[pdf.image_id == pdf.image_id.iloc[-1]]  # its other boxes may be in the next batch
+            yield _each(pdf.iloc[: len(pdf) - len(held)], match)
+        if held is not None:
+            yield _each(held, match)
+
+    dealt = both.filter("image_id IS NOT NULL").repartition("image_id").sortWithinPartitions("image_id", "side", "idx")
+    return dealt.mapInPandas(work, f"image_id {kind}, tp long, fn long, fp long")
+
+
+def _size(b: np.ndarray) -> np.ndarray:
+    return np.maximum(b[..., 2] - b[..., 0], 0) * np.maximum(b[..., 3] - b[..., 1], 0)
+
 
-    return both.groupBy("image_id").applyInPandas(match, f"image_id {kind}, tp long, fn long, fp long")
+def _each(pdf: pd.DataFrame, match) -> pd.DataFrame:
+    """``match`` of each image of a frame that is sorted by image."""
+    ids, sides, boxes = pdf.image_id.to_numpy(), pdf.side.to_numpy(), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+    edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+    rows = [match(ids[a], sides[a:b], boxes[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return pd.DataFrame(rows, columns=["image_id", "tp", "fn", "fp"])
 
 
 def miss_rate(matches: DataFrame) -> DataFrame:

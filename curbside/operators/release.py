@@ -151,13 +151,15 @@ def contamination(samples: DataFrame, benchmark: DataFrame, text_col: str = "cap
 
     Both sides meet on hashes of runs of eight words; what meets is compared as text.
     """
-    def grams(c: Column, n: int = 8) -> Column:
-        words = F.split(F.trim(c), r"\s+")
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+    def grams(words: Column, n: int = 8) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
 
-    first = benchmark.withColumn("__g", F.get(grams(F.col("text")), F.lit(0))).select("item_id", F.col("text").alias("__item"), "__g")
-    texts = samples.select(F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    met = texts.withColumn("__g", F.explode(F.array_distinct(grams(F.col("__text"))))).join(first, "__g")
+    def split(c: str) -> Column:
+        return F.split(F.trim(c), r"\s+")
+
+    first = benchmark.withColumn("__w", split("text")).select("item_id", F.col("text").alias("__item"), F.get(grams(F.col("__w")), F.lit(0)).alias("__g"))
+    texts = samples.select(F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")).withColumn("__w", split("__text"))
+    met = texts.withColumn("__g", F.explode(F.array_distinct(grams(F.col("__w"))))).join(first, "__g")
     return met.filter(F.contains("__text", F.col("__item"))).groupBy("item_id").agg(F.countDistinct("__row").alias("n_texts"))
 
 
