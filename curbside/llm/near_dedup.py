@@ -13,8 +13,10 @@ first each document is held against the least one of each of its leaves, and its
 likeliest partner is confirmed; that settles a clump of copies with one
 comparison per copy. In the second, documents of a leaf that are still in
 another component than its least one are compared with all of the leaf, in
-blocks of ``SMALL``: every candidate link between different components is
-confirmed or refuted. A link is lost only where all trees part its ends: at
+blocks of ``SMALL``. What is alike by its sketches falls into clusters, and in
+these every candidate link between different components is confirmed or refuted
+on the full sets, in blocks again. A link between components is lost only where
+all trees part its ends: at
 similarity 0.85 and the full depth that has a probability of 2e-8, at 0.8 3e-6,
 and less in leaves nearer to the root.
 
@@ -181,34 +183,118 @@ def _first_turn(leaf_rows: DataFrame, sketches: DataFrame, least_equal: int) ->
     return likely.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select("m.a", "b")
 
 
-def _second_turn(leaf_rows: DataFrame, components: DataFrame, sketches: DataFrame, least_equal: int) -> DataFrame:
-    """(a, b) of all candidate links between different components."""
+class _Sets:
+    """Disjoint sets of any hashable things."""
+
+    def __init__(self):
+        self._up: dict = {}
+
+    def find(self, x):
+        while (up := self._up.get(x, x)) != x:
+            self._up[x] = self._up.get(up, up)
+            x = up
+        return x
+
+    def join(self, x, y) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self._up[y] = x
+        return x != y
+
+
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    """Rows in blocks of their group of n: each row in one as base, those outside the group's head in all as probes."""
+    blocks = F.ceil(F.col("n") / SMALL).cast("int")
+    base = rows.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("probe", F.lit(False))
+    probe = rows.filter("component <> head").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("probe", F.lit(True))
+    return base.unionByName(probe).repartition(group, "block").sortWithinPartitions(group, "block", "probe")
+
+
+def _candidates(leaf_rows: DataFrame, components: DataFrame, sketches: DataFrame, least_equal: int) -> DataFrame:
+    """(u, v): edges that hold together all that is alike by its sketches and in different components.
+
+    A block gives no more edges than it has documents, whatever the number of
+    pairs that are alike.
+    """
     named = leaf_rows.join(components.select(F.col("v").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = cut(named, "named")
     heads = named.groupBy("node").agg(F.min(F.struct("key", "component")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    open_rows = named.join(heads.select("node", F.col("h.component").alias("head")), "node").join(sketches, "key")
-    blocks = F.ceil(F.col("n") / SMALL).cast("int")
-    base = open_rows.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("probe", F.lit(False))
-    probe = open_rows.filter("component <> head").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("probe", F.lit(True))
-    columns = ["node", "block", "probe", "key", "component", "sketch"]
-    dealt = base.select(columns).unionByName(probe.select(columns)).repartition("node", "block").sortWithinPartitions("node", "block", "probe")
+    rows = named.join(heads.select("node", F.col("h.component").alias("head")), "node").join(sketches, "key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ("node", "block")):
-            keys, comps, sketch = np.asarray(t["key"].to_pylist(), object), np.asarray(t["component"].to_pylist(), object), _sketch(t["sketch"].combine_chunks())
-            is_probe = t["probe"].to_numpy()
-            cut_at = int((~is_probe).sum())
-            for at in range(cut_at, len(keys), SMALL):
-                like = _likeness(sketch[at : at + SMALL], sketch[:cut_at]) >= least_equal
-                i, j = np.nonzero(like)
-                i = i + at
-                ok = comps[i] != comps[j]
-                a, b = keys[i[ok]], keys[j[ok]]
-                if len(a):
-                    low = a < b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.where(low, a, b).tolist(), pa.binary()), pa.array(np.where(low, b, a).tolist(), pa.binary())], names=["a", "b"])
-
-    return dealt.mapInArrow(work, "a binary, b binary").distinct()
+            keys, comps, sketch = t["key"].to_pylist(), np.unique(np.asarray(t["component"].to_pylist(), object), return_inverse=True)[1], _sketch(t["sketch"].combine_chunks())
+            sets, u, v = _Sets(), [], []
+            base = int(np.count_nonzero(~t["probe"].to_numpy()))
+            for at in range(base, len(keys), SMALL):
+                alike = (_likeness(sketch[at : at + SMALL], sketch[:base]) >= least_equal) & (comps[at : at + SMALL, None] != comps[None, :base])
+                for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
+                    if sets.join(keys[at + i], keys[j]):
+                        u.append(keys[at + i])
+                        v.append(keys[j])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    dealt = _dealt(rows, "node").select("node", "block", "probe", "key", "component", "sketch")
+    return cut(dealt.mapInArrow(work, "u binary, v binary").distinct(), "candidates")
+
+
+def _settle(candidates: DataFrame, components: DataFrame, docs: DataFrame, vertices: DataFrame, k: int, percent: int, least_equal: int) -> DataFrame:
+    """(u, v): confirmed links that join all components that any link joins.
+
+    Candidates fall into clusters. In a cluster every document outside its
+    largest component is held against all, in blocks: sketches first, then full
+    sets, but for what the links found so far have joined.
+    """
+    of = connected_components(candidates).select(F.col("v").alias("key"), F.col("component").alias("cluster"))
+    of = of.join(components.select(F.col("v").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    counts = of.groupBy("cluster", "component").agg(F.count("*").alias("k"))
+    heads = counts.groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("h")).select("cluster", "n", F.col("h.component").alias("head"))
+    rows = of.join(heads, "cluster").join(vertices.select("key", F.col("doc_id").alias("__id")), "key")
+    rows = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("doc_id", "__id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, group, sets, base, probes, u, v = _WordHashes(), None, _Sets(), [], [], [], []
+
+        def hold() -> None:
+            if probes and base:
+                alike = _likeness(np.stack([p[3] for p in probes]), np.stack([b[3] for b in base])) >= least_equal
+                for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
+                    (a, one, s, _), (b, two, t, _) = probes[i], base[j]
+                    if sets.find(one) == sets.find(two) or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                        continue
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        sets.join(one, two)
+                        u.append(a)
+                        v.append(b)
+            probes.clear()
+
+        for batch in batches:
+            for cluster, block, probe, key, component, text in zip(*(batch.column(c) for c in ("cluster", "block", "probe", "key", "component", "text")), strict=True):
+                own = (cluster.as_py(), block.as_py())
+                if own != group:
+                    hold()
+                    group, sets, base = own, _Sets(), []
+                words = _words(text.as_py())
+                if hashlib.blake2b(b" ".join(words), digest_size=16).digest() != key.as_py():
+                    continue  # another text under the same id
+                s = shingle_set(words, k, known)
+                row = (key.as_py(), component.as_py(), s, (minwise(s).view(np.uint32) & 255).astype(np.uint8))
+                if not probe.as_py():
+                    base.append(row)
+                    continue
+                probes.append(row)
+                if len(probes) == 64:
+                    hold()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+            u.clear()
+            v.clear()
+        hold()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+
+    dealt = _dealt(rows, "cluster").select("cluster", "block", "probe", "key", "component", "text")
+    return cut(dealt.mapInArrow(work, "u binary, v binary"), "links")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -281,8 +367,9 @@ def find_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     )
     leaf_rows, sketches = leaves(vertices), _with_sketches(vertices)
     links = confirm(cut(_first_turn(leaf_rows, sketches, least_equal), "pairs"), docs, vertices, k, percent)
-    more = cut(_second_turn(leaf_rows, connected_components(links), sketches, least_equal), "pairs")
-    links = links.unionByName(confirm(more, docs, vertices, k, percent))
+    components = cut(connected_components(links), "components")
+    candidates = _candidates(leaf_rows, components, sketches, least_equal)
+    links = links.unionByName(_settle(candidates, components, docs, vertices, k, percent, least_equal))
     named = vertices.select("key", "doc_id").join(connected_components(links).withColumnRenamed("v", "key"), "key")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_key = named.join(least, "component").select("key", "component_id")
