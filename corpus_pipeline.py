@@ -18,7 +18,7 @@ WEIGHTS, SHARE, CAP, SEED = [5, 2, 1], 1.0, 2.0, 17
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or score too low against the trusted ones."""
     weights = quality.fit(docs, quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.judge(docs, weights).filter("kept").select(docs.columns)
+    return quality.keep(docs, weights)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

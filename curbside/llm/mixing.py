@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
     after = by_need.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * cap) / F.sum("weight").over(after))
     per = per.withColumn("stops", F.col("source_size") * cap <= F.col("level") * F.col("weight"))
-    level = F.min(F.when(~F.col("stops"), F.col("level"))).over(Window.partitionBy())
+    level = F.max(F.when(~F.col("stops"), F.col("level"))).over(Window.partitionBy())  # that of the first which doesn't stop
     target = F.when(F.col("stops"), F.col("source_size") * cap).otherwise(level * F.col("weight"))
     return per.select("source", "source_size", target.cast("double").alias("target"))
 
@@ -172,7 +172,7 @@ lev AS (
 tgt AS (
   SELECT source, source_size,
          CASE WHEN source_size * 2.0::DOUBLE <= level * weight THEN source_size * 2.0::DOUBLE
-              ELSE min(CASE WHEN NOT source_size * 2.0::DOUBLE <= level * weight THEN level END) OVER () * weight END AS target
+              ELSE max(CASE WHEN NOT source_size * 2.0::DOUBLE <= level * weight THEN level END) OVER () * weight END AS target
   FROM lev),
 r AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS ratio FROM tgt),

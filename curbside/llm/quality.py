@@ -125,6 +125,17 @@ def judge(docs: DataFrame, weights: list[int], threshold: int = THRESHOLD, text_
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold) * (F.col("n_grams") + PRIOR))).drop("__w")
 
 
+def keep(docs: DataFrame, weights: list[int], threshold: int = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents that stay, with their columns.
+
+    The row number in the condition keeps Spark from taking the filter below the
+    projections, where each column that a verdict needs would be computed again
+    for every use.
+    """
+    judged = judge(docs, weights, threshold, text_col).withColumn("__row", F.monotonically_increasing_id())
+    return judged.filter("kept AND __row >= 0").select(docs.columns)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     weights = fit(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
