@@ -103,8 +103,8 @@ def exact_duplicates(spark, sf_dir):
     return release.exact_groups(docs).select("image_id", "canonical_image_id", "dedupe_status")
 
 
-_HASHES = """h AS (SELECT vec_id, label, (SELECT sum(CASE WHEN e[i] > m THEN (CASE WHEN i = 64 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << (i - 1)::INT) END) ELSE 0 END)::BIGINT FROM range(1, 65) t(i)) AS h
-FROM (SELECT vec_id, label, embedding AS e, list_avg(list_transform(embedding, lambda v: round(v * 1000000)::BIGINT))  / 1000000.0 AS m FROM embeddings))"""
+_HASHES = """h AS (SELECT vec_id, label, (SELECT sum(CASE WHEN e[i]::DOUBLE > m THEN (CASE WHEN i = 64 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << (i - 1)::INT) END) ELSE 0 END)::BIGINT FROM range(1, 65) t(i)) AS h
+FROM (SELECT vec_id, label, embedding AS e, list_avg(list_transform(embedding, lambda v: round(v::DOUBLE * 1000000)::BIGINT))  / 1000000.0 AS m FROM embeddings))"""
 
 
 def _sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,7 +391,7 @@ def number_cells(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", text.first_number(cell).alias("first_value"))
 
 
-@query("""WITH g AS (SELECT vec_id, list_transform(embedding[1:64], lambda v: greatest(0, least(255, floor((v + 0.5) * 256)))::INT) AS px FROM embeddings)
+@query("""WITH g AS (SELECT vec_id, list_transform(embedding[1:64], lambda v: greatest(0, least(255, floor((v::DOUBLE + 0.5::DOUBLE) * 256)))::INT) AS px FROM embeddings)
 SELECT vec_id AS case_id, round(list_avg(list_transform(px, lambda v: abs(v - 128))), 6) AS bg_mae FROM g""")
 def pixel_background(spark, sf_dir):
     """Background difference of an 8 x 8 gray grid against a flat one."""
