@@ -24,11 +24,13 @@ def own_name(suffix: str) -> str:
 class Sink:
     """A new file below ``base``; ``uri`` names it, ``size`` counts its bytes."""
 
-    def __init__(self, base: str, suffix: str):
-        self.uri = f"{base}/{own_name(suffix)}"
-        fs, path = open_store(self.uri)
-        fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self._out, self.size = fs.open_output_stream(path, compression=None), 0
+    def __init__(self, base: str, suffix: str, name: str | None = None):
+        """With a ``name`` the file appears under it when it is closed, so that a repeated task replaces like by like."""
+        own = f"{base}/{own_name(suffix)}"
+        self.uri = own if name is None else f"{base}/{name}{suffix}"
+        self._fs, self._path = open_store(own)
+        self._fs.create_dir(self._path.rpartition("/")[0], recursive=True)
+        self._out, self.size = self._fs.open_output_stream(self._path, compression=None), 0
 
     def write(self, data: bytes) -> int:
         """Appends; returns the offset at which the data starts."""
@@ -39,6 +41,9 @@ class Sink:
 
     def close(self) -> None:
         self._out.close()
+        target = open_store(self.uri)[1]
+        if target != self._path:
+            self._fs.move(self._path, target)
 
 
 def open_input(uri: str):

@@ -10,11 +10,13 @@
    method of the operator, and tells each file which tokens are covered.
 5. Each file's documents are read once more, cut, and reported.
 
-Texts are neither shuffled nor joined: 24 bytes for a piece are, and one copy of
-the tokens of classes that differ around a shared anchor. A passage that many
-documents share is one class in its part, whatever the number of its holders;
-each holder adds the 24 bytes of its occurrence. All files are named in rows
-that Spark commits, so lost tasks leave nothing that is read.
+Texts are neither shuffled nor joined: some 17 bytes for a piece are, and one
+copy of the tokens of classes that differ around a shared anchor. A passage that
+many documents share is one class in its part, whatever the number of its
+holders; each holder adds the bytes of its occurrence. A file of documents has
+the name of its partition, so that a repeated task writes the same file again;
+the documents must come in the same partitions then, as those of a table do.
+The other files are named in rows that Spark commits.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from curbside.llm import files
@@ -43,7 +46,7 @@ _CLASS = np.dtype([("n", "<u2"), ("group", "<u4"), ("open", "?"), ("id", "<i8")]
 _REQUEST = np.dtype([("c", "<u4"), ("doc", "<u4"), ("a", "<u4"), ("n", "<u2")])
 _COVER = np.dtype([("doc", "<u4"), ("from", "<u4"), ("to", "<u4")])
 _ROWS = "part int, uri string, kind int, data binary, more binary"
-_OCCURRENCES, _CLASSES, _REQUESTS, _TOKENS = 1, 2, 3, 4
+_FILE, _REQUESTS, _TOKENS, _PART = 0, 1, 2, 3
 
 #: (group of each piece, its tokens, their bounds, least id of each piece) -> least id of each window.
 Finder = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -60,18 +63,46 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)
 
 
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Arrays of one length, each by itself and then compressed: random hashes stay, the rest nearly vanishes."""
+    raw = b"".join(c.tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes, *kinds: str) -> list[np.ndarray]:
+    n, sizes = int.from_bytes(data[:8], "little"), [np.dtype(k).itemsize for k in kinds]
+    raw, out, at = pa.decompress(data[8:], n * sum(sizes), codec="zstd", asbytes=True), [], 0
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * size
+    return out
+
+
+def _pack_pieces(p: np.ndarray, ids: np.ndarray) -> bytes:
+    g = p["g"].copy().view(np.uint8).reshape(-1, 8)
+    return _squeezed(p["h"], np.ascontiguousarray(g[:, 2:]).view("V6").ravel(), (p["g"] & np.uint64(0xFFFF)).astype("<u2"), p["doc"], p["a"], ids)
+
+
+def _unpack_pieces(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h, g, n, doc, a, ids = _unsqueezed(data, "<u8", "V6", "<u2", "<u4", "<u4", "<i8")
+    out, whole = np.empty(len(h), PIECE), np.zeros((len(h), 8), np.uint8)
+    whole[:, 2:] = g.view(np.uint8).reshape(-1, 6)
+    out["h"], out["g"], out["doc"], out["a"] = h, whole.view("<u8").ravel() | n, doc, a
+    return out, ids
+
+
 class _Store:
     """A file of documents: Arrow batches of (doc_id, text)."""
 
-    def __init__(self, base: str):
-        self.sink = files.Sink(base, ".docs")
+    def __init__(self, base: str, name: str):
+        self.sink = files.Sink(base, ".docs", name)
         self.uri, self.bytes, self.docs = self.sink.uri, 0, 0
         self._buffer, self._writer = None, None
 
     def add(self, ids: pa.Array, texts: pa.Array) -> None:
         out = pa.BufferOutputStream()
         batch = pa.RecordBatch.from_arrays([ids, texts], names=["doc_id", "text"])
-        with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
             w.write_batch(batch)
         data = out.getvalue().to_pybytes()
         self.sink.write(len(data).to_bytes(8, "little") + data)
@@ -97,10 +128,10 @@ class Passages:
         return hashes, of
 
     def deal(self, docs: DataFrame, base: str, parts: int) -> DataFrame:
-        """(part, uri, ids, data): pieces by part; a row of part -1 for each file."""
+        """Pieces by part, and a row for each file, dealt to any part."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store = None
+            store, number, task = None, 0, TaskContext.get().partitionId()
             for batch in batches:
                 at, ids = 0, batch.column("doc_id")
                 for data, bounds in byte_pieces(batch.column("text"), BLOCK):
@@ -108,8 +139,8 @@ class Passages:
                     if store is None or store.bytes > FILE:
                         if store:
                             store.sink.close()
-                        store = _Store(base)
-                        yield _batch([-1], [store.uri], [0], [b""], [b""])
+                        store, number = _Store(base, f"{task:06d}-{number:04d}"), number + 1
+                        yield _batch([task % parts], [store.uri], [_FILE], [b""], [b""])
                     some = ids.slice(at, n)
                     found = pieces(*self._tokens(data, bounds), self.window, self.k)
                     numbers = np.asarray(some.fill_null(NO_ID))[found["doc"]].astype("<i8")
@@ -124,19 +155,20 @@ class Passages:
                     full = np.flatnonzero(np.diff(edges))
                     if len(full):
                         cuts = [(edges[p], edges[p + 1]) for p in full]
-                        yield _batch(full, [store.uri] * len(full), [0] * len(full), [found[i:j].tobytes() for i, j in cuts], [numbers[i:j].tobytes() for i, j in cuts])
+                        yield _batch(full, [store.uri] * len(full), [_PART] * len(full), [_pack_pieces(found[i:j], numbers[i:j]) for i, j in cuts], [b""] * len(full))
             if store:
                 store.sink.close()
 
         return docs.mapInArrow(work, _ROWS)
 
-    def _share(self, part: int, blocks: list[tuple[str, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        """Classes, occurrences and requests of one part."""
-        uris = sorted({u for u, _, _ in blocks})
+    def _share(self, part: int, base: str, blocks: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+        """Classes and occurrences of one part, in a file, and the requests for tokens."""
+        uris = sorted({u for u, _ in blocks})
         number = {u: i for i, u in enumerate(uris)}
-        p = np.concatenate([np.frombuffer(d, PIECE) for _, d, _ in blocks])
-        ids = np.concatenate([np.frombuffer(m, "<i8") for _, _, m in blocks])
-        file = np.concatenate([np.full(len(d) // PIECE.itemsize, number[u], np.int32) for u, d, _ in blocks])
+        unpacked = [_unpack_pieces(d) for _, d in blocks]
+        p, ids = (np.concatenate([x[k] for x in unpacked]) for k in (0, 1))
+        file = np.concatenate([np.full(len(x), number[u], np.int32) for (u, _), (x, _) in zip(blocks, unpacked, strict=True)])
+        del unpacked
         order = np.argsort(p["h"], kind="stable")
         h, i = p["h"][order], ids[order]
         new = np.append(True, h[1:] != h[:-1])
@@ -154,20 +186,44 @@ class Passages:
         classes["n"], classes["id"] = (p["g"][first] & np.uint64(0xFFFF)), ids[first]
         classes["group"] = (np.cumsum(new_h) - 1)[first]
         classes["open"] = np.bincount(classes["group"])[classes["group"]] > 1
-        yield _batch([part], [""], [_CLASSES], [classes.tobytes()], [b""])
         c = (np.cumsum(new_c) - 1).astype(np.uint32)
         found = np.zeros(len(p), _OCCURRENCE)
         found["c"], found["doc"], found["a"], found["id"] = c, p["doc"], p["a"], ids
         wanted = first[classes["open"]]
         ask = np.zeros(len(wanted), _REQUEST)
         ask["c"], ask["doc"], ask["a"], ask["n"] = c[wanted], p["doc"][wanted], p["a"][wanted], classes["n"][c[wanted]]
-        for kind, rows, of in ((_OCCURRENCES, found, file), (_REQUESTS, ask, file[wanted])):
-            order = np.argsort(of, kind="stable")
-            edges = np.searchsorted(of[order], np.arange(len(uris) + 1))
-            full = np.flatnonzero(np.diff(edges))
-            rows = rows[order]
-            if len(full):
-                yield _batch([part] * len(full), [uris[u] for u in full], [kind] * len(full), [rows[edges[u] : edges[u + 1]].tobytes() for u in full], [b""] * len(full))
+        sink = files.Sink(base, ".part")
+        head = _squeezed(classes)
+        sink.write(len(head).to_bytes(8, "little") + head)
+        for u, rows in self._by_file(found, file):
+            data = _squeezed(*(np.ascontiguousarray(rows[n]) for n in _OCCURRENCE.names))
+            name = uris[u].encode()
+            sink.write(len(name).to_bytes(8, "little") + name + len(data).to_bytes(8, "little") + data)
+        sink.close()
+        yield _batch([part], [sink.uri], [_PART], [b""], [b""])
+        for u, rows in self._by_file(ask, file[wanted]):
+            yield _batch([part], [uris[u]], [_REQUESTS], [rows.tobytes()], [b""])
+
+    @staticmethod
+    def _by_file(rows: np.ndarray, file: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(file, kind="stable")
+        file, rows = file[order], rows[order]
+        for u in np.unique(file).tolist():
+            i, j = np.searchsorted(file, [u, u + 1])
+            yield u, rows[i:j]
+
+    @staticmethod
+    def _read_part(uri: str) -> Iterator:
+        """The classes of a part's file, then (uri, occurrences) of each file of documents."""
+        with files.open_input(uri) as f:
+            take = lambda: f.read(int.from_bytes(size, "little")) if (size := f.read(8)) else None
+            yield _unsqueezed(take(), _CLASS)[0]
+            while (name := take()) is not None:
+                columns = _unsqueezed(take(), *(_OCCURRENCE[n] for n in _OCCURRENCE.names))
+                rows = np.empty(len(columns[0]), _OCCURRENCE)
+                for n, c in zip(_OCCURRENCE.names, columns, strict=True):
+                    rows[n] = c
+                yield name.decode(), rows
 
     def _fetch(self, uri: str, asked: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         """The tokens that the parts want from one file."""
@@ -238,12 +294,17 @@ class Passages:
         spark = docs.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-        dealt = cut(self.deal(rows, scratch(spark, "passages"), parts), "pieces")
-        files_ = dealt.filter("part = -1").select("uri")
+        base = scratch(spark, "passages")
+        dealt = self.deal(rows, base, parts)
 
         def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (part,), found in _runs(batches, ("part",)):
-                yield from self._share(part, [(r["uri"], r["data"], r["more"]) for r in found])
+                for r in found:
+                    if r["kind"] == _FILE:
+                        yield _batch([-1], [r["uri"]], [_FILE], [b""], [b""])
+                blocks = [(r["uri"], r["data"]) for r in found if r["kind"] == _PART]
+                if blocks:
+                    yield from self._share(part, base, blocks)
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (uri,), found in _runs(batches, ("uri",)):
@@ -251,13 +312,13 @@ class Passages:
 
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (part,), found in _runs(batches, ("part",)):
-                classes = np.frombuffer(next(r["data"] for r in found if r["kind"] == _CLASSES), _CLASS)
+                parts_ = self._read_part(next(r["uri"] for r in found if r["kind"] == _PART))
+                classes = next(parts_)
                 least = self._settle(classes, [(r["data"], r["more"]) for r in found if r["kind"] == _TOKENS])
-                for r in found:
-                    if r["kind"] == _OCCURRENCES:
-                        covers = self._cover(classes, least, np.frombuffer(r["data"], _OCCURRENCE))
-                        if len(covers):
-                            yield _batch([part], [r["uri"]], [0], [covers.tobytes()], [b""])
+                for uri, rows in parts_:
+                    covers = self._cover(classes, least, rows)
+                    if len(covers):
+                        yield _batch([part], [uri], [_FILE], [covers.tobytes()], [b""])
 
         types = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema])
 
@@ -275,12 +336,12 @@ class Passages:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(report(batch.column("doc_id").slice(at, n), data, bounds, own), types, strict=True)], schema=types)
                         at, base = at + n, base + n
 
-        by_part = dealt.filter("part >= 0").repartition(parts, "part").sortWithinPartitions("part", "uri")
+        by_part = dealt.repartition(parts, "part").sortWithinPartitions("part", "uri")
         shared = cut(by_part.mapInArrow(share, _ROWS), "shared")
         asked = shared.filter(F.col("kind") == _REQUESTS).repartition(parts, "uri").sortWithinPartitions("uri")
-        told = asked.mapInArrow(fetch, _ROWS).unionByName(shared.filter(F.col("kind") != _REQUESTS))
+        told = asked.mapInArrow(fetch, _ROWS).unionByName(shared.filter(F.col("kind") == _PART))
         covers = cut(told.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(settle, _ROWS), "covers")
-        every = covers.unionByName(files_.select(F.lit(-1).alias("part"), "uri", F.lit(0).alias("kind"), F.lit(b"").alias("data"), F.lit(b"").alias("more")))
+        every = covers.unionByName(shared.filter(F.col("kind") == _FILE))
         return every.repartition(parts, "uri").sortWithinPartitions("uri").mapInArrow(finish, schema)
 
 
