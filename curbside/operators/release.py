@@ -147,20 +147,42 @@ def leaks(samples: DataFrame, evaluation: DataFrame) -> DataFrame:
 
 
 def contamination(samples: DataFrame, benchmark: DataFrame, text_col: str = "caption") -> DataFrame:
-    """Benchmark items whose words occur in a row in a text: (item_id, n_texts).
+    """Benchmark items that a text contains: (item_id, n_texts).
 
-    Both sides meet on hashes of runs of eight words; what meets is compared as text.
+    Within a text the first and the last word of an item may be glued to what
+    stands around them; the words between are words of the text. Both sides meet
+    on hashes of runs of eight such words, or of all of them where an item has
+    three to seven; what meets is compared as text. Items with fewer are looked
+    for in every text, in blocks.
     """
-    def grams(words: Column, n: int = 8) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+    most, least, block = 8, 3, 1000
 
     def split(c: str) -> Column:
         return F.split(F.trim(c), r"\s+")
 
-    first = benchmark.withColumn("__w", split("text")).select("item_id", F.col("text").alias("__item"), F.get(grams(F.col("__w")), F.lit(0)).alias("__g"))
-    texts = samples.select(F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")).withColumn("__w", split("__text"))
-    met = texts.withColumn("__g", F.explode(F.array_distinct(grams(F.col("__w"))))).join(first, "__g")
-    return met.filter(F.contains("__text", F.col("__item"))).groupBy("item_id").agg(F.countDistinct("__row").alias("n_texts"))
+    def run(words: Column, at: Column, n: int) -> Column:
+        return F.xxhash64(F.lit(n), *[F.get(words, at + F.lit(k)) for k in range(n)])
+
+    def runs(words: Column, n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: run(words, i, n))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<bigint>"))
+
+    items = benchmark.select("item_id", F.col("text").alias("__item"), split("text").alias("__w")).withColumn("__n", F.least(F.size("__w") - 2, F.lit(most))).filter("__item IS NOT NULL")
+    texts = samples.select(F.col(text_col).alias("__text")).filter("__text IS NOT NULL")
+    # One row for each length from 3 to 8 at most, and one for what is shorter.
+    counts = {r[0]: r[1] for r in items.groupBy(F.greatest("__n", F.lit(least - 1))).count().collect()}
+    lengths = sorted(n for n in counts if n >= least) or [most]
+    probe = F.coalesce(*[F.when(F.col("__n") == n, run(F.col("__w"), F.lit(1), n)) for n in lengths])
+    probes = items.filter(F.col("__n") >= least).select("item_id", "__item", probe.alias("__g"))
+    # The outer form keeps Spark from filtering by the array before, where it would split the text anew for each word.
+    met = texts.withColumn("__w", split("__text")).select("__text", F.explode_outer(F.array_distinct(F.concat(*[runs(F.col("__w"), n) for n in lengths]))).alias("__g")).join(probes, "__g")
+    hits = met.filter(F.contains("__text", F.col("__item"))).select("item_id")
+    if least - 1 in counts:
+        part = F.pmod(F.xxhash64("__item", "item_id"), F.lit(-(-counts[least - 1] // block)))
+        blocks = items.filter(F.col("__n") < least).groupBy(part).agg(F.collect_list(F.struct("item_id", "__item")).alias("__items")).select("__items")
+        held = F.filter("__items", lambda i: F.contains(F.col("__text"), i["__item"]))
+        hits = hits.unionByName(texts.crossJoin(blocks).select(F.explode(held).alias("__i")).select(F.col("__i.item_id").alias("item_id")))
+    return hits.groupBy("item_id").agg(F.count("*").alias("n_texts"))
 
 
 def content_hash(df: DataFrame) -> DataFrame:

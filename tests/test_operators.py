@@ -222,3 +222,17 @@ def test_detector_and_release(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "meta")).count() == 1
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert math.isclose(one(spark, scores.perspective_scale(F.lit(512 * 0.68)).alias("x")).x, 0.5)
+
+
+def test_contamination_of_short_and_quoted_items(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    items = [(n, " ".join(words[:n])) for n in range(1, 13)] + [(20, ""), (21, "\nalpha beta gamma delta epsilon\n"), (22, "mu"), (23, None), (24, "beta  gamma"), (24, "zeta eta"), (25, "psi beta gamma delta")]
+    line = " ".join(words)
+    texts = [f'He said: "{line}", twice', f"({line})", line, f"x {' '.join(words[:8])}, and so on for some more words than eight", "so\nalpha beta gamma delta epsilon\nend", " ".join(words[:5]), "mumu alpha", "beta  gamma", "", None, f"{line} {line}"]
+    want = {}
+    for i, item in items:
+        n = sum(item in t for t in texts if t is not None) if item is not None else 0
+        if n:
+            want[i] = want.get(i, 0) + n
+    got = release.contamination(spark.createDataFrame([(t,) for t in texts], "caption string"), spark.createDataFrame(items, "item_id int, text string"))
+    assert {r.item_id: r.n_texts for r in got.collect()} == want
