@@ -86,18 +86,23 @@ def folder_boxes(images: DataFrame, class_name: str = "pedestrian") -> DataFrame
     return images.select("path", F.lit(class_name).alias("class_name"), zero.alias("x"), zero.alias("y"), F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"), zero.alias("confidence"))
 
 
-def label_candidates(path: Column) -> Column:
-    """Places where an image's label file may be, the likeliest first."""
-    folder, name = F.regexp_replace(path, "/[^/]*$", ""), text.file_name(path)
-    stem, up = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_replace(folder, "/[^/]*$", "")
-    swap = F.regexp_replace(folder, r"/images(/|$)", "/labels$1")
-    places = [swap, folder, F.concat(up, F.lit("/labels")), F.concat(folder, F.lit("/labels")), F.concat(up, F.lit("/annotations")), F.concat(folder, F.lit("/annotations"))]
-    return F.transform(F.array(*places), lambda d: F.concat(d, F.lit("/"), stem, F.lit(".txt")))
+def label_candidates(path: Column, split_folders: dict[str, str] | None = None) -> Column:
+    """The nine places where an image's label file may be, the likeliest first; null where a folder does not apply.
+
+    ``split_folders`` has the label folder of a split, which the path's segments tell.
+    """
+    folder, stem = F.regexp_replace(path, "[^/]*$", ""), F.regexp_replace(text.file_name(path), r"(?<=.)\.[^.]*$", "")
+    sibling = F.when(folder.rlike("(^|/)images/$"), F.regexp_replace(folder, "images/$", "labels/"))
+    split = text.split_of_path(path)
+    own = F.coalesce(*[F.when(split == k, v.rstrip("/") + "/") for k, v in (split_folders or {}).items()], F.lit(None).cast("string"))
+    # The reference names the first place twice.
+    places = [(folder, ".json"), (folder, ".json"), (folder, ".txt"), (sibling, ".txt"), (sibling, ".json"), (own, ".txt"), (own, ".json"), (folder, "_gtBboxCityPersons.json"), (folder, "_gtFine_polygons.json")]
+    return F.array(*[F.concat(d, stem, F.lit(end)) for d, end in places])
 
 
-def match_labels(images: DataFrame, label_files: DataFrame) -> DataFrame:
+def match_labels(images: DataFrame, label_files: DataFrame, split_folders: dict[str, str] | None = None) -> DataFrame:
     """label_path of each image: the first candidate that exists."""
-    tries = images.select("path", F.posexplode(label_candidates(F.col("path"))).alias("rank", "label_path"))
+    tries = images.select("path", F.posexplode(label_candidates(F.col("path"), split_folders)).alias("rank", "label_path"))
     found = tries.join(label_files.select(F.col("path").alias("label_path")), "label_path").groupBy("path").agg(F.min_by("label_path", "rank").alias("label_path"))
     return images.join(found, "path", "left")
 

@@ -236,3 +236,15 @@ def test_contamination_of_short_and_quoted_items(spark):
             want[i] = want.get(i, 0) + n
     got = release.contamination(spark.createDataFrame([(t,) for t in texts], "caption string"), spark.createDataFrame(items, "item_id int, text string"))
     assert {r.item_id: r.n_texts for r in got.collect()} == want
+
+
+def test_label_places_and_their_order(spark):
+    image = "/d/train/images/a.b.png"
+    places = ["/d/train/images/a.b.json", "/d/train/images/a.b.txt", "/d/train/labels/a.b.txt", "/d/train/labels/a.b.json", "/cfg/a.b.txt", "/cfg/a.b.json", "/d/train/images/a.b_gtBboxCityPersons.json", "/d/train/images/a.b_gtFine_polygons.json"]
+    images = spark.createDataFrame([(image,), ("/d/train/other/x.jpg",), ("images/y.jpg",)], "path string")
+    also = ["/d/train/labels/x.txt", "labels/y.txt", "/d/train/images/labels/a.b.txt"]
+    found = lambda files, **kw: {r.path: r.label_path for r in scans.match_labels(images, spark.createDataFrame([(f,) for f in files], "path string"), **kw).collect()}
+    for i in range(len(places)):
+        got = found(places[i:][::-1] + also, split_folders={"val": "/no", "train": "/cfg/"})
+        assert got == {image: places[i], "/d/train/other/x.jpg": None, "images/y.jpg": "labels/y.txt"}
+    assert found(places[4:6] + also)[image] is None
