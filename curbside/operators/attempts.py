@@ -86,7 +86,9 @@ def advice(run: DataFrame, settings: DataFrame, min_samples: int = 30) -> DataFr
 
     ``run`` is one row: n_accepted, n_jobs, person_p10, scale_p10, background_p10,
     edge_p10, low_person, bad_scale, bad_depth. ``settings`` has (name, current);
-    names that it lacks are left out.
+    names that it lacks are left out. With a column quality_mean below 0.72 there
+    are two rows more, GENERATION_STRENGTH_DELTA and GENERATION_GUIDANCE_DELTA:
+    what all attempts add, neither blended nor bounded.
     """
     c, jobs_ = F.col, F.greatest(F.col("n_jobs"), F.lit(1))
     rules = [
@@ -108,7 +110,12 @@ def advice(run: DataFrame, settings: DataFrame, min_samples: int = 30) -> DataFr
     out = on.join(settings, "name")
     proposed = F.when(c("delta") > 0, F.least(c("current") + c("delta"), c("cap"))).otherwise(F.greatest(c("current") + c("delta"), c("cap")))
     out = out.withColumn("proposed", proposed).withColumn("value", scores.blended(c("current"), c("proposed")))
-    return out.select("name", "current", "proposed", "value", F.round((c("value") - c("current")) / F.nullif(F.abs(c("current")), F.lit(0.0)), 4).alias("change"))
+    out = out.select("name", "current", "proposed", "value", F.round((c("value") - c("current")) / F.nullif(F.abs(c("current")), F.lit(0.0)), 4).alias("change"))
+    if "quality_mean" not in run.columns:
+        return out
+    deltas = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(0.0).alias("current"), F.lit(d).alias("proposed")) for n, d in (("GENERATION_STRENGTH_DELTA", 0.01), ("GENERATION_GUIDANCE_DELTA", 0.10))])).alias("r")
+    low = run.filter((c("n_accepted") >= min_samples) & (c("quality_mean") < 0.72)).select(deltas).select("r.*")
+    return out.unionByName(low.select("name", "current", "proposed", c("proposed").alias("value"), F.lit(None).cast("double").alias("change")))
 
 
 def gate_target_splits(records: DataFrame, gate_as: str | None = None) -> DataFrame:

@@ -129,10 +129,22 @@ def monotonic_heights(items: DataFrame, ratio: float = 1.04) -> DataFrame:
 
 
 def correction_plan(items: DataFrame) -> DataFrame:
-    """Resized box of each detected object, standing where its feet are, with the policy's status."""
-    b = geo.Box.of()
-    ratio = F.col("expected_height") / F.greatest(F.lit(1.0), b.height)
-    w, h, cx = b.width * ratio, b.height * ratio, (b.x1 + b.x2) / 2
-    out = items.withColumn("scale_ratio", ratio).withColumn("status", scores.scale_policy(ratio, F.col("conf"), F.col("mask_share")))
-    moved = geo.Box(cx - w / 2, b.y2 - h, cx + w / 2, b.y2)
-    return out.select("*", *moved.columns("r_")).withColumn("at_border", geo.touches_border(moved, F.col("width"), F.col("height")))
+    """Resized box of each detected object, standing where its feet are, with status and reject_reason.
+
+    Sides are whole pixels. After the policy a box is rejected within the margin
+    of the border, and then by its aspect and its share of the image.
+    """
+    wide, high = F.col("width"), F.col("height")
+    x1, y1 = (F.greatest(F.lit(0.0), F.rint(c)) for c in ("x1", "y1"))
+    x2, y2 = F.least(wide.cast("double"), F.rint("x2")), F.least(high.cast("double"), F.rint("y2"))
+    seen_w, seen_h = F.greatest(F.lit(1.0), x2 - x1), F.greatest(F.lit(1.0), y2 - y1)
+    ratio = F.col("expected_height") / seen_h
+    w, h = F.greatest(F.lit(4.0), F.rint(seen_w * ratio)), F.greatest(F.lit(8.0), F.rint(seen_h * ratio))
+    left = F.rint((x1 + x2) / 2 - w / 2)
+    moved, margin = geo.Box(left, y2 - h, left + w, y2), F.floor(F.greatest(wide, high) * 0.018)
+    border = (moved.x1 < margin) | (moved.x2 > wide - margin) | (moved.y1 < margin) | (moved.y2 > high - margin)
+    shape = ~(h / w).between(1.35, 3.6) | (h * w / F.greatest(F.lit(1), wide * high) < 0.00045)
+    policy = scores.scale_policy(ratio, F.col("conf"), F.col("mask_share"))
+    status = F.when(policy.isin("unrecoverable", "borderline_retry"), policy).when(border, "border_reject_after_resize").when(shape, "bad_scale_geometry_after_resize").otherwise(policy)
+    out = items.select("*", ratio.alias("scale_ratio"), status.alias("status"), *moved.columns("r_"), border.alias("at_border"))
+    return out.withColumn("reject_reason", F.when(F.col("status").isin("recoverable", "borderline_accept"), "").otherwise("scale_unrecoverable"))

@@ -248,3 +248,23 @@ def test_label_places_and_their_order(spark):
         got = found(places[i:][::-1] + also, split_folders={"val": "/no", "train": "/cfg/"})
         assert got == {image: places[i], "/d/train/other/x.jpg": None, "images/y.jpg": "labels/y.txt"}
     assert found(places[4:6] + also)[image] is None
+
+
+def test_correction_plan_rejects_by_border_aspect_and_area(spark):
+    rows = [
+        ("good", 200.0, 100.0, 250.0, 200.0, 120.0), ("slim", 200.0, 100.0, 220.0, 200.0, 120.0), ("stout", 200.0, 100.0, 290.0, 200.0, 100.0),
+        ("tiny", 200.0, 190.0, 205.0, 206.0, 14.0), ("border", 3.0, 100.0, 53.0, 200.0, 100.0), ("far", 200.0, 100.0, 250.0, 200.0, 400.0),
+    ]
+    items = spark.createDataFrame(rows, "k string, x1 double, y1 double, x2 double, y2 double, expected_height double").withColumns({"conf": F.lit(0.9), "mask_share": F.lit(0.01), "width": F.lit(512), "height": F.lit(512)})
+    got = {r.k: r for r in placement.correction_plan(items).collect()}
+    bad = "bad_scale_geometry_after_resize"
+    assert {k: r.status for k, r in got.items()} == {"good": "recoverable", "slim": bad, "stout": bad, "tiny": bad, "border": "border_reject_after_resize", "far": "unrecoverable"}
+    assert [k for k, r in got.items() if r.reject_reason == ""] == ["good"]
+    assert (got["good"].r_x1, got["good"].r_y1, got["good"].r_x2, got["good"].r_y2) == (195, 80, 255, 200)
+
+
+def test_advice_on_mean_quality(spark):
+    run = spark.createDataFrame([(150, 200, 0.9, 0.9, 0.9, 0.9, 0, 0, 0, 0.7)], "n_accepted int, n_jobs int, person_p10 double, scale_p10 double, background_p10 double, edge_p10 double, low_person int, bad_scale int, bad_depth int, quality_mean double")
+    settings = spark.createDataFrame([("CONTEXT_GENERATION_RETRIES", 4.0)], "name string, current double")
+    assert {r.name: r.value for r in attempts.advice(run, settings).collect()} == {"GENERATION_STRENGTH_DELTA": 0.01, "GENERATION_GUIDANCE_DELTA": 0.10}
+    assert attempts.advice(run.withColumn("quality_mean", F.lit(0.72)), settings).count() == 0
