@@ -61,7 +61,7 @@ class ChunkIds:
     def _forget(self) -> None:
         self._hash, self._place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by hash
         self._ids, self._used, self._known = np.zeros(1 << 16, np.int32), 0, 0
-        self._offset, self._count, self._mark = (np.zeros(1 << 14, np.int32) for _ in range(3))
+        self._offset, self._count, self._mark = (np.zeros(1 << 14, kind) for kind in (np.int32, np.int32, np.int64))
 
     def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
         ids, counts, marks = self._encode_many(chunks)

@@ -6,7 +6,8 @@ scores or byte-pair merges, and byte fallback. Batches are encoded in threads.
 What the backend gives is verified against SentencePiece itself: each distinct
 chunk (a run of markers and what follows up to the next) is encoded by both
 when a task meets it first, and where they differ SentencePiece is right. The
-number of such chunks is kept per document.
+number of such chunks is kept per document, and a worker where they are more
+than ``MOST_WRONG`` of its distinct chunks fails: its backend is not the model's.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text.
 Repeated rows encode alike. The marker character itself in a text decodes to a
@@ -32,6 +33,8 @@ from curbside.llm.words import whole
 MARK = "▁"
 #: Threads of the library in each task.
 THREADS = 2
+#: Share of distinct chunks that may be corrected, from so many chunks on.
+MOST_WRONG, ENOUGH = 0.1, 10_000
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -151,46 +154,45 @@ class Codec:
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
         self.tokenizer, self.normalise = self.model.backend(), self.model.normaliser()
         self._chunks = ChunkIds(chunk_starts, self._many)
-        pieces = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-        self._length = np.asarray([len(p) for p in pieces], np.int64)
-        self._offset, self._bytes = np.cumsum(self._length) - self._length, np.frombuffer(b"".join(pieces), np.uint8)
+        self._met = self._corrected = 0
 
     def ids(self, marked: list[str]) -> list[list[int]]:
         """What the backend makes of marked texts."""
         return [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
 
     def _many(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of the chunks, the ids of each, and a mark where the backend was wrong."""
+        """All ids of the chunks, the ids of each, and marks: 1 where the backend was wrong, 2**32 where ids don't decode to the chunk."""
         texts = [c.decode() for c in chunks]
-        ours = self.ids([t.replace(" ", MARK) for t in texts])
+        found = self.ids([t.replace(" ", MARK) for t in texts])
         # A chunk starts with a space, which SentencePiece puts before a text itself.
         right = self.judge.encode([t[1:] for t in texts], num_threads=THREADS)
-        right = [b if len(t) > 1 else a for t, a, b in zip(texts, ours, right, strict=True)]
-        counts = np.fromiter(map(len, right), np.int64, len(right))
-        return np.fromiter(itertools.chain.from_iterable(right), np.int32, int(counts.sum())), counts, np.asarray([a != b for a, b in zip(ours, right, strict=True)], np.int32)
-
-    def _decoded(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids' pieces, markers as spaces: what the backend's decoder joins."""
-        size = self._length[ids]
-        start = np.cumsum(size) - size
-        return self._bytes[np.repeat(self._offset[ids] - start, size) + np.arange(size.sum())]
+        marks = np.zeros(len(texts), np.int64)
+        for i, (t, a, b) in enumerate(zip(texts, found, right, strict=True)):
+            if len(t) > 1 and a != b:
+                found[i], marks[i] = b, 1
+        self._judge(len(texts), int(marks.sum()))
+        marks[[a != b for a, b in zip(self.tokenizer.decode_batch(found), texts, strict=True)]] += 1 << 32
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(counts.sum())), counts, marks
+
+    def _judge(self, met: int, corrected: int) -> None:
+        """Counts distinct chunks, and fails when too many were corrected."""
+        self._met, self._corrected = self._met + met, self._corrected + corrected
+        if self._met >= ENOUGH and self._corrected > MOST_WRONG * self._met:
+            raise RuntimeError(f"the backend differs from SentencePiece on {self._corrected} of {self._met} chunks")
 
     def spaced(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ids of each, corrected chunks of each, whether each decodes to itself) of texts with a space before them."""
-        ids, counts, wrong = self._chunks(data, bounds)
-        back = self._decoded(ids)
-        size = np.concatenate([[0], np.cumsum(self._length[ids])])[np.concatenate([[0], np.cumsum(counts)])]
-        if np.array_equal(size, bounds):
-            differs = np.concatenate([[0], np.cumsum(back != data)])
-            same = np.diff(differs[bounds]) == 0
-        else:
-            same = np.asarray([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(size, size[1:], bounds, bounds[1:], strict=False)])
-        return ids, counts, wrong, same
+        ids, counts, marks = self._chunks(data, bounds)
+        return ids, counts, marks & 0xFFFFFFFF, marks >> 32 == 0
 
     def whole(self, text: str) -> tuple[np.ndarray, int, bool]:
         """(ids, 1 if the backend was wrong, whether they decode to the text) of any text."""
-        ours, right = self.ids([self.normalise(text)])[0], self.judge.encode(text)
-        return np.asarray(right, np.int32), int(ours != right), self.judge.decode(right) == text
+        found, right = self.ids([self.normalise(text)])[0], self.judge.encode(text)
+        wrong = int(found != right)
+        found = right if wrong else found
+        self._judge(1, wrong)
+        return np.asarray(found, np.int32), wrong, self.tokenizer.decode(found)[1 if self.model.dummy_prefix else 0 :] == text
 
 
 _codecs: dict[str, Codec] = {}
@@ -219,14 +221,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 alone = np.full(n, not codec.model.cuttable)
                 for place in re.finditer(MARK.encode(), data):
                     alone[np.searchsorted(bounds, place.start(), "right") - 1] = True
+                size = np.where(alone, 0, np.diff(bounds))
+                full = size > 0
+                own = np.concatenate([[0], np.cumsum(size)])
+                spaced = own + np.concatenate([[0], np.cumsum(full)])
+                rest = data[np.repeat(~alone, np.diff(bounds))] if alone.any() else data
+                ids, counts, wrong, same = codec.spaced(np.insert(rest, own[:-1][full], 32), spaced)
                 if alone.any():
-                    found = [codec.whole(data[a:b].tobytes().decode()) for a, b in zip(bounds, bounds[1:], strict=False)]
-                    ids, counts = np.concatenate([f[0] for f in found]), np.asarray([len(f[0]) for f in found])
-                    wrong, same = np.asarray([f[1] for f in found]), np.asarray([f[2] for f in found])
-                else:
-                    full = bounds[1:] > bounds[:-1]
-                    spaced = bounds + np.concatenate([[0], np.cumsum(full)])
-                    ids, counts, wrong, same = codec.spaced(np.insert(data, bounds[:-1][full], 32), spaced)
+                    parts = np.split(ids, np.cumsum(counts)[:-1])
+                    for i in np.flatnonzero(alone):
+                        parts[i], wrong[i], same[i] = codec.whole(data[bounds[i] : bounds[i + 1]].tobytes().decode())
+                        counts[i] = len(parts[i])
+                    ids = np.concatenate(parts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
                 columns = [batch.column("doc_id").slice(at, n), lists, pa.array(counts, pa.int32()), pa.array(wrong, pa.int32()), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "n_corrected", "round_trip"])

@@ -1,5 +1,9 @@
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import sentencepiece
+from tokenizers import decoders
 
 from curbside.llm import sp_tokenizers as sp
 
@@ -35,3 +39,29 @@ def test_backend_alone_and_decode(spark):
 
 def test_empty(spark):
     assert sp.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_a_marker_leaves_its_neighbours_alone(spark, monkeypatch):
+    plain, seen = "clean words beside", []
+    docs = spark.createDataFrame([(1, plain), (2, "▁ literal"), (3, "")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in sp.encode(docs, PATH).collect()}
+    judge = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert [got[i].ids for i in (1, 2, 3)] == [judge.encode(plain), judge.encode("▁ literal"), []] and [got[i].round_trip for i in (1, 2, 3)] == [True, False, True]
+    # The work itself, in this process: only the text with the marker goes whole.
+    monkeypatch.setattr(sp.Codec, "whole", lambda self, text, f=sp.Codec.whole: (seen.append(text), f(self, text))[1])
+    work = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: work.append(f))
+    sp.encode(docs, PATH)
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [plain.encode(), "▁ literal".encode(), b""]})
+    assert sum(b.num_rows for b in work[0](iter([rows]))) == 3 and seen == ["▁ literal"]
+
+
+def test_a_wrong_backend_fails_and_its_decoder_is_used(monkeypatch):
+    monkeypatch.setattr(sp, "ENOUGH", 3)
+    codec = sp.Codec(PATH)
+    monkeypatch.setattr(codec, "ids", lambda marked: [[5] for _ in marked])
+    with pytest.raises(RuntimeError, match="4 of 4"):
+        codec._many([b" one", b" two", b" three", b" four"])
+    codec = sp.Codec(PATH)
+    codec.tokenizer.decoder = decoders.Fuse()
+    assert not codec.spaced(np.frombuffer(b" words", np.uint8), np.asarray([0, 6]))[3][0]
