@@ -32,8 +32,8 @@ CELL, SHARD = 1 << 19, 1 << 17
 ANCHOR = 17
 
 
-def shard_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes of a shard in the order of their first 64 symbols at least; zeros end the pieces.
+def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of a shard in the order of their first ``depth`` symbols at least; zeros end the pieces.
 
     Doubling: the ranks of suffixes by h symbols give those by 2h.
     """
@@ -46,7 +46,7 @@ def shard_order(text: np.ndarray) -> np.ndarray:
     while True:
         both = np.sort((key << bits) | np.arange(n, dtype=np.uint64))
         order = (both & mask).astype(np.int64)
-        if h >= 64:
+        if h >= depth:
             return order
         both >>= bits
         rank = np.empty(n, np.uint64)
@@ -62,7 +62,7 @@ def merged_classes(shards: list[np.ndarray], depth: int) -> list[np.ndarray]:
     Shards are texts of symbols 1 to 255, each piece ended by a zero. Classes are
     numbered in the order of the merged suffix array.
     """
-    orders = [shard_order(s) for s in shards]
+    orders = [shard_order(s, depth) for s in shards]
     codes = []
     for text, order in zip(shards, orders, strict=True):
         ends = np.flatnonzero(text == 0)

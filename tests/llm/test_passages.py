@@ -82,3 +82,19 @@ def test_whole_small_table(spark, sf_dir):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bwt_dedup.remove_repeats(none).count() == 0 and automaton_dedup.remove_repeats(none).count() == 0
+
+
+def test_classes_of_windows_above_64_symbols():
+    rng = np.random.default_rng(5)
+    same, ends = rng.integers(1, 5, 90).astype(np.uint8), [rng.integers(1, 5, 60).astype(np.uint8) for _ in range(3)]
+    zero = np.zeros(1, np.uint8)
+    shards = [np.concatenate([x for k in order for x in (rng.integers(1, 5, 7).astype(np.uint8), same, ends[k], zero)]) for order in ([2, 0, 1, 2], [1, 2, 0], [0, 1])]
+    for depth in (50, 100, 131):
+        seen, windows = {}, set()
+        for text, classes in zip(shards, bwt_dedup.merged_classes(shards, depth), strict=True):
+            for i in range(len(text) - depth + 1):
+                window = text[i : i + depth].tobytes()
+                if 0 not in window:
+                    seen.setdefault(int(classes[i]), set()).add(window)
+                    windows.add(window)
+        assert all(len(w) == 1 for w in seen.values()) and len(seen) == len(windows), depth
