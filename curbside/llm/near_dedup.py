@@ -16,9 +16,9 @@ another component than its least one are compared with all of the leaf, in
 blocks of ``SMALL``. What is alike by its sketches falls into clusters, and in
 these every candidate link between different components is confirmed or refuted
 on the full sets, in blocks again. A link between components is lost only where
-all trees part its ends: at
-similarity 0.85 and the full depth that has a probability of 2e-8, at 0.8 3e-6,
-and less in leaves nearer to the root.
+all trees part its ends. The trees share the 64 coordinates, so over the number
+of equal ones that has, at the full depth, a probability of 1.1e-5 at similarity
+0.85 and 1.8e-4 at 0.8, and less in leaves nearer to the root.
 
 Defined cases: documents without words, null included, have the empty set and
 are linked with nothing. With fewer words than a shingle has, the whole
