@@ -2,10 +2,10 @@
 
 The texts of a batch lie one after the other in a byte array. Chunk starts are
 found by array operations, each chunk gets a 64-bit hash from prefix sums, and
-only chunks that the worker has never met are encoded; the ids of a batch are
-then gathered from the pool of remembered ids. Two different chunks of a worker
-share a hash with a probability of about their number squared over 2**65, some
-1e-8 for the number that is remembered.
+chunks that the worker has never met are encoded; the ids of a batch are then
+gathered from the pool of remembered ids. The hash only proposes a remembered
+chunk: its bytes are compared, and a chunk that merely shares a hash is encoded
+for itself.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks that a worker process remembers; it begins anew beyond that.
-REMEMBERED = 1_500_000
+#: Chunks and bytes of them that a worker process remembers; it begins anew beyond either.
+REMEMBERED, REMEMBERED_BYTES = 1_500_000, 64 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -37,7 +37,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Sums from which the hash of any piece follows; one more than there are bytes."""
+    """Sums from which the hash of any piece follows; one more than there are bytes.
+
+    Different pieces may share a hash, some of them by construction: it deals
+    pieces to places and never says that two are equal.
+    """
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][:-1], out=out[1:])
     return out
@@ -61,21 +65,36 @@ class ChunkIds:
     def _forget(self) -> None:
         self._hash, self._place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by hash
         self._ids, self._used, self._known = np.zeros(1 << 16, np.int32), 0, 0
-        self._offset, self._count, self._mark = (np.zeros(1 << 14, kind) for kind in (np.int32, np.int32, np.int64))
+        self._bytes, self._filled = np.zeros(1 << 16, np.uint8), 0
+        self._offset, self._count, self._mark, self._from, self._size = (np.zeros(1 << 14, kind) for kind in (np.int32, np.int32, np.int64, np.int64, np.int64))
 
-    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of chunks that are encoded now."""
+        raw = data.tobytes()
+        chunks = [raw[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
         ids, counts, marks = self._encode_many(chunks)
+        own = np.frombuffer(b"".join(chunks), np.uint8)
         while len(self._ids) < self._used + len(ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        to = self._known + len(chunks)
+        while len(self._bytes) < self._filled + len(own):
+            self._bytes = np.concatenate([self._bytes, np.zeros_like(self._bytes)])
+        at, to = self._known, self._known + len(chunks)
         while len(self._count) < to:
-            self._offset, self._count, self._mark = (np.concatenate([x, np.zeros_like(x)]) for x in (self._offset, self._count, self._mark))
+            self._offset, self._count, self._mark, self._from, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._offset, self._count, self._mark, self._from, self._size))
         self._ids[self._used : self._used + len(ids)] = ids
-        self._offset[self._known : to] = self._used + np.cumsum(counts) - counts
-        self._count[self._known : to], self._mark[self._known : to] = counts, marks
-        at = np.searchsorted(self._hash, hashes)
-        self._hash, self._place = np.insert(self._hash, at, hashes), np.insert(self._place, at, np.arange(self._known, to, dtype=np.int32))
-        self._used, self._known = self._used + len(ids), to
+        self._bytes[self._filled : self._filled + len(own)] = own
+        self._offset[at:to] = self._used + np.cumsum(counts) - counts
+        self._count[at:to], self._mark[at:to], self._size[at:to] = counts, marks, end - start
+        self._from[at:to] = self._filled + np.cumsum(end - start) - (end - start)
+        self._used, self._filled, self._known = self._used + len(ids), self._filled + len(own), to
+        return np.arange(at, to, dtype=np.int32)
+
+    def _differing(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Chunks whose bytes aren't those of their place; chunks follow one another."""
+        other = self._size[place] != size
+        source = np.where(other, 0, self._from[place]) - start
+        unlike = self._bytes[np.minimum(np.repeat(source, size) + np.arange(len(data)), len(self._bytes) - 1)] != data
+        return np.flatnonzero(other | np.logical_or.reduceat(unlike, start))
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each, marks of each); text i is data[bounds[i]:bounds[i + 1]]."""
@@ -86,15 +105,17 @@ class ChunkIds:
         at = np.flatnonzero(start)
         end = np.append(at[1:], len(data))
         unique, first, inverse = np.unique(piece_hashes(prefix_hashes(data), at, end), return_index=True, return_inverse=True)
-        if self._known > REMEMBERED:
+        if self._known > REMEMBERED or self._filled > REMEMBERED_BYTES:
             self._forget()
         near = np.minimum(np.searchsorted(self._hash, unique), max(0, len(self._hash) - 1))
         new = np.flatnonzero(self._hash[near] != unique) if len(self._hash) else np.arange(len(unique))
         if len(new):
-            a, b = at[first[new]].tolist(), end[first[new]].tolist()
-            raw = data.tobytes()
-            self._learn(unique[new], [raw[i:j] for i, j in zip(a, b, strict=True)])
+            places, into = self._learn(data, at[first[new]], end[first[new]]), np.searchsorted(self._hash, unique[new])
+            self._hash, self._place = np.insert(self._hash, into, unique[new]), np.insert(self._place, into, places)
         place = self._place[np.searchsorted(self._hash, unique)][inverse]
+        odd = self._differing(data, at, end - at, place)
+        if len(odd):
+            place[odd] = self._learn(data, at[odd], end[odd])
         count = self._count[place].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(count)])
         marks = np.concatenate([[0], np.cumsum(self._mark[place])])

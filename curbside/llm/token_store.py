@@ -11,8 +11,10 @@ through these files in constant time each and reads the ids back.
 Defined cases: a null or empty text is the end id alone. A null id is a key of
 its own and sorts first. Rows that share an id are neighbours, in the order of
 their text's hash, and a lookup of the id gives them all. An empty table gives
-no shards, and every lookup comes back empty. Columns beside the id and the
-text are not read.
+no shards, and every lookup comes back empty. Very long texts are encoded in
+chunks; one without white space is a single chunk, held whole by its task.
+Columns beside the id and the text are not read, whatever their names. Ids that
+don't fit in the file's integers are an error.
 """
 
 from __future__ import annotations
@@ -82,6 +84,8 @@ class ByteBpe:
         with open(path) as f:
             added = json.load(f)["added_tokens"]
         self._tokenizer, self._parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        #: The largest id that a text can get.
+        self.most_id = max(self._tokenizer.get_vocab(with_added_tokens=True).values())
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         #: A special token parts a text before all else, so chunks joined by it are encoded as if alone.
         self._part = next(((t["content"], t["id"]) for t in added if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])), None)
@@ -146,6 +150,9 @@ def write_store(docs: DataFrame, base: str, tokenizer_path: str, end_id: int, dt
     Order comes from a range partition by (id, text hash), so that no task holds
     more than its share, and running totals are taken over shards, not documents.
     """
+    most = max(end_id, ByteBpe(tokenizer_path).most_id)
+    if most > np.iinfo(dtype).max:
+        raise ValueError(f"ids up to {most} don't fit in {dtype}")
     end = np.asarray([end_id], dtype).tobytes()
     width = len(end)
 

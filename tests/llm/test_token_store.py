@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from curbside.llm import token_store as ts
@@ -21,6 +22,12 @@ TEXTS = [
 ]
 
 
+def twins(n=12):
+    """A Thue-Morse word of letters a and b, and its complement: equal under a polynomial modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(2**n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def expected(rows):
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
@@ -61,3 +68,29 @@ def test_perfect_hash_is_minimal_and_one_to_one():
     keys = np.unique(np.random.default_rng(3).integers(-(2**63), 2**63, 20000))
     ph = ts.PerfectHash.of(keys)
     assert sorted(ph.slots(keys)) == list(range(len(keys)))
+
+
+def test_words_that_share_a_polynomial_hash(spark):
+    one, two = twins()
+    rows = [(i, f"{a} {b}") for i, (a, b) in enumerate(((one, one), (one, two), (two, one), (two, two)))]
+    got, _, _ = run(spark, rows)
+    want = expected(rows)
+    crc = lambda ids: zlib.crc32(np.asarray(ids, "<u4").tobytes())
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(want[i, x]), crc(want[i, x])) for i, x in rows]
+
+
+def test_whole_small_table(spark, sf_dir):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    want, start = expected(rows), 0
+    got = {r.doc_id: r for r in ts.op8_token_store(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        ids = want[i, text]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_ids_that_do_not_fit(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="don't fit"):
+        ts.write_store(docs, scratch(spark, "store"), PATH, 2, "<u1")
