@@ -2,68 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from curbside.runtime import cut
 
-#: Edges at most that one task joins by itself; larger graphs are contracted by rounds of joins.
-SMALL_GRAPH = 250_000
-
 
-def connected_components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(v, component) of every vertex of ``edges(u, v)``; component is the least vertex reachable.
 
-    Loops and repeated edges are allowed; null ends are dropped. The two ways
-    differ in cost alone: what a graph within the bound needs is one task.
-    """
-    pairs = cut(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL").distinct(), "edges")
-    return _in_one_task(pairs) if pairs.count() <= small else _by_stars(pairs)
-
-
-def _in_one_task(pairs: DataFrame) -> DataFrame:
-    """Disjoint sets over all edges: for graphs within the bound."""
-    kind = dict(pairs.dtypes)["u"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict = {}
-
-        def find(x):
-            root = x
-            while up[root] != root:
-                root = up[root]
-            while up[x] != root:
-                up[x], x = root, up[x]
-            return root
-
-        field = None
-        for batch in batches:
-            field = batch.schema.field("u").type
-            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                up.setdefault(u, u)
-                up.setdefault(v, v)
-                a, b = find(u), find(v)
-                if a != b:
-                    up[max(a, b)] = min(a, b)  # a root is the least of its set
-        if up:
-            vertices = list(up)
-            yield pa.RecordBatch.from_arrays([pa.array(vertices, field), pa.array([find(v) for v in vertices], field)], names=["v", "component"])
-
-    return pairs.coalesce(1).mapInArrow(work, f"v {kind}, component {kind}")
-
-
-def _by_stars(pairs: DataFrame) -> DataFrame:
-    """Alternating star contraction.
-
-    Each vertex hands its larger neighbours, then its smaller ones, to the least
-    it knows, until nothing changes. The number of rounds grows with the
-    logarithm of the graph; no vertex's neighbours are ever gathered in one
-    place, and each round is cut off from those before it.
+    Alternating star contraction: each vertex hands its larger neighbours, then
+    its smaller ones, to the least it knows, until nothing changes. The number
+    of rounds grows with the logarithm of the graph; no vertex's neighbours are
+    ever gathered in one place, and each round is cut off from those before it.
+    Loops and repeated edges are allowed; null ends are dropped.
     """
-    vertices = cut(pairs.select("u").union(pairs.select("v")).distinct(), "vertices")
-    state, mark = cut(pairs.filter("u <> v"), "edges"), None
+    pairs = cut(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL"), "edges")
+    vertices = pairs.select("u").union(pairs.select("v")).distinct()
+    state, mark = pairs.filter("u <> v"), None
     while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))

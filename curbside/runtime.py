@@ -2,7 +2,8 @@
 
 Everything that has to outlive a task goes to the folder named by
 ``spark.checkpoint.dir``, which all executors and the driver see. A folder of
-our own is made only where the setting is absent (single-machine tests).
+our own is made only where the setting is absent and Spark runs on this machine
+alone, as in tests; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; in tests without it, a local one."""
+    """The folder of ``spark.checkpoint.dir``; without it, a local one for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
