@@ -24,8 +24,10 @@ Defined cases: documents without words, null included, have the empty set and
 are linked with nothing. With fewer words than a shingle has, the whole
 sequence is the one shingle. Texts alike in their words are one vertex, however
 many rows they have. Repeated rows get equal results. Null ids sort after all
-others. An empty table gives an empty result. Columns beside id and text are
-carried by ``deduplicate`` only.
+others. An empty table gives an empty result. Of a very long text the set of
+all shingles is held, 8 bytes each, one text at a time or as many as a cell has.
+Columns beside id and text are carried by ``deduplicate`` only, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -39,8 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from curbside.components import connected_components
+from curbside.llm.word_hashes import WordHashes
 from curbside.llm.words import whole
 from curbside.runtime import cut
+from curbside.skew import spread_join
 
 #: Minwise coordinates of a document.
 COORDINATES = 64
@@ -54,22 +58,12 @@ _ODDS = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    """64-bit hash of each word; begins anew when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
 def _words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: what bytes.lower and bytes.split do."""
     return (text or b"").lower().split()
 
 
-def shingle_set(words: list[bytes], k: int, known: _WordHashes) -> np.ndarray:
+def shingle_set(words: list[bytes], k: int, known: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles."""
     if not words:
         return np.zeros(0, np.uint64)
@@ -92,7 +86,7 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known = WordHashes()
         for batch in batches:
             keys, sizes, mins = [], [], []
             for text in batch.column("text"):
@@ -202,12 +196,23 @@ class _Sets:
         return x != y
 
 
+def _headed(named: DataFrame, group: str) -> DataFrame:
+    """Rows of the groups of several components, with the group's n rows, its largest component, and the m rows outside that."""
+    counts = named.groupBy(group, "component").agg(F.count("*").alias("k"))
+    heads = counts.groupBy(group).agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("h"), F.count("*").alias("parts")).filter("parts > 1")
+    return named.join(heads.select(group, "n", (F.col("n") - F.col("h.k")).alias("m"), F.col("h.component").alias("head")), group)
+
+
 def _dealt(rows: DataFrame, group: str) -> DataFrame:
-    """Rows in blocks of their group of n: each row in one as base, those outside the group's head in all as probes."""
-    blocks = F.ceil(F.col("n") / SMALL).cast("int")
-    base = rows.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("probe", F.lit(False))
-    probe = rows.filter("component <> head").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("probe", F.lit(True))
-    return base.unionByName(probe).repartition(group, "block").sortWithinPartitions(group, "block", "probe")
+    """Rows in cells of a group: its n rows as bases in blocks, against the m rows outside its head as probes, in blocks too.
+
+    A cell has some ``SMALL`` rows of each kind, however large its group is.
+    """
+    blocks, probes = (F.ceil(F.col(c) / SMALL).cast("int") for c in "nm")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    base = rows.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("part", each(probes)).withColumn("probe", F.lit(False))
+    probe = rows.filter("component <> head").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), probes).cast("int")).withColumn("block", each(blocks)).withColumn("probe", F.lit(True))
+    return base.unionByName(probe).repartition(group, "block", "part").sortWithinPartitions(group, "block", "part", "probe")
 
 
 def _candidates(leaf_rows: DataFrame, components: DataFrame, sketches: DataFrame, least_equal: int) -> DataFrame:
@@ -216,13 +221,11 @@ def _candidates(leaf_rows: DataFrame, components: DataFrame, sketches: DataFrame
     A block gives no more edges than it has documents, whatever the number of
     pairs that are alike.
     """
-    named = leaf_rows.join(components.select(F.col("v").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = cut(named, "named")
-    heads = named.groupBy("node").agg(F.min(F.struct("key", "component")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rows = named.join(heads.select("node", F.col("h.component").alias("head")), "node").join(sketches, "key")
+    named = leaf_rows.select("node", "key").join(components.select(F.col("v").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rows = _headed(cut(named, "named"), "node").join(sketches, "key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ("node", "block")):
+        for t in _groups(batches, ("node", "block", "part")):
             keys, comps, sketch = t["key"].to_pylist(), np.unique(np.asarray(t["component"].to_pylist(), object), return_inverse=True)[1], _sketch(t["sketch"].combine_chunks())
             sets, u, v = _Sets(), [], []
             base = int(np.count_nonzero(~t["probe"].to_numpy()))
@@ -235,65 +238,81 @@ def _candidates(leaf_rows: DataFrame, components: DataFrame, sketches: DataFrame
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    dealt = _dealt(rows, "node").select("node", "block", "probe", "key", "component", "sketch")
+    dealt = _dealt(rows, "node").select("node", "block", "part", "probe", "key", "component", "sketch")
     return cut(dealt.mapInArrow(work, "u binary, v binary").distinct(), "candidates")
 
 
-def _settle(candidates: DataFrame, components: DataFrame, docs: DataFrame, vertices: DataFrame, k: int, percent: int, least_equal: int) -> DataFrame:
+class _Texts:
+    """Rows of a cell with their words, of which the sets are made when they are wanted."""
+
+    def __init__(self, k: int, known: WordHashes):
+        self.k, self.known, self.keys, self.components, self.sketches, self.texts = k, known, [], [], [], []
+
+    def add(self, key: bytes, component: bytes, sketch: bytes, text: bytes | None) -> None:
+        self.keys.append(key)
+        self.components.append(component)
+        self.sketches.append(np.frombuffer(sketch, np.uint8))
+        self.texts.append(text)
+
+    def set(self, i: int) -> np.ndarray | None:
+        """Sorted shingle hashes; none where another text has the same id."""
+        if not isinstance(self.texts[i], np.ndarray):
+            words = _words(self.texts[i])
+            own = hashlib.blake2b(b" ".join(words), digest_size=16).digest() == self.keys[i]
+            self.texts[i] = shingle_set(words, self.k, self.known) if own else np.zeros(0, np.uint64)
+        return self.texts[i] if len(self.texts[i]) else None
+
+
+def _settle(candidates: DataFrame, components: DataFrame, docs: DataFrame, vertices: DataFrame, sketches: DataFrame, k: int, percent: int, least_equal: int) -> DataFrame:
     """(u, v): confirmed links that join all components that any link joins.
 
     Candidates fall into clusters. In a cluster every document outside its
-    largest component is held against all, in blocks: sketches first, then full
+    largest component is held against all, in cells: sketches first, then full
     sets, but for what the links found so far have joined.
     """
     of = connected_components(candidates).select(F.col("v").alias("key"), F.col("component").alias("cluster"))
     of = of.join(components.select(F.col("v").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    counts = of.groupBy("cluster", "component").agg(F.count("*").alias("k"))
-    heads = counts.groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("h")).select("cluster", "n", F.col("h.component").alias("head"))
-    rows = of.join(heads, "cluster").join(vertices.select("key", F.col("doc_id").alias("__id")), "key")
+    rows = _headed(cut(of, "clusters"), "cluster").join(vertices.select("key", F.col("doc_id").alias("__id")), "key").join(sketches, "key")
     rows = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("doc_id", "__id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, group, sets, base, probes, u, v = _WordHashes(), None, _Sets(), [], [], [], []
+        known, cell, u, v = WordHashes(), None, [], []
+        sets, base, probes = _Sets(), _Texts(k, known), _Texts(k, known)
 
         def hold() -> None:
-            if probes and base:
-                alike = _likeness(np.stack([p[3] for p in probes]), np.stack([b[3] for b in base])) >= least_equal
+            if probes.keys and base.keys:
+                alike = _likeness(np.stack(probes.sketches), np.stack(base.sketches)) >= least_equal
                 for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
-                    (a, one, s, _), (b, two, t, _) = probes[i], base[j]
-                    if sets.find(one) == sets.find(two) or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                    one, two = probes.components[i], base.components[j]
+                    if sets.find(one) == sets.find(two):
+                        continue
+                    s, t = probes.set(i), base.set(j)
+                    if s is None or t is None or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
                         continue
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * both >= percent * (len(s) + len(t) - both):
                         sets.join(one, two)
-                        u.append(a)
-                        v.append(b)
-            probes.clear()
+                        u.append(probes.keys[i])
+                        v.append(base.keys[j])
 
+        names = ("cluster", "block", "part", "probe", "key", "component", "sketch", "text")
         for batch in batches:
-            for cluster, block, probe, key, component, text in zip(*(batch.column(c) for c in ("cluster", "block", "probe", "key", "component", "text")), strict=True):
-                own = (cluster.as_py(), block.as_py())
-                if own != group:
+            for *own, probe, key, component, sketch, text in zip(*(batch.column(c) for c in names), strict=True):
+                own = tuple(x.as_py() for x in own)
+                if own != cell:
                     hold()
-                    group, sets, base = own, _Sets(), []
-                words = _words(text.as_py())
-                if hashlib.blake2b(b" ".join(words), digest_size=16).digest() != key.as_py():
-                    continue  # another text under the same id
-                s = shingle_set(words, k, known)
-                row = (key.as_py(), component.as_py(), s, (minwise(s).view(np.uint32) & 255).astype(np.uint8))
-                if not probe.as_py():
-                    base.append(row)
-                    continue
-                probes.append(row)
-                if len(probes) == 64:
+                    cell, sets, base, probes = own, _Sets(), _Texts(k, known), _Texts(k, known)
+                (probes if probe.as_py() else base).add(key.as_py(), component.as_py(), sketch.as_py(), text.as_py())
+                if len(probes.keys) == 64:
                     hold()
+                    probes = _Texts(k, known)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
             u.clear()
             v.clear()
         hold()
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    dealt = _dealt(rows, "cluster").select("cluster", "block", "probe", "key", "component", "text")
+    dealt = _dealt(rows, "cluster").select("cluster", "block", "part", "probe", "key", "component", "sketch", "text")
     return cut(dealt.mapInArrow(work, "u binary, v binary"), "links")
 
 
@@ -329,7 +348,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, k: int, perc
     rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("a", "block", "role", "key", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, group, head = _WordHashes(), None, None
+        known, group, head = WordHashes(), None, None
         for batch in batches:
             u, v = [], []
             for a, block, role, key, text in zip(*(batch.column(c) for c in ("a", "block", "role", "key", "text")), strict=True):
@@ -363,22 +382,19 @@ def find_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col)).cast("binary").alias("text"))
     rows = _signatures(docs, k)
     vertices = cut(
-        rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins")), "vertices"
+        rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.count("*").alias("copies")), "vertices"
     )
     leaf_rows, sketches = leaves(vertices), _with_sketches(vertices)
     links = confirm(cut(_first_turn(leaf_rows, sketches, least_equal), "pairs"), docs, vertices, k, percent)
     components = cut(connected_components(links), "components")
     candidates = _candidates(leaf_rows, components, sketches, least_equal)
-    links = links.unionByName(_settle(candidates, components, docs, vertices, k, percent, least_equal))
-    named = vertices.select("key", "doc_id").join(connected_components(links).withColumnRenamed("v", "key"), "key")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_key = named.join(least, "component").select("key", "component_id")
-    own = vertices.select("key", F.col("doc_id").alias("own"))
-    return (
-        rows.join(own, "key", "left")
-        .join(of_key, "key", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "own", "doc_id").alias("component_id"))
-    )
+    links = links.unionByName(_settle(candidates, components, docs, vertices, sketches, k, percent, least_equal))
+    found = connected_components(links).withColumnRenamed("v", "key")
+    named = vertices.select("key", "doc_id", "copies").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+    of_key = spread_join(named, least, "component", "members", "key").select("key", "component_id", "copies")
+    out = spread_join(rows.select("doc_id", "key", "n"), cut(of_key, "of_key"), "key", "copies", "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
