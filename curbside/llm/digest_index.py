@@ -4,12 +4,15 @@ The index is a table bucketed and sorted by digest: one row for each distinct
 normalised text ever admitted, with the id of the row that stays. A new batch
 is reduced to one row per digest (map-side combined, so a huge group of copies
 is a counter and not a partition), loses by a sort-merge anti-join what the
-index has, and the rest is appended.
+index has, and the rest is appended. The index stands still in both joins with
+it: its buckets are the join's partitions, and the batch's digests come to them.
 
 Defined cases: a null text is the empty text; copies of the empty text are a
 group like any other. A null id sorts below every id. Rows equal in id and in
 normalised text tie, and one of them stays. An empty batch appends nothing.
-Columns beside the id and the text are carried unread by ``deduplicate``.
+Very long texts are hashed where they are read; only digests move. Columns
+beside the id and the text are carried unread by ``deduplicate``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from curbside.llm.words import lower_ascii
 from curbside.runtime import cut, scratch
+from curbside.skew import spread_join
+
+#: Digests of a bucket, about, in an index that is made for a known number of rows.
+BUCKET_ROWS = 2_000_000
 
 
 def text_digest(text: Column) -> Column:
@@ -39,21 +46,24 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def admit(self, rows: DataFrame, batch: str) -> DataFrame:
-        """Adds what is new among ``rows(doc_id, digest, tag)``; returns the index rows.
+        """Adds what is new among ``rows(doc_id, digest, tag)``; returns the index row of each of their digests, with their number ``copies``.
 
         A batch that was admitted before adds nothing, so a retry is harmless.
         """
-        groups = (
+        groups = cut(
             rows.groupBy("digest")
             .agg(F.max(F.struct("doc_id", "tag")).alias("keep"), F.count("*").alias("n"))
-            .select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.tag").alias("keep_tag"), "n", F.lit(batch).alias("batch"))
+            .select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.tag").alias("keep_tag"), "n", F.lit(batch).alias("batch")),
+            "groups",
         )
-        known = self.table().select("digest")
-        fresh = groups.join(known.hint("merge"), "digest", "left_anti")
+        fresh = groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         cut(fresh, "fresh").repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
-        # Read as plain files: a bucketed side would keep Spark from splitting a hot digest of the other.
-        return self.spark.read.schema(self.table().schema).parquet(self.location)
+        return groups.select("digest", F.col("n").alias("copies")).join(self.table().hint("merge"), "digest")
+
+    def forget(self) -> None:
+        """Takes the table's name off the catalog; its files stay and can be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def _labels(docs: DataFrame, index: DigestIndex, batch: str, id_col: str, text_col: str) -> DataFrame:
@@ -61,8 +71,8 @@ def _labels(docs: DataFrame, index: DigestIndex, batch: str, id_col: str, text_c
         docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("tag")),
         "digests",
     )
-    entries = index.admit(rows, batch).withColumn("new", F.col("batch") == batch)
-    return rows.join(entries, "digest").withColumn("kept", F.col("new") & (F.col("tag") == F.col("keep_tag")))
+    entries = cut(index.admit(rows, batch).withColumn("new", F.col("batch") == batch), "entries")
+    return spread_join(rows, entries, "digest", "copies", "tag").withColumn("kept", F.col("new") & (F.col("tag") == F.col("keep_tag")))
 
 
 def label(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,15 +105,18 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "
     return left.withColumn("__n", F.row_number().over(tied)).filter("__n = 1").drop("__n", "__digest")
 
 
-def fresh_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
-    """A new index below the shared folder."""
+def fresh_index(spark: SparkSession, rows: int = 0, buckets: int = 8) -> DigestIndex:
+    """A new index below the shared folder, with at least so many buckets and one for each ``BUCKET_ROWS`` of the expected rows."""
     location = scratch(spark, "digest_index")
-    return DigestIndex(spark, location.rpartition("/")[2].replace("-", "_"), location, buckets)
+    return DigestIndex(spark, location.rpartition("/")[2].replace("-", "_"), location, max(buckets, -(-rows // BUCKET_ROWS)))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return label(docs, fresh_index(spark), "all")
+    index = fresh_index(spark, docs.count())
+    found = label(docs, index, "all")
+    index.forget()
+    return found
 
 
 OP7_SQL = """

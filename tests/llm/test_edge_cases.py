@@ -57,7 +57,7 @@ def test_query_against_sql(spark, odd_dir, name):
 
 
 def test_index_persists_between_batches(spark):
-    index = digest_index.fresh_index(spark, 4)
+    index = digest_index.fresh_index(spark, buckets=4)
     first = spark.createDataFrame([(1, "a", 0), (2, "A", 0), (None, "b", 0), (3, None, 0), (4, "", 0)], "doc_id long, text string, digest int")
     assert sorted(r.doc_id for r in digest_index.deduplicate(first, index, "one").collect() if r.doc_id) == [2, 4]
     second = spark.createDataFrame([(2, "a"), (9, "B"), (7, "new"), (7, "new")], "doc_id long, text string")
@@ -103,3 +103,9 @@ def test_rules_and_weights(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality long, toxic long")
     assert set(quality.fit(docs, quality.trusted_ids(none))) == {0}
+
+
+def test_keep_gives_clashing_columns_back(spark):
+    text = "plain words that are long enough for the base rules and nothing else at all"
+    docs = spark.createDataFrame([(1, text, -7, "mine", 5.5)], "doc_id long, text string, n_words int, kept string, `odd.name` double")
+    assert [tuple(r) for r in quality.keep(docs, [0] * quality.BUCKETS).collect()] == [(1, text, -7, "mine", 5.5)]
