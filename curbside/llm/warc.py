@@ -6,15 +6,18 @@ the start. ``normalise`` inflates each such stream once, writes every record as
 a member of its own and a sidecar index of offsets, so that any record can be
 read alone. ``read_records`` reads records through the sidecars.
 
-Memory is bounded by one record, not by a file. Files are named by a table of
-URIs that Spark commits, so what a lost task wrote is never read.
+Memory is bounded by one record and, for reading, the fields of some thousand,
+not by a file. Payloads move once, by their place in the table: which of equal
+payloads is the response is found on digests alone. Files are named by a table
+of URIs that Spark commits, so what a lost task wrote is never read.
 
 Defined cases: a null payload is an empty one. Equal payloads are found by
 SHA-1 over the whole payload; of rows that tie in payload and id one is the
 response. A null id is larger than every other, and a revisit of such a row has
 no ``refers_to``. A null URL leaves the target out; line breaks in a URL are
-percent-encoded. Empty tables and empty files give no records. Columns beside
-id, URL and payload are not read. The pages must be read the same way twice (a
+percent-encoded. Empty tables and empty files give no records. A very long
+payload is one record, held whole by its task. Columns beside id, URL and
+payload are not read, whatever their names. The pages must be read the same way twice (a
 table is), since ties are told apart by their place.
 """
 
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbside.llm import files
 from curbside.runtime import cut, scratch
+from curbside.skew import spread_join
 
 #: Bytes of payload after which a task begins another archive.
 ARCHIVE_BYTES = 256 << 20
@@ -111,15 +115,12 @@ def mark_revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes:
         F.col(id_col).cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")
     ).select("page_id", "url", "payload", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("size"), F.monotonically_increasing_id().alias("tag"))
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "tag")
-    groups = (
-        rows.filter(F.col("size") >= least_bytes)
-        .groupBy("sha1")
-        .agg(F.min(place).alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select(F.col("sha1").alias("g"), F.col("first.page_id").alias("response_id"), F.col("first.tag").alias("response_tag"))
-    )
-    joined = rows.join(groups, (F.col("sha1") == F.col("g")) & (F.col("size") >= least_bytes), "left")
-    return joined.withColumn("revisit", F.col("response_tag").isNotNull() & (F.col("tag") != F.col("response_tag"))).drop("g", "tag", "response_tag")
+    slim = cut(rows.select("page_id", "sha1", "size", "tag"), "digests").filter(F.col("size") >= least_bytes)
+    groups = slim.groupBy("sha1").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    groups = groups.select("sha1", "copies", F.col("first.page_id").alias("response_id"), F.col("first.tag").alias("response_tag"))
+    marks = spread_join(slim.select("tag", "sha1"), cut(groups.filter("copies > 1"), "groups"), "sha1", "copies", "tag").filter("tag <> response_tag")
+    joined = rows.join(marks.select(F.col("tag").alias("t"), "response_id"), F.col("tag") == F.col("t"), "left")
+    return joined.withColumn("revisit", F.col("t").isNotNull()).drop("t", "tag")
 
 
 def write_archives(pages: DataFrame, base: str, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -152,8 +153,17 @@ def write_archives(pages: DataFrame, base: str, id_col: str = "page_id", payload
 
 
 def _spread(manifest: DataFrame) -> DataFrame:
-    """A partition for each file, so that files are read side by side."""
-    return manifest.repartition(max(1, manifest.count()), "uri")
+    """Some partition for each file by the order of their names, so that files are read side by side."""
+    return manifest.repartitionByRange(max(1, manifest.count()), "uri")
+
+
+def _lines(uri: str) -> Iterator[bytes]:
+    rest = b""
+    for piece in files.chunks(uri):
+        *full, rest = (rest + piece).split(b"\n")
+        yield from full
+    if rest:
+        yield rest
 
 
 def normalise(archives: DataFrame, base: str) -> DataFrame:
@@ -190,13 +200,19 @@ def read_records(normalised: DataFrame) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        rows = []
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows.clear()
+            return out
+
         for batch in batches:
             for uri, sidecar in zip(batch.column("uri").to_pylist(), batch.column("sidecar").to_pylist(), strict=True):
-                with files.open_input(sidecar) as f:
-                    lines = f.read().splitlines()
-                rows = []
                 with files.open_input(uri) as f:
-                    for line in map(json.loads, lines):
+                    for line in map(json.loads, _lines(sidecar)):
                         f.seek(line["offset"])
                         fields, block, _ = next(split_records(inflate([f.read(line["length"])])))
                         digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
@@ -206,11 +222,10 @@ def read_records(normalised: DataFrame) -> DataFrame:
                                 raise ValueError(f"{uri} at {line['offset']}: the payload isn't what its header says")
                         refers = fields.get("warc-refers-to")
                         rows.append((_page(line["id"]), fields.get("warc-target-uri"), size, digest, line["type"], refers and _page(refers)))
-                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                for k in range(0, len(rows), 5000):
-                    part = list(zip(*rows[k : k + 5000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=names)
+                        if len(rows) == 5000:
+                            yield told()
+        if rows:
+            yield told()
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return _spread(normalised).mapInArrow(work, schema)
