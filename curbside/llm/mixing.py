@@ -4,17 +4,23 @@ Every source gets a target in words. The ratio of target to size gives each
 document its expected copies: whole copies are certain, and the fraction is an
 inclusion probability. Documents are ranked by their random odds u/(1-u)
 divided by their inclusion odds p/(1-p), and each source takes the lowest ranks
-until its remaining words are reached, so the sample's size is fixed.
+until its remaining words are reached, so the sample's size is fixed. The
+probabilities are unequal between sources; within a source a mix by target
+weights leaves every document the same one, whatever its size, and there the
+division keeps the order that the random odds have.
 
 No source is ever sorted as a whole. Ranks are counted in cells (map-side
-combined), the cell that holds the cut is found from the counts, and only that
-cell's documents are put in order.
+combined), the cell that holds the cut is found from the counts in two steps,
+of ``CELLS`` rows a source each, and only that cell's documents are put in order.
 
 Defined cases: a null or blank text has size 0 and is taken 0 words. Null is a
 source of its own, after all others. The null id hashes as an empty one, and
 repeated rows, alike in id and size, tie; which of them is taken doesn't show.
 Without rows, or where all sizes are 0, targets are 0. The random number is a
-hash of seed and id, so reruns agree.
+hash of seed and id, so reruns agree. Very long texts count with all their
+words; one that is longer than what its source misses is passed over. ``plan``
+reads id, text and source only; ``mix`` carries all other columns, whatever
+their names but for those that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from curbside.llm.words import n_words
 from curbside.runtime import cut
 
-#: Cells of a source's ranks: bounds the rows per source that are put in order for the cut.
-CELLS = 65536
+#: Cells of a source's ranks, and of each of them: bounds the rows per source that are put in order for the cut.
+CELLS = 256
 
 
 def uniform(seed: int, key: Column) -> Column:
@@ -58,6 +64,14 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
     return per.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def _edge(cells: DataFrame) -> DataFrame:
+    """(s, edge, before): the first cell of each source that goes beyond what it misses; cells before it are taken whole."""
+    upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("upto", F.col("before") + F.sum("words").over(upto)).filter("upto > missing")
+    first = cells.groupBy("source").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("e"))
+    return first.select(F.col("source").alias("s"), F.col("e.cell").alias("edge"), F.col("e.before").alias("before"))
+
+
 def plan(
     docs: DataFrame,
     weights: list[int],
@@ -91,20 +105,14 @@ def plan(
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     rank = F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.col("u"))
     ranked = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rank", rank)
-    ranked = ranked.withColumn("cell", F.least(F.floor(F.col("rank") * CELLS), F.lit(CELLS - 1)).cast("int"))
-    known = F.first("missing").alias("missing")
-    cells = ranked.groupBy("source", "cell").agg(F.sum("size").alias("words"), known)
-    upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("upto", F.sum("words").over(upto))
-    # The first cell that goes beyond what is missing holds the cut; cells before it are taken whole.
-    edges = (
-        cells.filter("upto > missing")
-        .groupBy("source")
-        .agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("e"))
-        .select(F.col("source").alias("s"), F.col("e.cell").alias("edge"), F.col("e.before").alias("before"))
-    )
+    ranked = ranked.withColumn("cell", F.least(F.floor(F.col("rank") * CELLS * CELLS), F.lit(CELLS * CELLS - 1)).cast("int"))
+    fine = cut(ranked.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("missing").alias("missing")), "cells")
+    coarse = fine.groupBy("source", F.shiftright("cell", 8).alias("cell")).agg(F.sum("words").alias("words"), F.first("missing").alias("missing"))
+    rough = _edge(coarse.withColumn("before", F.lit(0))).select("s", F.col("edge").alias("rough"), "before")
+    near = fine.join(rough, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("cell", 8) == F.col("rough"))).drop("s", "rough")
+    edges = _edge(near)
     placed = ranked.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    edge = F.coalesce(F.col("edge"), F.lit(CELLS))
+    edge = F.coalesce(F.col("edge"), F.lit(CELLS * CELLS))
     inside = placed.filter(F.col("cell") == edge)
     running = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("hit", F.col("before") + F.sum("size").over(running) <= F.col("missing"))
