@@ -6,13 +6,15 @@ their SHA-256, the full digests confirm, and the longest confirmed rule wins.
 
 The work is done once for each distinct (host, path): however many pages share
 a URL, they are one row of the join. Rules are broadcast only where Spark finds
-them below its broadcast threshold.
+them below its broadcast threshold; otherwise each goes to ``PLACES`` places,
+among which the URLs of its expression are dealt, as a rule for a top domain has
+a large share of all URLs.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and gets the default verdict. Repeated pages each get their row.
 Rules without a host never fit; a null path is an empty one. Of equal rules
 with both verdicts, block wins. Without rules every URL gets the default.
-Columns beside the URL are carried; ``host``, ``path``, ``rule`` and
+A very long URL is cut where it is read. Columns beside the URL are carried; ``host``, ``path``, ``rule`` and
 ``verdict`` of the input are replaced.
 """
 
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from curbside.llm.words import lower_ascii, whole
 
 RULE_SCHEMA = "host string, path string, verdict string"
+#: Places that the URLs of one expression are dealt to.
+PLACES = 16
 
 
 def _digest(host: Column, path: Column) -> Column:
@@ -46,6 +50,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.char_length("r_path")).alias("lengths")
     ).first()
     table = rules.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("r_key", F.substring("r_digest", 1, 8))
+    table = table.withColumn("r_place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
 
     host, path = split_url(F.col(url_col))
     found = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
@@ -60,8 +65,9 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         .filter("e_path IS NOT NULL")
         .withColumn("digest", _digest(F.col("e_host"), F.col("e_path")))
         .withColumn("key", F.substring("digest", 1, 8))
+        .withColumn("place", F.pmod(F.xxhash64("host", "path"), F.lit(PLACES)).cast("int"))
     )
-    hits = tries.join(table, F.col("key") == F.col("r_key")).filter("digest = r_digest AND e_host = r_host AND e_path = r_path")
+    hits = tries.join(table, (F.col("key") == F.col("r_key")) & (F.col("place") == F.col("r_place"))).filter("digest = r_digest AND e_host = r_host AND e_path = r_path")
     order = F.struct(F.char_length("r_host") + F.char_length("r_path"), F.char_length("r_host"), F.col("r_verdict"), F.concat("r_host", "r_path").alias("rule"))
     best = hits.groupBy("host", "path").agg(F.max(order).alias("b")).select(F.col("host").alias("__h"), F.col("path").alias("__p"), "b.rule", F.col("b.r_verdict").alias("verdict"))
     return (
