@@ -1,11 +1,12 @@
 """Suffix-array dedup of bytes by merging Burrows-Wheeler transforms.
 
 Which bytes repeat is decided per part (see ``passages``) on one copy of each
-piece of text around a shared anchor. The pieces of a part are taken in cells,
-never parting the pieces of one anchor, and a cell in shards. Each shard's
-suffixes are sorted by themselves, which gives its transform. The shards are
-then merged by refining an interleave: a list that says, for each rank of the
-merged order, from which shard its suffix comes. Each round sorts it stably by
+piece of text around a shared anchor, for all such pieces. The pieces of a part
+are taken in cells, never parting the pieces of one anchor, and a cell in
+shards. Each shard's suffixes are sorted by themselves, which gives its
+transform. The shards are then merged by refining an interleave: a list that
+says, for each rank of the merged order, from which shard its suffix comes.
+Each round sorts it stably by
 the two symbols before the suffixes, read from the transforms, and so extends
 the prefixes it is sorted by by two symbols; no suffix is compared or sorted
 again. Borders between ranks with different prefixes are carried along. After
@@ -15,7 +16,9 @@ the suffixes with a common prefix of a whole window: the repeated intervals.
 Defined cases: a null text is an empty one; texts shorter than the window keep
 all bytes, as do the documents of a null id's equals: a null id is smaller than
 none. Rows of equal id don't remove from each other. An empty table gives an
-empty result. Columns beside id and text are not read.
+empty result. Very long texts are worked on whole, one at a time. Columns beside
+id and text are not read, whatever their names. Windows may have any length up
+to 65,000 bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from curbside.llm.passages import Passages, removed, sha256_hex
 
 #: Symbols of a cell, unless one anchor has more, and of a shard.
-CELL, SHARD = 1 << 19, 1 << 17
+CELL, SHARD = 1 << 16, 1 << 14
 #: Length of the anchors of a window.
 ANCHOR = 17
 
@@ -138,11 +141,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     document with a smaller id.
     """
 
-    def report(ids: pa.Array, data: np.ndarray, bounds: np.ndarray, covers: np.ndarray) -> list:
-        gone, n, spans = removed(bounds, covers)
+    def report(ids: pa.Array, data: np.ndarray, bounds: np.ndarray, of: np.ndarray, gone: np.ndarray) -> list:
+        n, spans = removed(of, gone)
         kept, size = data[~gone].tobytes(), np.diff(bounds)
         ends = np.cumsum(size - n)
-        texts = [kept[a:b] for a, b in zip(ends - (size - n), ends, strict=True)]
+        texts = [kept[a:b] for a, b in zip((ends - (size - n)).tolist(), ends.tolist(), strict=True)]
         return [ids, size, n, spans, sha256_hex(texts), *([texts] if with_text else [])]
 
     job = Passages("bytes", window, min(ANCHOR, window), lambda *a: find(*a, window))

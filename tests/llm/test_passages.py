@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from curbside.llm import automaton_dedup, bwt_dedup
+from tests.llm.test_token_store import twins
 
 
 def brute_bytes(rows, window):
@@ -73,6 +74,40 @@ def test_both_against_brute_force(spark, sf_dir, seed, monkeypatch):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_words(rows, 13)
 
 
+@pytest.mark.parametrize("window", [65, 100, 150])
+def test_long_windows_in_small_shards(spark, monkeypatch, window):
+    monkeypatch.setattr(bwt_dedup, "CELL", 3000)
+    monkeypatch.setattr(bwt_dedup, "SHARD", 700)
+    rows = made_up(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bwt_dedup.remove_repeats(docs, window).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_bytes(rows, window)
+
+
+def test_different_words_of_one_polynomial_hash(spark):
+    one, two = twins()
+    around = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{around} {one} tail"), (2, f"{around} {two} tail"), (3, f"{two} {around} {one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = automaton_dedup.remove_repeats(docs, 13).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_words(rows, 13)
+    got = bwt_dedup.remove_repeats(docs, 50).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_bytes(rows, 50)
+
+
+def test_frequent_grams_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr("curbside.llm.passages.FREQUENT", 0.0)
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join([*rng.choice(words, 25), "a phrase that is found in every single one of them", *rng.choice(words, 25)])) for i in range(60)]
+    rows += [(100 + i, rows[i][1][20:]) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bwt_dedup.remove_repeats(docs, 50).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_bytes(rows, 50)
+    got = automaton_dedup.remove_repeats(docs, 13).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_words(rows, 13)
+
+
 def test_whole_small_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = bwt_dedup.op1_suffix_dedup(spark, sf_dir).collect()
