@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.0, cap: float = 2.
     own = docs.withColumn("__id", F.col(id_col)).withColumn("__source", F.col(source_col)).withColumn("__size", n_words(F.col(text_col))).withColumn("__n", number)
     same = [F.col(c).eqNullSafe(F.col(c + "p")) for c in (*twins, "__n")]
     taken = own.join(planned, same[0] & same[1] & same[2] & same[3]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return taken.select(docs.columns)
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The contract's settings.

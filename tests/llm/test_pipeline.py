@@ -100,6 +100,28 @@ def test_run_against_brute_force(spark, sf_dir):
     assert len(kept) > len(docs) > 50 and set(copies.values()) >= {0, 1}
 
 
+GOOD = "plain words of a document that is long enough for every rule and says the same thing number {}"
+ODD = [(1, GOOD.format(1), "a"), (1, GOOD.format(1), "a"), (2, GOOD.format(1).upper(), None), (None, GOOD.format(1), "a"), (None, None, None), (3, None, "a"), (4, "", "b"), (5, " \n", "b")]
+ODD += [(6, "lorem ipsum dolor sit amet " * 9000, "b"), (7, " ".join(f"other{i}" for i in range(40)), None), (7, " ".join(f"other{i}" for i in range(40)), "z"), (8, " ".join(f"third{i}" for i in range(40)), "a")]
+KIND = "doc_id long, text string, source string, n_words string, kept string, digest int, component_id string, size string, `odd.name` double"
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, sf_dir):
+    kept = {"quality_rules": {1, 2, 7, 8, None}, "exact_dedup": {2, 4, 5, 6, 7, 8}, "near_duplicates": {1, None, 3, 4, 5, 6, 7, 8}}
+    for rows in (ODD, []):
+        docs = spark.createDataFrame([(*r, "mine", "yes", 3, None, "big", 1.5) for r in rows], KIND)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns, name
+            found = out.collect()
+            own = {tuple(r) for r in docs.collect()}
+            assert all(tuple(r) in own for r in found), name
+            if rows and name in kept:
+                assert {r.doc_id for r in found} - {None} == kept[name] - {None}, name
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+        assert len(out) == len(rows) and all((r.ids == []) == (r.doc_id in (4, None, 3) and not r.n_tokens) for r in out)
+
+
 def test_stages_keep_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
     for name, stage in corpus_pipeline.STAGES[:-1]:
