@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from curbside.llm.words import n_words
 from curbside.runtime import cut
+from curbside.skew import spread_join
 
 #: Cells of a source's ranks, and of each of them: bounds the rows per source that are put in order for the cut.
 CELLS = 256
@@ -41,7 +42,7 @@ def uniform(seed: int, key: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: float) -> DataFrame:
-    """source, source_size, target from (source, size) rows.
+    """source, n_docs, source_size, target from (source, size) rows.
 
     The sources share ``share`` times all words by weight. A source stops at
     ``cap`` times its size and what it leaves is shared by weight among the
@@ -49,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
     running sums tell each source at once whether it stops. The window runs
     over the sources, one row each.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     per = per.withColumn("weight", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
@@ -61,15 +62,15 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
     per = per.withColumn("stops", F.col("source_size") * cap <= F.col("level") * F.col("weight"))
     level = F.max(F.when(~F.col("stops"), F.col("level"))).over(Window.partitionBy())  # that of the first which doesn't stop
     target = F.when(F.col("stops"), F.col("source_size") * cap).otherwise(level * F.col("weight"))
-    return per.select("source", "source_size", target.cast("double").alias("target"))
+    return per.select("source", "n_docs", "source_size", target.cast("double").alias("target"))
 
 
 def _edge(cells: DataFrame) -> DataFrame:
-    """(s, edge, before): the first cell of each source that goes beyond what it misses; cells before it are taken whole."""
-    upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """(key, edge, before): the first cell of each source that goes beyond what it misses; cells before it are taken whole."""
+    upto = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.withColumn("upto", F.col("before") + F.sum("words").over(upto)).filter("upto > missing")
-    first = cells.groupBy("source").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("e"))
-    return first.select(F.col("source").alias("s"), F.col("e.cell").alias("edge"), F.col("e.before").alias("before"))
+    first = cells.groupBy("key").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("e"))
+    return first.select("key", F.col("e.cell").alias("edge"), F.col("e.before").alias("before"))
 
 
 def plan(
@@ -88,50 +89,56 @@ def plan(
     size is nearest to the words still missing, where it brings the source
     nearer to its target.
     """
-    rows = cut(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), uniform(seed, F.col(id_col)).alias("u")),
-        "sizes",
-    )
-    targets = cut(source_targets(rows, weights, share, cap), "targets")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # a null source has one of its own
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), uniform(seed, F.col(id_col)).alias("u"))
+    rows = cut(rows.withColumn("key", key), "sizes")
+    targets = cut(source_targets(rows, weights, share, cap).withColumn("key", key), "targets")
+    total = targets.agg(F.sum("n_docs")).first()[0] or 0
+    counts = targets.select("key", "n_docs")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.select(
-        F.col("source").alias("s"),
+        "key",
+        "n_docs",
         "source_size",
         "target",
         F.floor(ratio).alias("copies"),
         (ratio - F.floor(ratio)).alias("p"),
         (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("missing"),
     )
+
+    def with_source(left: DataFrame, per_source: DataFrame, how: str = "left") -> DataFrame:
+        """Joins what is known of each source; a source with much of all rows is dealt to several tasks."""
+        return spread_join(left, per_source if "n_docs" in per_source.columns else per_source.join(counts, "key"), "key", "n_docs", "u", how, total=total)
+
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     rank = F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.col("u"))
-    ranked = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rank", rank)
+    ranked = with_source(rows, targets, "inner").withColumn("rank", rank)
     ranked = ranked.withColumn("cell", F.least(F.floor(F.col("rank") * CELLS * CELLS), F.lit(CELLS * CELLS - 1)).cast("int"))
-    fine = cut(ranked.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("missing").alias("missing")), "cells")
-    coarse = fine.groupBy("source", F.shiftright("cell", 8).alias("cell")).agg(F.sum("words").alias("words"), F.first("missing").alias("missing"))
-    rough = _edge(coarse.withColumn("before", F.lit(0))).select("s", F.col("edge").alias("rough"), "before")
-    near = fine.join(rough, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("cell", 8) == F.col("rough"))).drop("s", "rough")
-    edges = _edge(near)
-    placed = ranked.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    fine = cut(ranked.groupBy("key", "cell").agg(F.sum("size").alias("words"), F.first("missing").alias("missing")), "cells")
+    coarse = fine.groupBy("key", F.shiftright("cell", 8).alias("cell")).agg(F.sum("words").alias("words"), F.first("missing").alias("missing"))
+    rough = _edge(coarse.withColumn("before", F.lit(0))).withColumnRenamed("edge", "rough")
+    near = fine.join(rough, "key").filter(F.shiftright("cell", 8) == F.col("rough"))
+    placed = with_source(ranked, _edge(near.drop("rough")))
     edge = F.coalesce(F.col("edge"), F.lit(CELLS * CELLS))
     inside = placed.filter(F.col("cell") == edge)
-    running = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy("key").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("hit", F.col("before") + F.sum("size").over(running) <= F.col("missing"))
     chosen = cut(
         placed.filter(F.col("cell") != edge).withColumn("hit", F.col("cell") < edge).unionByName(inside),
         "chosen",
     )
     hit_words = F.sum(F.when(F.col("hit"), F.col("size")).otherwise(0))
-    short = chosen.groupBy("source").agg((F.first("missing") - hit_words).alias("short")).select(F.col("source").alias("s"), "short")
-    rest = chosen.filter(~F.col("hit") & (F.col("size") > 0)).join(short, F.col("source").eqNullSafe(F.col("s")))
+    short = cut(chosen.groupBy("key").agg((F.first("missing") - hit_words).alias("short")), "short")
+    rest = with_source(chosen.filter(~F.col("hit") & (F.col("size") > 0)), short, "inner")
     gap = F.abs(F.col("size") - F.col("short"))
     fill = (
-        rest.groupBy("source")
+        rest.groupBy("key")
         .agg(F.min(F.struct(gap.alias("gap"), F.col("rank"), F.col("doc_id"), F.col("size"), F.col("short"))).alias("f"))
         .filter("f.gap < f.short")
-        .select(F.col("source").alias("s"), F.col("f.rank").alias("f_rank"), F.col("f.doc_id").alias("f_id"), F.col("f.size").alias("f_size"))
+        .select("key", F.col("f.rank").alias("f_rank"), F.col("f.doc_id").alias("f_id"), F.col("f.size").alias("f_size"))
     )
     more = F.col("f_rank").isNotNull() & ~F.col("hit") & (F.col("rank") == F.col("f_rank")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size"))
-    return chosen.join(fill, F.col("source").eqNullSafe(F.col("s")), "left").select(
+    return with_source(chosen, cut(fill, "fill")).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("copies") + F.when(F.col("hit") | more, 1).otherwise(0)).cast("long").alias("copies")
     )
 
