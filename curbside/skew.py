@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, functions as F
 HOT_SHARE = 0.001
 
 
-def spread_join(rows: DataFrame, per_key: DataFrame, key: str, count: str, by: str, how: str = "inner", pieces: int = 64) -> DataFrame:
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, count: str, by: str, how: str = "inner", pieces: int = 64, total: int | None = None) -> DataFrame:
     """``rows`` joined on ``key`` with ``per_key``, which has one row per key and in ``count`` the rows it stands for.
 
     Hot keys, whose number ``HOT_SHARE`` bounds, are broadcast; their rows are
     dealt to ``pieces`` places by a hash of the column ``by``, and their row of
     ``per_key`` goes to each. Null keys meet nothing. ``count`` is not in the
-    result.
+    result. ``total``, the number of rows, is counted where it isn't given.
     """
-    total = per_key.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = per_key.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) > total * HOT_SHARE
     keys = per_key.filter(hot).select(F.col(key).alias("__hot"))
     left = rows.join(F.broadcast(keys), F.col(key) == F.col("__hot"), "left")
