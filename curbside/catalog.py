@@ -2,37 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curbside.functions import geometry as geo, scores, text
 from curbside.operators import attempts, detection, metrics, pixels, placement, release
 from curbside.plans import tables
+from curbside.registry import BOX as _BOX, EVENTS as _EVENTS, ORACLES, QUERIES, WITH as _WITH, query, table as _table
 from curbside.settings import CaptionSettings, CurationSettings, variant_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-_WITH = f"WITH images AS ({tables.IMAGES}), inst AS ({tables.INSTANCES}), reg AS ({tables.REGISTRY})"
-_EVENTS = f"WITH ev AS ({tables.EVENTS})"
-_BOX = ["x1", "y1", "x2", "y2"]
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name."""
-
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _as_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,13 +252,6 @@ def row_integrity(spark, sf_dir):
     return metrics.integrity(tables.events(spark, sf_dir), "event_id", "user_id", F.col("event_id") % 2 + F.col("half"), 2 * F.col("half"))
 
 
-@query()
-def greedy_matching(spark, sf_dir):
-    """True and false positives and misses of each image (tested against a plain loop)."""
-    boxes = tables.instances(spark, sf_dir).withColumn("idx", F.row_number().over(_order("image_id", "side")))
-    return detection.greedy_matches(boxes.filter("side = 'O'"), boxes.filter("side = 'F'"), 0.1)
-
-
 def _order(*keys):
     from pyspark.sql import Window
 
@@ -402,3 +372,6 @@ def pixel_background(spark, sf_dir):
         *[F.lit(None).cast("double").alias(c) for c in _BOX],
     )
     return pixels.background(rows).select("case_id", F.round("bg_mae", 6).alias("bg_mae"))
+
+
+from curbside import catalog_boxes  # noqa: E402, F401  its queries are registered when it is imported

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 class Box(NamedTuple):
@@ -73,11 +73,17 @@ def clamp(b: Box, width: Column, height: Column) -> Box:
 
 
 def centre_crop(b: Box, width: Column, height: Column, side: int) -> Box:
-    """The box after a centred square crop that is resized to ``side``; test ``visible`` before use."""
-    short = F.least(width, height)
-    left, top, scale = (width - short) / 2, (height - short) / 2, F.lit(float(side)) / short
-    keep = lambda c, o: F.greatest(F.lit(0.0), F.least(F.lit(float(side)), (c - o) * scale))
-    return Box(keep(b.x1, left), keep(b.y1, top), keep(b.x2, left), keep(b.y2, top))
+    """The box after the image's short side is scaled to ``side`` and its centre is cropped; nulls where the crop leaves nothing of it."""
+    scale = F.lit(float(side)) / F.least(width, height)
+    left, top = (F.floor((F.rint(c * scale) - side) / 2) for c in (width, height))
+    moved = Box(b.x1 * scale - left, b.y1 * scale - top, b.x2 * scale - left, b.y2 * scale - top)
+    inside = (moved.x2 > 0) & (moved.x1 < side) & (moved.y2 > 0) & (moved.y1 < side)
+    return Box(*(F.when(inside, c) for c in clamp(moved, F.lit(side), F.lit(side))))
+
+
+def around(boxes: DataFrame, by: str = "image_id") -> DataFrame:
+    """The box around all boxes of each image."""
+    return boxes.groupBy(by).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
 def visible(b: Box) -> Column:
@@ -128,18 +134,18 @@ def scaled(b: Box, width: Column, height: Column, factor: float) -> Box:
     return clamp(Box(cx - w, cy - h, cx + w, cy + h), width, height)
 
 
-def square_window(b: Box, width: Column, height: Column, ratio: float) -> Box:
-    """Square around a box, ``ratio`` times its longer side, moved into the image."""
-    side = F.least(F.greatest(b.width, b.height) * ratio, F.least(width, height))
-    x = F.greatest(F.lit(0.0), F.least(width - side, (b.x1 + b.x2) / 2 - side / 2))
-    y = F.greatest(F.lit(0.0), F.least(height - side, (b.y1 + b.y2) / 2 - side / 2))
+def square_window(b: Box, width: Column, height: Column, ratio: float = 3.4, least: int = 192) -> Box:
+    """Square around a box, ``ratio`` times its longer side and ``least`` at the least, in whole pixels and moved into the image."""
+    side = F.least(F.floor(F.greatest(F.lit(float(least)), b.width * ratio, b.height * ratio)), width, height)
+    x = F.greatest(F.lit(0), F.least(width - side, F.rint((b.x1 + b.x2) / 2 - side / 2)))
+    y = F.greatest(F.lit(0), F.least(height - side, F.rint((b.y1 + b.y2) / 2 - side / 2)))
     return Box(x, y, x + side, y + side)
 
 
 def into_window(b: Box, window: Box, side: int) -> Box:
-    """A box in the coordinates of a window that is resized to ``side``."""
-    sx, sy = side / window.width, side / window.height
-    return Box((b.x1 - window.x1) * sx, (b.y1 - window.y1) * sy, (b.x2 - window.x1) * sx, (b.y2 - window.y1) * sy)
+    """A box in the whole pixels of a window that is resized to ``side``."""
+    sx, sy = (side / F.greatest(F.lit(1), c) for c in (window.width, window.height))
+    return Box(*(F.rint(c) for c in ((b.x1 - window.x1) * sx, (b.y1 - window.y1) * sy, (b.x2 - window.x1) * sx, (b.y2 - window.y1) * sy)))
 
 
 def foot_band(b: Box) -> Box:

@@ -73,6 +73,12 @@ def affordance(placement: Column, scale: Column, occlusion: Column) -> Column:
     return F.round(clamp01(F.when(scale.isNull(), without).otherwise(p * placement + s * scale + o * occlusion)), 4)
 
 
+def affordance_warnings(missing_mask: Column, scale: Column) -> Column:
+    """What the scores could not be made from, joined by semicolons; empty when nothing lacks."""
+    lost = F.when(missing_mask, "missing_mask_bbox")
+    return F.concat_ws(";", lost, F.coalesce(lost, F.when(scale.isNull(), "missing_expected_height")), lost)
+
+
 def affordance_reason(placement: Column, scale: Column, occlusion: Column, actual: Column, expected: Column, total: Column | None = None) -> Column:
     """First gate that a scored object fails; empty when none. The total is a gate only where it is given."""
     size = F.when(actual.isNull() | expected.isNull(), "bad_scale").when(actual > expected, "bad_scale_too_large").otherwise("bad_scale_too_small")
@@ -108,25 +114,31 @@ def by_variant(variant: Column, values: dict[str, float], otherwise: float) -> C
 
 def fallback_height(variant: Column, ground_y: Column, side: int = RESOLUTION) -> Column:
     """Height of a person without references, by variant and ground position."""
-    base = by_variant(variant, {k: float(v[5]) for k, v in VARIANTS.items()}, 96.0) * perspective_scale(ground_y, side)
+    base = by_variant(variant, {k: float(v.base_height) for k, v in VARIANTS.items()}, 96.0) * perspective_scale(ground_y, side)
     most = side * F.when(variant == "add_near_pedestrian", 0.62).when(variant == "add_distant_pedestrian", 0.26).otherwise(0.50)
     out = F.least(base, most)
     return F.when(ground_y / side < 0.74, F.least(out, F.lit(side * 0.34))).otherwise(out)
 
 
 def insert_size(variant: Column, ground_y: Column, reference: Column, side: int = RESOLUTION) -> tuple[Column, Column]:
-    """Width and height of the box to insert, from fallback and reference heights."""
+    """Width and height of the box to insert, in whole pixels."""
+    w, h = insert_size_raw(variant, ground_y, reference, side)
+    return F.rint(w), F.rint(h)
+
+
+def insert_size_raw(variant: Column, ground_y: Column, reference: Column, side: int = RESOLUTION) -> tuple[Column, Column]:
+    """The same before rounding, from fallback and reference heights."""
     fallback = fallback_height(variant, ground_y, side)
     bounded = F.greatest(fallback * 0.7, F.least(reference, fallback * 1.75))
     height = F.when(reference.isNull(), fallback).otherwise(0.56 * bounded + 0.44 * fallback)
-    height = height * F.greatest(by_variant(variant, {k: v[6] for k, v in VARIANTS.items()}, 1.0), F.lit(1.6))
+    height = height * F.greatest(by_variant(variant, {k: v.scale_multiplier for k, v in VARIANTS.items()}, 1.0), F.lit(1.6))
     y = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ground_y / side))
     most = side * (0.28 + 0.34 * y)
     most = F.when(variant == "add_distant_pedestrian", F.least(most, F.lit(side * 0.25))).when(variant == "add_near_pedestrian", F.least(most, F.lit(side * 0.72))).otherwise(most)
-    height = F.greatest(side * by_variant(variant, {k: v[7] for k, v in VARIANTS.items()}, 0.09), F.least(height, most))
+    height = F.greatest(side * by_variant(variant, {k: v.min_height_ratio for k, v in VARIANTS.items()}, 0.09), F.least(height, most))
     width = height * 0.36 * F.when(variant == "add_two_pedestrians", 2 * 0.86).when(variant == "add_small_group", 3 * 0.86).otherwise(1.0)
     room = F.lit(float(side - 32))
-    return F.rint(F.greatest(F.lit(28.0), F.least(width * 1.3, room))), F.rint(F.greatest(F.lit(46.0), F.least(height * 1.16, room)))
+    return F.greatest(F.lit(28.0), F.least(width * 1.3, room)), F.greatest(F.lit(46.0), F.least(height * 1.16, room))
 
 
 def _height_multiplier(variant: Column) -> Column:
@@ -135,10 +147,17 @@ def _height_multiplier(variant: Column) -> Column:
     return F.greatest(own, F.lit(1.6))
 
 
-def expected_height(foot_y: Column, image_height: Column, variant: Column) -> Column:
-    """Expected height of a person from the ground position."""
+def group_jitter(variant: Column, index: Column) -> Column:
+    """Share by which the members of a group differ in height, by their index; 0 for single persons."""
+    steps = F.array(*[F.lit(x) for x in (-0.04, 0.0, 0.04, -0.02, 0.02)])
+    return F.when(variant.isin("add_two_pedestrians", "add_small_group"), F.get(steps, (index % 5).cast("int"))).otherwise(0.0)
+
+
+def expected_height(foot_y: Column, image_height: Column, variant: Column, jitter: Column | None = None) -> Column:
+    """Expected height of a person from the ground position, changed by ``jitter`` where it is given."""
     ratio = 0.065 + (foot_y / F.greatest(F.lit(1.0), image_height) - 0.55) * 0.58
-    return F.greatest(F.lit(28.0), F.greatest(F.lit(0.075), F.least(F.lit(0.29), ratio)) * _height_multiplier(variant) * image_height)
+    own = F.greatest(F.lit(0.075), F.least(F.lit(0.29), ratio)) * _height_multiplier(variant)
+    return F.greatest(F.lit(28.0), own * (F.lit(1.0) if jitter is None else 1 + jitter) * image_height)
 
 
 def expected_height_from_depth(depth: Column, width: Column, foot_x: Column, foot_y: Column, image_height: Column, variant: Column) -> Column:

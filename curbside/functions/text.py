@@ -77,7 +77,7 @@ def negative_prompt(base: str) -> Column:
 
 
 def variant_target(variant: Column) -> Column:
-    return F.coalesce(*[F.when(variant == k, v[2]) for k, v in VARIANTS.items()], F.lit("pedestrian_insertion"))
+    return F.coalesce(*[F.when(variant == k, v.target) for k, v in VARIANTS.items()], F.lit("pedestrian_insertion"))
 
 
 def expected_count(variant: Column) -> Column:
@@ -177,6 +177,21 @@ def number(cell: Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def json_safe(df_columns: dict[str, Column]) -> Column:
+    """One JSON text of named values, nested ones too; missing values are left out."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in df_columns.items()]))
+
+
+def sequence_truth(path: Column) -> Column:
+    """Path of a sequence's truth file, from that of a frame in its folder ``img1``; null elsewhere."""
+    return F.when(path.rlike(r"(?i)/img1/"), F.concat(F.regexp_extract(path, r"(?i)^(.*)/img1/", 1), F.lit("/gt/gt.txt")))
+
+
+def frame_of_stem(path: Column) -> Column:
+    """Frame number of a file whose whole stem is a number; null otherwise."""
+    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "").try_cast("bigint")
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two hashes of 16 hexadecimal digits; 999 when either isn't one."""
     ok = a.rlike("^[0-9a-fA-F]{16}$") & b.rlike("^[0-9a-fA-F]{16}$")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from curbside.functions import scores, text
+from curbside.operators.release import ranked_by_hash
 
 
 def jobs(records: DataFrame, variants: DataFrame, per_bucket: int, base_seed: int) -> DataFrame:
@@ -13,9 +14,9 @@ def jobs(records: DataFrame, variants: DataFrame, per_bucket: int, base_seed: in
     Variants are a handful of rows with their interval [low, high); the join
     with them is a broadcast range join.
     """
-    buckets = records.select("split", "bucket").distinct()
-    order = Window.orderBy("split", "bucket", "k")
-    rows = buckets.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_bucket - 1)))).withColumn("job_index", F.row_number().over(order) - 1)
+    # The window is over the buckets, one row each.
+    buckets = records.select("split", "bucket").distinct().withColumn("b", F.row_number().over(Window.orderBy("split", "bucket")) - 1)
+    rows = buckets.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_bucket - 1)))).withColumn("job_index", F.col("b") * per_bucket + F.col("k")).drop("b")
     rows = rows.withColumn("seed", F.col("job_index") + base_seed).withColumn("u", text.uniform(F.col("seed"), F.lit("variant")))
     return rows.join(F.broadcast(variants.select("variant", "low", "high")), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).drop("low", "high", "k")
 
@@ -25,8 +26,7 @@ def pick_records(records: DataFrame, n: int, seed: int, key: str = "image_id") -
     have = records.count()
     if have >= n or not have:
         return records.orderBy(text.seeded(seed, F.col(key)), key).limit(n)
-    order = Window.orderBy(text.seeded(seed, F.col(key)), key)  # fewer rows than the sample asked for
-    numbered = records.withColumn("__i", F.row_number().over(order) - 1)
+    numbered = ranked_by_hash(records, key, seed).withColumn("__i", F.col("__rank") - 1).drop("__rank", "__of")
     wanted = records.sparkSession.range(n).select((F.col("id") % have).alias("__i"))
     return wanted.join(numbered, "__i").drop("__i")
 
@@ -40,17 +40,18 @@ def streaks(attempts: DataFrame, job: str = "job_id", order: str = "seq", reason
     return island.withColumn("streak", F.sum(F.when(hit, 1).otherwise(0)).over(inner)).drop("__g")
 
 
-def next_attempts(attempts: DataFrame) -> DataFrame:
-    """Rejected attempts that get another one, with its settings and seed."""
+def next_attempts(attempts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Rejected attempts that get another one, with its settings and seed, and with ``rules`` (see ``retry_rules``) what their reason adds."""
     c = F.col
     budget = scores.retry_budget(c("variant"))
     again = scores.should_retry(c("reject_reason"), c("attempt"), budget, c("streak"), c("scale_ratio").isNotNull(), c("mask_share"), c("seamless"))
     after = c("attempt") + 1
     strength, guidance = scores.retry_settings(c("strength"), c("guidance"), c("reject_reason"), after)
-    return attempts.filter(again).select(
-        "job_id", after.alias("attempt"), strength.alias("strength"), guidance.alias("guidance"),
+    out = attempts.filter(again).select(
+        "job_id", "reject_reason", after.alias("attempt"), strength.alias("strength"), guidance.alias("guidance"),
         scores.context_margin(c("margin"), c("reject_reason"), after).alias("margin"), scores.attempt_seed(c("seed"), after).alias("seed"),
     )
+    return out if rules is None else with_retry_rules(out, rules)
 
 
 def retry_rules(spark) -> DataFrame:
@@ -119,11 +120,20 @@ def advice(run: DataFrame, settings: DataFrame, min_samples: int = 30) -> DataFr
 
 
 def gate_target_splits(records: DataFrame, gate_as: str | None = None) -> DataFrame:
-    """Refuses test and validation rows as targets of augmentation, unless they are relabelled by name."""
+    """Records as targets of augmentation; test and validation rows are an error, unless they are relabelled by name."""
     held = F.lower("split").isin("test", "val", "valid")
     if gate_as is not None:
         return records.withColumn("split", F.when(held, gate_as).otherwise(F.col("split")))
-    return records.filter(~held)
+    found = sorted(r[0] for r in records.filter(held).select(F.lower("split")).distinct().collect())  # three names at most
+    if found:
+        raise ValueError(f"targets of augmentation are of the splits {found}")
+    return records
+
+
+def prompt_preview(records: DataFrame, variants: DataFrame, n: int, prompts: dict[str, str], preservation: str) -> DataFrame:
+    """Path, caption and generation prompt of the first ``n`` records for each variant."""
+    first = records.orderBy("path").limit(n).crossJoin(F.broadcast(variants.select("variant")))  # n rows and a handful
+    return first.select("path", "variant", "caption", text.generation_prompt(F.col("caption"), F.col("variant"), prompts, preservation).alias("prompt"))
 
 
 def bad_placement(b: DataFrame, overlap: str = "target_overlap", distance: str = "centre_distance", attempts_left: str = "attempts_left") -> DataFrame:

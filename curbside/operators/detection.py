@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from curbside.functions import geometry as geo
+from curbside.functions import geometry as geo, scores
+from curbside.runtime import cut
+from curbside.settings import RESOLUTION, ROAD_BAND
 
 
 def greedy_matches(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -35,13 +37,8 @@ def greedy_matches(truth: DataFrame, predicted: DataFrame, threshold: float = 0.
         return image_id, tp, len(gt) - tp, len(pr) - tp
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            held = pdf[pdf.image_id == pdf.image_id.iloc[-1]]  # its other boxes may be in the next batch
-            yield _each(pdf.iloc[: len(pdf) - len(held)], match)
-        if held is not None:
-            yield _each(held, match)
+        for images in _images(batches):
+            yield pd.DataFrame([match(i, c["side"], c["box"]) for i, c in images], columns=["image_id", "tp", "fn", "fp"])
 
     dealt = both.filter("image_id IS NOT NULL").repartition("image_id").sortWithinPartitions("image_id", "side", "idx")
     return dealt.mapInPandas(work, f"image_id {kind}, tp long, fn long, fp long")
@@ -51,49 +48,114 @@ def _size(b: np.ndarray) -> np.ndarray:
     return np.maximum(b[..., 2] - b[..., 0], 0) * np.maximum(b[..., 3] - b[..., 1], 0)
 
 
-def _each(pdf: pd.DataFrame, match) -> pd.DataFrame:
-    """``match`` of each image of a frame that is sorted by image."""
-    ids, sides, boxes = pdf.image_id.to_numpy(), pdf.side.to_numpy(), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-    edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
-    rows = [match(ids[a], sides[a:b], boxes[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-    return pd.DataFrame(rows, columns=["image_id", "tp", "fn", "fp"])
-
-
 def miss_rate(matches: DataFrame) -> DataFrame:
     """Totals and FN / (TP + FN)."""
     out = matches.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fn", "fp")])
     return out.withColumn("miss_rate", F.when(F.col("tp") + F.col("fn") > 0, F.col("fn") / (F.col("tp") + F.col("fn"))).otherwise(0.0))
 
 
-def best_truth(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Each prediction with the true box of the image that it meets best: (image_id, idx, conf, truth_idx, iou)."""
-    t = truth.select("image_id", F.col("idx").alias("truth_idx"), *[F.col(c).alias("t_" + c) for c in ("x1", "y1", "x2", "y2")])
-    joined = predicted.join(t, "image_id", "left").withColumn("iou", F.coalesce(geo.iou(geo.Box.of("t_"), geo.Box.of()), F.lit(0.0)))
-    best = joined.groupBy("image_id", "idx", "conf").agg(F.max(F.struct("iou", (-F.col("truth_idx")).alias("k"))).alias("b"))
-    return best.select("image_id", "idx", "conf", (-F.col("b.k")).alias("truth_idx"), F.col("b.iou").alias("iou"))
+def confident_matches(truth: DataFrame, predicted: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, image_id, idx, conf, hit) of each prediction: the most confident first, each takes the free true box it meets best.
+
+    The rule is sequential within an image; an image's boxes are few.
+    """
+    columns = ["image_id", "side", "idx", "conf", "x1", "y1", "x2", "y2"]
+    a = truth.withColumns({"side": F.lit(0), "conf": F.lit(0.0)}).select(columns)
+    both = a.unionByName(predicted.withColumns({"side": F.lit(1), "conf": F.col("conf").cast("double")}).select(columns)).filter("image_id IS NOT NULL")
+    kind = dict(both.dtypes)["image_id"]
+
+    def match(c: dict[str, np.ndarray]) -> np.ndarray:
+        """Whether each prediction is right, for each threshold."""
+        own = c["side"] == 1
+        iou = _ious(c["box"][own], c["box"][~own])
+        order = np.lexsort((c["idx"][own], -c["conf"][own])).tolist()
+        hit = np.zeros((len(thresholds), len(iou)), bool)
+        for k, t in enumerate(thresholds):
+            left = iou.copy()
+            for i in order if iou.shape[1] and iou.max() >= t else []:
+                best = int(left[i].argmax())
+                if left[i, best] >= t:
+                    hit[k, i], left[:, best] = True, -1.0
+        return hit
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = len(thresholds)
+        for images in _images(batches):
+            found = [(i, c["idx"][c["side"] == 1], c["conf"][c["side"] == 1], match(c)) for i, c in images if (c["side"] == 1).any()]
+            if found:
+                flat = lambda k: np.concatenate([np.tile(f[k], n) for f in found])
+                sizes = [len(f[1]) for f in found]
+                yield pd.DataFrame({
+                    "threshold": np.concatenate([np.repeat(thresholds, m) for m in sizes]), "image_id": np.repeat([f[0] for f in found], [m * n for m in sizes]),
+                    "idx": flat(1), "conf": flat(2), "hit": np.concatenate([f[3].ravel() for f in found]),
+                })
+
+    dealt = both.repartition("image_id").sortWithinPartitions("image_id", "side", "idx")
+    return dealt.mapInPandas(work, f"threshold double, image_id {kind}, idx long, conf double, hit boolean")
+
+
+def _ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    w = np.maximum(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0)
+    h = np.maximum(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0)
+    return w * h / np.maximum(_size(a)[:, None] + _size(b)[None] - w * h, 1)
+
+
+def _images(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[object, dict[str, np.ndarray]]]]:
+    """(image, its columns and boxes) of the images of a batch, from rows sorted by image."""
+    held = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        ids = pdf.image_id.to_numpy()
+        last = int(np.argmax(ids == ids[-1]))  # its other boxes may be in the next batch
+        yield _cut_images(pdf.iloc[:last])
+        held = pdf.iloc[last:]
+    if held is not None:
+        yield _cut_images(held)
+
+
+def _cut_images(pdf: pd.DataFrame) -> list[tuple[object, dict[str, np.ndarray]]]:
+    columns = {c: pdf[c].to_numpy() for c in pdf.columns if c in ("side", "idx", "conf")} | {"box": pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)}
+    ids = pdf.image_id.to_numpy()
+    edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+    return [(ids[a], {c: v[a:b] for c, v in columns.items()}) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def average_precision(truth: DataFrame, predicted: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, ap): mean over 101 recalls of the best precision from there on.
 
-    A prediction is right if it is the most confident one for the true box it
-    meets best. Running totals are over cells of confidence, a thousand at most
-    for each threshold, so no task sorts all predictions.
+    Predictions of equal confidence stand together on the curve. The running
+    totals are over distinct confidences: these are counted in a thousand ranges,
+    whose totals are a window of that many rows, and each range is gone through
+    by itself.
     """
-    met = best_truth(truth, predicted).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    first = Window.partitionBy("threshold", "image_id", "truth_idx").orderBy(F.desc("conf"), "idx")
-    hit = (F.col("iou") >= F.col("threshold")) & (F.row_number().over(first) == 1)
-    cell = F.floor((1 - F.col("conf")) * 1000).cast("int")
-    cells = met.withColumn("hit", hit).withColumn("cell", cell).groupBy("threshold", "cell").agg(F.count("*").alias("n"), F.count_if("hit").alias("tp"))
-    upto = Window.partitionBy("threshold").orderBy("cell")
-    total = truth.agg(F.count("*").alias("total"))
-    curve = cells.select("threshold", F.sum("tp").over(upto).alias("tp"), F.sum("n").over(upto).alias("n")).crossJoin(total)
-    curve = curve.select("threshold", (F.col("tp") / F.col("total")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
-    steps = curve.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(100)))).filter(F.col("recall") >= F.col("r") / 100)
-    best = steps.groupBy("threshold", "r").agg(F.max("precision").alias("p"))
-    found = best.groupBy("threshold").agg((F.sum("p") / 101).alias("ap"))
-    every = truth.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    return every.join(found, "threshold", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    met = confident_matches(truth, predicted, thresholds)
+    steps = met.groupBy("threshold", "conf").agg(F.count("*").alias("n"), F.count_if("hit").alias("tp")).withColumn("cell", F.floor((1 - F.col("conf")) * 1000).cast("int"))
+    steps = cut(steps, "steps")
+    cells = steps.groupBy("threshold", "cell").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
+    before = Window.partitionBy("threshold").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("threshold", "cell", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias("b_" + c) for c in ("n", "tp")])
+    upto = Window.partitionBy("threshold", "cell").orderBy(F.desc("conf"))
+    total = truth.filter("image_id IS NOT NULL").agg(F.count("*").alias("total"))
+    curve = steps.withColumns({"s_n": F.sum("n").over(upto), "s_tp": F.sum("tp").over(upto)}).join(F.broadcast(cells), ["threshold", "cell"]).crossJoin(total)
+    curve = curve.select("threshold", ((F.col("s_tp") + F.col("b_tp")) / F.col("total")).alias("recall"), ((F.col("s_tp") + F.col("b_tp")) / (F.col("s_n") + F.col("b_n"))).alias("precision"))
+    # The best precision of each recall step, then of all from it on: 101 rows a threshold.
+    per = curve.groupBy("threshold", F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("r")).agg(F.max("precision").alias("p"))
+    every = truth.sparkSession.createDataFrame([(float(t), r) for t in thresholds for r in range(101)], "threshold double, r int")
+    onward = Window.partitionBy("threshold").orderBy(F.desc("r"))
+    best = every.join(per, ["threshold", "r"], "left").withColumn("p", F.coalesce(F.max("p").over(onward), F.lit(0.0)))
+    return best.groupBy("threshold").agg((F.sum("p") / 101).alias("ap"))
+
+
+def utility(truth: DataFrame, predicted: DataFrame, least_conf: float = 0.25) -> DataFrame:
+    """One row: AP at 0.50, 0.75 and over 0.50 to 0.95, miss rate and totals of the confident detections."""
+    thresholds = [round(0.5 + 0.05 * i, 2) for i in range(10)]
+    kept = predicted.filter(F.col("conf") >= least_conf)
+    ap = average_precision(truth, kept, thresholds)
+    at = lambda t: F.max(F.when(F.col("threshold") == t, F.col("ap")))
+    row = ap.agg(F.round(at(0.5), 6).alias("ap50"), F.round(at(0.75), 6).alias("ap75"), F.round(F.avg("ap"), 6).alias("map50_95"))
+    return row.crossJoin(miss_rate(greedy_matches(truth, kept, 0.5)))  # single rows
 
 
 def compare(a: DataFrame, b: DataFrame, directions: dict[str, bool]) -> DataFrame:
@@ -104,7 +166,9 @@ def compare(a: DataFrame, b: DataFrame, directions: dict[str, bool]) -> DataFram
 
 
 def detect(images: DataFrame, fn, schema: str = "image_id string, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double, cls int") -> DataFrame:
-    """Runs a detector over image rows: ``fn`` gets a pandas row batch and returns rows of ``schema``."""
+    """Runs a detector over image rows: ``fn`` gets a pandas row batch and returns rows of ``schema``; without one there are no detections."""
+    if fn is None:
+        return images.sparkSession.createDataFrame([], schema)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,24 +188,64 @@ def gate_cascade(candidates: DataFrame) -> DataFrame:
     """reject_reason of each new detection, by the first gate that it fails; empty when it passes.
 
     Needs cls, conf, min_conf, bad_depth, old_overlap, old_iou, width, height,
-    foot, foot_avoid, mask_height, at_border, policy.
+    foot, foot_avoid, ground_share, mask_height, at_border, policy. Where ``foot``
+    is null there is no map of the ground, and the feet's share of the image
+    height must lie in a wide band.
     """
     c = F.col
+    off_ground = F.when(c("foot").isNotNull(), (c("foot") < 0.48) | (c("foot_avoid") > 0.05)).otherwise(~c("ground_share").between(ROAD_BAND[0] - 0.16, ROAD_BAND[1] + 0.08))
     reason = (
         F.when(c("cls") != 0, "other_class").when(c("conf") < c("min_conf"), "low_person_conf").when(c("bad_depth"), "bad_person_depth_overlap")
         .when((c("old_overlap") > 0.08 * 1.25) | (c("old_iou") > 0.06), "bad_person_depth_overlap")
-        .when((c("height") < 18) | (c("width") < 5), "too_small_or_ghost_person").when((c("foot") < 0.48) | (c("foot_avoid") > 0.05), "floating_or_bad_ground")
+        .when((c("height") < 18) | (c("width") < 5), "too_small_or_ghost_person").when(off_ground, "floating_or_bad_ground")
         .when(c("mask_height").isNull(), "too_small_or_ghost_person").when(c("at_border") | (c("mask_height") < 0.45 * c("height")), "partial_or_cropped_body")
         .when(c("policy").isin("unrecoverable", "borderline_retry"), "scale_unrecoverable").otherwise("")
     )
     return candidates.withColumn("reject_reason", reason)
 
 
-def count_rule(accepted: DataFrame) -> DataFrame:
-    """Whether an image has enough accepted objects for its variant; two of a small group do."""
+def mask_completeness(masks: DataFrame) -> DataFrame:
+    """reason of each mask that is only part of a body; empty when it is whole.
+
+    Needs mask_width and mask_height (null without a mask), det_height,
+    target_height, and the row coverage top, middle, low of the thirds of the
+    detection's box (null where the box is off the image).
+    """
+    c, floor = F.col, lambda x: F.greatest(F.lit(1.0), F.col(x))
+    h = floor("mask_height")
+    low = F.least("top", "middle") < 0.18
+    reason = (
+        F.when(c("mask_height").isNull(), "empty mask").when(h / floor("det_height") < 0.62, "too little detection height").when(h / floor("target_height") < 0.48, "too little target height")
+        .when(~(h / floor("mask_width")).between(1.35, 6.0), "aspect").when(c("top").isNull(), "empty detection crop").when(low | (c("low") < max(0.06, 0.18 * 0.45)), "vertical coverage").otherwise("")
+    )
+    return masks.withColumn("partial_reason", reason)
+
+
+def final_mask_gate(masks: DataFrame) -> DataFrame:
+    """reject_reason of each pasted mask: empty, aspect, height and opaque share; then too little contrast; empty when it passes.
+
+    Needs mask_width and mask_height (null without a mask), expected_height (null
+    or up to 1 when unknown), variant, ground_y, opaque_share (null without active
+    pixels), diff255 and seamless.
+    """
+    c = F.col
+    least, _ = scores.accepted_height_range(c("variant"), c("ground_y"))
+    ratio = c("mask_height") / F.greatest(F.lit(1.0), c("expected_height"))
+    known = F.coalesce(c("expected_height") > 1, F.lit(False))
+    reason = (
+        F.when(c("mask_height").isNull(), "accepted_mask_empty").when(~(c("mask_height") / F.greatest(F.lit(1.0), c("mask_width"))).between(1.15, 6.0), "mask_aspect_invalid")
+        .when(known & ~ratio.between(0.76, 1.85), "final_scale_mismatch").when(~known & (c("mask_height") < RESOLUTION * least), "person_too_small")
+        .when(c("opaque_share") < 0.24, "mask_too_soft").when(c("diff255") < F.when(c("seamless"), 0.75).otherwise(1.0), "ghost_person_low_contrast").otherwise("")
+    )
+    return masks.withColumn("reject_reason", reason).withColumn("final_scale_ratio", F.when(known, F.round(ratio, 4)))
+
+
+def count_rule(images: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Whether each (image_id, variant) has enough accepted objects; two of a small group do, and without any the image fails."""
     per = accepted.groupBy("image_id", "variant").agg(F.count("*").alias("n"), F.round(F.avg("conf"), 4).alias("person_confidence"))
-    need = F.when(F.col("variant") == "add_two_pedestrians", 2).when(F.col("variant") == "add_small_group", 2).otherwise(1)
-    return per.withColumn("reject_reason", F.when(F.col("n") >= need, "").otherwise("not_enough_new_people"))
+    need = F.when(F.col("variant").isin("add_two_pedestrians", "add_small_group"), 2).otherwise(1)
+    out = images.select("image_id", "variant").join(per, ["image_id", "variant"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.withColumn("reject_reason", F.when(F.col("n") >= need, "").otherwise("not_enough_new_people"))
 
 
 def top_detections(scored: DataFrame, k: str = "expected_count", extra: int = 2, delta: float = 1.35) -> DataFrame:
@@ -151,7 +255,19 @@ def top_detections(scored: DataFrame, k: str = "expected_count", extra: int = 2,
     return ranked.filter((F.col("rank") <= F.col(k)) | ((F.col("rank") <= F.col(k) + extra) & (F.col("best") - F.col("score") <= delta)))
 
 
-def nearest_to_target(scored: DataFrame) -> DataFrame:
-    """Per image the detection with the best 3 IoU + 1.5 overlap + conf - distance to its target."""
-    score = 3 * F.col("iou") + 1.5 * F.col("overlap") + F.col("conf") - F.col("distance")
-    return scored.withColumn("score", score).groupBy("image_id").agg(F.max_by("det_idx", F.struct("score", -F.col("det_idx"))).alias("det_idx"), F.max("score").alias("score"))
+def nearest_to_target(scored: DataFrame, side: int = RESOLUTION) -> DataFrame:
+    """Per image the detection with the best 3 IoU + 1.5 overlap + conf - distance to its target.
+
+    Needs boxes x1..y2, target boxes t_x1..t_y2, cls, conf, partial_reason and
+    mask_height. Other classes, partial masks, heights far from the target's and
+    boxes off the target drop out.
+    """
+    b, t = geo.Box.of(), geo.Box.of("t_")
+    wide = geo.scaled(t, F.lit(side), F.lit(side), 2.2)
+    target = F.greatest(F.lit(1.0), t.height)
+    iou, overlap = geo.iou(b, wide), geo.intersection(b, wide) / F.greatest(F.lit(1), geo.area(b))
+    fits = (F.greatest(F.lit(1.0), b.height) / target).between(0.75, 2.05) & (F.coalesce("mask_height", F.lit(0.0)) / target >= 0.50)
+    distance = F.hypot((b.x1 + b.x2 - t.x1 - t.x2) / 2, (b.y1 + b.y2 - t.y1 - t.y2) / 2) / side
+    kept = scored.filter((F.col("cls") == 0) & (F.col("partial_reason") == "") & fits).withColumn("iou", iou).withColumn("overlap", overlap).withColumn("distance", distance)
+    kept = kept.filter((F.col("iou") > 0) | (F.col("overlap") >= 0.12)).withColumn("score", 3 * F.col("iou") + 1.5 * F.col("overlap") + F.col("conf") - F.col("distance"))
+    return kept.groupBy("image_id").agg(F.max_by("det_idx", F.struct("score", -F.col("det_idx"))).alias("det_idx"), F.max("score").alias("score"))

@@ -66,8 +66,43 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str], metrics: dict[str, bool
     return per.withColumn("delta", delta).withColumn("improved", F.when(better, F.col("delta") >= 0).when(~better, F.col("delta") <= 0))
 
 
-def run_summary(manifest: DataFrame, score_columns: list[str]) -> DataFrame:
-    """Generated, accepted, rejected, accept rate, scale coverage and mean scores of accepted rows (0 without any)."""
+def case_metrics(cases: DataFrame, result: DataFrame, source: DataFrame | None = None, backgrounds: DataFrame | None = None, threshold: float = 0.25, person_class: int | None = 0) -> DataFrame:
+    """All metrics of each case (image_id, expected_height) in one row.
+
+    ``result`` and ``source`` are detections of the edited image and of the one
+    before; ``backgrounds`` has bg_mae and bg_ssim (see ``pixels.background``).
+    What a missing input would tell is left out.
+    """
+    kept = keep_detections(result, threshold, person_class)
+    found = presence(cases, kept).withColumn("person_confidence", F.round(F.col("person_confidence").cast("double"), 4))
+    if source is not None:
+        before = presence(cases, keep_detections(source, threshold, person_class)).select("image_id", F.col("person_count").alias("source_person_count"))
+        delta = F.col("person_count") - F.col("source_person_count")
+        found = found.join(before, "image_id").withColumn("inclusion_count_delta", delta).withColumn("object_added", F.when(delta >= 1, 1).otherwise(0))
+    sizes = scale(kept, cases.select("image_id", "expected_height")).select(
+        "image_id", F.round(F.coalesce("height", F.lit(0.0)), 4).alias("detected_height"), F.coalesce(F.col("expected_height").cast("double"), F.lit(0.0)).alias("expected_height"),
+        F.round("scale_ratio", 4).alias("scale_ratio"), F.round("scale_error", 4).alias("scale_error"),
+    )
+    found = found.join(sizes, "image_id")
+    if backgrounds is None:
+        return found
+    return found.join(backgrounds.select("image_id", F.round("bg_mae", 4).alias("bg_mae"), F.round("bg_ssim", 4).alias("bg_ssim")), "image_id", "left")
+
+
+def run_summary(manifest: DataFrame, score_columns: list[str], rejects: DataFrame | None = None) -> DataFrame:
+    """Generated, accepted, rejected, accept rate, scale coverage and mean scores of accepted rows (0 without any).
+
+    A manifest without a column ``accepted`` has accepted rows only. ``rejects``
+    (reason, n) are then those that it lacks; their map is in reject_reason_counts.
+    """
+    if "accepted" not in manifest.columns:
+        own = run_summary(manifest.withColumn("accepted", F.lit("true")), score_columns)
+        n = rejects.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__n")) if rejects is not None else manifest.sparkSession.range(1).select(F.lit(0).alias("__n"))
+        own = own.crossJoin(n).withColumn("rejected", F.col("__n")).withColumn("generated", F.col("accepted") + F.col("__n"))  # single rows
+        own = own.withColumn("accept_rate", F.round(F.col("accepted") / F.greatest(F.lit(1), F.col("generated")), 4)).drop("__n")
+        return own if rejects is None else own.crossJoin(reason_counts(rejects))
+    if rejects is not None:
+        return run_summary(manifest, score_columns).crossJoin(reason_counts(rejects))  # single rows
     yes = F.coalesce(F.lower(F.col("accepted").cast("string")) == "true", F.lit(False))
     means = [F.round(F.coalesce(F.avg(F.when(yes, F.col(c))), F.lit(0.0)), 4).alias(f"mean_{c}") for c in score_columns]
     covered = [F.round(F.avg(F.when(F.col("scale_score").isNotNull(), 1.0).otherwise(0.0)), 4).alias("scale_coverage_rate")] if "scale_score" in manifest.columns else []
@@ -77,6 +112,42 @@ def run_summary(manifest: DataFrame, score_columns: list[str]) -> DataFrame:
     )
 
 
+def reason_counts(rejects: DataFrame) -> DataFrame:
+    """One row: the map from reason to count of (reason, n) rows, as many as there are reasons."""
+    pairs = F.array_sort(F.collect_list(F.struct("reason", "n")))
+    return rejects.groupBy("reason").agg(F.sum("n").alias("n")).agg(F.map_from_entries(pairs).alias("reject_reason_counts"))
+
+
+def merged_rejects(shards: list[DataFrame]) -> DataFrame:
+    """(reason, n) over the (reason, n) tables of several shards."""
+    out = shards[0]
+    for more in shards[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("reason").agg(F.sum("n").alias("n"))
+
+
+def merged_runs(runs: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several runs with their name in ``run``; columns that a run lacks are null there."""
+    out = None
+    for name, rows in runs.items():
+        own = rows.withColumn("run", F.lit(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def run_counters(manifest: DataFrame, n_jobs: int) -> DataFrame:
+    """Retries, corrected, blended and fallback rows of accepted rows, and accept rates before and after scale correction."""
+    yes = lambda c: F.count_if(F.coalesce(F.lower(F.col(c).cast("string")) == "true", F.lit(False)))
+    out = manifest.agg(
+        F.count("*").alias("accepted"), F.coalesce(F.sum(F.coalesce(F.col("retry_attempts").cast("bigint"), F.lit(0))), F.lit(0)).alias("retried"),
+        yes("scale_corrected").alias("scale_corrected_count"), yes("seamless_clone_used").alias("seamless_clone_used_count"), yes("fallback_alpha_paste").alias("fallback_alpha_paste_count"),
+    )
+    jobs = F.nullif(F.lit(n_jobs), F.lit(0))
+    out = out.withColumn("accept_rate_before", F.greatest(F.lit(0), F.col("accepted") - F.col("scale_corrected_count")) / jobs).withColumn("accept_rate_after", F.col("accepted") / jobs)
+    share = lambda c: F.col(c) / F.nullif("accepted", F.lit(0))
+    return out.withColumn("scale_correction_share", share("scale_corrected_count")).withColumn("seamless_clone_rate", share("seamless_clone_used_count"))
+
+
 def reject_histogram(rejects: DataFrame, reason: str = "reject_reason") -> DataFrame:
     """Count and share of each reason among all rejects; the window runs over the reasons."""
     per = rejects.filter(F.coalesce(F.col(reason), F.lit("")) != "").groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("n"))

@@ -70,46 +70,77 @@ def change_masks(pairs: DataFrame, threshold: int = 25, dilate_px: int = 0, keep
 
 
 def mask_figures(masks: DataFrame, threshold: int = 10, keep: list[str] | None = None) -> DataFrame:
-    """Box, active pixels, area share, opaque share and the row coverage of the three vertical bands of a mask."""
+    """Box and pixels above ``threshold``, their share of the box and of the image, the opaque share, and row coverage of three vertical bands.
+
+    The area share counts pixels above 0.20, the opaque share those above 0.72
+    among those above 0.04 (null without any). Bands are cut from the row's box
+    d_x1..d_y2, that of a detection, or without one from the mask's own; with a
+    box that is off the image they are null.
+    """
+    given = "d_x1" in masks.columns
 
     def one(r) -> dict:
         m = _mask(r.mask, r.width, r.height)
         on = m > threshold
-        box = box_of(m > 0)
+        box = box_of(on)
         out = dict(zip(("x1", "y1", "x2", "y2"), box or (None,) * 4, strict=True))
-        crop = on[box[1] : box[3], box[0] : box[2]] if box else on
-        bands = [float(b.any(1).mean()) if b.size else 0.0 for b in np.array_split(crop, 3, axis=0)]
-        soft = int((m > 0).sum())
-        out |= {"active": int(on.sum()), "area_share": float(on.mean()) if m.size else 0.0, "opaque_share": float((m >= 128).sum() / soft) if soft else 0.0}
+        x1, y1, x2, y2 = (max(0, int(round(v))) for v in (r.d_x1, r.d_y1, r.d_x2, r.d_y2)) if given else box or (0, 0, 0, 0)
+        crop = on[y1:y2, x1:x2]
+        bands = [float(b.any(1).mean()) if b.size else 0.0 for b in np.array_split(crop, 3, axis=0)] if crop.size else [None] * 3
+        soft, n = m > 0.04 * 255, int(on.sum())
+        size = max(1, (box[2] - box[0]) * (box[3] - box[1])) if box else 1
+        out |= {"active": n, "box_share": n / size, "area_share": float((m > 0.20 * 255).mean()) if m.size else 0.0, "opaque_share": float((m[soft] > 0.72 * 255).mean()) if soft.any() else None}
         return out | dict(zip(("top", "middle", "low"), bands, strict=True))
 
-    return map_rows(masks, one, "x1 double, y1 double, x2 double, y2 double, active long, area_share double, opaque_share double, top double, middle double, low double", keep or ["image_id"])
+    return map_rows(masks, one, "x1 double, y1 double, x2 double, y2 double, active long, box_share double, area_share double, opaque_share double, top double, middle double, low double", keep or ["image_id"])
+
 
+def _clamped(box: tuple, width: int, height: int) -> tuple[int, int, int, int]:
+    x1, y1, x2, y2 = (int(round(v)) for v in box)
+    x1, y1 = max(0, min(width - 1, x1)), max(0, min(height - 1, y1))
+    return x1, y1, max(x1 + 1, min(width, x2)), max(y1 + 1, min(height, y2))
 
-def coverage(masks: DataFrame, keep: list[str]) -> DataFrame:
-    """Mean of a 0-255 mask within the row's box x1..y2, as a share, and the share of the mask outside it."""
+
+def coverage(masks: DataFrame, keep: list[str], padding: float = 0.12, least: int = 6) -> DataFrame:
+    """Mean of a 0-255 mask within the row's box x1..y2, as a share, and the share of the mask (above 0.20) outside the padded box.
+
+    An empty mask covers nothing and is all outside.
+    """
 
     def one(r) -> dict:
         m = _mask(r.mask, r.width, r.height)
-        x1, y1, x2, y2 = (max(0, int(round(v))) for v in (r.x1, r.y1, r.x2, r.y2))
-        inside, total = m[y1:y2, x1:x2], int((m > 0).sum())
-        return {"coverage": float(inside.mean() / 255) if inside.size else 0.0, "outside": 1 - int((inside > 0).sum()) / total if total else 0.0}
+        if not m.size:
+            return {"coverage": 0.0, "outside": 1.0}
+        box = (r.x1, r.y1, r.x2, r.y2)
+        x1, y1, x2, y2 = _clamped(box, m.shape[1], m.shape[0])
+        active, pad = m > 0.20 * 255, max(least, int(round(max(r.x2 - r.x1, r.y2 - r.y1) * padding)))
+        p1, q1, p2, q2 = _clamped((r.x1 - pad, r.y1 - pad, r.x2 + pad, r.y2 + pad), m.shape[1], m.shape[0])
+        total = int(active.sum())
+        return {"coverage": float(m[y1:y2, x1:x2].mean() / 255), "outside": 1 - int(active[q1:q2, p1:p2].sum()) / total if total else 1.0}
 
     return map_rows(masks, one, "coverage double, outside double", keep)
 
 
 def background(pairs: DataFrame, dilate_px: int = 8, keep: list[str] | None = None) -> DataFrame:
-    """bg_mae and bg_ssim of two images outside the object box x1..y2, grown by ``dilate_px``.
+    """bg_mae and bg_ssim of two images outside the object, grown by ``dilate_px``.
 
-    Without a box all pixels count; with none left the MAE is 0 and the SSIM 1.
+    The object is the row's ``mask`` (above 127), without one its box x1..y2,
+    without that its ``detections`` (arrays of x1, y1, x2, y2); where all are
+    missing every pixel counts. With none left the MAE is 0 and the SSIM 1.
     """
 
     def one(r) -> dict:
         a, b = _image(r.source, r.width, r.height).astype(float), _image(r.target, r.width, r.height).astype(float)
-        outside = np.ones(a.shape[:2], bool)
-        if r.x1 is not None and r.x1 == r.x1:
-            x1, y1, x2, y2 = (int(round(v)) for v in (r.x1, r.y1, r.x2, r.y2))
-            outside[max(0, y1 - dilate_px) : max(0, y2 + dilate_px), max(0, x1 - dilate_px) : max(0, x2 + dilate_px)] = False
+        inside, boxes = np.zeros(a.shape[:2], bool), []
+        if getattr(r, "mask", None) is not None:
+            inside = _mask(r.mask, r.width, r.height) > 127
+        elif r.x1 is not None and r.x1 == r.x1:
+            boxes = [(r.x1, r.y1, r.x2, r.y2)]
+        elif getattr(r, "detections", None) is not None:
+            boxes = r.detections
+        for x1, y1, x2, y2 in boxes:
+            inside[max(0, int(y1)) : max(0, int(y2)), max(0, int(x1)) : max(0, int(x2))] = True
+        outside = ~(dilate(inside.astype(np.uint8), dilate_px) > 0)
         if not outside.any():
             return {"bg_mae": 0.0, "bg_ssim": 1.0}
         mae = float(np.abs(a - b).mean(2)[outside].mean())
@@ -123,10 +154,10 @@ def background(pairs: DataFrame, dilate_px: int = 8, keep: list[str] | None = No
 
 
 def masked_mae(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """Mean absolute difference under a mask, 0 to 1 and 0 to 255; 0 for an empty mask."""
+    """Mean absolute difference under a mask (above 0.20), 0 to 1 and 0 to 255; 0 for an empty mask."""
 
     def one(r) -> dict:
-        on = _mask(r.mask, r.width, r.height) > 0
+        on = _mask(r.mask, r.width, r.height) > 0.20 * 255
         if not on.any():
             return {"mae": 0.0, "mae255": 0.0}
         diff = np.abs(_image(r.source, r.width, r.height).astype(float) - _image(r.target, r.width, r.height))[on].mean()
@@ -135,19 +166,27 @@ def masked_mae(pairs: DataFrame, keep: list[str]) -> DataFrame:
     return map_rows(pairs, one, "mae double, mae255 double", keep)
 
 
-def edge_scores(images: DataFrame, keep: list[str]) -> DataFrame:
-    """Contrast across a mask's border, and the mean Laplacian along it."""
+def edge_scores(pairs: DataFrame, keep: list[str], px: int = 2) -> DataFrame:
+    """How little the brightness steps across a mask's border, and how sharp the border is, both 0 to 1.
+
+    The inner rim is read from ``target``, the outer one from ``source``; without
+    either rim the step is 1 and the sharpness 0.
+    """
 
     def one(r) -> dict:
-        m, gray = _mask(r.mask, r.width, r.height) > 0, _image(r.data, r.width, r.height).astype(float).mean(2)
-        inner = m & ~(erode(m.astype(np.uint8) * 255, 2) > 0)
-        outer = (dilate(m.astype(np.uint8) * 255, 2) > 0) & ~m
+        m = _mask(r.mask, r.width, r.height)
+        on, a, b = m > 8, _image(r.source, r.width, r.height).astype(float), _image(r.target, r.width, r.height).astype(float)
+        inner = on & ~(erode(on.astype(np.uint8) * 255, px) > 0)
+        outer = (dilate(on.astype(np.uint8) * 255, px) > 0) & ~on
         if not inner.any() or not outer.any():
-            return {"edge_contrast": 0.0, "edge_laplacian": 0.0}
-        lap = np.abs(4 * gray - sum(np.roll(gray, s, a) for a in (0, 1) for s in (1, -1)))
-        return {"edge_contrast": float(abs(gray[inner].mean() - gray[outer].mean())), "edge_laplacian": float(lap[inner | outer].mean())}
+            return {"edge_contrast": 1.0, "edge_laplacian": 0.0}
+        luma = np.asarray([0.2126, 0.7152, 0.0722])
+        step = abs((b @ luma)[inner].mean() - (a @ luma)[outer].mean())
+        gray = b.mean(2)
+        lap = np.abs(sum(np.roll(gray, s, k) for k in (0, 1) for s in (1, -1)) - 4 * gray)
+        return {"edge_contrast": float(np.clip(1 - step / 96, 0, 1)), "edge_laplacian": float(np.clip(lap[inner | outer].mean() / 48, 0, 1))}
 
-    return map_rows(images, one, "edge_contrast double, edge_laplacian double", keep)
+    return map_rows(pairs, one, "edge_contrast double, edge_laplacian double", keep)
 
 
 def perceptual_hash(images: DataFrame, keep: list[str]) -> DataFrame:
@@ -171,14 +210,21 @@ def perceptual_hash(images: DataFrame, keep: list[str]) -> DataFrame:
     return map_rows(images, one, "phash string, h bigint", keep)
 
 
+def _shares(size: int, out: int) -> np.ndarray:
+    """Share of each of ``size`` pixels in each of ``out``: rows of ones, dealt by overlap."""
+    edges = np.linspace(0, size, out + 1)
+    at = np.arange(size)
+    both = np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at)
+    return np.maximum(both, 0) * out / size
+
+
 def crop_pixels(images: DataFrame, keep: list[str]) -> DataFrame:
     """The window x1..y2 of each image, resized to out_width x out_height by area sampling, as raw pixels."""
 
     def one(r) -> dict:
-        crop = _image(r.data, r.width, r.height)[int(r.y1) : int(r.y2), int(r.x1) : int(r.x2)]
-        ys = (np.arange(int(r.out_height)) + 0.5) * crop.shape[0] / int(r.out_height)
-        xs = (np.arange(int(r.out_width)) + 0.5) * crop.shape[1] / int(r.out_width)
-        return {"crop": crop[np.ix_(ys.astype(int), xs.astype(int))].tobytes()}
+        crop = _image(r.data, r.width, r.height)[int(r.y1) : int(r.y2), int(r.x1) : int(r.x2)].astype(float)
+        ys, xs = _shares(crop.shape[0], int(r.out_height)), _shares(crop.shape[1], int(r.out_width))
+        return {"crop": np.floor(np.einsum("yi,ijc,xj->yxc", ys, crop, xs) + 0.5).astype(np.uint8).tobytes()}
 
     return map_rows(images, one, "crop binary", keep)
 
@@ -194,10 +240,10 @@ def class_masks(maps: DataFrame, valid: set[int], avoid: set[int], keep: list[st
 
 
 def occluded_share(masks: DataFrame, keep: list[str], most: float = 0.55) -> DataFrame:
-    """Share of a mask under the row's occluder boxes (array of x1, y1, x2, y2); ``skipped`` above ``most``."""
+    """Share of a mask (above 8) under the row's occluder boxes (array of x1, y1, x2, y2); ``skipped`` above ``most``."""
 
     def one(r) -> dict:
-        m = _mask(r.mask, r.width, r.height) > 0
+        m = _mask(r.mask, r.width, r.height) > 8
         under = np.zeros_like(m)
         for x1, y1, x2, y2 in r.occluders if r.occluders is not None else []:
             under[max(0, int(y1)) : max(0, int(y2)), max(0, int(x1)) : max(0, int(x2))] = True

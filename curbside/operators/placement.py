@@ -23,15 +23,19 @@ def overlap_summary(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def foreground_occluders(boxes: DataFrame, persons: DataFrame, vehicles: DataFrame, foot_delta: float = 18.0) -> DataFrame:
-    """Per box: how many objects stand before it, and the largest share of it that one covers."""
+def foreground_occluders(boxes: DataFrame, persons: DataFrame, vehicles: DataFrame, foot_delta: float = 18.0, least: float = 0.03, height_ratio: float = 0.35) -> DataFrame:
+    """Per box: how many objects stand before it, and the largest overlap with one.
+
+    Persons stand before it where the order of depth is wrong, vehicles that
+    overlap by ``least`` where they are near or large enough.
+    """
     a, b = geo.Box.of(), geo.Box.of("e_")
     ok, overlap = geo.depth_order_ok(a, b)
-    shared = geo.intersection(a, b) / F.greatest(geo.area(a), F.lit(1))
-    near = (geo.intersection(a, b) > 0) & (b.y2 >= a.y2 - foot_delta)
-    p = boxes.join(persons, "image_id").filter(~ok & (geo.intersection(a, b) > 0)).select("box_id", shared.alias("share"))
-    v = boxes.join(vehicles, "image_id").filter(near).select("box_id", shared.alias("share"))
-    per = p.unionByName(v).groupBy("box_id").agg(F.count("*").alias("n"), F.max("share").alias("most"))
+    share = geo.intersection(a, b) / F.least(F.greatest(geo.area(a), F.lit(1)), F.greatest(geo.area(b), F.lit(1)))
+    large = F.greatest(b.height, F.lit(1)) >= F.greatest(a.height, F.lit(1)) * height_ratio
+    p = boxes.join(persons, "image_id").filter(~ok & (geo.intersection(a, b) > 0)).select("box_id", overlap.alias("share"))
+    v = boxes.join(vehicles, "image_id").filter((geo.intersection(a, b) > 0) & (share >= least) & ((b.y2 >= a.y2 - foot_delta) | large)).select("box_id", share.alias("share"))
+    per = p.unionByName(v).groupBy("box_id").agg(F.count("*").alias("n"), F.round(F.max("share"), 4).alias("most"))
     return boxes.select("box_id").join(per, "box_id", "left").select("box_id", F.coalesce("n", F.lit(0)).alias("n_occluders"), F.coalesce("most", F.lit(0.0)).alias("max_share"))
 
 
@@ -113,10 +117,47 @@ def slot_target(images: DataFrame, seed: int = 42) -> DataFrame:
     return images.select("image_id", "variant", F.greatest(F.lit(0.08), F.least(F.lit(0.92), x)).alias("target_x"), F.greatest(F.lit(ROAD_BAND[0]), F.least(F.lit(ROAD_BAND[1]), y)).alias("target_y"))
 
 
+def candidate_boxes(candidates: DataFrame, side: int = RESOLUTION, edge: int = 16) -> DataFrame:
+    """Box of each candidate by its insert size (insert_w, insert_h), moved within the edges; sizes that fit nowhere drop out."""
+    w, h = F.col("insert_w"), F.col("insert_h")
+    x = F.greatest(F.lit(float(edge)), F.least(side - w - edge, F.col("centre_x") - F.floor(w / 2)))
+    y = F.greatest(F.lit(float(edge)), F.least(side - h - edge, F.col("ground_y") - h))
+    return candidates.filter(side - w - edge > edge).withColumns({"x1": x, "y1": y, "x2": x + w, "y2": y + h})
+
+
+def scored_candidates(candidates: DataFrame, persons: DataFrame, vehicles: DataFrame, targets: DataFrame, side: int = RESOLUTION) -> DataFrame:
+    """Candidates (with candidate_id, image_id, variant and box) with their score.
+
+    Those that stand wrong in depth drop out, and, where the candidates have
+    columns foot, foot_avoid, body and avoid, those off the ground.
+    """
+    summary = lambda e: overlap_summary(candidates, e.select("image_id", *[F.col(c).alias("e_" + c) for c in ("x1", "y1", "x2", "y2")]))
+    p = summary(persons).select("candidate_id", "max_overlap", "bad_depth")
+    v = summary(vehicles).select("candidate_id", "summed_overlap")
+    target = targets.select("image_id", "variant", "target_x", F.col("target_y").alias("slot_y"))
+    joined = candidates.join(p, "candidate_id").join(v, "candidate_id").join(target, ["image_id", "variant"]).filter(~F.col("bad_depth"))
+    score = scores.candidate_score(geo.Box.of(), F.col("max_overlap"), F.col("summed_overlap"), F.col("target_x"), F.col("slot_y"), side)
+    if "foot" in candidates.columns:
+        score = score + scores.semantic_terms(*(F.col(c) for c in ("foot", "foot_avoid", "body", "avoid")))
+    return joined.withColumn("score", score).filter("score IS NOT NULL").drop("bad_depth", "slot_y", "target_x")
+
+
+def insertion_regions(images: DataFrame, persons: DataFrame, vehicles: DataFrame, tries: int = 180, seed: int = 42, side: int = RESOLUTION) -> DataFrame:
+    """Best box for each (image_id, variant), with the expected size of the person in it."""
+    made = make_candidates(images, tries, seed, side)
+    grounds = made.select("image_id", F.col("ground_y").cast("double").alias("target_y")).distinct()
+    heights = reference_height(grounds, persons, vehicles).select("image_id", F.col("target_y").cast("int").alias("ground_y"), "reference")
+    w, h = scores.insert_size(F.col("variant"), F.col("ground_y"), F.col("reference"), side)
+    sized = made.join(heights, ["image_id", "ground_y"], "left").withColumns({"insert_w": w, "insert_h": h})
+    boxes = candidate_boxes(sized, side).withColumn("candidate_id", text.stable_id(F.col("image_id"), F.col("variant"), F.col("try")))
+    best = best_region(scored_candidates(boxes, persons, vehicles, slot_target(images, seed), side))
+    return best.withColumns({"expected_height": (F.col("y2") - F.col("y1")) / 1.16, "expected_width": (F.col("x2") - F.col("x1")) / 1.3})
+
+
 def best_region(scored: DataFrame, least: float = -1000.0) -> DataFrame:
-    """The best-scoring candidate of each image and variant; none at or below the least score."""
-    best = scored.filter(F.col("score") > least).groupBy("image_id", "variant").agg(F.max(F.struct("score", (-F.col("try")).alias("t"), "x1", "y1", "x2", "y2")).alias("b"))
-    return best.select("image_id", "variant", (-F.col("b.t")).alias("try"), *[F.col(f"b.{c}").alias(c) for c in ("score", "x1", "y1", "x2", "y2")])
+    """The best-scoring candidate of each image and variant, the first of equals; none at or below the least score."""
+    best = scored.filter(F.col("score") > least).groupBy("image_id", "variant").agg(F.max(F.struct("score", (-F.col("try")).alias("t"), "ground_y", "x1", "y1", "x2", "y2")).alias("b"))
+    return best.select("image_id", "variant", (-F.col("b.t")).alias("try"), *[F.col(f"b.{c}").alias(c) for c in ("score", "ground_y", "x1", "y1", "x2", "y2")])
 
 
 def monotonic_heights(items: DataFrame, ratio: float = 1.04) -> DataFrame:

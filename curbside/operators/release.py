@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curbside.components import connected_components
-from curbside.functions import scores, text
+from curbside.functions import geometry as geo, scores, text
+from curbside.runtime import cut
 from curbside.settings import CaptionSettings, CurationSettings
 
 
@@ -72,6 +73,8 @@ def near_hashes(hashes: DataFrame, distance: int = 6) -> DataFrame:
 
     Two such hashes agree in one of ``distance`` + 1 bands, so an equi-join on
     the bands finds every pair. Equal hashes must have been collapsed before.
+    The bands of a small distance are wide and so are met by few; from some ten
+    bits on nearly all pairs of a source meet, as with every exact way.
     """
     bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for i, (s, w) in enumerate(_bands(distance))])
     keyed = hashes.select("source_id", "h", F.explode(bands).alias("band"))
@@ -95,11 +98,11 @@ def near_clusters(images: DataFrame, distance: int = 6, mode: str = "reference")
     both = both.unionByName(hashes.select("source_id", "h", F.col("h").alias("o")))
     if mode == "reference":
         offers = images.filter("h IS NOT NULL").select("source_id", F.col("h").alias("o"), F.col("ingest_seq").alias("s"), F.col("image_id").alias("i"))
-        offered = both.join(offers, ["source_id", "o"]).select("source_id", "h", "s", "i", F.lit(None).cast("bigint").alias("own"))
-        asked = images.filter("h IS NOT NULL").select("source_id", "h", F.col("ingest_seq").alias("s"), F.lit(None).cast(dict(images.dtypes)["image_id"]).alias("i"), F.col("image_id").cast("bigint").alias("own"))
+        offered = both.join(offers, ["source_id", "o"]).select("source_id", "h", "s", "i", F.lit(False).alias("own"))
+        asked = offers.select("source_id", F.col("o").alias("h"), "s", "i", F.lit(True).alias("own"))
         earlier = Window.partitionBy("source_id", "h").orderBy("s").rangeBetween(Window.unboundedPreceding, -1)
-        last = offered.unionByName(asked).withColumn("last", F.max(F.when(F.col("i").isNotNull(), F.struct("s", "i"))).over(earlier)).filter("own IS NOT NULL")
-        found = last.select(F.col("own").alias("image_id"), F.col("last.i").alias("__cluster"))
+        last = offered.unionByName(asked).withColumn("last", F.max(F.when(~F.col("own"), F.struct("s", "i"))).over(earlier)).filter("own")
+        found = last.select(F.col("i").alias("image_id"), F.col("last.i").alias("__cluster"))
     else:
         least = images.filter("h IS NOT NULL").groupBy("source_id", "h").agg(F.min("image_id").alias("first"))
         ends = pairs.join(least.withColumnRenamed("h", "a").withColumnRenamed("first", "u"), ["source_id", "a"]).join(least.withColumnRenamed("h", "b").withColumnRenamed("first", "v"), ["source_id", "b"])
@@ -116,15 +119,24 @@ def drop_duplicates(samples: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def split_groups(samples: DataFrame, ratio: float, seed: int, names: tuple[str, str] = ("train", "val"), key: str = "group_id", out: str = "split") -> DataFrame:
-    """Group-disjoint split: the first share of the groups, in an order by hash, goes to the first name.
+    """Group-disjoint split: the first share of the groups, in an order by hash, goes to the first name."""
+    ranked = ranked_by_hash(samples.select(key).distinct(), key, seed)
+    placed = ranked.select(key, F.when(F.col("__rank") <= F.floor(F.col("__of") * F.lit(ratio)), names[0]).otherwise(names[1]).alias(out))
+    return samples.drop(out).join(placed, key)
+
+
+def ranked_by_hash(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds ``__rank``, the place in an order by seeded hash and key, and ``__of``, the number of rows.
 
-    The order is over distinct groups; its window holds one row for each group.
+    Rows are counted by the hash's first three digits; the running total is over
+    these 4096 cells, and each cell is put in order by itself.
     """
-    groups = samples.select(key).distinct()
-    order = Window.orderBy(text.seeded(seed, F.col(key)), key)
-    ranked = groups.withColumn("__rn", F.row_number().over(order)).withColumn("__n", F.count("*").over(Window.partitionBy()))
-    placed = ranked.select(key, F.when(F.col("__rn") <= F.floor(F.col("__n") * F.lit(ratio)), names[0]).otherwise(names[1]).alias(out))
-    return samples.drop(out).join(placed, key)
+    hashed = rows.withColumn("__hash", text.seeded(seed, F.col(key))).withColumn("__cell", F.substring("__hash", 1, 3))
+    counts = hashed.groupBy("__cell").agg(F.count("*").alias("__k"))
+    upto = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = counts.select("__cell", (F.sum("__k").over(upto) - F.col("__k")).alias("__before"), F.sum("__k").over(Window.partitionBy()).alias("__of"))
+    inside = F.row_number().over(Window.partitionBy("__cell").orderBy("__hash", key))
+    return hashed.join(F.broadcast(cells), "__cell").withColumn("__rank", F.col("__before") + inside).drop("__hash", "__cell", "__before")
 
 
 def with_captions(samples: DataFrame, settings: CaptionSettings) -> DataFrame:
@@ -152,8 +164,8 @@ def contamination(samples: DataFrame, benchmark: DataFrame, text_col: str = "cap
     Within a text the first and the last word of an item may be glued to what
     stands around them; the words between are words of the text. Both sides meet
     on hashes of runs of eight such words, or of all of them where an item has
-    three to seven; what meets is compared as text. Items with fewer are looked
-    for in every text, in blocks.
+    three to seven; only rows and hashes travel, and what meets is compared as
+    text. Items with fewer are looked for in every text, in blocks.
     """
     most, least, block = 8, 3, 1000
 
@@ -168,15 +180,16 @@ def contamination(samples: DataFrame, benchmark: DataFrame, text_col: str = "cap
         return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<bigint>"))
 
     items = benchmark.select("item_id", F.col("text").alias("__item"), split("text").alias("__w")).withColumn("__n", F.least(F.size("__w") - 2, F.lit(most))).filter("__item IS NOT NULL")
-    texts = samples.select(F.col(text_col).alias("__text")).filter("__text IS NOT NULL")
+    texts = samples.select(F.col(text_col).alias("__text")).filter("__text IS NOT NULL").withColumn("__row", F.monotonically_increasing_id())
     # One row for each length from 3 to 8 at most, and one for what is shorter.
     counts = {r[0]: r[1] for r in items.groupBy(F.greatest("__n", F.lit(least - 1))).count().collect()}
     lengths = sorted(n for n in counts if n >= least) or [most]
     probe = F.coalesce(*[F.when(F.col("__n") == n, run(F.col("__w"), F.lit(1), n)) for n in lengths])
     probes = items.filter(F.col("__n") >= least).select("item_id", "__item", probe.alias("__g"))
     # The outer form keeps Spark from filtering by the array before, where it would split the text anew for each word.
-    met = texts.withColumn("__w", split("__text")).select("__text", F.explode_outer(F.array_distinct(F.concat(*[runs(F.col("__w"), n) for n in lengths]))).alias("__g")).join(probes, "__g")
-    hits = met.filter(F.contains("__text", F.col("__item"))).select("item_id")
+    grams = texts.withColumn("__w", split("__text")).select("__row", F.explode_outer(F.array_distinct(F.concat(*[runs(F.col("__w"), n) for n in lengths]))).alias("__g"))
+    met = grams.join(probes, "__g").select("__row", "item_id", "__item")
+    hits = texts.join(met, "__row").filter(F.contains("__text", F.col("__item"))).select("item_id")
     if least - 1 in counts:
         part = F.pmod(F.xxhash64("__item", "item_id"), F.lit(-(-counts[least - 1] // block)))
         blocks = items.filter(F.col("__n") < least).groupBy(part).agg(F.collect_list(F.struct("item_id", "__item")).alias("__items")).select("__items")
@@ -192,14 +205,19 @@ def content_hash(df: DataFrame) -> DataFrame:
     return sums.select("n", F.sha2(F.concat_ws("|", F.col("n"), F.col("s"), F.col("x")).cast("binary"), 256).alias("manifest_hash"))
 
 
-def validation(samples: DataFrame, trigger: str) -> DataFrame:
-    """One row of release statistics."""
+def validation(samples: DataFrame, trigger: str, crops: DataFrame | None = None) -> DataFrame:
+    """One row of release statistics; with a listing of ``crop_path`` also the crops that are missing."""
     has = F.contains(F.coalesce("caption", F.lit("")), F.lit(trigger))
     blank = F.trim(F.coalesce("caption", F.lit(""))) == ""
-    return samples.agg(
+    out = samples.agg(
         F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"),
         F.count_if(~has).alias("without_trigger"), F.count_if(blank).alias("blank_captions"), F.countDistinct("group_id").alias("n_groups"),
+        F.lit(trigger == "").alias("no_trigger"),
     )
+    if crops is None:
+        return out.withColumn("missing_crops", F.lit(0).cast("bigint"))
+    lost = samples.select("crop_path").join(crops.select("crop_path"), "crop_path", "left_anti")
+    return out.crossJoin(lost.agg(F.count("*").alias("missing_crops")))  # single rows
 
 
 def status(report: DataFrame, leak_row: DataFrame) -> DataFrame:
@@ -207,9 +225,68 @@ def status(report: DataFrame, leak_row: DataFrame) -> DataFrame:
     both = report.crossJoin(leak_row)  # single rows
     errors = F.concat_ws(
         "; ",
-        F.when(F.col("without_trigger") > 0, "captions without trigger"), F.when(F.col("blank_captions") > 0, "blank captions"),
+        F.when(F.col("no_trigger"), "trigger_token is empty"),
+        F.when((F.col("without_trigger") > 0) & ~F.col("no_trigger"), "captions without trigger"), F.when(F.col("blank_captions") > 0, "blank captions"),
         F.when(F.col("n_train") == 0, "lora_train is empty"), F.when(F.col("n_val") == 0, "lora_val is empty"),
+        F.when(F.col("missing_crops") > 0, "crop files missing"),
         F.when(F.col("shared_group_id") > 0, "group_id overlap"), F.when(F.col("shared_duplicate_cluster_id") > 0, "duplicate cluster overlap"),
         F.when((F.col("leaked_image_id") > 0) | (F.col("leaked_group_id") > 0), "eval rows leaked into the release"),
     )
     return both.withColumn("errors", errors).withColumn("status", F.when(F.col("errors") == "", "validated").otherwise("draft"))
+
+
+def eval_cases(images: DataFrame, instances: DataFrame, ratio: float = 0.5, seed: int = 7, names: tuple[str, str] = ("dev", "final")) -> DataFrame:
+    """Frozen cases of the eval images: id, paths, mask rectangle, box and set, by disjoint groups.
+
+    ``images`` are those of the eval splits, with width and height. The mask is
+    the box grown by 8 % of its longer side; under 4 pixels the case drops out.
+    An image without a group is in the first set.
+    """
+    sets = split_groups(images.filter("group_id IS NOT NULL").select("group_id").distinct(), ratio, seed, names, out="eval_set")
+    joined = instances.join(images.select("image_id", "source_id", F.col("split").alias("source_split"), "group_id", "width", "height"), "image_id").join(sets, "group_id", "left")
+    box = geo.Box.xywh(*(F.col(c).cast("double") for c in "xywh"))
+    mask = geo.dilated(box, F.col("width"), F.col("height"))
+    case = text.stable_id(F.col("source_id"), F.col("source_split"), F.col("instance_id"))
+    out = joined.filter((mask.width >= 4) & (mask.height >= 4)).select(
+        case.alias("case_id"), "image_id", "group_id", *mask.columns("m_"), F.array(*box).alias("expected_bbox_xyxy"), "source_split", F.coalesce("eval_set", F.lit(names[0])).alias("eval_set"), F.lit(True).alias("frozen")
+    )
+    paths = {f"{k}_path": F.concat(F.lit(f"{folder}/"), F.col("case_id"), F.lit(".png")) for k, folder in (("image", "images"), ("mask", "masks"), ("reference", "reference"))}
+    return out.withColumns(paths)
+
+
+def changed_pairs(pairs: DataFrame, least: int = 64, limit: int | None = None) -> DataFrame:
+    """Pairs with enough changed pixels, and their case ids: pair ids and the place among those kept.
+
+    ``pairs`` has pair_seq, img_id, ann_id and ``changed`` (see ``pixels.change_masks``).
+    The places are counted over the pairs that are kept, by ranges of the order.
+    """
+    kept = pairs.filter(F.col("changed") >= least)
+    if limit is not None:
+        kept = kept.orderBy("pair_seq").limit(limit)
+    numbered = ranked_in_order(kept, "pair_seq").withColumn("kept", F.col("__rank") - 1).drop("__rank")
+    return numbered.withColumn("case_id", text.stable_id(F.lit("pipe"), F.col("img_id"), F.col("ann_id"), F.col("kept")))
+
+
+def ranked_in_order(rows: DataFrame, order: str) -> DataFrame:
+    """Adds ``__rank``, the place in the order of a column: range partitions are counted, and each is numbered by itself."""
+    ranged = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__k"))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    before = counts.select("__part", (F.sum("__k").over(upto) - F.col("__k")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return ranged.join(F.broadcast(before), "__part").withColumn("__rank", F.col("__before") + inside).drop("__part", "__before")
+
+
+def stage_statistics(groups: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row: images, duplicates, clusters and groups of the dedupe table, samples and median caption tokens."""
+    a = groups.agg(
+        F.count("*").alias("n_images"), F.count_if(F.col("dedupe_status") == "duplicate").alias("n_duplicates"),
+        F.countDistinct("duplicate_cluster_id").alias("n_clusters"), F.countDistinct("group_id").alias("n_groups"),
+    )
+    b = samples.agg(F.count("*").alias("n_samples"), F.median(text.n_tokens(F.col("caption"))).alias("median_tokens"))
+    return a.crossJoin(b)  # single rows
+
+
+def record_counts(records: DataFrame) -> DataFrame:
+    """Rows by split and bucket, by split, and of all."""
+    return records.rollup("split", "bucket").agg(F.count("*").alias("n"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,14 +19,27 @@ MIN_PLACEMENT, MIN_SCALE, MIN_OCCLUSION, MIN_AFFORDANCE = 0.45, 0.50, 0.40, 0.55
 PERSON_WORDS = ("person", "people", "pedestrian", "man", "woman", "men", "women", "boy", "girl", "child", "children", "kid", "human")
 NOT_SOURCE_TOKENS = ("mask", "label", "gtfine", "gtbbox", "instance", "polygon", "color")
 SCENES = {"citypersons": "urban street scene", "mot17_02": "surveillance street scene", "human_detection": "real-world scene"}
-#: variant: weight, expected count, target name, extra retries, least confidence, base height, scale multiplier, least height ratio
+
+
+class Variant(NamedTuple):
+    weight: float
+    expected_count: int
+    target: str
+    extra_retries: int
+    min_conf: float
+    base_height: int
+    scale_multiplier: float
+    min_height_ratio: float
+
+
+# Fixed values of each kind of insertion.
 VARIANTS = {
-    "add_single_pedestrian": (0.24, 1, "single_pedestrian", 0, 0.22, 96, 1.0, 0.09),
-    "add_two_pedestrians": (0.18, 2, "two_pedestrians", 0, 0.17, 98, 1.0, 0.085),
-    "add_small_group": (0.16, 3, "small_group", 1, 0.15, 102, 1.0, 0.085),
-    "add_occluded_pedestrian": (0.18, 1, "occluded_pedestrian", 0, 0.12, 90, 0.92, 0.075),
-    "add_distant_pedestrian": (0.14, 1, "distant_pedestrian", 1, 0.11, 68, 0.82, 0.08),
-    "add_near_pedestrian": (0.1, 1, "near_pedestrian", 0, 0.22, 150, 1.6, 0.16),
+    "add_single_pedestrian": Variant(0.24, 1, "single_pedestrian", 0, 0.22, 96, 1.0, 0.09),
+    "add_two_pedestrians": Variant(0.18, 2, "two_pedestrians", 0, 0.17, 98, 1.0, 0.085),
+    "add_small_group": Variant(0.16, 3, "small_group", 1, 0.15, 102, 1.0, 0.085),
+    "add_occluded_pedestrian": Variant(0.18, 1, "occluded_pedestrian", 0, 0.12, 90, 0.92, 0.075),
+    "add_distant_pedestrian": Variant(0.14, 1, "distant_pedestrian", 1, 0.11, 68, 0.82, 0.08),
+    "add_near_pedestrian": Variant(0.1, 1, "near_pedestrian", 0, 0.22, 150, 1.6, 0.16),
 }
 #: metric: whether larger values are better; None for neutral ones.
 METRIC_DIRECTIONS = {"person_detected": True, "person_confidence": True, "person_count_delta": None, "object_added": True, "scale_error": False, "bg_mae": False, "bg_ssim": True}
@@ -69,11 +85,46 @@ def registry(spark: SparkSession, roles: list[SourceRole]) -> DataFrame:
 def variant_table(spark: SparkSession) -> DataFrame:
     """One row for each variant, with the interval of its cumulative weight."""
     rows, low = [], 0.0
-    total = sum(v[0] for v in VARIANTS.values())
+    total = sum(v.weight for v in VARIANTS.values())
     for name, v in VARIANTS.items():
-        high = low + v[0] / total
+        high = low + v.weight / total
         rows.append((name, low, high, *v[1:]))
         low = high
     return spark.createDataFrame(
         rows, "variant string, low double, high double, expected_count int, target string, extra_retries int, min_conf double, base_height int, scale_multiplier double, min_height_ratio double"
     )
+
+
+def load(path: str) -> dict:
+    """Settings of a JSON or YAML file, which the driver reads: it is a configuration of some kilobytes."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return json.load(f)
+        import yaml
+
+        return yaml.safe_load(f)
+
+
+def roles_of(config: dict) -> list[SourceRole]:
+    """Roles from the splits that each source of a configuration names for training and for evaluation."""
+    return [SourceRole(s["source_id"], split, role) for s in config.get("sources", []) for role, key in (("train", "lora_splits"), ("eval", "eval_splits")) for split in s.get(key) or []]
+
+
+def curation_of(config: dict) -> CurationSettings:
+    """Thresholds, split and export sizes of a configuration; what it doesn't name keeps its usual value."""
+    quality, split, export = (config.get(k) or {} for k in ("quality_thresholds", "split_config", "export_config"))
+    found = {
+        "min_height": quality.get("min_bbox_height_px"), "min_visible": quality.get("min_visible_ratio"), "min_quality": quality.get("min_quality_score"),
+        "train_ratio": split.get("train_ratio"), "seed": split.get("split_seed"),
+        "context_margin": export.get("context_margin_ratio"), "max_side": export.get("max_side"), "min_side": export.get("min_side"),
+    }
+    return dataclasses.replace(CurationSettings(), **{k: v for k, v in found.items() if v is not None})
+
+
+def captions_of(config: dict) -> CaptionSettings:
+    """Caption settings of a configuration, white space in the template folded."""
+    usual = CaptionSettings()
+    return dataclasses.replace(
+        usual, trigger=config["trigger_token"], class_token=config.get("class_token", usual.class_token),
+        template_version=config.get("template_version", usual.template_version), template=" ".join(config["caption_template"].split()),
+    )

@@ -41,6 +41,33 @@ def inventories(spark: SparkSession, roots: dict[str, dict[str, str]], splits: d
     return out
 
 
+def dataset(spark: SparkSession, root: str, split_folders: dict[str, str], caption_map: DataFrame | None = None, default: str = "", limit: int | None = None) -> DataFrame:
+    """Source images of the split folders, in the order of splits and paths, with caption and split.
+
+    Where no split folder has an image, all below ``root`` are taken and the path tells the split.
+    """
+    out = None
+    for ordinal, (split, folder) in enumerate(split_folders.items()):
+        part = inventory(spark, folder).withColumns({"split": F.lit(split), "split_ordinal": F.lit(ordinal)})
+        out = part if out is None else out.unionByName(part)
+    if out is None or out.isEmpty():
+        out = inventory(spark, root).withColumns({"split": text.split_of_path(F.col("path")), "split_ordinal": F.lit(0)})
+    if limit is not None:
+        out = out.orderBy("split_ordinal", "path").limit(limit)
+    if caption_map is None:
+        return out.withColumn("caption", F.lit(default))
+    return with_captions(out, caption_map, default)
+
+
+def split_listing(spark: SparkSession, split_path: str) -> DataFrame:
+    """(path, label_path) of a detector dataset's split: of the lines of a list file, or of the images below a folder."""
+    if split_path.endswith(".txt"):
+        rows = spark.read.text(split_path).select(F.trim("value").alias("path")).filter("path <> ''")
+    else:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(split_path).select("path").filter(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
+    return rows.withColumn("label_path", label_path(F.col("path")))
+
+
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, line_no (from 0, blank lines counted) and line of text files that each fit in a row."""
     whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
@@ -53,8 +80,8 @@ def yolo_boxes(label_lines: DataFrame, names: dict[int, str], class_mapping: dic
     An id without a name gets ``ignore``; the mapping renames classes.
     """
     parts = F.split(F.trim("line"), r"\s+")
-    rows = label_lines.withColumn("p", parts).filter(F.size("p") >= 5)
-    value = [F.get("p", F.lit(i)).try_cast("double") for i in range(5)]
+    rows = label_lines.withColumn("__parts", parts).filter(F.size("__parts") >= 5)
+    value = [F.get("__parts", F.lit(i)).try_cast("double") for i in range(5)]
     x, y, w, h = geo.from_centre(*value[1:], F.col("width"), F.col("height"))
     name = F.coalesce(*[F.when(value[0].cast("int") == k, v) for k, v in names.items()], F.lit("ignore"))
     if class_mapping:
@@ -63,6 +90,12 @@ def yolo_boxes(label_lines: DataFrame, names: dict[int, str], class_mapping: dic
     return rows.select(*keep, value[0].cast("int").alias("class_id"), name.alias("class_name"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")).filter("class_id IS NOT NULL AND h IS NOT NULL")
 
 
+def class_boxes(label_lines: DataFrame, class_id: int = 0) -> DataFrame:
+    """Boxes x1..y2 in pixels of one class of ``class cx cy w h`` lines."""
+    own = yolo_boxes(label_lines, {}).filter(F.col("class_id") == class_id)
+    return own.select(*[c for c in label_lines.columns if c != "line"], *geo.Box.xywh(*(F.col(c) for c in "xywh")).columns())
+
+
 def mot_boxes(label_lines: DataFrame, strict: bool = False) -> DataFrame:
     """Boxes of class 1 of ``frame,id,x,y,w,h,conf,class[,visibility]`` lines, with their index in the frame.
 
@@ -80,6 +113,20 @@ def mot_boxes(label_lines: DataFrame, strict: bool = False) -> DataFrame:
     return rows.drop("line").withColumn("box_idx", F.row_number().over(order) - 1)
 
 
+def frame_instances(frames: DataFrame, boxes: DataFrame, source_id: str) -> DataFrame:
+    """Boxes of the sampled frames (path, window_id) by frame number, with ids of image, instance and group.
+
+    ``boxes`` are those of ``mot_boxes``; the box seen is the whole one, and what isn't visible counts as occluded.
+    """
+    stem = F.regexp_replace(text.file_name(F.col("path")), r"(?<=.)\.[^.]*$", "")
+    own = frames.select(text.stable_id(F.lit(source_id), stem).alias("image_id"), text.stable_id(F.lit(source_id), F.lit("window"), F.col("window_id")).alias("group_id"), text.frame_number(F.col("path")).alias("frame"))
+    found = own.join(boxes.select("frame", "box_idx", *"xywh", "visibility"), "frame")
+    return found.select(
+        "image_id", text.stable_id(F.col("image_id"), F.col("box_idx")).alias("instance_id"), "group_id", F.lit("pedestrian").alias("class_name"), *"xywh",
+        F.col("w").alias("visible_w"), F.col("h").alias("visible_h"), (1 - F.col("visibility")).alias("occlusion"), F.lit(False).alias("ignore"),
+    )
+
+
 def folder_boxes(images: DataFrame, class_name: str = "pedestrian") -> DataFrame:
     """One box around each whole image, with confidence 0."""
     zero = F.lit(0.0)
@@ -128,7 +175,10 @@ def pairs(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame
 
 
 def label_path(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, "/images/", "/labels/"), r"\.[^./]*$", ".txt")
+    """Label file of an image: the first folder ``images`` on its path becomes ``labels``, or ``labels`` beside its own folder."""
+    text_file = F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ".txt")
+    beside = F.regexp_replace(text_file, r"[^/]+/([^/]+)$", "labels/$1")
+    return F.when(path.rlike("(^|/)images/"), F.regexp_replace(text_file, "^(.*?)(^|/)images/", "$1$2labels/")).otherwise(beside)
 
 
 def sample_frames(frames: DataFrame, source_fps: float, fps: float, key: str = "sequence", order: str = "frame") -> DataFrame:

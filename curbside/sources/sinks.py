@@ -11,10 +11,15 @@ def stage_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def release_rows(samples: DataFrame, crops: DataFrame) -> DataFrame:
+    """file_name, text and split of the samples whose crop exists; files are named by sample."""
+    kept = samples.join(crops.select("crop_path"), "crop_path", "left_semi")
+    return kept.select(F.concat(F.lit("images/"), F.col("sample_id"), F.lit(".jpg")).alias("file_name"), F.col("caption").alias("text"), "split")
+
+
 def release_metadata(samples: DataFrame, crops: DataFrame, path: str) -> None:
     """JSON lines of file name and caption by split, for samples whose crop exists."""
-    kept = samples.join(crops.select("crop_path"), "crop_path", "left_semi")
-    kept.select(F.substring_index("crop_path", "/", -1).alias("file_name"), F.col("caption").alias("text"), "split").write.mode("overwrite").partitionBy("split").json(path)
+    release_rows(samples, crops).write.mode("overwrite").partitionBy("split").json(path)
 
 
 def release_images(crops: DataFrame, path: str) -> None:
@@ -31,11 +36,12 @@ def release_record(samples: DataFrame, name: str, trigger: str, template_version
 
 def eval_cases(cases: DataFrame, path: str, manifest_path: str) -> None:
     cases.write.mode("overwrite").partitionBy("eval_set").json(path)
-    cases.select("case_id", "image_id", "eval_set").write.mode("overwrite").parquet(manifest_path)
+    cases.select("image_id", "group_id", "eval_set").write.mode("overwrite").parquet(manifest_path)
 
 
-def fixed_csv(rows: DataFrame, columns: list[str], path: str) -> None:
-    """CSV with a fixed list of columns; those that are missing are empty."""
+def fixed_csv(rows: DataFrame, columns: list[str], path: str, order: str | None = None) -> None:
+    """CSV with a fixed list of columns, in the order of one; those that are missing are empty."""
+    rows = rows if order is None else rows.orderBy(order)
     rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.mode("overwrite").csv(path, header=True)
 
 
@@ -50,5 +56,31 @@ def validated(record: DataFrame, status: DataFrame) -> DataFrame:
     return record.drop("status").crossJoin(status.select("status", "errors"))  # single rows
 
 
-def generated_path(root: Column, split: Column, bucket: Column, variant: Column, stem: Column, index: Column, seed: Column) -> Column:
-    return F.format_string("%s/%s/%s/%s/%s_aug_%04d_%s.png", root, split, bucket, variant, stem, index, seed)
+def write_validation(record: DataFrame, status: DataFrame, path: str) -> DataFrame:
+    """Writes the report and the record with its new status; returns the record as it was written."""
+    status.coalesce(1).write.mode("overwrite").json(f"{path}/validation_report")
+    validated(record, status).coalesce(1).write.mode("overwrite").json(f"{path}/release")
+    return record.sparkSession.read.json(f"{path}/release")
+
+
+def require_validated(record: DataFrame) -> DataFrame:
+    """The release record; any status but ``validated`` is an error."""
+    found = [r.status for r in record.select("status").limit(2).collect()]
+    if found != ["validated"]:
+        raise ValueError(f"the release's status is {found}, not validated")
+    return record
+
+
+def provenance(record: DataFrame, release_path: str, commit: str | None = None) -> DataFrame:
+    """What a training run notes about its dataset: place, name, status, hash, commit and counts."""
+    return record.select(F.lit(release_path).alias("dataset_release"), F.col("name").alias("release_name"), F.col("status").alias("dataset_status"), "manifest_hash", F.lit(commit).alias("git_commit"), F.col("n_train").alias("train_count"), F.col("n_val").alias("val_count"))
+
+
+def generated_path(root: Column, split: Column, bucket: Column, variant: Column, stem: Column, index: Column, folder: str = "images") -> Column:
+    """Where the result of a job goes; slashes of a variant's name are replaced."""
+    return F.format_string(f"%s/%s/%s/{folder}/%s_aug_%04d_%s.png", root, split, bucket, stem, index, F.replace(variant, F.lit("/"), F.lit("_")))
+
+
+def comparison_path(root: Column, split: Column, bucket: Column, variant: Column, stem: Column, index: Column) -> Column:
+    """Where the picture of a result beside its source goes."""
+    return F.format_string("%s/comparison_pairs/%s/%s/%s_pair_%04d_%s.png", root, split, bucket, stem, index, F.replace(variant, F.lit("/"), F.lit("_")))

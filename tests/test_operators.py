@@ -218,8 +218,8 @@ def test_detector_and_release(spark, tmp_path):
     assert row.status == "draft" and all(k in row.errors for k in ("trigger", "group_id overlap", "leaked"))
     a, b = release.content_hash(out["samples"]).first(), release.content_hash(out["samples"].repartition(7)).first()
     assert a == b
-    sinks.release_metadata(out["samples"].withColumn("crop_path", F.concat(F.lit("/x/"), F.col("image_id"))), spark.createDataFrame([("/x/3",)], "crop_path string"), str(tmp_path / "meta"))
-    assert spark.read.json(str(tmp_path / "meta")).count() == 1
+    sinks.release_metadata(out["samples"].withColumn("crop_path", F.concat(F.lit("/x/"), F.col("image_id"))).withColumn("sample_id", text.stable_id(F.lit("r"), F.col("image_id"))), spark.createDataFrame([("/x/3",)], "crop_path string"), str(tmp_path / "meta"))
+    assert [r.file_name for r in spark.read.json(str(tmp_path / "meta")).collect()] == ["images/r_3.jpg"]
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert math.isclose(one(spark, scores.perspective_scale(F.lit(512 * 0.68)).alias("x")).x, 0.5)
 
