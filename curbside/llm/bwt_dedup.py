@@ -6,10 +6,11 @@ are taken in cells, never parting the pieces of one anchor, and a cell in
 shards. Each shard's suffixes are sorted by themselves, which gives its
 transform. The shards are then merged by refining an interleave: a list that
 says, for each rank of the merged order, from which shard its suffix comes.
-Each round sorts it stably by
-the two symbols before the suffixes, read from the transforms, and so extends
-the prefixes it is sorted by by two symbols; no suffix is compared or sorted
-again. Borders between ranks with different prefixes are carried along. After
+Each round sorts it stably by the two symbols before the suffixes, read from the
+transforms, and so extends the prefixes it is sorted by by two symbols; no
+suffix is compared or sorted again. Borders between ranks with different
+prefixes are carried along. A rank that stands alone between two borders stays
+alone, as do the ranks that come from it, and is left out from there on. After
 half as many rounds as the window has bytes, the ranks between two borders are
 the suffixes with a common prefix of a whole window: the repeated intervals.
 
@@ -62,40 +63,54 @@ def shard_order(text: np.ndarray, depth: int) -> np.ndarray:
 def merged_classes(shards: list[np.ndarray], depth: int) -> list[np.ndarray]:
     """For each shard and each place in it, the class of the suffix there by its first ``depth`` symbols.
 
-    Shards are texts of symbols 1 to 255, each piece ended by a zero. Classes are
-    numbered in the order of the merged suffix array.
+    Shards are texts of symbols 1 to 255, each piece ended by a zero. Classes of
+    several suffixes are numbered in the order of the merged suffix array; a
+    suffix that is alone in its class has a negative number of its own.
     """
     orders = [shard_order(s, depth) for s in shards]
-    codes = []
-    for text, order in zip(shards, orders, strict=True):
+    edges = np.concatenate([[0], np.cumsum([len(o) for o in orders])])
+    codes, steps, first_steps = [], [], []
+    for text, order, base in zip(shards, orders, edges, strict=False):
         ends = np.flatnonzero(text == 0)
         before = np.arange(-1, len(text) - 1)
         before[np.append(0, ends[:-1] + 1)] = ends  # a piece is read as a ring
         one = text[before]
-        codes.append(((one[before].astype(np.uint16) << np.uint16(8)) | one)[order])
-    code = np.concatenate(codes)
-    n, sizes = len(code), np.asarray([len(c) for c in codes])
-    shard_of = np.repeat(np.arange(len(shards)), sizes).astype(np.uint8 if len(shards) < 256 else np.uint16)
-    at = np.arange(n)  # rank in the merged order -> place in the shards' orders, one after the other
+        code = ((one[before].astype(np.uint16) << np.uint16(8)) | one)[order]
+        codes.append(code)
+        steps.append(_backward(code, base))
+        if depth % 2:
+            first_steps.append(_backward(code & 0xFF, base))
+    code, step = np.concatenate(codes), np.concatenate(steps)
+    n = len(code)
+    at = np.arange(n, dtype=np.int32)  # rank in the merged order -> place in the shards' orders, one after the other
     block = np.zeros(n, np.int32)
-    for step in range(-(-depth // 2)):
-        symbol = code[at] & 0xFF if depth % 2 and not step else code[at]  # an odd depth begins with one symbol
+    for k in range(-(-depth // 2)):
+        odd = depth % 2 and not k  # an odd depth begins with one symbol
+        symbol = code[at] & 0xFF if odd else code[at]
         to = np.argsort(symbol, kind="stable")
-        symbol, old, interleave = symbol[to], block[to], shard_of[at[to]]
-        border = np.zeros(n, bool)
-        border[1:] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        block = np.cumsum(border, dtype=np.int32)
-        at[np.argsort(interleave, kind="stable")] = np.arange(n)  # the k-th rank of a shard is the k-th of its order
-    out, edges = np.empty(n, np.int32), np.concatenate([[0], np.cumsum(sizes)])
+        symbol, old = symbol[to], block[to]
+        border = np.ones(len(to) + 1, bool)
+        border[1:-1] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
+        several = ~(border[:-1] & border[1:])
+        block = np.cumsum(border[:-1], dtype=np.int32)[several]
+        at = (np.concatenate(first_steps) if odd else step)[at[to[several]]]
+    out = -1 - np.arange(n)
     out[at] = block
     found = []
-    for i, order in enumerate(orders):
-        classes = np.empty(len(order), np.int32)
-        classes[order] = out[edges[i] : edges[i + 1]]
+    for order, base in zip(orders, edges, strict=False):
+        classes = np.empty(len(order), np.int64)
+        classes[order] = out[base : base + len(order)]
         found.append(classes)
     return found
 
 
+def _backward(symbol: np.ndarray, base: int) -> np.ndarray:
+    """For each place of a shard's order that of the suffix which begins with the symbols before it: a stable sort by these, inverted."""
+    out = np.empty(len(symbol), np.int32)
+    out[np.argsort(symbol, kind="stable")] = np.arange(base, base + len(symbol))
+    return out
+
+
 def find(group: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
     """Least id of the pieces that have each window."""
     size = np.diff(bounds)
@@ -116,9 +131,11 @@ def find(group: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, ids: np.ndar
             shards.append(text)
         classes = np.concatenate([c[p] for c, p in zip(merged_classes(shards, window), places, strict=True)])
         holders = np.concatenate(who)
-        least = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, classes, holders)
-        out[outs[a] : outs[b]] = least[classes]
+        shared = classes >= 0
+        least = np.full(int(classes.max(initial=0)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, classes[shared], holders[shared])
+        holders[shared] = least[classes[shared]]
+        out[outs[a] : outs[b]] = holders
     return out
 
 

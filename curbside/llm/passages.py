@@ -40,11 +40,11 @@ from curbside.llm.word_hashes import WordHashes
 from curbside.runtime import cut, scratch
 
 #: Bytes of text that are worked on at one time, that a file holds, and whose pieces a part gets, about.
-BLOCK, FILE, PART = 2 << 20, 32 << 20, 16 << 20
+BLOCK, FILE, PART = 2 << 20, 16 << 20, 16 << 20
 #: Spark partitions at most that parts are dealt to; a task takes its parts one by one.
 MOST_PARTITIONS = 20_000
 #: Bytes, about, in which frequent kinds of grams are looked for, and the share from which a kind is frequent.
-SAMPLE, FREQUENT = 32 << 20, 2e-5
+SAMPLE, FREQUENT = 32 << 20, 5e-6
 #: The id that stands for a null id: never smaller than another.
 NO_ID = np.iinfo(np.int64).max
 
