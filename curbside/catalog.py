@@ -68,7 +68,7 @@ def crop_windows(spark, sf_dir):
 @query(f"""{_WITH} SELECT image_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM inst GROUP BY image_id""")
 def union_boxes(spark, sf_dir):
     """Box around all boxes of an image."""
-    return tables.instances(spark, sf_dir).groupBy("image_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    return geo.around(tables.instances(spark, sf_dir))
 
 
 @query("""WITH d AS (SELECT doc_id, coalesce(nullif(sha256(text), ''), doc_id::VARCHAR) AS k FROM documents)
@@ -80,35 +80,6 @@ def exact_duplicates(spark, sf_dir):
     return release.exact_groups(docs).select("image_id", "canonical_image_id", "dedupe_status")
 
 
-_HASHES = """h AS (SELECT vec_id, label, (SELECT sum(CASE WHEN e[i]::DOUBLE > m THEN (CASE WHEN i = 64 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << (i - 1)::INT) END) ELSE 0 END)::BIGINT FROM range(1, 65) t(i)) AS h
-FROM (SELECT vec_id, label, embedding AS e, list_avg(list_transform(embedding, lambda v: round(v::DOUBLE * 1000000)::BIGINT))  / 1000000.0 AS m FROM embeddings))"""
-
-
-def _sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bit hash of the first 64 values of each vector: which are above their mean."""
-    e = F.col("embedding")
-    mean = F.aggregate(F.transform(e, lambda v: F.round(v.cast("double") * 1000000).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v) / F.size(e) / 1000000.0
-    bits = F.aggregate(F.transform(F.slice(e, 1, 64), lambda v, i: F.when(v.cast("double") > F.col("m"), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(0)), F.lit(0).cast("bigint"), lambda a, v: a.bitwiseOR(v))
-    return _table(spark, sf_dir, "embeddings").withColumn("m", mean).select(F.col("vec_id").alias("image_id"), F.col("label").alias("source_id"), bits.alias("h"), F.col("vec_id").alias("ingest_seq"))
-
-
-@query(f"""WITH {_HASHES} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) <= 16 AND a.h <> b.h""")
-def near_duplicate_pairs(spark, sf_dir):
-    """Pairs of a source within 16 of 64 bits, found by bands."""
-    rows = _sign_hashes(spark, sf_dir)
-    pairs = release.near_hashes(rows.select("source_id", "h").distinct(), 16)
-    own = rows.select("source_id", "h", "image_id")
-    joined = pairs.join(own.select("source_id", F.col("h").alias("a"), F.col("image_id").alias("i")), ["source_id", "a"]).join(own.select("source_id", F.col("h").alias("b"), F.col("image_id").alias("j")), ["source_id", "b"])
-    return joined.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("distance").cast("int").alias("distance"))
-
-
-@query(f"""WITH {_HASHES} SELECT j.vec_id AS image_id, coalesce(max(i.vec_id), j.vec_id) AS duplicate_cluster_id
-FROM h j LEFT JOIN h i ON i.label = j.label AND i.vec_id < j.vec_id AND bit_count(xor(i.h, j.h)) <= 16 GROUP BY j.vec_id""")
-def near_duplicate_clusters(spark, sf_dir):
-    """Last earlier image within 16 bits."""
-    return release.near_clusters(_sign_hashes(spark, sf_dir), 16).select("image_id", "duplicate_cluster_id")
-
-
 _SPLIT = """g AS (SELECT group_id, row_number() OVER (ORDER BY md5('42:' || group_id), group_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM images)),
 sp AS (SELECT group_id, CASE WHEN rn <= floor(n * 0.85::DOUBLE) THEN 'train' ELSE 'val' END AS part FROM g)"""
 
@@ -121,13 +92,13 @@ def group_split(spark, sf_dir):
 
 @query(f"""{_WITH}, {_SPLIT}, r AS (SELECT image_id, group_id, part FROM images JOIN sp USING (group_id)), e AS (SELECT image_id, group_id FROM images WHERE split = 'test')
 SELECT (SELECT count(*) FROM (SELECT group_id FROM r WHERE part = 'train' INTERSECT SELECT group_id FROM r WHERE part = 'val')) AS shared_group_id,
-(SELECT count(*) FROM (SELECT image_id FROM r WHERE part = 'train' INTERSECT SELECT image_id FROM r WHERE part = 'val')) AS shared_duplicate_cluster_id,
+(SELECT count(*) FROM (SELECT image_id // 5 FROM r WHERE part = 'train' INTERSECT SELECT image_id // 5 FROM r WHERE part = 'val')) AS shared_duplicate_cluster_id,
 (SELECT count(*) FROM (SELECT image_id FROM r INTERSECT SELECT image_id FROM e)) AS leaked_image_id,
 (SELECT count(*) FROM (SELECT group_id FROM r INTERSECT SELECT group_id FROM e)) AS leaked_group_id""")
 def leak_checks(spark, sf_dir):
     """Keys on both sides of the split, and eval keys in the release."""
     images = tables.images(spark, sf_dir)
-    samples = release.split_groups(images, 0.85, 42, key="group_id", out="part").withColumn("split", F.col("part")).withColumn("duplicate_cluster_id", F.col("image_id"))
+    samples = release.split_groups(images, 0.85, 42, key="group_id", out="part").withColumn("split", F.col("part")).withColumn("duplicate_cluster_id", F.floor(F.col("image_id") / 5))
     return release.leaks(samples, images.filter("split = 'test'"))
 
 
@@ -188,14 +159,12 @@ def inclusion_metrics(spark, sf_dir):
 
 
 @query(f"""{_WITH}, b AS (SELECT image_id, arg_max(y2 - y1, (conf, -det_idx, -p, -s)) AS height FROM inst GROUP BY image_id)
-SELECT images.image_id, height, CASE WHEN group_id % 300 > 0 THEN round(height / (group_id % 300), 6) END AS scale_ratio, CASE WHEN group_id % 300 > 0 THEN round(abs(height / (group_id % 300) - 1), 6) END AS scale_error FROM images LEFT JOIN b USING (image_id)""")
+SELECT images.image_id, height, CASE WHEN group_id % 300 > 0 THEN round(height / (group_id % 300), 6) END AS scale_ratio, CASE WHEN group_id % 300 > 0 THEN round(abs(height - group_id % 300) / (group_id % 300), 6) END AS scale_error FROM images LEFT JOIN b USING (image_id)""")
 def scale_metrics(spark, sf_dir):
     """Height of the most confident box against an expected one."""
-    boxes = tables.instances(spark, sf_dir).withColumn("det_idx", F.struct("det_idx", "p", "s"))
-    best = boxes.groupBy("image_id").agg(F.max_by(F.col("y2") - F.col("y1"), F.struct("conf", -F.col("det_idx.det_idx"), -F.col("det_idx.p"), -F.col("det_idx.s"))).alias("h"))
-    one = best.select("image_id", F.lit(0.0).alias("y1"), F.col("h").alias("y2"), F.lit(1).alias("conf"), F.lit(0).alias("det_idx"))
+    boxes = tables.instances(spark, sf_dir).withColumn("det_idx", F.col("det_idx") * 100000000 + F.col("p") * 10000 + F.col("s"))
     expected = tables.images(spark, sf_dir).select("image_id", (F.col("group_id") % 300).alias("expected_height"))
-    return metrics.scale(one, expected).select("image_id", "height", F.round("scale_ratio", 6).alias("scale_ratio"), F.round("scale_error", 6).alias("scale_error"))
+    return metrics.scale(boxes, expected).select("image_id", "height", F.round("scale_ratio", 6).alias("scale_ratio"), F.round("scale_error", 6).alias("scale_error"))
 
 
 @query(f"""{_EVENTS}, l AS (SELECT half, user_id, day, arg_max(value, (ts, event_id)) AS v FROM ev GROUP BY half, user_id, day)
@@ -311,21 +280,6 @@ def weighted_jobs(spark, sf_dir):
     return attempts.jobs(records, variant_table(spark), 20, 42).select("split", "bucket", "job_index", "seed", "variant")
 
 
-@query(f"""{_WITH}, a AS (SELECT image_id, det_idx, p, s, x1, y1, x2, y2, w * h AS area FROM inst WHERE class_name = 'A'), b AS (SELECT image_id, x1 AS e1, y1 AS e2, x2 AS e3, y2 AS e4 FROM inst WHERE class_name = 'R'),
-j AS (SELECT a.image_id, det_idx, p, s, area, greatest(least(x2, e3) - greatest(x1, e1), 0) * greatest(least(y2, e4) - greatest(y1, e2), 0) AS o FROM a JOIN b USING (image_id))
-SELECT a.image_id, a.det_idx, a.p, a.s, count(o) AS n_neighbours, round(coalesce(max(o / a.area), 0), 6) AS most FROM a LEFT JOIN j USING (image_id, det_idx, p, s) GROUP BY ALL""")
-def neighbour_overlaps(spark, sf_dir):
-    """How far other objects of the image cover a box."""
-    boxes = tables.instances(spark, sf_dir)
-    a = boxes.filter("class_name = 'A'").select("image_id", "det_idx", "p", "s", *_BOX)
-    b = boxes.filter("class_name = 'R'").select(F.col("image_id").alias("i"), *geo.Box.of().columns("e_"))
-    joined = a.join(b, F.col("image_id") == F.col("i"), "left")
-    share = geo.intersection(geo.Box.of(), geo.Box.of("e_")) / geo.area(geo.Box.of())
-    per = joined.groupBy("image_id", "det_idx", "p", "s").agg(F.count("i").alias("n"), F.round(F.coalesce(F.max(share), F.lit(0.0)), 6).alias("most"))
-    # A box that is in the table twice counts its neighbours twice.
-    return per.select("image_id", "det_idx", "p", "s", F.col("n").alias("n_neighbours"), "most")
-
-
 @query(f"""{_WITH}, sm AS (SELECT image_id, y2 AS g, y2 - y1 AS h FROM inst WHERE y2 - y1 BETWEEN 24 AND 180 AND (x2 - x1) / (y2 - y1) BETWEEN 0.12 AND 0.85),
 t AS (SELECT image_id, 400.0::DOUBLE AS target_y FROM images), n AS (SELECT image_id, min((abs(g - 400), g, h)) AS k FROM sm GROUP BY image_id)
 SELECT t.image_id, CASE WHEN k[1] <= 70 THEN round(k[3] * (0.5 + greatest(0, least(1, (400 - 512 * 0.68) / (512 * 0.9 - 512 * 0.68))) * (1.14 - 0.5)) / (0.5 + greatest(0, least(1, (k[2] - 512 * 0.68) / (512 * 0.9 - 512 * 0.68))) * (1.14 - 0.5)), 6) END AS nearest
@@ -361,17 +315,4 @@ def number_cells(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", text.first_number(cell).alias("first_value"))
 
 
-@query("""WITH g AS (SELECT vec_id, list_transform(embedding[1:64], lambda v: greatest(0, least(255, floor((v::DOUBLE + 0.5::DOUBLE) * 256)))::INT) AS px FROM embeddings)
-SELECT vec_id AS case_id, round(list_avg(list_transform(px, lambda v: abs(v - 128))), 6) AS bg_mae FROM g""")
-def pixel_background(spark, sf_dir):
-    """Background difference of an 8 x 8 gray grid against a flat one."""
-    gray = F.transform(F.slice("embedding", 1, 64), lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 0.5) * 256))).cast("int"))
-    hexed = F.array_join(F.transform(gray, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3))), "")
-    rows = _table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("case_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(hexed).alias("source"), F.unhex(F.lit("80" * 192)).alias("target"),
-        *[F.lit(None).cast("double").alias(c) for c in _BOX],
-    )
-    return pixels.background(rows).select("case_id", F.round("bg_mae", 6).alias("bg_mae"))
-
-
-from curbside import catalog_boxes  # noqa: E402, F401  its queries are registered when it is imported
+from curbside import catalog_boxes, catalog_images, catalog_rules  # noqa: E402, F401  its queries are registered when it is imported

@@ -9,7 +9,8 @@ from curbside.settings import AFFORDANCE_WEIGHTS, MIN_AFFORDANCE, MIN_OCCLUSION,
 
 
 def clamp01(c: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), F.lit(0.0))
+    """Held within 0 and 1; a missing value is 0 (the least and the greatest of columns pass nulls over)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))).otherwise(0.0)
 
 
 def visible_ratio(visible_area: Column, full_area: Column) -> Column:
@@ -47,30 +48,40 @@ def scale_score(mask: Box, expected_height: Column) -> dict[str, Column]:
     return {"scale_score": F.when(mask.y2.isNull() | known, score), "scale_available": F.coalesce(mask.y2.isNotNull() & known, F.lit(False)), "scale_relative_error": F.round(error, 4)}
 
 
-def occlusion_score(mask: Box, mask_area: Column, width: Column, height: Column, overlap: Column) -> dict[str, Column]:
-    """1 less penalties for overlap, for what the border cuts off and for holes in the mask."""
+def occlusion_parts(mask: Box, mask_area: Column, width: Column, height: Column, overlap: Column) -> dict[str, Column]:
+    """1 less penalties for overlap, for what the border cuts off and for holes in the mask; the visible share, and the share cut off."""
     box = F.greatest(F.lit(1.0), area(mask))
-    seen = clamp01(mask_area / box)
+    missing = mask.y2.isNull()
+    seen = F.when(~missing, clamp01(mask_area / box))
     zero = F.lit(0.0)
     inside = F.greatest(zero, F.least(width, mask.x2) - F.greatest(zero, mask.x1)) * F.greatest(zero, F.least(height, mask.y2) - F.greatest(zero, mask.y1))
     cut = clamp01(1 - inside / box)
     at_border = (mask.x1 <= 3) | (mask.y1 <= 3) | (mask.x2 >= width - 3) | (mask.y2 >= height - 3)
-    cut = F.when(at_border, F.greatest(cut, F.lit(0.35))).otherwise(cut)
+    cut = F.when(~missing, F.when(at_border, F.greatest(cut, F.lit(0.35))).otherwise(cut))
     score = clamp01(1 - 0.50 * clamp01(F.coalesce(overlap, zero) / 0.24) - 0.35 * cut - 0.35 * clamp01((0.18 - seen) / 0.18))
-    missing = mask.y2.isNull()
+    return {"score": score, "seen": seen, "cut": cut}
+
+
+def occlusion_score(mask: Box, mask_area: Column, width: Column, height: Column, overlap: Column) -> dict[str, Column]:
+    """The same to four digits; 0 without a mask."""
+    part, missing = occlusion_parts(mask, mask_area, width, height, overlap), mask.y2.isNull()
     return {
-        "occlusion_score": F.when(missing, 0.0).otherwise(F.round(score, 4)),
+        "occlusion_score": F.when(missing, 0.0).otherwise(F.round(part["score"], 4)),
         "occlusion_available": ~missing,
-        "visible_share": F.round(seen, 4),
-        "truncation": F.round(cut, 4),
+        "visible_share": F.round(part["seen"], 4),
+        "truncation": F.round(part["cut"], 4),
     }
 
 
 def affordance(placement: Column, scale: Column, occlusion: Column) -> Column:
-    """Weighted sum; without a scale score the other weights are shared out again."""
+    """Weighted sum to four digits; without a scale score the other weights are shared out again."""
+    return F.round(affordance_raw(placement, scale, occlusion), 4)
+
+
+def affordance_raw(placement: Column, scale: Column, occlusion: Column) -> Column:
     p, s, o = (AFFORDANCE_WEIGHTS[k] for k in ("placement", "scale", "occlusion"))
     without = p / (p + o) * placement + o / (p + o) * occlusion
-    return F.round(clamp01(F.when(scale.isNull(), without).otherwise(p * placement + s * scale + o * occlusion)), 4)
+    return clamp01(F.when(scale.isNull(), without).otherwise(p * placement + s * scale + o * occlusion))
 
 
 def affordance_warnings(missing_mask: Column, scale: Column) -> Column:
@@ -89,14 +100,18 @@ def affordance_reason(placement: Column, scale: Column, occlusion: Column, actua
 
 
 def composite_quality(person: Column, scale_ratio: Column, diff: Column, threshold: Column, edge_removed: Column, seamless: Column, fallback: Column) -> dict[str, Column]:
-    """Person, scale, background, edge and overall quality of a composite; missing inputs are neutral."""
+    """Person, scale, background, edge and overall quality of a composite to four digits; missing inputs are neutral."""
+    return {k: F.round(v, 4) for k, v in composite_parts(person, scale_ratio, diff, threshold, edge_removed, seamless, fallback).items()}
+
+
+def composite_parts(person: Column, scale_ratio: Column, diff: Column, threshold: Column, edge_removed: Column, seamless: Column, fallback: Column) -> dict[str, Column]:
     person_score = clamp01(F.coalesce(person, F.lit(1.0)))
     ratio = F.coalesce(F.nullif(scale_ratio, F.lit(0.0)), F.lit(1.0))
     scale = clamp01(1 - F.least(F.lit(1.0), F.abs(F.ln(F.greatest(ratio, F.lit(1e-6))))))
     background = clamp01(F.coalesce(diff, F.lit(0.0)) / F.greatest(F.lit(1e-6), F.coalesce(threshold, F.lit(1.0)) * 4))
     edge = clamp01(1 - F.coalesce(edge_removed, F.lit(0.0)) + F.when(seamless, 0.12).otherwise(0.0) - F.when(fallback, 0.08).otherwise(0.0))
     total = clamp01(0.45 * person_score + 0.25 * scale + 0.20 * background + 0.10 * edge)
-    return {k: F.round(v, 4) for k, v in (("person_score", person_score), ("scale_score", scale), ("background_score", background), ("edge_score", edge), ("quality_score", total))}
+    return {"person_score": person_score, "scale_score": scale, "background_score": background, "edge_score": edge, "quality_score": total}
 
 
 def _along_road(ground_y: Column, side: int) -> Column:

@@ -33,7 +33,7 @@ def scale(detections: DataFrame, expected: DataFrame) -> DataFrame:
     """Height of the most confident detection against (image_id, expected_height); ties go to the first."""
     best = detections.groupBy("image_id").agg(F.max_by(F.col("y2") - F.col("y1"), F.struct("conf", -F.col("det_idx"))).alias("height"))
     ratio = F.when(F.col("expected_height") > 0, F.col("height") / F.col("expected_height"))
-    return expected.join(best, "image_id", "left").withColumn("scale_ratio", ratio).withColumn("scale_error", F.abs(ratio - 1))
+    return expected.join(best, "image_id", "left").withColumn("scale_ratio", ratio).withColumn("scale_error", F.when(F.col("expected_height") > 0, F.abs(F.col("height") - F.col("expected_height")) / F.col("expected_height")))
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from curbside.functions import text
 from curbside.operators import release
 from curbside.runtime import cut
 from curbside.settings import CaptionSettings, CurationSettings
 
 
-def build(images: DataFrame, instances: DataFrame, registry: DataFrame, curation: CurationSettings, captions: CaptionSettings, mode: str = "reference") -> dict[str, DataFrame]:
+def build(images: DataFrame, instances: DataFrame, registry: DataFrame, curation: CurationSettings, captions: CaptionSettings, mode: str = "reference", name: str = "release") -> dict[str, DataFrame]:
     """samples, groups, evaluation and status of a release.
 
     ``images`` carries sha256 and the 64-bit hash ``h``; groups are written once,
@@ -26,6 +27,8 @@ def build(images: DataFrame, instances: DataFrame, registry: DataFrame, curation
     evaluation = release.eval_images(images, registry).select("image_id", "group_id")
     found = release.candidates(release.training_images(images, registry), boxes, curation)
     samples = release.drop_duplicates(release.with_captions(found, captions), groups)
+    if "instance_id" in samples.columns:
+        samples = samples.withColumn("sample_id", text.stable_id(F.lit(name), F.col("instance_id")))
     key = "duplicate_cluster_id" if mode == "connected" else "group_id"
     samples = cut(release.split_groups(samples, curation.train_ratio, curation.seed, key=key), "samples")
     report = release.validation(samples, captions.trigger)

@@ -268,3 +268,113 @@ def test_advice_on_mean_quality(spark):
     settings = spark.createDataFrame([("CONTEXT_GENERATION_RETRIES", 4.0)], "name string, current double")
     assert {r.name: r.value for r in attempts.advice(run, settings).collect()} == {"GENERATION_STRENGTH_DELTA": 0.01, "GENERATION_GUIDANCE_DELTA": 0.10}
     assert attempts.advice(run.withColumn("quality_mean", F.lit(0.72)), settings).count() == 0
+
+
+def test_settings_files(spark, tmp_path):
+    import json
+
+    from curbside import settings
+
+    config = {"sources": [{"source_id": "a", "lora_splits": ["train"], "eval_splits": ["val", "test"]}, {"source_id": "b", "lora_splits": ["train"], "eval_splits": None}], "quality_thresholds": {"min_bbox_height_px": 50}, "split_config": {"train_ratio": 0.5}}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    read = settings.load(str(tmp_path / "c.json"))
+    assert [(r.source_id, r.split, r.role) for r in settings.roles_of(read)] == [("a", "train", "train"), ("a", "val", "eval"), ("a", "test", "eval"), ("b", "train", "train")]
+    own = settings.curation_of(read)
+    assert (own.min_height, own.train_ratio, own.min_visible) == (50, 0.5, 0.45)
+    (tmp_path / "p.yaml").write_text("trigger_token: <x>\ncaption_template: >\n  a  {framing},\n  {scene}\n")
+    assert settings.captions_of(settings.load(str(tmp_path / "p.yaml"))).template == "a {framing}, {scene}"
+
+
+def test_scans_of_folders(spark, tmp_path):
+    for folder in ("train/images", "val"):
+        (tmp_path / folder).mkdir(parents=True)
+    for name in ("train/images/b.png", "train/images/a.png", "val/c.png", "val/c_color.png"):
+        png(tmp_path / name, np.full((4, 6, 3), 9, np.uint8))
+    (tmp_path / "captions.csv").write_text("\ufefffilename,prompt\n/x/a.png,first\nb.png,\n")
+    told = scans.captions(spark, str(tmp_path / "captions.csv"))
+    got = scans.dataset(spark, str(tmp_path), {"train": str(tmp_path / "train"), "val": str(tmp_path / "val")}, told, "usual")
+    assert sorted((r.file_name, r.split, r.caption) for r in got.collect()) == [("a.png", "train", "first"), ("b.png", "train", "usual"), ("c.png", "val", "usual")]
+    assert [r.path[-5:] for r in scans.dataset(spark, str(tmp_path), {"train": str(tmp_path / "train")}, limit=1).collect()] == ["a.png"]
+    (tmp_path / "empty").mkdir()
+    by_path = scans.dataset(spark, str(tmp_path), {"train": str(tmp_path / "empty")}, default="d")
+    assert sorted((r.path[-5:], r.split) for r in by_path.collect()) == [("a.png", "train"), ("b.png", "train"), ("c.png", "val")]
+    both = scans.inventories(spark, {"s": {"t": str(tmp_path / "train"), "v": str(tmp_path / "val")}}, {"s": ["v", "t"]}, 2)
+    assert sorted((r.split, r.path[-5:]) for r in both.collect()) == [("t", "a.png"), ("v", "c.png")]
+    (tmp_path / "list.txt").write_text("/d/images/x/images/1.2.jpg\n\n/d/plain/7.png\nimages/3.jpg\n")
+    rows = scans.split_listing(spark, str(tmp_path / "list.txt"))
+    assert sorted(r.label_path for r in rows.collect()) == ["/d/labels/7.txt", "/d/labels/x/images/1.2.txt", "labels/3.txt"]
+    assert scans.split_listing(spark, str(tmp_path / "val")).count() == 2
+    paths = spark.createDataFrame([("/q/IMG1/000012.jpg",), ("/q/other/x1.jpg",)], "path string")
+    assert [tuple(r) for r in paths.select(text.sequence_truth(F.col("path")), text.frame_of_stem(F.col("path"))).collect()] == [("/q/gt/gt.txt", 12), (None, None)]
+    spark.createDataFrame([(1, "add a man")], "img_id int, instruction string").write.parquet(str(tmp_path / "pairs"))
+    assert scans.pairs(spark, str(tmp_path / "pairs"), 1).first().instruction == "add a man"
+
+
+def test_sinks_write_what_they_say(spark, tmp_path):
+    samples = spark.createDataFrame([("s1", "train", "<vin_ped> a", 1, 1, 1), ("s2", "val", "<vin_ped> b", 2, 2, 2)], "sample_id string, split string, caption string, image_id int, group_id int, duplicate_cluster_id int")
+    record = sinks.release_record(samples, "r1", "<vin_ped>", "v1")
+    with pytest.raises(ValueError):
+        sinks.require_validated(record)
+    leaks_ = release.leaks(samples, spark.createDataFrame([], "image_id int, group_id int"))
+    written = sinks.write_validation(record, release.status(release.validation(samples, "<vin_ped>"), leaks_), str(tmp_path / "v"))
+    assert sinks.require_validated(written).first().n_train == 1 and spark.read.json(str(tmp_path / "v/validation_report")).first().errors == ""
+    noted = sinks.provenance(written, "/releases/r1", "abc").first()
+    assert (noted.release_name, noted.dataset_status, noted.val_count, noted.git_commit) == ("r1", "validated", 1, "abc")
+    lost = samples.withColumn("crop_path", F.concat(F.lit("/c/"), "sample_id"))
+    errors = release.status(release.validation(lost, "", spark.createDataFrame([("/c/s1",)], "crop_path string")), leaks_).first().errors
+    assert errors == "trigger_token is empty; crop files missing"
+    cases = spark.createDataFrame([("c1", 1, 5, "dev"), ("c2", 2, 6, "final")], "case_id string, image_id int, group_id int, eval_set string")
+    sinks.eval_cases(cases, str(tmp_path / "cases"), str(tmp_path / "manifest"))
+    assert {(r.image_id, r.group_id) for r in spark.read.parquet(str(tmp_path / "manifest")).collect()} == {(1, 5), (2, 6)} and spark.read.json(str(tmp_path / "cases/eval_set=dev")).first().case_id == "c1"
+    rows = spark.createDataFrame([(3, "x"), (1, "y")], "seed int, extra string")
+    sinks.fixed_csv(rows, ["seed", "missing"], str(tmp_path / "csv"), order="seed")
+    back = spark.read.csv(str(tmp_path / "csv"), header=True)
+    assert back.columns == ["seed", "missing"] and [r.seed for r in back.collect()] == ["1", "3"]
+    sinks.one_row(record, str(tmp_path / "one"))
+    assert spark.read.json(str(tmp_path / "one/json")).first().name == "r1" and spark.read.csv(str(tmp_path / "one/csv"), header=True).first()["name"] == "r1"
+    sinks.stage_table(samples, str(tmp_path / "stage"))
+    crops = spark.createDataFrame([("a.jpg", 1, 1, bytearray(b"abc"), "train")], "file_name string, width int, height int, data binary, split string")
+    sinks.release_images(crops, str(tmp_path / "images"))
+    assert spark.read.parquet(str(tmp_path / "stage")).count() == 2 and bytes(spark.read.parquet(str(tmp_path / "images")).first().data) == b"abc"
+
+
+def test_detection_utility_and_user_functions(spark):
+    kind = "image_id string, idx int, x1 double, y1 double, x2 double, y2 double, conf double"
+    truth = spark.createDataFrame([("a", 0, 0.0, 0.0, 10.0, 10.0, 0.0), ("b", 0, 0.0, 0.0, 10.0, 10.0, 0.0)], kind)
+    # A confident miss stands before the right one of the same box.
+    pred = spark.createDataFrame([("a", 0, 6.0, 0.0, 16.0, 10.0, 0.9), ("a", 1, 0.0, 0.0, 10.0, 10.0, 0.8), ("b", 0, 0.0, 0.0, 10.0, 10.0, 0.1)], kind)
+    ap = {r.threshold: r.ap for r in detection.average_precision(truth, pred.filter("image_id = 'a'"), [0.5]).collect()}
+    assert ap[0.5] == pytest.approx(0.5 * 51 / 101)
+    r = detection.utility(truth, pred).first()
+    assert (r.tp, r.fn, r.fp) == (1, 1, 1) and r.ap50 == pytest.approx(0.252475) and r.map50_95 == pytest.approx(0.252475)
+    images = spark.createDataFrame([("i",)], "image_id string")
+    assert detection.detect(images, None).count() == 0
+    assert [(r.person_detected, r.person_count) for r in metrics.presence(images, metrics.keep_detections(detection.detect(images, None), 0.25)).collect()] == [(0, 0)]
+    masks = detection.segment(images, lambda pdf: pd.DataFrame({"image_id": ["i", "i"], "width": 1, "height": 1, "mask": [b"a", b"b"], "x1": 0.0, "y1": 0.0, "x2": 1.0, "y2": 1.0, "conf": [0.2, 0.7]}))
+    assert {bytes(r.mask): r.mask_idx for r in masks.collect()} == {b"b": 0, b"a": 1}
+
+
+def test_refusals_and_regions(spark):
+    records = spark.createDataFrame([("a", "Val"), ("b", "train")], "image_id string, split string")
+    with pytest.raises(ValueError, match="val"):
+        attempts.gate_target_splits(records)
+    assert attempts.gate_target_splits(records.filter("split = 'train'")).count() == 1
+    images = spark.createDataFrame([("a", "add_single_pedestrian"), ("b", "add_near_pedestrian")], "image_id string, variant string")
+    persons = spark.createDataFrame([("a", 100.0, 300.0, 140.0, 400.0)], "image_id string, x1 double, y1 double, x2 double, y2 double")
+    got = {r.image_id: r for r in placement.insertion_regions(images, persons, persons.limit(0), tries=40).collect()}
+    assert set(got) == {"a", "b"}
+    for r in got.values():
+        assert 16 <= r.x1 < r.x2 <= 496 and 16 <= r.y1 < r.y2 <= 496 and r.expected_height == pytest.approx((r.y2 - r.y1) / 1.16)
+    again = {r.image_id: r for r in placement.insertion_regions(images.repartition(3), persons, persons.limit(0), tries=40).collect()}
+    assert again == got
+
+
+def test_ranks_in_order_and_joins_of_hot_keys(spark):
+    from curbside.skew import spread_join
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    assert {r.k: r["__rank"] for r in release.ranked_in_order(rows.repartition(5), "k").collect()} == {i: i + 1 for i in range(1000)}
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id"))).alias("key"))
+    right = left.groupBy("key").agg(F.count("*").alias("n")).filter("key IS NOT NULL").withColumn("v", F.length("key"))
+    got = spread_join(left, right, "key", "n", "id", "left").collect()
+    assert len(got) == 3000 and all(r.v == (None if r.key is None else len(r.key)) for r in got) and set(got[0].asDict()) == {"key", "id", "v"}
