@@ -21,7 +21,7 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Number of words as long. Counts word starts, without building the array twice."""
+    """Number of words as long: the size of the array that ``words`` makes."""
     return F.size(words(text)).cast("long")
 
 
