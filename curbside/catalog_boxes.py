@@ -11,8 +11,12 @@ from curbside.registry import BOX, KEYS, WITH, area_sql, clamp_sql, depth_sql, i
 from curbside.settings import ROAD_BAND, VARIANTS
 from curbside.sources import scans
 
-_N = [F.lit(n) for n in (640, 360)]
-_OTHER = geo.Box(*(F.lit(float(v)) for v in (100, 120, 400, 420)))
+
+
+def _size() -> list:
+    return [F.lit(n) for n in (640, 360)]
+
+
 _SHIFTED = "SELECT image_id, det_idx, p, s, x1 + 0.5 AS x1, y1 - 0.25 AS y1, x2 + 0.5 AS x2, y2 + 0.75 AS y2 FROM inst"
 
 
@@ -50,8 +54,8 @@ round_even((x1 - qx) * 512 / side, 0) AS i_x1, round_even((y1 - qy) * 512 / side
 def box_transforms(spark, sf_dir):
     """Clamped, cropped, dilated, grown, scaled and windowed boxes."""
     boxes, b = _shifted(spark, sf_dir), geo.Box.of()
-    window = geo.square_window(b, *_N)
-    made = {"c_": geo.clamp(b, *_N), "k_": geo.centre_crop(b, *_N, 512), "m_": geo.dilated(b, *_N), "e_": geo.with_context(b, 512), "d_": geo.scaled(b, *_N, 2.2), "s_": window, "i_": geo.into_window(b, window, 512)}
+    window = geo.square_window(b, *_size())
+    made = {"c_": geo.clamp(b, *_size()), "k_": geo.centre_crop(b, *_size(), 512), "m_": geo.dilated(b, *_size()), "e_": geo.with_context(b, 512), "d_": geo.scaled(b, *_size(), 2.2), "s_": window, "i_": geo.into_window(b, window, 512)}
     out = boxes.select(*KEYS, *[c for k, v in made.items() for c in v.columns(k)])
     return out.withColumns({c: F.col(c).cast("double") for c in out.columns if c[1:2] == "_" and c[0] in "ckedsi"})
 
@@ -66,8 +70,8 @@ SELECT image_id, det_idx, p, s, round(bo / greatest(one, 1), 6) AS of_own, round
 def overlaps_and_crops(spark, sf_dir):
     """Shares of a box and of a fixed one that both cover, and the size of the box's crop."""
     boxes, b = _shifted(spark, sf_dir), geo.Box.of()
-    own, other, smaller = geo.overlap_ratios(b, _OTHER)
-    window = geo.context_window(b, *_N, 0.25)
+    own, other, smaller = geo.overlap_ratios(b, geo.Box(*(F.lit(float(v)) for v in (100, 120, 400, 420))))
+    window = geo.context_window(b, *_size(), 0.25)
     w, h = geo.crop_size(window, 200, 96)
     out = boxes.select(*KEYS, own.alias("of_own"), other.alias("of_other"), smaller.alias("of_smaller"), w.alias("crop_w"), h.alias("crop_h"), *window.columns("w"))
     return _rounded(_rounded(out, 6, "of_own", "of_smaller"), 7, "of_other").filter("wx2 - wx1 >= 8 AND wy2 - wy1 >= 8").drop("wx1", "wy1", "wx2", "wy2")
