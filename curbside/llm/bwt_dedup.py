@@ -24,6 +24,8 @@ to 65,000 bytes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -111,19 +113,18 @@ def _backward(symbol: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def find(group: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
-    """Least id of the pieces that have each window."""
-    size = np.diff(bounds)
+def find(group: np.ndarray, tokens: Callable[[int, int], np.ndarray], size: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """Least id of the pieces that have each window; ``tokens(a, b)`` are those of the pieces from a to b."""
     out = np.empty(int((size - window + 1).sum()), np.int64)
     outs = np.concatenate([[0], np.cumsum(size - window + 1)])
     for a, b in _cells(group, size + 1, CELL):
         shards, places, who = [], [], []
         for i, j in _cells(np.arange(a, b), size[a:b] + 1, SHARD):
             i, j = i + a, j + a
-            start = bounds[i:j] - bounds[i] + np.arange(j - i)
-            text = np.zeros(int(bounds[j] - bounds[i]) + j - i, np.uint8)
-            piece = np.repeat(np.arange(j - i), size[i:j])
-            text[np.arange(bounds[j] - bounds[i]) + piece] = tokens[bounds[i] : bounds[j]] + 1
+            own = tokens(i, j)
+            start = np.cumsum(size[i:j]) - size[i:j] + np.arange(j - i)
+            text = np.zeros(len(own) + j - i, np.uint8)
+            text[np.arange(len(own)) + np.repeat(np.arange(j - i), size[i:j])] = own + 1
             n = size[i:j] - window + 1
             first = np.cumsum(n) - n
             places.append(np.repeat(start - first, n) + np.arange(n.sum()))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from curbside.llm import files
 from curbside.llm.token_store import byte_pieces
-from curbside.llm.winnow import KINDS, gram_hashes, kinds_of, pieces, word_places, word_tokens
+from curbside.llm.winnow import KINDS, SEGMENT, gram_hashes, kinds_of, pieces, word_places, word_tokens
 from curbside.llm.word_hashes import WordHashes
 from curbside.runtime import cut, scratch
 
@@ -56,8 +56,8 @@ _REQUEST = np.dtype([("c", "<u4"), ("entry", "<u4"), ("n", "<u2")])
 _CLASS = np.dtype([("n", "<u2"), ("group", "<u4"), ("id", "<i8")])
 _HELD = np.dtype([("c", "<u4"), ("entry", "<u4"), ("id", "<i8")])
 
-#: (group of each piece, its tokens, their bounds, least id of each piece) -> least id of each window.
-Finder = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: (group of each piece, its tokens by range of pieces, their sizes, least id of each piece) -> least id of each window.
+Finder = Callable[[np.ndarray, Callable[[int, int], np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 
 
 def _batch(*columns) -> pa.RecordBatch:
@@ -187,7 +187,9 @@ class Passages:
             seen, known = np.zeros(KINDS, np.int64), WordHashes()
             for batch in batches:
                 for data, bounds in byte_pieces(batch.column("text"), BLOCK):
-                    seen += np.bincount(kinds_of(gram_hashes(self._tokens(data, bounds, known)[0], self.k)), minlength=KINDS)
+                    tokens = self._tokens(data, bounds, known)[0]
+                    for at in range(0, len(tokens), SEGMENT):
+                        seen += np.bincount(kinds_of(gram_hashes(tokens[at : at + SEGMENT + self.k - 1], self.k)), minlength=KINDS)
             some = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["kind", "n"])
 
@@ -338,7 +340,7 @@ class Passages:
         if not np.array_equal(c[order], np.arange(len(classes))):
             raise ValueError("each class needs its tokens once")
         start, size = start[order], size[order]
-        return self.find(classes["group"], flat[_ragged(start, size)], np.concatenate([[0], np.cumsum(size)]), classes["id"])
+        return self.find(classes["group"], lambda a, b: flat[_ragged(start[a:b], size[a:b])], size, classes["id"])
 
     def run(self, docs: DataFrame, report: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per document: ``report(ids, data, bounds, of, gone)`` makes the columns of ``schema`` for a block.
@@ -389,11 +391,11 @@ class Passages:
                     columns = report(*block, gone)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, types, strict=True)], schema=types)
 
-        by_part = dealt.repartition(partitions, "part").sortWithinPartitions("part", "uri")
+        by_part = dealt.repartitionById(partitions, F.col("part") % partitions).sortWithinPartitions("part", "uri")
         shared = cut(by_part.mapInArrow(share, _ROWS), "shared")
         asked = shared.filter(F.col("kind") == _REQUESTS).repartition(by_file, "uri").sortWithinPartitions("uri")
         told = asked.mapInArrow(fetch, _ROWS).unionByName(shared.filter(F.col("kind") == _PART))
-        answers = cut(told.repartition(partitions, "part").sortWithinPartitions("part", "kind").mapInArrow(settle, _ROWS), "answers")
+        answers = cut(told.repartitionById(partitions, F.col("part") % partitions).sortWithinPartitions("part", "kind").mapInArrow(settle, _ROWS), "answers")
         every = answers.unionByName(shared.filter(F.col("kind") == _FILE))
         return every.repartition(by_file, "uri").sortWithinPartitions("uri").mapInArrow(finish, schema)
 
@@ -421,8 +423,10 @@ class Passages:
                 hit = least[_ragged(start[entry[p]], n[p])] < np.asarray(own.fill_null(NO_ID)).astype(np.int64)[doc]
                 place, doc = place[hit], doc[hit]
                 token = of[doc] + place - (stops - windows)[doc]
-                step = np.bincount(token, minlength=of[-1] + 1) - np.bincount(token + self.window, minlength=of[-1] + 1)
-                yield (own, data, bounds, of), np.cumsum(step[:-1]) > 0
+                step = np.zeros(of[-1] + 1, np.int8)  # a token begins one window at most
+                step[token] = 1
+                step[token + self.window] -= 1
+                yield (own, data, bounds, of), np.cumsum(step[:-1], dtype=np.int32) > 0
                 at, base = at + m, base + stops[-1]
 
 

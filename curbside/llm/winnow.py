@@ -23,6 +23,8 @@ PIECE = np.dtype([("h", "<u8"), ("doc", "<u4"), ("first", "<i8"), ("n", "<u2")])
 _PLACE = np.uint64((1 << 24) - 1)
 #: Kinds of grams that are told apart as frequent or not.
 KINDS = 1 << 20
+#: Window starts that are worked on at one time.
+SEGMENT = 1 << 19
 
 
 def kinds_of(grams: np.ndarray) -> np.ndarray:
@@ -45,10 +47,21 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(tokens: np.ndarray, bounds: np.ndarray, window: int, k: int, late: np.ndarray | None = None) -> np.ndarray:
-    """The pieces of texts that lie one after the other, in their order; ``late`` marks the frequent kinds of grams."""
+    """The pieces of texts that lie one after the other, in their order; ``late`` marks the frequent kinds of grams.
+
+    Window starts are taken ``SEGMENT`` at a time, and a piece ends with its segment.
+    """
+    found = [np.zeros(0, PIECE)]
+    for at in range(0, len(tokens) - window + 1, SEGMENT):
+        to = min(len(tokens), at + SEGMENT + window - 1)
+        own = _pieces(tokens[at:to], np.clip(bounds, at, to) - at, window, k, late)
+        own["first"] += at
+        found.append(own)
+    return np.concatenate(found)
+
+
+def _pieces(tokens: np.ndarray, bounds: np.ndarray, window: int, k: int, late: np.ndarray | None) -> np.ndarray:
     n = len(tokens)
-    if n < window:
-        return np.zeros(0, PIECE)
     grams = gram_hashes(tokens, k)
     at = np.arange(len(grams), dtype=np.uint64)
     keyed = ((grams >> np.uint64(1)) & ~_PLACE) | (at & _PLACE)
@@ -90,8 +103,9 @@ def word_places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def word_tokens(data: np.ndarray, bounds: np.ndarray, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, bounds of the texts' words)."""
-    raw, of, hashes = data.tobytes(), [0], []
+    raw, sizes, found = data.tobytes(), [0], [np.zeros(0, np.uint64)]
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        hashes += map(known.__getitem__, raw[a:b].split())
-        of.append(len(hashes))
-    return np.asarray(hashes, np.uint64), np.asarray(of, np.int64)
+        words = raw[a:b].split()
+        sizes.append(len(words))
+        found.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(found), np.cumsum(sizes)

@@ -65,6 +65,7 @@ def made_up(seed):
 def test_both_against_brute_force(spark, sf_dir, seed, monkeypatch):
     monkeypatch.setattr("curbside.llm.passages.BLOCK", 600)
     monkeypatch.setattr("curbside.llm.passages.FILE", 3000)
+    monkeypatch.setattr("curbside.llm.winnow.SEGMENT", 700)
     rows = made_up(seed)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, kept string")
     got = bwt_dedup.remove_repeats(docs, 50, with_text=True).collect()
