@@ -123,6 +123,8 @@ def test_inventory(spark, tmp_path):
     assert got["broken.jpg"].sha256.startswith("2cf24dba") and got["broken.jpg"].sha256.endswith("9824")
     with pytest.raises(ValueError):
         scans.inventories(spark, {}, {"nowhere": ["train"]})
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc2\x00\x11\x08\x01\x02\x03\x04\x03rest"
+    assert scans.image_sides(jpeg) == (0x304, 0x102) and scans.image_sides(jpeg[:12]) == (0, 0) and scans.image_sides(b"") == (0, 0) and scans.image_sides(b"\xff\xd8\x00" * 9) == (0, 0)
 
 
 def test_near_hash_bands_equal_all_pairs(spark):
