@@ -173,3 +173,20 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 50)
+
+
+# Windows are compared as hexadecimal digits, two for each byte. Of a text's hits those that overlap or touch are one run.
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM win JOIN least USING (g) WHERE m < doc_id OR (doc_id IS NULL AND m IS NOT NULL)),
+run AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i - p > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM hit),
+span AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY r, k),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f FROM span),
+kept AS (
+  SELECT r, sum(b - a)::BIGINT AS n, count(*) AS k, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest
+  FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
+    "op1_suffix_dedup": bwt_dedup.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op3_quality": quality.OP3_SQL,
     "op4_substring_dedup": automaton_dedup.OP4_SQL,
