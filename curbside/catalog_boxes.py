@@ -99,7 +99,7 @@ def label_lines(spark, sf_dir):
 
 
 _MOT = f"""m AS (SELECT image_id % 50 AS seq, image_id AS frame, det_idx::BIGINT * 1000000000 + p * 10000 + s AS line_no, p AS track_id, (p % 600)::DOUBLE AS x, (s % 300)::DOUBLE AS y, (p % 41)::DOUBLE AS w, (s % 97)::DOUBLE AS h,
-CASE WHEN s % 3 = 0 THEN 0.0 ELSE 1.0 END AS conf, CASE WHEN p % 11 = 0 THEN 1 WHEN p % 2 = 0 THEN 7 ELSE 1 END AS cls, CASE WHEN p % 11 = 0 OR p % 5 = 0 THEN 1.0 ELSE (s % 10) / 10.0::DOUBLE END AS visibility FROM ({_ROWS}))"""
+(CASE WHEN s % 3 = 0 THEN 0.0 ELSE 1.0 END)::DOUBLE AS conf, CASE WHEN p % 11 = 0 THEN 1 WHEN p % 2 = 0 THEN 7 ELSE 1 END AS cls, CASE WHEN p % 11 = 0 OR p % 5 = 0 THEN 1.0 ELSE (s % 10) / 10.0::DOUBLE END AS visibility FROM ({_ROWS}))"""
 
 
 def _mot_lines(spark, sf_dir) -> DataFrame:

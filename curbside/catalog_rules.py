@@ -135,9 +135,9 @@ g AS (SELECT *, CASE WHEN variant IN ('add_distant_pedestrian', 'add_small_group
 k AS (SELECT *, a + 1 AS n FROM g WHERE NOT (a >= budget OR streak >= 2) AND CASE WHEN r IN ('mask_too_soft') THEN coalesce(share, 0) >= 0.0015 OR (se AND a = 0) OR NOT se WHEN r IN ('too_large_for_perspective', 'partial_or_cropped_x', 'something_else') THEN false WHEN contains(r, 'scale') AND has_ratio THEN a < 1 ELSE true END),
 t AS (SELECT *, CASE r WHEN 'low_person_conf' THEN least(0.84, 0.7 + 0.04 * n) WHEN 'not_enough_new_people' THEN least(0.86, 0.7 + 0.03 * n) WHEN 'partial_or_cropped' THEN greatest(0.62, 0.7 - 0.03 * n) ELSE least(0.80, 0.7 + 0.02 * n) END AS st,
  CASE r WHEN 'low_person_conf' THEN least(8.2, 6.5 + 0.6 * n) WHEN 'not_enough_new_people' THEN least(8.6, 6.5 + 0.55 * n) WHEN 'partial_or_cropped' THEN greatest(6.0, 6.5 - 0.2 * n) ELSE least(7.8, 6.5 + 0.25 * n) END AS gu FROM k)
-SELECT event_id, n AS attempt, round(CASE r WHEN 'low_person_conf' THEN least(st + 0.04, 0.86) WHEN 'scale_unrecoverable' THEN least(st + 0.03, 0.86) WHEN 'not_enough_new_people' THEN least(st + 0.03, 0.86) WHEN 'bad_person_depth_overlap' THEN greatest(st - 0.02, 0.62) WHEN 'bad_placement' THEN least(st + 0.02, 0.84) ELSE st END, 6) AS strength,
-round(CASE r WHEN 'low_person_conf' THEN least(gu + 0.35, 8.6) WHEN 'scale_unrecoverable' THEN least(gu + 0.25, 8.4) WHEN 'not_enough_new_people' THEN least(gu + 0.30, 8.4) WHEN 'bad_placement' THEN least(gu + 0.25, 8.2) ELSE gu END, 6) AS guidance,
-round(CASE WHEN r = 'partial_or_cropped' THEN 1.5 * (1 + 0.14 * n) ELSE 1.5 END, 6) AS margin, event_id + 9973 * n AS seed,
+SELECT event_id, n AS attempt, round(CASE r WHEN 'low_person_conf' THEN least(st + 0.04, 0.86) WHEN 'scale_unrecoverable' THEN least(st + 0.03, 0.86) WHEN 'not_enough_new_people' THEN least(st + 0.03, 0.86) WHEN 'bad_person_depth_overlap' THEN greatest(st - 0.02, 0.62) WHEN 'bad_placement' THEN least(st + 0.02, 0.84) ELSE st END, 6)::DOUBLE AS strength,
+round(CASE r WHEN 'low_person_conf' THEN least(gu + 0.35, 8.6) WHEN 'scale_unrecoverable' THEN least(gu + 0.25, 8.4) WHEN 'not_enough_new_people' THEN least(gu + 0.30, 8.4) WHEN 'bad_placement' THEN least(gu + 0.25, 8.2) ELSE gu END, 6)::DOUBLE AS guidance,
+round(CASE WHEN r = 'partial_or_cropped' THEN 1.5 * (1 + 0.14 * n) ELSE 1.5 END, 6)::DOUBLE AS margin, event_id + 9973 * n AS seed,
 CASE r WHEN 'low_person_conf' THEN ', clear solid person' WHEN 'partial_or_cropped' THEN ', complete body visible' WHEN 'scale_unrecoverable' THEN ', visible grounded person' WHEN 'not_enough_new_people' THEN ', all people separate, visible gaps, distinct bodies'
  WHEN 'bad_person_depth_overlap' THEN ', separated depth, no body overlap, distinct silhouettes' WHEN 'bad_placement' THEN ', exactly inside the marked placement area, centered on the guide' WHEN 'mask_too_soft' THEN ', complete body visible' END AS prompt FROM t""")
 def next_attempts(spark, sf_dir):
@@ -202,7 +202,7 @@ r AS (SELECT image_id, count(*) AS n, max(c) AS c, arg_max(hh, (c, -k)) AS hh FR
 c AS (SELECT image_id, (group_id % 300)::DOUBLE AS eh FROM images)
 SELECT c.image_id, CASE WHEN r.n > 0 THEN 1 ELSE 0 END AS person_detected, coalesce(round(r.c, 4), 0) AS person_confidence, coalesce(r.n, 0) AS person_count, coalesce(o.n, 0) AS source_person_count, coalesce(r.n, 0) - coalesce(o.n, 0) AS inclusion_count_delta,
 CASE WHEN coalesce(r.n, 0) > coalesce(o.n, 0) THEN 1 ELSE 0 END AS object_added, coalesce(hh, 0) AS detected_height, eh AS expected_height, CASE WHEN eh > 0 THEN round(hh / eh, 4) END AS scale_ratio, CASE WHEN eh > 0 THEN round(abs(hh - eh) / eh, 4) END AS scale_error,
-CASE WHEN c.image_id % 2 = 0 THEN round(c.image_id % 100 / 7.0::DOUBLE, 4) END AS bg_mae, CASE WHEN c.image_id % 2 = 0 THEN 1.0 END AS bg_ssim FROM c LEFT JOIN r USING (image_id) LEFT JOIN o USING (image_id)""")
+CASE WHEN c.image_id % 2 = 0 THEN round(c.image_id % 100 / 7.0::DOUBLE, 4) END AS bg_mae, CASE WHEN c.image_id % 2 = 0 THEN 1.0::DOUBLE END AS bg_ssim FROM c LEFT JOIN r USING (image_id) LEFT JOIN o USING (image_id)""")
 def case_metrics(spark, sf_dir):
     """All metrics of each case in one row."""
     boxes = tables.instances(spark, sf_dir).withColumn("det_idx", F.col("det_idx") * 100000000 + F.col("p") * 10000 + F.col("s")).withColumns({"conf": F.col("conf") / 100, "cls": F.when(F.col("p") % 3 == 0, 0).when(F.col("p") % 3 == 2, 5)})
@@ -341,7 +341,7 @@ def metric_means(spark, sf_dir):
     return metrics.summary(rows, ["person_detected"])
 
 
-@query(f"""{WITH} SELECT image_id, 'pedestrian' AS class_name, 0.0 AS x, (image_id % 640)::DOUBLE AS w, (group_id % 480)::DOUBLE AS h, 0.0 AS confidence, coalesce('c' || (image_id % 4), 'usual') AS caption FROM images WHERE image_id % 4 < 2
+@query(f"""{WITH} SELECT image_id, 'pedestrian' AS class_name, 0.0::DOUBLE AS x, (image_id % 640)::DOUBLE AS w, (group_id % 480)::DOUBLE AS h, 0.0::DOUBLE AS confidence, coalesce('c' || (image_id % 4), 'usual') AS caption FROM images WHERE image_id % 4 < 2
 UNION ALL SELECT image_id, 'pedestrian', 0.0, (image_id % 640)::DOUBLE, (group_id % 480)::DOUBLE, 0.0, 'usual' FROM images WHERE image_id % 4 >= 2""")
 def folder_boxes(spark, sf_dir):
     """A box around each whole image of a positive folder, with the caption of its file or the usual one."""
