@@ -90,10 +90,11 @@ def masked_difference(spark, sf_dir):
 k AS (SELECT e.*, px.a, px.b, m AND down = 0 AS rim, up = 1 AND NOT m AS ring, abs(l.b + r.b + u.b + d.b - 4 * px.b) AS lap FROM e JOIN px ON e.vec_id = px.vec_id AND e.i = px.i
  JOIN px l ON l.vec_id = e.vec_id AND l.y = e.y AND l.x = (e.x + 7) % 8 JOIN px r ON r.vec_id = e.vec_id AND r.y = e.y AND r.x = (e.x + 1) % 8 JOIN px u ON u.vec_id = e.vec_id AND u.x = e.x AND u.y = (e.y + 7) % 8 JOIN px d ON d.vec_id = e.vec_id AND d.x = e.x AND d.y = (e.y + 1) % 8),
 g AS (SELECT vec_id, avg(b) FILTER (rim) AS i, avg(a) FILTER (ring) AS o, avg(lap) FILTER (rim OR ring) AS l FROM k GROUP BY vec_id)
-SELECT vec_id, CASE WHEN i IS NULL OR o IS NULL THEN 1.0 ELSE round(greatest(0, least(1, 1 - abs(i - o) / 96)), 5) END AS edge_contrast, CASE WHEN i IS NULL OR o IS NULL THEN 0.0 ELSE round(greatest(0, least(1, l / 48)), 5) END AS edge_laplacian FROM g""")
+SELECT vec_id, CASE WHEN i IS NULL OR o IS NULL THEN 1.0 ELSE round(greatest(0, least(1, 1 - abs(i - o) / 96)) + 0.0000001::DOUBLE, 5) END AS edge_contrast, CASE WHEN i IS NULL OR o IS NULL THEN 0.0 ELSE round(greatest(0, least(1, l / 48)) + 0.0000001::DOUBLE, 5) END AS edge_laplacian FROM g""")
 def edge_scores(spark, sf_dir):
     """Step and sharpness along the border of a mask; outside the picture counts as mask for the inner rim."""
-    return _rounded(pixels.edge_scores(_hard(_pictures(spark, sf_dir)), ["vec_id"], 1), 5, "edge_contrast", "edge_laplacian")
+    found = pixels.edge_scores(_hard(_pictures(spark, sf_dir)), ["vec_id"], 1)
+    return found.withColumns({c: F.round(F.col(c) + 1e-7, 5) for c in ("edge_contrast", "edge_laplacian")})  # so that no tie hangs on a last digit
 
 
 def _hard(rows: DataFrame) -> DataFrame:
