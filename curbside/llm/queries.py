@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curbside.llm import automaton_dedup, bwt_dedup, digest_index, filter_audit, mixing, near_dedup, quality, sharded_lloyd, sp_tokenizers, token_store, url_filter, warc
+from curbside.llm import automaton_dedup, bwt_dedup, digest_index, filter_audit, graph_index, mixing, near_dedup, quality, sharded_lloyd, sp_tokenizers, token_store, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": bwt_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_store": token_store.op8_token_store,
     "op9_sentencepiece": sp_tokenizers.op9_sentencepiece,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_graph_index": graph_index.op11_graph_index,
     "op12_sharded_lloyd": sharded_lloyd.op12_sharded_lloyd,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
@@ -27,6 +28,7 @@ ORACLES = {
     "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_exact_dedup": digest_index.OP7_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_graph_index": graph_index.OP11_SQL,
     "op12_sharded_lloyd": sharded_lloyd.OP12_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
 }
