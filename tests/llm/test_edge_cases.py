@@ -27,25 +27,34 @@ PAGES = [
     (5, None, "b"), (6, "http://a.net/fr/1", "<p>a"), (7, "http://net/es/", "c"), (8, "ftp://?x", "c"), (9, "http://com", "é"), (10, "http://..com/", "é"), (11, "a://b://c.com/", "z"), (2, "https://example.com/en/", "<p>a"),
 ]
 
+NAN, INF = float("nan"), float("inf")
+SPREAD = [[((i * j * 37 + i) % 101 - 50) / 50 for j in range(64)] for i in range(1, 150)]
+VECTORS = (
+    [(i, v) for i, v in enumerate(SPREAD, 95)] + [(1000 + i, SPREAD[3]) for i in range(40)] + [(2000, SPREAD[3]), (2000, SPREAD[3]), (2000, SPREAD[4]), (None, SPREAD[5]), (3000, None), (3100, []), (3200, [0.0] * 64)]
+    + [(3300, [NAN] + [1.0] * 63), (3400, [1.0] * 63 + [INF]), (3500, [None] + [1.0] * 63), (3600, [1.0, 2.0]), (3700, [1.0, 2.5]), (3800, [-0.0] * 63 + [1.0]), (3900, [0.0] * 63 + [1.0]), (4000, [3e9] * 64), (4100, [-3e9] * 64)]
+)
+
 
 @pytest.fixture(params=["odd", "empty"])
 def odd_dir(tmp_path, request):
     keep = slice(None) if request.param == "odd" else slice(0)
     docs, pages = TEXTS[keep], PAGES[keep]
-    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string()), ("keep_id", pa.string()), ("n_chars", pa.int64())])
-    pq.write_table(pa.table([list(c) for c in zip(*[(i, t, s, "clash", 1) for i, t, s in docs], strict=True)] or [[]] * 5, schema=kinds), tmp_path / "documents.parquet")
+    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string()), ("keep_id", pa.string()), ("n_chars", pa.int64()), ("lang", pa.string()), ("part", pa.int32())])
+    pq.write_table(pa.table([list(c) for c in zip(*[(i, t, s, "clash", 1, [None, "", "en", "de"][i % 4], 5) for i, t, s in docs], strict=True)] or [[]] * 7, schema=kinds), tmp_path / "documents.parquet")
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("host", pa.int32())])
     pq.write_table(pa.table([list(c) for c in zip(*[(*p, 3) for p in pages], strict=True)] or [[]] * 4, schema=kinds), tmp_path / "pages.parquet")
     labels = [(1, 1, 0), (7, 1, None), (9, 0, 0), (None, 1, 0), (99, 1, 0)][keep]
     kinds = pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())])
     pq.write_table(pa.table([list(c) for c in zip(*labels, strict=True)] or [[]] * 3, schema=kinds), tmp_path / "labels.parquet")
+    kinds = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32()), ("cluster", pa.string())])
+    pq.write_table(pa.table([list(c) for c in zip(*[(i, v, 1, "clash") for i, v in VECTORS[keep]], strict=True)] or [[]] * 4, schema=kinds), tmp_path / "embeddings.parquet")
     return str(tmp_path)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_against_sql(spark, odd_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{odd_dir}/{t}.parquet'")
     got = queries.QUERIES[name](spark, odd_dir)
     want = con.execute(queries.ORACLES[name])
