@@ -9,16 +9,18 @@ from curbside.operators import attempts, detection, metrics, pixels, placement,
 from curbside.plans import tables
 from curbside.registry import BOX as _BOX, EVENTS as _EVENTS, ORACLES, QUERIES, WITH as _WITH, query, table as _table
 from curbside.settings import CaptionSettings, CurationSettings, variant_table
+from curbside.sources import scans
 
 
 
 def _as_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = tables.instances(spark, sf_dir)
-    return boxes.withColumnRenamed("ignore_flag", "ignore").withColumn("visible_w", F.col("w")).withColumn("visible_h", F.col("h") * (1 - F.col("occlusion") / 2))
+    seen = boxes.withColumnRenamed("ignore_flag", "ignore").withColumn("visible_w", F.col("w")).withColumn("visible_h", F.col("h") * (1 - F.col("occlusion") / 2))
+    return seen.withColumn("occlusion", F.when(F.col("p") % 4 == 0, None).when(F.col("p") % 9 == 0, 1.3).otherwise(F.col("occlusion")))  # none of the table's boxes lacks it or is beyond 1
 
 
 _SEEN = "CASE WHEN w * h > 0 THEN least(1.0, w * (h * (1 - occlusion / 2)) / (w * h)) ELSE 0.0 END"
-_QUALITY = f"round(0.5 * ({_SEEN}) + 0.3 * (1 - occlusion) + 0.2 * least(1.0, h / 256), 4)"
+_QUALITY = f"round(0.5 * ({_SEEN}) + CASE WHEN p % 4 = 0 THEN 0.3 WHEN p % 9 = 0 THEN 0.0 ELSE 0.3 * (1 - occlusion) END + 0.2 * least(1.0, h / 256), 4)"
 
 
 @query(f"""{_WITH}, ok AS (SELECT image_id, source_id FROM images WHERE split = 'train'),
@@ -73,7 +75,7 @@ def union_boxes(spark, sf_dir):
 
 @query("""WITH d AS (SELECT doc_id, coalesce(nullif(sha256(text), ''), doc_id::VARCHAR) AS k FROM documents)
 SELECT doc_id AS image_id, first(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS canonical_image_id,
-CASE WHEN first(doc_id) OVER (PARTITION BY k ORDER BY doc_id) = doc_id THEN 'unique' ELSE 'duplicate' END AS dedupe_status FROM d""")
+CASE WHEN first(doc_id) OVER (PARTITION BY k ORDER BY doc_id) = doc_id THEN 'unique' ELSE 'exact_duplicate' END AS dedupe_status FROM d""")
 def exact_duplicates(spark, sf_dir):
     """First row of each content hash, with texts in the place of image files."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("doc_id").alias("ingest_seq"))
@@ -191,10 +193,12 @@ def reject_shares(spark, sf_dir):
     return metrics.reject_histogram(tables.events(spark, sf_dir), "event_type").withColumn("share", F.round("share", 9))
 
 
-@query(f"""{_EVENTS} SELECT count(*) AS n, round(avg(value), 4) AS value_mean, round(quantile_cont(value, 0.1), 4) AS value_p10 FROM ev WHERE value > 0""")
+@query(f"""{_EVENTS}, s AS (SELECT value, CASE WHEN event_id % 7 = 0 THEN 0 ELSE value / 2 END AS score FROM ev WHERE value > 0)
+SELECT count(*) AS n, round(avg(value), 4) AS value_mean, round(quantile_cont(value, 0.1), 4) AS value_p10, round(avg(score), 4) AS score_mean, round(quantile_cont(score, 0.1), 4) AS score_p10 FROM s""")
 def quality_percentiles(spark, sf_dir):
-    """Mean and 10th percentile over rows with quality."""
-    return metrics.quality_summary(tables.events(spark, sf_dir), ["value"], "value")
+    """Mean and 10th percentile over rows with quality; a missing score counts as 0."""
+    rows = tables.events(spark, sf_dir).withColumn("score", F.when(F.col("event_id") % 7 != 0, F.col("value") / 2))
+    return metrics.quality_summary(rows, ["value", "score"], "value")
 
 
 @query(f"""{_EVENTS}, r AS (SELECT event_type AS run, count(*) AS generated, count(*) FILTER (value > 10) AS accepted, round(avg(value), 6) AS mean_scale FROM ev GROUP BY 1)
@@ -299,13 +303,11 @@ def monotonic_heights(spark, sf_dir):
     return placement.monotonic_heights(boxes).select("image_id", "det_idx", "p", "s", F.round("expected_height", 6).alias("height"))
 
 
-@query("""SELECT event_id, (event_id % 7 = 0) AS sampled, window_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 10)::BIGINT AS window_id FROM events) WHERE (rn - 1) % 6 = 0""")
+@query("""SELECT event_id, (event_id % 7 = 0) AS sampled, (rn - 1) // 6 // 10 AS window_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE (rn - 1) % 6 = 0""")
 def sampled_frames(spark, sf_dir):
-    """Every sixth frame of a sequence, and its window of ten frames."""
-    from curbside.sources import scans
-
-    frames = scans.frame_windows(tables.events(spark, sf_dir), 10, "user_id", "event_id")
-    return scans.sample_frames(frames, 30, 5, "user_id", "event_id").select("event_id", (F.col("event_id") % 7 == 0).alias("sampled"), "window_id")
+    """Every sixth frame of a sequence, and its window of ten frames that the sample keeps."""
+    frames = scans.sequence_frames(tables.events(spark, sf_dir), 30, 5, 2, "user_id", "event_id")
+    return frames.select("event_id", (F.col("event_id") % 7 == 0).alias("sampled"), "window_id")
 
 
 @query("""SELECT event_id, try_cast(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS first_value FROM events""")

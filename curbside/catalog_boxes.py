@@ -99,7 +99,7 @@ def label_lines(spark, sf_dir):
 
 
 _MOT = f"""m AS (SELECT image_id % 50 AS seq, image_id AS frame, det_idx::BIGINT * 1000000000 + p * 10000 + s AS line_no, p AS track_id, (p % 600)::DOUBLE AS x, (s % 300)::DOUBLE AS y, (p % 41)::DOUBLE AS w, (s % 97)::DOUBLE AS h,
-(CASE WHEN s % 3 = 0 THEN 0.0 ELSE 1.0 END)::DOUBLE AS conf, CASE WHEN p % 11 = 0 THEN 1 WHEN p % 2 = 0 THEN 7 ELSE 1 END AS cls, CASE WHEN p % 11 = 0 OR p % 5 = 0 THEN 1.0 ELSE (s % 10) / 10.0::DOUBLE END AS visibility FROM ({_ROWS}))"""
+(CASE WHEN s % 3 = 0 THEN 0.0 ELSE 1.0 END)::DOUBLE AS conf, CASE WHEN p % 11 = 0 THEN 1 WHEN p % 2 = 0 THEN 7 ELSE 1 END AS cls, CASE WHEN p % 11 > 0 AND p % 5 > 0 THEN (s % 10) / 10.0::DOUBLE END AS visibility FROM ({_ROWS}))"""
 
 
 def _mot_lines(spark, sf_dir) -> DataFrame:
@@ -118,12 +118,12 @@ def sequence_lines(spark, sf_dir):
 
 @query(f"""{WITH}, {_MOT}, b AS (SELECT *, row_number() OVER (PARTITION BY seq, frame ORDER BY line_no) - 1 AS i FROM m WHERE cls = 1),
 f AS (SELECT image_id, (row_number() OVER (PARTITION BY group_id ORDER BY image_id) - 1) AS r FROM images)
-SELECT 'mot_' || lpad(image_id::VARCHAR, 8, '0') AS image_id, 'mot_' || lpad(image_id::VARCHAR, 8, '0') || '_' || i AS instance_id, 'mot_window_' || (r // 3) AS group_id, x, y, w, h, round(1 - visibility, 6) AS occlusion
+SELECT 'mot_' || lpad(image_id::VARCHAR, 8, '0') AS image_id, 'mot_' || lpad(image_id::VARCHAR, 8, '0') || '_' || i AS instance_id, 'mot_window_' || (r // 2 // 3) AS group_id, x, y, w, h, round(1 - visibility, 6) AS occlusion
 FROM f JOIN b ON b.frame = f.image_id WHERE r % 2 = 0""")
 def frame_instances(spark, sf_dir):
-    """Boxes of every second frame of a sequence, with stable ids; windows of three frames are the groups."""
+    """Boxes of every second frame of a sequence, with stable ids; windows of three sampled frames are the groups."""
     images = tables.images(spark, sf_dir)
-    frames = scans.sample_frames(scans.frame_windows(images, 3, "group_id", "image_id"), 10, 5, "group_id", "image_id")
+    frames = scans.frame_windows(scans.sample_frames(images, 10, 5, "group_id", "image_id"), 3, "group_id", "image_id")
     paths = frames.select(F.concat(F.lit("/seq/img1/"), F.lpad(F.col("image_id").cast("string"), 8, "0"), F.lit(".jpg")).alias("path"), "window_id")
     found = scans.frame_instances(paths, scans.mot_boxes(_mot_lines(spark, sf_dir)), "mot")
     return found.select("image_id", "instance_id", "group_id", *"xywh", F.round("occlusion", 6).alias("occlusion"))

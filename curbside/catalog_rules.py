@@ -157,7 +157,7 @@ def next_attempts(spark, sf_dir):
  count(*) FILTER (event_type = 'click') AS lp, count(*) FILTER (event_type = 'error') AS bs, count(*) FILTER (event_type = 'view') AS bd, avg(value) / 100 AS qm FROM ev),
 rule(name, fires, d, cap, cur) AS (SELECT unnest(['CONTEXT_GENERATION_RETRIES', 'CONTEXT_PERSON_MIN_CONFIDENCE', 'SCALE_CORRECTION_MAX_ATTEMPTS', 'MAX_PERSON_PERSON_OVERLAP_RATIO', 'LOCAL_BRIGHTNESS_STRENGTH', 'EDGE_HALO_COLOR_MATCH_STRENGTH']),
  unnest([na / greatest(nj, 1) < 0.30, lp >= greatest(2, nj * 0.15) OR pp < 0.45, bs >= greatest(2, nj * 0.12) OR sp < 0.55, bd >= greatest(1, nj * 0.08), bp < 0.55, ep < 0.55]), unnest([1.0, -0.02, 1.0, -0.02, 0.04, 0.04]::DOUBLE[]), unnest([5.0, 0.08, 4.0, 0.04, 0.45, 0.48]::DOUBLE[]), unnest([4.0, 0.12, 2.0, 0.08, 0.3, 0.4]::DOUBLE[]) FROM r WHERE na >= 30),
-f AS (SELECT *, CASE WHEN d > 0 THEN least(cur + d, cap) ELSE greatest(cur + d, cap) END AS prop FROM rule WHERE fires), v AS (SELECT *, round(least(greatest(cur + (prop - cur) * 0.6, cur / 1.35), cur * 1.35), 4) AS val FROM f)
+f AS (SELECT *, CASE WHEN d > 0 THEN least(cur + d, cap) ELSE greatest(cur + d, cap) END AS prop FROM rule WHERE fires), b AS (SELECT *, least(greatest(cur + (prop - cur) * 0.6, cur / 1.35), cur * 1.35) AS bound FROM f), v AS (SELECT *, CASE WHEN name IN ('CONTEXT_GENERATION_RETRIES', 'SCALE_CORRECTION_MAX_ATTEMPTS') THEN round_even(bound, 0) ELSE round(bound, 4) END AS val FROM b)
 SELECT name, round(cur, 6) AS current, round(prop, 6) AS proposed, val AS value, round((val - cur) / cur, 4) AS change FROM v
 UNION ALL SELECT unnest(['GENERATION_STRENGTH_DELTA', 'GENERATION_GUIDANCE_DELTA']), 0.0, unnest([0.01, 0.10]::DOUBLE[]), unnest([0.01, 0.10]::DOUBLE[]), NULL FROM r WHERE na >= 30 AND qm < 0.72""")
 def run_advice(spark, sf_dir):
@@ -278,7 +278,7 @@ def _planted(spark, sf_dir) -> DataFrame:
 
 @query(f"""WITH {_PLANTED}, u AS (SELECT DISTINCT source_id, h FROM hs) SELECT a.source_id, a.h AS a, b.h AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM u a JOIN u b ON a.source_id = b.source_id AND a.h < b.h AND bit_count(xor(a.h, b.h)) <= 6""")
 def near_duplicate_pairs(spark, sf_dir):
-    """Pairs of different hashes of a source within 6 of 64 bits, found by bands."""
+    """Pairs of different hashes of a source within 6 of 64 bits, found by keys of 16 bits with one flip."""
     return release.near_hashes(_planted(spark, sf_dir).select("source_id", "h").distinct(), 6).withColumn("distance", F.col("distance").cast("int"))
 
 
@@ -316,13 +316,13 @@ def release_samples(spark, sf_dir):
 @query(f"""{_RELEASE}, ev AS (SELECT image_id, group_id FROM im WHERE k % 5 = 0) SELECT count(*) AS n, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(DISTINCT group_id) AS n_groups,
 (SELECT count(*) FROM rel WHERE s % 3 = 0) AS missing_crops, (SELECT count(*) FROM (SELECT cluster FROM rel WHERE split = 'train' INTERSECT SELECT cluster FROM rel WHERE split = 'val')) AS shared_duplicate_cluster_id,
 (SELECT count(*) FROM (SELECT group_id FROM rel INTERSECT SELECT group_id FROM ev)) AS leaked_group_id,
-(SELECT count(*) FROM im) AS n_images, (SELECT count(*) FROM ca WHERE canon <> image_id) AS n_duplicates, (SELECT median(5 + CASE WHEN 1 - occlusion / 2 >= 0.85 THEN 2 ELSE 3 END + CASE WHEN 1 - occlusion / 2 < 0.6 THEN 2 ELSE 0 END + 2) FROM rel) AS median_tokens FROM rel""")
+(SELECT count(*) FROM im) AS n_images, (SELECT count(*) FROM ca WHERE canon <> image_id) + (SELECT count(*) FROM cl WHERE cluster <> image_id) AS n_duplicates, (SELECT count(DISTINCT coalesce(cluster, image_id)) FROM ca LEFT JOIN cl USING (image_id)) AS n_clusters, (SELECT median(5 + CASE WHEN 1 - occlusion / 2 >= 0.85 THEN 2 ELSE 3 END + CASE WHEN 1 - occlusion / 2 < 0.6 THEN 2 ELSE 0 END + 2) FROM rel) AS median_tokens FROM rel""")
 def release_status(spark, sf_dir):
     """Statistics, missing crops and leaks of the release."""
     out = _release(spark, sf_dir)
     samples = out["samples"].withColumn("crop_path", text.stable_id(*(F.col(k) for k in KEYS)))
     report = release.status(release.validation(samples, "<vin_ped>", samples.filter("s % 3 <> 0").select("crop_path")), release.leaks(samples, out["evaluation"]))
-    stages = release.stage_statistics(out["groups"], samples).select("n_images", "n_duplicates", "median_tokens")
+    stages = release.stage_statistics(out["groups"], samples).select("n_images", "n_duplicates", "n_clusters", "median_tokens")
     return report.select("n", "n_train", "n_val", "n_groups", "missing_crops", "shared_duplicate_cluster_id", "leaked_group_id").crossJoin(stages)
 
 

@@ -18,9 +18,10 @@ def visible_ratio(visible_area: Column, full_area: Column) -> Column:
 
 
 def box_quality(visible: Column, occlusion: Column, height: Column) -> Column:
-    """0.5 visible + 0.3 (1 - occlusion) + 0.2 of the height up to 256; a missing occlusion counts as 1."""
-    occ = F.coalesce(F.nanvl(occlusion.cast("double"), F.lit(1.0)), F.lit(1.0))
-    return F.round(0.5 * visible + 0.3 * (1 - occ) + 0.2 * F.least(F.lit(1.0), height / 256), 4)
+    """0.5 visible + 0.3 (1 - occlusion) + 0.2 of the height up to 256; without an occlusion the second term is 0.3, and it is never negative."""
+    occ = occlusion.cast("double")
+    clear = F.when(occ.isNull() | F.isnan(occ), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - occ))
+    return F.round(0.5 * visible + 0.3 * clear + 0.2 * F.least(F.lit(1.0), height / 256), 4)
 
 
 def placement_score(mask: Box, width: Column, height: Column, expected_y: Column) -> dict[str, Column]:
@@ -275,10 +276,17 @@ def attempt_seed(seed: Column, attempt: Column) -> Column:
     return seed + 9973 * attempt
 
 
-def blended(current: Column, proposed: Column, share: float = 0.60, most: float = 1.35) -> Column:
-    """Current value moved a share of the way to the proposed one, within a ratio of the current."""
+def blended(current: Column, proposed: Column, whole: Column | None = None, share: float = 0.60, most: float = 1.35) -> Column:
+    """Current value moved a share of the way to the proposed one, within a ratio of the current.
+
+    Where ``whole`` is true the setting is a whole number and stays one, halves going to even.
+    """
     new = current + (proposed - current) * share
-    return F.when(current == 0, new).otherwise(F.round(F.least(F.greatest(new, current / most), current * most), 4))
+    bounded = F.least(F.greatest(new, current / most), current * most)
+    rounded = F.round(bounded, 4)
+    if whole is not None:
+        rounded = F.when(F.coalesce(whole, F.lit(False)), F.rint(bounded)).otherwise(rounded)
+    return F.when(current == 0, new).otherwise(rounded)
 
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

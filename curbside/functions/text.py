@@ -14,11 +14,6 @@ KNOWN_REASONS = (
 )
 
 
-def blank_to_null(c: Column) -> Column:
-    """Empty and blank strings are missing values."""
-    return F.nullif(F.trim(c), F.lit(""))
-
-
 def subject_of(instruction: Column) -> Column:
     """Imperative instruction to the phrase it names; ``a person`` when nothing is left."""
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.trim(F.coalesce(instruction, F.lit(""))), _IMPERATIVE, "")), F.lit("")), F.lit("a person"))
@@ -114,12 +109,18 @@ def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def is_image_file(path: Column) -> Column:
+    """True for the names that an image scan takes: by suffix alone."""
+    return F.lower(file_name(path)).rlike(r"\.(jpg|jpeg|png)$")
+
+
 def is_source_image(path: Column) -> Column:
+    """True for image files that no generated or label file's name token marks."""
     name = F.lower(file_name(path))
     banned = F.lit(False)
     for token in NOT_SOURCE_TOKENS:
         banned = banned | F.contains(name, F.lit(token))
-    return name.rlike(r"\.(jpg|jpeg|png)$") & ~banned
+    return is_image_file(path) & ~banned
 
 
 def frame_number(path: Column) -> Column:

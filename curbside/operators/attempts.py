@@ -82,15 +82,53 @@ def with_retry_rules(settings: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("strength", moved("strength")).withColumn("guidance", moved("guidance")).drop("d_strength", "d_guidance", "strength_cap", "guidance_cap")
 
 
+def reject_figures(counts: DataFrame, mode: str = "fixed") -> DataFrame:
+    """low_person, bad_scale and bad_depth of (reason, n) rows, for ``advice``.
+
+    ``reference`` counts rejects named ``bad_scale`` alone, which no gate emits;
+    ``fixed`` counts the reasons that the gates do emit for a wrong size.
+    """
+    if mode not in ("fixed", "reference"):
+        raise ValueError(f"mode {mode!r} is neither fixed nor reference")
+    scale = ["bad_scale"] if mode == "reference" else ["bad_scale", "bad_scale_too_large", "bad_scale_too_small", "scale_unrecoverable"]
+    of = lambda reasons: F.coalesce(F.sum(F.when(F.col("reason").isin(reasons), F.col("n"))), F.lit(0))
+    return counts.agg(
+        of(["low_person_conf", "no_person_detected", "no_person_mask", "segmenter_failed"]).alias("low_person"), of(scale).alias("bad_scale"), of(["bad_person_depth_overlap"]).alias("bad_depth")
+    )
+
+
+def skipped_advice(run: DataFrame, settings: DataFrame, min_samples: int = 30) -> DataFrame:
+    """(name) of the settings that a run's figures speak for and ``settings`` doesn't have."""
+    return _fired(run, min_samples).join(settings, "name", "left_anti").select("name")
+
+
 def advice(run: DataFrame, settings: DataFrame, min_samples: int = 30) -> DataFrame:
     """(name, current, proposed, value, change) of the settings that a run's figures speak for.
 
     ``run`` is one row: n_accepted, n_jobs, person_p10, scale_p10, background_p10,
-    edge_p10, low_person, bad_scale, bad_depth. ``settings`` has (name, current);
-    names that it lacks are left out. With a column quality_mean below 0.72 there
-    are two rows more, GENERATION_STRENGTH_DELTA and GENERATION_GUIDANCE_DELTA:
-    what all attempts add, neither blended nor bounded.
+    edge_p10, low_person, bad_scale, bad_depth. ``settings`` has (name, current)
+    and may have ``whole``, true for a whole number (by default the two that count
+    attempts); names that it lacks are left out (see ``skipped_advice``). With a
+    column quality_mean below 0.72 there are two rows more,
+    GENERATION_STRENGTH_DELTA and GENERATION_GUIDANCE_DELTA: what all attempts
+    add, neither blended nor bounded.
     """
+    c = F.col
+    out = _fired(run, min_samples).join(settings, "name")
+    usual = c("name").isin("CONTEXT_GENERATION_RETRIES", "SCALE_CORRECTION_MAX_ATTEMPTS")
+    whole = F.coalesce("whole", usual) if "whole" in settings.columns else usual
+    proposed = F.when(c("delta") > 0, F.least(c("current") + c("delta"), c("cap"))).otherwise(F.greatest(c("current") + c("delta"), c("cap")))
+    out = out.withColumn("proposed", proposed).withColumn("value", scores.blended(c("current"), c("proposed"), whole))
+    out = out.select("name", "current", "proposed", "value", F.round((c("value") - c("current")) / F.nullif(F.abs(c("current")), F.lit(0.0)), 4).alias("change"))
+    if "quality_mean" not in run.columns:
+        return out
+    deltas = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(0.0).alias("current"), F.lit(d).alias("proposed")) for n, d in (("GENERATION_STRENGTH_DELTA", 0.01), ("GENERATION_GUIDANCE_DELTA", 0.10))])).alias("r")
+    low = run.filter((c("n_accepted") >= min_samples) & (c("quality_mean") < 0.72)).select(deltas).select("r.*")
+    return out.unionByName(low.select("name", "current", "proposed", c("proposed").alias("value"), F.lit(None).cast("double").alias("change")))
+
+
+def _fired(run: DataFrame, min_samples: int) -> DataFrame:
+    """(name, delta, cap) of the rules that a run's figures set off."""
     c, jobs_ = F.col, F.greatest(F.col("n_jobs"), F.lit(1))
     rules = [
         ("CONTEXT_GENERATION_RETRIES", c("n_accepted") / jobs_ < 0.30, 1.0, 5.0),
@@ -107,16 +145,7 @@ def advice(run: DataFrame, settings: DataFrame, min_samples: int = 30) -> DataFr
         ("PERSON_PASTE_FEATHER_RADIUS", c("edge_p10") < 0.55, 0.08, 0.60),
     ]
     fired = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), on.alias("on"), F.lit(d).alias("delta"), F.lit(cap).alias("cap")) for n, on, d, cap in rules])).alias("r")
-    on = run.filter(c("n_accepted") >= min_samples).select(fired).select("r.*").filter("on")
-    out = on.join(settings, "name")
-    proposed = F.when(c("delta") > 0, F.least(c("current") + c("delta"), c("cap"))).otherwise(F.greatest(c("current") + c("delta"), c("cap")))
-    out = out.withColumn("proposed", proposed).withColumn("value", scores.blended(c("current"), c("proposed")))
-    out = out.select("name", "current", "proposed", "value", F.round((c("value") - c("current")) / F.nullif(F.abs(c("current")), F.lit(0.0)), 4).alias("change"))
-    if "quality_mean" not in run.columns:
-        return out
-    deltas = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(0.0).alias("current"), F.lit(d).alias("proposed")) for n, d in (("GENERATION_STRENGTH_DELTA", 0.01), ("GENERATION_GUIDANCE_DELTA", 0.10))])).alias("r")
-    low = run.filter((c("n_accepted") >= min_samples) & (c("quality_mean") < 0.72)).select(deltas).select("r.*")
-    return out.unionByName(low.select("name", "current", "proposed", c("proposed").alias("value"), F.lit(None).cast("double").alias("change")))
+    return run.filter(c("n_accepted") >= min_samples).select(fired).select("r.*").filter("on")
 
 
 def gate_target_splits(records: DataFrame, gate_as: str | None = None) -> DataFrame:

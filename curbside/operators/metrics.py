@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curbside.functions import geometry as geo, scores
+from curbside.operators.order_stats import percentiles
 from curbside.settings import METRIC_DIRECTIONS
 
 
@@ -155,10 +156,11 @@ def reject_histogram(rejects: DataFrame, reason: str = "reject_reason") -> DataF
 
 
 def quality_summary(rows: DataFrame, columns: list[str], quality: str = "quality_score") -> DataFrame:
-    """Mean and 10th percentile of each score over rows with a quality above 0; zeros without any."""
-    kept = rows.filter(F.coalesce(F.col(quality), F.lit(0.0)) > 0)
+    """Mean and 10th percentile of each score over rows with a quality above 0; a missing score counts as 0, and so do all without rows."""
+    kept = rows.filter(F.coalesce(F.col(quality), F.lit(0.0)) > 0).select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    tenth = percentiles(kept, {c: [0.1] for c in columns})
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
-    return kept.agg(F.count("*").alias("n"), *[zero(F.avg(c)).alias(f"{c}_mean") for c in columns], *[zero(F.percentile(c, F.lit(0.1))).alias(f"{c}_p10") for c in columns])
+    return kept.agg(F.count("*").alias("n"), *[zero(F.avg(c)).alias(f"{c}_mean") for c in columns], *[zero(F.lit(tenth[c, 0.1]).cast("double")).alias(f"{c}_p10") for c in columns])
 
 
 def rollup_runs(runs: DataFrame) -> DataFrame:
@@ -170,9 +172,10 @@ def rollup_runs(runs: DataFrame) -> DataFrame:
 
 def rate_audit(rows: DataFrame, value: str, success: Column) -> DataFrame:
     """Rate with its interval, and deviation, median, 95th percentile and range of a value."""
+    middle = percentiles(rows, {value: [0.5, 0.95]})
     out = rows.agg(
-        F.count("*").alias("n"), F.count_if(success).alias("k"), F.stddev_samp(value).alias("sd"), F.median(value).alias("median"),
-        F.percentile(value, F.lit(0.95)).alias("p95"), F.min(value).alias("least"), F.max(value).alias("largest"),
+        F.count("*").alias("n"), F.count_if(success).alias("k"), F.stddev_samp(value).alias("sd"), F.lit(middle[value, 0.5]).cast("double").alias("median"),
+        F.lit(middle[value, 0.95]).cast("double").alias("p95"), F.min(value).alias("least"), F.max(value).alias("largest"),
     )
     low, high = scores.wilson(F.col("k"), F.col("n"))
     return out.withColumn("rate", F.col("k") / F.col("n")).withColumn("low", low).withColumn("high", high)

@@ -7,11 +7,17 @@ occlusion, ignore), registry(source_id, split, role).
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from curbside.components import connected_components
 from curbside.functions import geometry as geo, scores, text
+from curbside.operators import bloom, phrases
+from curbside.operators.order_stats import percentiles
 from curbside.runtime import cut
+from curbside.skew import dealt_join, spread_join
 from curbside.settings import CaptionSettings, CurationSettings
 
 
@@ -51,38 +57,95 @@ def candidates(images: DataFrame, instances: DataFrame, settings: CurationSettin
 def exact_groups(images: DataFrame) -> DataFrame:
     """canonical_image_id and dedupe_status by content hash; an image without a hash is its own.
 
-    The first image of a hash is found by an aggregate, so a hash that a third
-    of all images share needs no window.
+    The first image of a hash is found by an aggregate and joined back by its
+    key; the images of a hash with very many are dealt to several places.
     """
     key = F.coalesce(F.nullif("sha256", F.lit("")), F.col("image_id").cast("string"))
     keyed = images.withColumn("__key", key)
-    first = keyed.groupBy("__key").agg(F.min_by("image_id", "ingest_seq").alias("canonical_image_id"))
-    status = F.when(F.col("canonical_image_id") == F.col("image_id"), "unique").otherwise("duplicate")
-    return keyed.join(first, "__key").withColumn("dedupe_status", status).drop("__key")
+    first = keyed.groupBy("__key").agg(F.min_by("image_id", "ingest_seq").alias("canonical_image_id"), F.count("*").alias("__copies"))
+    status = F.when(F.col("canonical_image_id") == F.col("image_id"), "unique").otherwise("exact_duplicate")
+    return spread_join(keyed, first, "__key", "__copies", "image_id").withColumn("dedupe_status", status).drop("__key")
+
+
+def _in_ball(bits: int, most: int) -> int:
+    return sum(comb(bits, i) for i in range(most + 1))
 
 
-def _bands(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of distance + 1 bands that cover 64 bits."""
-    n = distance + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def hash_keys(distance: int, most_entries: int = 512) -> list[tuple[int, int, int]]:
+    """(shift, width, flips) of the keys that 64 bits are cut into.
+
+    Two hashes within ``distance`` bits differ in at most ``flips`` bits of one
+    of m keys, flips being distance / m rounded down. Of the numbers of keys that
+    list at most ``most_entries`` values a hash, the one is taken that lets the
+    smallest share of random hashes meet.
+    """
+    plans = []
+    for m in range(1, distance + 2):
+        edges = [64 * i // m for i in range(m + 1)]
+        keys = [(a, b - a, distance // m) for a, b in zip(edges, edges[1:], strict=False)]
+        if sum(_in_ball(w, f) for _, w, f in keys) <= most_entries:
+            plans.append((sum(_in_ball(w, f) / 2**w for _, w, f in keys), keys))
+    return min(plans)[1] if plans else [(i, 1, 0) for i in range(64)][: distance + 1]
 
 
 def near_hashes(hashes: DataFrame, distance: int = 6) -> DataFrame:
     """(source_id, a, b, distance) of distinct hashes of a source within ``distance`` bits, a < b.
 
-    Two such hashes agree in one of ``distance`` + 1 bands, so an equi-join on
-    the bands finds every pair. Equal hashes must have been collapsed before.
-    The bands of a small distance are wide and so are met by few; from some ten
-    bits on nearly all pairs of a source meet, as with every exact way.
+    Multi-index hashing: a hash has one value in each key, and on the other side
+    every value that few enough flips away from its own; an equi-join finds each
+    pair, and a pair that meets in several keys counts in the first of them. At
+    6 bits there are four keys of 16 bits with one flip, 68 values a hash, and
+    one in a thousand of a source's pairs meets. Equal hashes must have been
+    collapsed before. The rows of a key that very many hashes share are dealt.
     """
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for i, (s, w) in enumerate(_bands(distance))])
-    keyed = hashes.select("source_id", "h", F.explode(bands).alias("band"))
-    a = keyed.select("source_id", "band", F.col("h").alias("a"))
-    b = keyed.select("source_id", "band", F.col("h").alias("b"))
+    keys = hash_keys(distance)
+
+    def part(h: Column, i: int) -> Column:
+        shift, width, _ = keys[i]
+        own = F.shiftrightunsigned(h, shift)
+        return own if width == 64 else own.bitwiseAND(F.lit((1 << width) - 1))
+
+    def listed(i: int) -> Column:
+        _, width, flips = keys[i]
+        signed = lambda m: m - (1 << 64) if m >> 63 else m
+        masks = [signed(sum(1 << b for b in bits)) for n in range(flips + 1) for bits in combinations(range(width), n)]
+        return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.struct(F.lit(i).alias("key"), part(F.col("h"), i).bitwiseXOR(m).alias("v")))
+
+    own = F.explode(F.array(*[F.struct(F.lit(i).alias("key"), part(F.col("h"), i).alias("v")) for i in range(len(keys))])).alias("e")
+    around = F.explode(F.concat(*[listed(i) for i in range(len(keys))])).alias("e")
+    a = hashes.select("source_id", F.col("h").alias("a"), own).select("source_id", "a", "e.*")
+    b = hashes.select("source_id", F.col("h").alias("b"), around).select("source_id", "b", "e.*")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = a.join(b, ["source_id", "band"]).filter("a < b").withColumn("distance", apart).filter(F.col("distance") <= distance)
-    return pairs.select("source_id", "a", "b", "distance").distinct()
+    pairs = dealt_join(a, b, ["source_id", "key", "v"], "a").filter("a < b").withColumn("distance", apart).filter(F.col("distance") <= distance)
+    both = F.col("a").bitwiseXOR(F.col("b"))
+    earlier = F.lit(False)
+    for i, (_, _, flips) in enumerate(keys):
+        earlier = earlier | ((F.col("key") > i) & (F.bit_count(part(both, i)) <= flips))
+    return pairs.filter(~earlier).select("source_id", "a", "b", "distance")
+
+
+def _last_earlier(images: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(image_id, __cluster): the last earlier image under one of the ``neighbours(source_id, h, o)`` of each image's hash, null without one.
+
+    A segmented running maximum: images are cut into ranges of the ingest order,
+    each range's last image of a hash is carried to the later ranges, and inside
+    a range a window finds the rest. However many images share a hash, no task
+    holds more of them than a range has.
+    """
+    own = images.filter("h IS NOT NULL").select("source_id", "h", F.col("ingest_seq").alias("s"), F.col("image_id").alias("i"))
+    ranged = cut(own.repartitionByRange("s").withColumn("segment", F.spark_partition_id()), "segments")
+    offers = ranged.withColumnRenamed("h", "o")
+    offered = dealt_join(offers, neighbours, ["source_id", "o"], "i").select("source_id", "h", "segment", "s", "i", F.lit(False).alias("own"))
+    asked = ranged.select("source_id", "h", "segment", "s", "i", F.lit(True).alias("own"))
+    inside = Window.partitionBy("source_id", "h", "segment").orderBy("s").rangeBetween(Window.unboundedPreceding, -1)
+    near = offered.unionByName(asked).withColumn("near", F.max(F.when(~F.col("own"), F.struct("s", "i"))).over(inside)).filter("own")
+
+    lasts = offers.groupBy("source_id", "o", "segment").agg(F.max(F.struct("s", "i")).alias("last"))
+    lasts = lasts.join(neighbours, ["source_id", "o"]).select("source_id", "h", "segment", "last")
+    per = lasts.unionByName(asked.select("source_id", "h", "segment", F.lit(None).cast(lasts.schema["last"].dataType).alias("last"))).groupBy("source_id", "h", "segment").agg(F.max("last").alias("last"))
+    before = Window.partitionBy("source_id", "h").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select("source_id", "h", "segment", F.max("last").over(before).alias("carried"))
+    return near.join(carried, ["source_id", "h", "segment"]).select(F.col("i").alias("image_id"), F.coalesce("near.i", "carried.i").alias("__cluster"))
 
 
 def near_clusters(images: DataFrame, distance: int = 6, mode: str = "reference") -> DataFrame:
@@ -90,25 +153,26 @@ def near_clusters(images: DataFrame, distance: int = 6, mode: str = "reference")
 
     ``reference``: the last earlier image of the source within the distance, the
     image itself without one; clusters don't chain. ``connected``: the least
-    image of everything that is linked, which a split needs to be leak-free.
+    image of everything that is linked, which a split needs to be leak-free. An
+    image that another one stands for gets the ``dedupe_status`` near_duplicate,
+    if there is such a column.
     """
     hashes = images.filter("h IS NOT NULL").select("source_id", "h").distinct()
-    pairs = near_hashes(hashes, distance)
-    both = pairs.select("source_id", F.col("a").alias("h"), F.col("b").alias("o")).unionByName(pairs.select("source_id", F.col("b").alias("h"), F.col("a").alias("o")))
-    both = both.unionByName(hashes.select("source_id", "h", F.col("h").alias("o")))
+    pairs = cut(near_hashes(hashes, distance), "pairs")
     if mode == "reference":
-        offers = images.filter("h IS NOT NULL").select("source_id", F.col("h").alias("o"), F.col("ingest_seq").alias("s"), F.col("image_id").alias("i"))
-        offered = both.join(offers, ["source_id", "o"]).select("source_id", "h", "s", "i", F.lit(False).alias("own"))
-        asked = offers.select("source_id", F.col("o").alias("h"), "s", "i", F.lit(True).alias("own"))
-        earlier = Window.partitionBy("source_id", "h").orderBy("s").rangeBetween(Window.unboundedPreceding, -1)
-        last = offered.unionByName(asked).withColumn("last", F.max(F.when(~F.col("own"), F.struct("s", "i"))).over(earlier)).filter("own")
-        found = last.select(F.col("i").alias("image_id"), F.col("last.i").alias("__cluster"))
+        both = pairs.select("source_id", F.col("a").alias("h"), F.col("b").alias("o")).unionByName(pairs.select("source_id", F.col("b").alias("h"), F.col("a").alias("o")))
+        found = _last_earlier(images, both.unionByName(hashes.select("source_id", "h", F.col("h").alias("o"))))
     else:
-        least = images.filter("h IS NOT NULL").groupBy("source_id", "h").agg(F.min("image_id").alias("first"))
-        ends = pairs.join(least.withColumnRenamed("h", "a").withColumnRenamed("first", "u"), ["source_id", "a"]).join(least.withColumnRenamed("h", "b").withColumnRenamed("first", "v"), ["source_id", "b"])
+        least = images.filter("h IS NOT NULL").groupBy("source_id", "h").agg(F.min("image_id").alias("first"), F.count("*").alias("copies"))
+        ends = pairs.join(least.select("source_id", F.col("h").alias("a"), F.col("first").alias("u")), ["source_id", "a"]).join(least.select("source_id", F.col("h").alias("b"), F.col("first").alias("v")), ["source_id", "b"])
         parts = connected_components(ends.select("u", "v"))
-        found = images.join(least, ["source_id", "h"]).join(parts, F.col("first") == F.col("v"), "left").select("image_id", F.coalesce("component", "first").alias("__cluster"))
-    return images.join(found, "image_id", "left").withColumn("duplicate_cluster_id", F.coalesce("__cluster", "image_id")).drop("__cluster")
+        of_hash = least.join(parts, F.col("first") == F.col("v"), "left").select(F.struct("source_id", "h").alias("k"), F.coalesce("component", "first").alias("__cluster"), "copies")
+        keyed = images.filter("h IS NOT NULL").select("image_id", F.struct("source_id", "h").alias("k"))
+        found = spread_join(keyed, of_hash, "k", "copies", "image_id").select("image_id", "__cluster")
+    out = images.join(found, "image_id", "left").withColumn("duplicate_cluster_id", F.coalesce("__cluster", "image_id")).drop("__cluster")
+    if "dedupe_status" in images.columns:
+        out = out.withColumn("dedupe_status", F.when(F.col("duplicate_cluster_id") != F.col("image_id"), "near_duplicate").otherwise(F.col("dedupe_status")))
+    return out
 
 
 def drop_duplicates(samples: DataFrame, groups: DataFrame) -> DataFrame:
@@ -144,12 +208,15 @@ def with_captions(samples: DataFrame, settings: CaptionSettings) -> DataFrame:
 
 
 def leaks(samples: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """One row: groups and clusters on both sides of the split, and eval images and groups in the release."""
+    """One row: groups and clusters on both sides of the split, and eval images and groups in the release; nulls meet nothing."""
+    def present(rows: DataFrame, key: str) -> DataFrame:
+        return rows.filter(F.col(key).isNotNull()).select(key)
+
     def shared(key: str) -> DataFrame:
-        return samples.filter("split = 'train'").select(key).intersect(samples.filter("split = 'val'").select(key)).agg(F.count("*").alias(f"shared_{key}"))
+        return present(samples.filter("split = 'train'"), key).intersect(present(samples.filter("split = 'val'"), key)).agg(F.count("*").alias(f"shared_{key}"))
 
     def leaked(key: str) -> DataFrame:
-        return samples.select(key).intersect(evaluation.select(key)).agg(F.count("*").alias(f"leaked_{key}"))
+        return present(samples, key).intersect(present(evaluation, key)).agg(F.count("*").alias(f"leaked_{key}"))
 
     parts = [shared("group_id"), shared("duplicate_cluster_id"), leaked("image_id"), leaked("group_id")]
     out = parts[0]
@@ -164,10 +231,12 @@ def contamination(samples: DataFrame, benchmark: DataFrame, text_col: str = "cap
     Within a text the first and the last word of an item may be glued to what
     stands around them; the words between are words of the text. Both sides meet
     on hashes of runs of eight such words, or of all of them where an item has
-    three to seven; only rows and hashes travel, and what meets is compared as
-    text. Items with fewer are looked for in every text, in blocks.
+    three to seven. A Bloom filter over the items' runs is asked in the scan, so
+    only texts that hold a run of an item, or one in some thousands by chance,
+    go on, and only such runs are shuffled; what meets is compared as text. Items
+    with fewer words are looked for by Aho-Corasick automata of a bounded size.
     """
-    most, least, block = 8, 3, 1000
+    most, least = 8, 3
 
     def split(c: str) -> Column:
         return F.split(F.trim(c), r"\s+")
@@ -180,22 +249,27 @@ def contamination(samples: DataFrame, benchmark: DataFrame, text_col: str = "cap
         return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<bigint>"))
 
     items = benchmark.select("item_id", F.col("text").alias("__item"), split("text").alias("__w")).withColumn("__n", F.least(F.size("__w") - 2, F.lit(most))).filter("__item IS NOT NULL")
-    texts = samples.select(F.col(text_col).alias("__text")).filter("__text IS NOT NULL").withColumn("__row", F.monotonically_increasing_id())
+    texts = samples.select(F.col(text_col).alias("__text")).filter("__text IS NOT NULL")
     # One row for each length from 3 to 8 at most, and one for what is shorter.
     counts = {r[0]: r[1] for r in items.groupBy(F.greatest("__n", F.lit(least - 1))).count().collect()}
-    lengths = sorted(n for n in counts if n >= least) or [most]
-    probe = F.coalesce(*[F.when(F.col("__n") == n, run(F.col("__w"), F.lit(1), n)) for n in lengths])
-    probes = items.filter(F.col("__n") >= least).select("item_id", "__item", probe.alias("__g"))
-    # The outer form keeps Spark from filtering by the array before, where it would split the text anew for each word.
-    grams = texts.withColumn("__w", split("__text")).select("__row", F.explode_outer(F.array_distinct(F.concat(*[runs(F.col("__w"), n) for n in lengths]))).alias("__g"))
-    met = grams.join(probes, "__g").select("__row", "item_id", "__item")
-    hits = texts.join(met, "__row").filter(F.contains("__text", F.col("__item"))).select("item_id")
+    lengths = sorted(n for n in counts if n >= least)
+    parts = []
+    if lengths:
+        probe = F.coalesce(*[F.when(F.col("__n") == n, run(F.col("__w"), F.lit(1), n)) for n in lengths])
+        probes = cut(items.filter(F.col("__n") >= least).select("item_id", "__item", probe.alias("__g")), "probes")
+        might = bloom.might_contain(probes.select("__g"), "__g", sum(counts[n] for n in lengths))
+        held = F.filter(F.concat(*[runs(F.col("__w"), n) for n in lengths]), might)
+        # The row number keeps Spark from filtering below, where it would split the text anew for each word.
+        found = texts.withColumn("__w", split("__text")).select("__text", F.array_distinct(held).alias("__gs"), F.monotonically_increasing_id().alias("__row"))
+        found = cut(found.filter(F.size("__gs") > 0), "texts")
+        met = found.select("__row", F.explode("__gs").alias("__g")).join(probes, "__g").select("__row", "item_id", "__item")
+        hits = found.select("__row", "__text").join(met, "__row").filter(F.contains("__text", F.col("__item")))
+        parts.append(hits.groupBy("item_id").agg(F.count("*").alias("n_texts")))
     if least - 1 in counts:
-        part = F.pmod(F.xxhash64("__item", "item_id"), F.lit(-(-counts[least - 1] // block)))
-        blocks = items.filter(F.col("__n") < least).groupBy(part).agg(F.collect_list(F.struct("item_id", "__item")).alias("__items")).select("__items")
-        held = F.filter("__items", lambda i: F.contains(F.col("__text"), i["__item"]))
-        hits = hits.unionByName(texts.crossJoin(blocks).select(F.explode(held).alias("__i")).select(F.col("__i.item_id").alias("item_id")))
-    return hits.groupBy("item_id").agg(F.count("*").alias("n_texts"))
+        parts.append(phrases.texts_with(texts, "__text", items.filter(F.col("__n") < least), "item_id", "__item"))
+    if not parts:
+        return items.select("item_id", F.lit(0).cast("bigint").alias("n_texts"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy("item_id").agg(F.sum("n_texts").alias("n_texts"))
 
 
 def content_hash(df: DataFrame) -> DataFrame:
@@ -280,10 +354,11 @@ def ranked_in_order(rows: DataFrame, order: str) -> DataFrame:
 def stage_statistics(groups: DataFrame, samples: DataFrame) -> DataFrame:
     """One row: images, duplicates, clusters and groups of the dedupe table, samples and median caption tokens."""
     a = groups.agg(
-        F.count("*").alias("n_images"), F.count_if(F.col("dedupe_status") == "duplicate").alias("n_duplicates"),
+        F.count("*").alias("n_images"), F.count_if(F.col("dedupe_status") != "unique").alias("n_duplicates"),
         F.countDistinct("duplicate_cluster_id").alias("n_clusters"), F.countDistinct("group_id").alias("n_groups"),
     )
-    b = samples.agg(F.count("*").alias("n_samples"), F.median(text.n_tokens(F.col("caption"))).alias("median_tokens"))
+    tokens = percentiles(samples.select(text.n_tokens(F.col("caption")).alias("n")), {"n": [0.5]})
+    b = samples.agg(F.count("*").alias("n_samples"), F.lit(tokens["n", 0.5]).cast("double").alias("median_tokens"))
     return a.crossJoin(b)  # single rows
 
 

@@ -22,8 +22,10 @@ def build(images: DataFrame, instances: DataFrame, registry: DataFrame, curation
     images = release.with_instances(images, boxes)
     groups = release.exact_groups(images)
     unique = release.near_clusters(groups.filter("dedupe_status = 'unique'"), curation.near_distance, mode)
-    clusters = unique.select("image_id", "duplicate_cluster_id")
-    groups = cut(groups.join(clusters, "image_id", "left").withColumn("duplicate_cluster_id", F.coalesce("duplicate_cluster_id", "canonical_image_id")), "groups")
+    clusters = unique.select("image_id", "duplicate_cluster_id", F.col("dedupe_status").alias("__near"))
+    alone = "image_id" if mode == "reference" else "canonical_image_id"  # of exact duplicates
+    groups = groups.join(clusters, "image_id", "left").withColumns({"duplicate_cluster_id": F.coalesce("duplicate_cluster_id", alone), "dedupe_status": F.coalesce("__near", "dedupe_status")})
+    groups = cut(groups.drop("__near"), "groups")
     evaluation = release.eval_images(images, registry).select("image_id", "group_id")
     found = release.candidates(release.training_images(images, registry), boxes, curation)
     samples = release.drop_duplicates(release.with_captions(found, captions), groups)

@@ -116,7 +116,7 @@ def curation_of(config: dict) -> CurationSettings:
     found = {
         "min_height": quality.get("min_bbox_height_px"), "min_visible": quality.get("min_visible_ratio"), "min_quality": quality.get("min_quality_score"),
         "train_ratio": split.get("train_ratio"), "seed": split.get("split_seed"),
-        "context_margin": export.get("context_margin_ratio"), "max_side": export.get("max_side"), "min_side": export.get("min_side"),
+        "context_margin": export.get("crop_context_ratio"), "max_side": export.get("crop_max_size"), "min_side": export.get("crop_min_size"),
     }
     return dataclasses.replace(CurationSettings(), **{k: v for k, v in found.items() if v is not None})
 

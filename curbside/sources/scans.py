@@ -15,7 +15,7 @@ def inventory(spark: SparkSession, root: str, limit: int | None = None) -> DataF
     the digest leave the task.
     """
     own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    own = own.filter(text.is_source_image(F.col("path"))).select("path", _sides("content").alias("s"), F.sha2("content", 256).alias("sha256"))
+    own = own.filter(text.is_image_file(F.col("path"))).select("path", _sides("content").alias("s"), F.sha2("content", 256).alias("sha256"))
     out = own.select("path", "sha256", "s.width", "s.height")
     return out if limit is None else out.orderBy("path").limit(limit)
 
@@ -63,6 +63,11 @@ def inventories(spark: SparkSession, roots: dict[str, dict[str, str]], splits: d
     return out
 
 
+def source_images(spark: SparkSession, root: str) -> DataFrame:
+    """The inventory of a folder without generated and label images, which their names tell."""
+    return inventory(spark, root).filter(text.is_source_image(F.col("path")))
+
+
 def dataset(spark: SparkSession, root: str, split_folders: dict[str, str], caption_map: DataFrame | None = None, default: str = "", limit: int | None = None) -> DataFrame:
     """Source images of the split folders, in the order of splits and paths, with caption and split.
 
@@ -70,10 +75,10 @@ def dataset(spark: SparkSession, root: str, split_folders: dict[str, str], capti
     """
     out = None
     for ordinal, (split, folder) in enumerate(split_folders.items()):
-        part = inventory(spark, folder).withColumns({"split": F.lit(split), "split_ordinal": F.lit(ordinal)})
+        part = source_images(spark, folder).withColumns({"split": F.lit(split), "split_ordinal": F.lit(ordinal)})
         out = part if out is None else out.unionByName(part)
     if out is None or out.isEmpty():
-        out = inventory(spark, root).withColumns({"split": text.split_of_path(F.col("path")), "split_ordinal": F.lit(0)})
+        out = source_images(spark, root).withColumns({"split": text.split_of_path(F.col("path")), "split_ordinal": F.lit(0)})
     if limit is not None:
         out = out.orderBy("split_ordinal", "path").limit(limit)
     if caption_map is None:
@@ -121,13 +126,14 @@ def class_boxes(label_lines: DataFrame, class_id: int = 0) -> DataFrame:
 def mot_boxes(label_lines: DataFrame, strict: bool = False) -> DataFrame:
     """Boxes of class 1 of ``frame,id,x,y,w,h,conf,class[,visibility]`` lines, with their index in the frame.
 
+    Without a ninth field the visibility is null.
     ``strict`` wants a confidence above 0 and positive sides as well.
     """
     p = F.split(F.trim("line"), r"\s*,\s*")
     get = lambda i: F.get(p, F.lit(i)).try_cast("double")
     rows = label_lines.select(
         "*", get(0).cast("bigint").alias("frame"), get(1).cast("bigint").alias("track_id"), *[get(i + 2).alias(c) for i, c in enumerate("xywh")],
-        get(6).alias("conf"), F.when(F.size(p) >= 8, get(7).cast("int")).otherwise(1).alias("cls"), F.when(F.size(p) >= 9, get(8)).otherwise(1.0).alias("visibility"),
+        get(6).alias("conf"), F.when(F.size(p) >= 8, get(7).cast("int")).otherwise(1).alias("cls"), F.when(F.size(p) >= 9, get(8)).alias("visibility"),
     ).filter("frame IS NOT NULL AND h IS NOT NULL AND cls = 1")
     if strict:
         rows = rows.filter("conf > 0 AND w > 0 AND h > 0")
@@ -177,12 +183,18 @@ def match_labels(images: DataFrame, label_files: DataFrame, split_folders: dict[
 
 
 def captions(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, caption) of a CSV with any of the usual headers; a byte-order mark is taken off."""
-    raw = spark.read.csv(path, header=True)
-    names = {c: c.lstrip("﻿").strip().lower() for c in raw.columns}
-    pick = lambda options: F.coalesce(*[text.blank_to_null(F.col(f"`{c}`")) for o in options for c, n in names.items() if n == o], F.lit(None).cast("string"))
-    out = raw.select(text.file_name(pick(("file_name", "filename", "image", "image_path", "path", "file"))).alias("file_name"), pick(("caption", "text", "prompt", "description")).alias("caption"))
-    return out.filter("file_name IS NOT NULL AND caption IS NOT NULL").groupBy("file_name").agg(F.max("caption").alias("caption"))
+    """(file_name, caption) of a CSV file with a header; of several rows for a file the last one counts.
+
+    The name is in ``file_name``, ``filename`` or ``image``, the caption in
+    ``caption`` or ``prompt``: the first of them that isn't empty. Cells may be
+    quoted, with doubled quotes, commas and line breaks inside; a byte-order mark
+    is taken off.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    names = {c.lstrip("\ufeff"): c for c in raw.columns}
+    pick = lambda options: F.coalesce(*[F.nullif(F.col(f"`{names[o]}`"), F.lit("")) for o in options if o in names], F.lit(None).cast("string"))
+    out = raw.select(text.file_name(pick(("file_name", "filename", "image"))).alias("file_name"), pick(("caption", "prompt")).alias("caption"), F.monotonically_increasing_id().alias("__at"))
+    return out.filter("file_name IS NOT NULL AND caption IS NOT NULL").groupBy("file_name").agg(F.max_by("caption", "__at").alias("caption"))
 
 
 def with_captions(images: DataFrame, caption_map: DataFrame, default: str) -> DataFrame:
@@ -210,6 +222,14 @@ def sample_frames(frames: DataFrame, source_fps: float, fps: float, key: str = "
     return frames.withColumn("__rn", rank).filter((F.col("__rn") - 1) % n == 0).drop("__rn")
 
 
+def sequence_frames(frames: DataFrame, source_fps: float = 30.0, fps: float = 2.0, seconds: float = 2.0, key: str = "sequence", order: str = "frame") -> DataFrame:
+    """The sampled frames of each sequence with the ``window_id`` of the time window that they fall in.
+
+    The frames of a window are counted among those that the sample keeps.
+    """
+    return frame_windows(sample_frames(frames, source_fps, fps, key, order), max(1, int(seconds * fps)), key, order)
+
+
 def frame_windows(frames: DataFrame, size: int, key: str = "sequence", order: str = "frame") -> DataFrame:
     """window_id of each frame: ``size`` frames of a sequence in a row belong together."""
     return frames.withColumn("window_id", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / size))
