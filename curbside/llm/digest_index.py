@@ -33,15 +33,38 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A digest table at ``location``, in ``buckets`` buckets; made if it isn't there."""
+    """A digest table at ``location``, in ``buckets`` buckets (64 without a number); made if it isn't there.
 
-    def __init__(self, spark: SparkSession, name: str, location: str, buckets: int = 64):
-        self.spark, self.name, self.location, self.buckets = spark, name, location, buckets
+    The number of buckets decides where a digest's row is looked for, so it is
+    written beside the table once. An index is opened with the number that it
+    was made with; another one is an error.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, location: str, buckets: int | None = None):
+        self.spark, self.name, self.location = spark, name, location
+        self.buckets = self._layout(buckets)
+        buckets = self.buckets
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT, keep_tag BIGINT, n BIGINT, batch STRING)"
             f" USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{location}'"
         )
 
+    def _layout(self, buckets: int | None) -> int:
+        """The stored number of buckets; a new index stores the given one."""
+        where = f"{self.location.rstrip('/')}_layout"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark._jsc.hadoopConfiguration()
+        at = path(where)
+        if not at.getFileSystem(conf).exists(path(f"{where}/_SUCCESS")):
+            data = path(self.location)
+            if data.getFileSystem(conf).exists(data):
+                raise ValueError(f"the index at {self.location} has rows but no {where}: its number of buckets isn't known")
+            self.spark.createDataFrame([(buckets or 64,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(where)
+        stored = self.spark.read.schema("buckets int").parquet(where).first().buckets
+        if buckets is not None and buckets != stored:
+            raise ValueError(f"the index at {self.location} has {stored} buckets, not {buckets}")
+        return stored
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -99,10 +122,11 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "
         .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__lost"))
         .distinct()
     )
-    marked = docs.withColumn("__digest", text_digest(F.col(text_col)))
-    left = marked.join(lost, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__lost")), "left_anti")
-    tied = Window.partitionBy(id_col, "__digest").orderBy("__digest")  # rows alike in id and text: one stays
-    return left.withColumn("__n", F.row_number().over(tied)).filter("__n = 1").drop("__n", "__digest")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")  # whatever the columns are called
+    marked = docs.select(doc, F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
+    left = marked.join(lost, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__lost")), "left_anti")
+    tied = Window.partitionBy("id", "digest").orderBy("digest")  # rows alike in id and text: one stays
+    return left.withColumn("n", F.row_number().over(tied)).filter("n = 1").select("doc.*")
 
 
 def fresh_index(spark: SparkSession, rows: int = 0, buckets: int = 8) -> DigestIndex:

@@ -114,11 +114,11 @@ def leaves(vertices: DataFrame) -> DataFrame:
     root = vertices.select("key", "mins", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"))
     # Distinct coordinates at the roots: trees that began alike would not be independent.
     level = root.select("key", child(((F.col("tree") * 37) % COORDINATES).cast("int"), F.col("tree")).alias("node"))
-    found = []
+    found, total = [], vertices.count() * TREES
     for depth in range(1, DEPTH + 1):
         level = cut(level, "level")
-        sizes = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        sized = level.join(sizes, "node")
+        sizes = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumn("rows", F.col("n"))
+        sized = spread_join(level, sizes, "node", "rows", "key", total=total)
         if depth == DEPTH:
             found.append(sized)
             break
@@ -200,7 +200,8 @@ def _headed(named: DataFrame, group: str) -> DataFrame:
     """Rows of the groups of several components, with the group's n rows, its largest component, and the m rows outside that."""
     counts = named.groupBy(group, "component").agg(F.count("*").alias("k"))
     heads = counts.groupBy(group).agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("h"), F.count("*").alias("parts")).filter("parts > 1")
-    return named.join(heads.select(group, "n", (F.col("n") - F.col("h.k")).alias("m"), F.col("h.component").alias("head")), group)
+    heads = heads.select(group, "n", (F.col("n") - F.col("h.k")).alias("m"), F.col("h.component").alias("head"), F.col("n").alias("rows"))
+    return spread_join(named, heads, group, "rows", "key", total=named.count())
 
 
 def _dealt(rows: DataFrame, group: str) -> DataFrame:
@@ -401,10 +402,12 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     """One document of each component, with its columns; documents without words all stay."""
     found = find_components(docs, k, percent, id_col, text_col)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")  # whatever the columns are called
+    own = docs.select(doc, F.col(id_col).alias("id"), F.sha2(whole(F.col(text_col)).cast("binary"), 256).alias("digest"))
+    left = own.join(kept, F.col("id").eqNullSafe(F.col("__id")), "left_semi")
     # Rows that share an id and a text are one document.
-    tied = Window.partitionBy(id_col, F.sha2(whole(F.col(text_col)).cast("binary"), 256)).orderBy(id_col)
-    return left.withColumn("__n", F.row_number().over(tied)).filter("__n = 1").drop("__n")
+    tied = Window.partitionBy("id", "digest").orderBy("id")
+    return left.withColumn("n", F.row_number().over(tied)).filter("n = 1").select("doc.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ from curbside.llm.words import whole
 MARK = "▁"
 #: Threads of the library in each task.
 THREADS = 2
-#: The registered query has one of so many distinct chunks verified.
-VERIFY_EVERY = 256
+#: The registered query has one of so many distinct chunks verified: every one.
+VERIFY_EVERY = 1
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2

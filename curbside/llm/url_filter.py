@@ -23,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curbside.llm.words import lower_ascii, whole
+from curbside.skew import spread_join
 
+#: Columns of the result that take the place of the input's.
+ADDED = ("host", "path", "rule", "verdict")
 RULE_SCHEMA = "host string, path string, verdict string"
 #: Places that the URLs of one expression are dealt to.
 PLACES = 16
@@ -53,8 +56,10 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     table = table.withColumn("r_place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
 
     host, path = split_url(F.col(url_col))
-    found = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    urls = found.filter("host <> ''").select("host", "path").distinct()
+    # The page goes along as one column, whatever its columns are called.
+    page = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in ADDED]).alias("page")
+    found = pages.select(page, host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    urls = found.filter("host <> ''").groupBy("host", "path").agg(F.count("*").alias("pages"))
     parts = F.split(F.col("host"), r"\.")
     hosts = F.array(*[F.when(F.size(parts) >= k, F.array_join(F.slice(parts, -k, k), ".")) for k in sorted(shape.labels)] or [F.lit(None).cast("string")])
     paths = F.array(*[F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in sorted(shape.lengths)] or [F.lit(None).cast("string")])
@@ -69,12 +74,12 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     )
     hits = tries.join(table, (F.col("key") == F.col("r_key")) & (F.col("place") == F.col("r_place"))).filter("digest = r_digest AND e_host = r_host AND e_path = r_path")
     order = F.struct(F.char_length("r_host") + F.char_length("r_path"), F.char_length("r_host"), F.col("r_verdict"), F.concat("r_host", "r_path").alias("rule"))
-    best = hits.groupBy("host", "path").agg(F.max(order).alias("b")).select(F.col("host").alias("__h"), F.col("path").alias("__p"), "b.rule", F.col("b.r_verdict").alias("verdict"))
-    return (
-        found.join(best, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left")
-        .withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-        .drop("__h", "__p")
-    )
+    best = hits.groupBy("host", "path").agg(F.max(order).alias("b"), F.first("pages").alias("pages"))
+    best = best.select(F.struct("host", "path").alias("url"), "b.rule", F.col("b.r_verdict").alias("verdict"), "pages")
+    # Pages without a host have no key and fit no rule; those of one URL are dealt where they are very many.
+    keyed = found.withColumn("url", F.when(F.col("host") != "", F.struct("host", "path")))
+    joined = spread_join(keyed, best, "url", "pages", "row", "left")
+    return joined.select("page.*", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 #: The contract's rules.

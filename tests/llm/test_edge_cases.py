@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from curbside.llm import digest_index, mixing, quality, queries, url_filter
+from curbside.llm import digest_index, mixing, near_dedup, quality, queries, url_filter
 
 LONG = "lorem ipsum dolor sit amet " * 4000
 TEXTS = [
@@ -118,3 +118,37 @@ def test_keep_gives_clashing_columns_back(spark):
     text = "plain words that are long enough for the base rules and nothing else at all"
     docs = spark.createDataFrame([(1, text, -7, "mine", 5.5)], "doc_id long, text string, n_words int, kept string, `odd.name` double")
     assert [tuple(r) for r in quality.keep(docs, [0] * quality.BUCKETS).collect()] == [(1, text, -7, "mine", 5.5)]
+
+
+def test_an_index_keeps_its_number_of_buckets(spark):
+    index = digest_index.fresh_index(spark, buckets=8)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    assert digest_index.deduplicate(docs, index, "one").count() == 200
+    index.forget()
+    with pytest.raises(ValueError, match="8 buckets, not 64"):
+        digest_index.DigestIndex(spark, "reopened", index.location, 64)
+    again = digest_index.DigestIndex(spark.newSession(), "reopened", index.location)
+    assert again.buckets == 8
+    assert digest_index.deduplicate(docs.withColumn("doc_id", docs.doc_id + 1000), again, "two").count() == 0
+    assert again.table().count() == 200
+
+
+def test_clashing_column_names_come_back(spark):
+    long = "some words that are long enough to be linked with a near copy of themselves in this test of names"
+    odd = "doc_id long, text string, __n int, __id string, __h int, n int, doc int, digest string, rows int, page int, `a.b` int"
+    docs = spark.createDataFrame([(1, long, 1, "x", 2, 3, 4, "y", 5, 6, 7), (2, long + " more", 1, "x", 2, 3, 4, "y", 5, 6, 7)], odd)
+    kept = digest_index.deduplicate(docs, digest_index.fresh_index(spark), "a")
+    assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(docs.collect())
+    kept = near_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns and kept.collect() == docs.filter("doc_id = 1").collect()
+    pages = docs.withColumnRenamed("text", "url").withColumn("rule", docs.n)
+    judged = url_filter.judge(pages, spark.createDataFrame(url_filter.RULES, url_filter.RULE_SCHEMA))
+    assert judged.columns == [c for c in pages.columns if c != "rule"] + ["host", "path", "rule", "verdict"] and judged.count() == 2
+
+
+def test_hot_urls_and_pages_without_a_host(spark):
+    urls = ["http://hot.com/x", None, "no host", "http://a.net/es/1"]
+    pages = spark.createDataFrame([(i, urls[i % 4] if i % 3 else "http://hot.com/x") for i in range(4000)], "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame(url_filter.RULES, url_filter.RULE_SCHEMA)).groupBy("url", "rule", "verdict").count().collect()
+    counts = {u: sum(1 for i in range(4000) if (urls[i % 4] if i % 3 else urls[0]) == u) for u in urls}
+    assert {(r.url, r.rule, r.verdict): r["count"] for r in got} == {(urls[0], "com/", "allow"): counts[urls[0]], (None, None, "allow"): counts[None], ("no host", None, "allow"): counts["no host"], (urls[3], "net/es/", "block"): counts[urls[3]]}
