@@ -1,7 +1,9 @@
 """Jobs over image and mask rows: numpy on Arrow batches, one row at a time.
 
 Images are (width, height, data) with three bytes a pixel, masks (width, height,
-mask) with one. A missing or ill-sized mask counts as empty.
+mask) with one. A missing or ill-sized mask counts as empty. Rows with a column
+``channels`` are as ``images.pictures`` reads them from files: one, three or four
+bytes a pixel, blue first.
 """
 
 from __future__ import annotations
@@ -17,6 +19,19 @@ def _image(data, width, height) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(int(height), int(width), 3)
 
 
+def _read(r) -> np.ndarray:
+    """The picture of a row in red, green, blue, whether it comes from a table or from a file."""
+    if getattr(r, "channels", None) is None:
+        return _image(r.data, r.width, r.height)
+    own = np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), int(r.channels))
+    return np.repeat(own, 3, axis=2) if r.channels == 1 else own[:, :, 2::-1]
+
+
+def _luma(picture: np.ndarray) -> np.ndarray:
+    """Gray values by the usual weights of red, green and blue, in 16 bits of fixed point."""
+    return ((picture.astype(np.int64) @ np.array([19595, 38470, 7471]) + 0x8000) >> 16).astype(float)
+
+
 def _mask(data, width, height) -> np.ndarray:
     if data is None or width is None or height is None or len(data) != int(width) * int(height):
         return np.zeros((0, 0), np.uint8)
@@ -195,9 +210,9 @@ def perceptual_hash(images: DataFrame, keep: list[str]) -> DataFrame:
     dct = np.cos(np.pi / 32 * (k[None, :] + 0.5) * k[:, None])
 
     def one(r) -> dict:
-        if r.data is None or not r.width or not r.height:
+        if r.data is None or not r.width or not r.height or r.width < 0:
             return {"phash": "", "h": None}
-        gray = _image(r.data, r.width, r.height).astype(float).mean(2)
+        gray = _luma(_read(r))
         ys, xs = (np.linspace(0, n, 33).astype(int) for n in gray.shape)
         sums = np.pad(gray.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
         y0, y1, x0, x1 = ys[:-1], np.maximum(ys[1:], ys[:-1] + 1).clip(max=gray.shape[0]), xs[:-1], np.maximum(xs[1:], xs[:-1] + 1).clip(max=gray.shape[1])
@@ -222,7 +237,7 @@ def crop_pixels(images: DataFrame, keep: list[str]) -> DataFrame:
     """The window x1..y2 of each image, resized to out_width x out_height by area sampling, as raw pixels."""
 
     def one(r) -> dict:
-        crop = _image(r.data, r.width, r.height)[int(r.y1) : int(r.y2), int(r.x1) : int(r.x2)].astype(float)
+        crop = _read(r)[int(r.y1) : int(r.y2), int(r.x1) : int(r.x2)].astype(float)
         ys, xs = _shares(crop.shape[0], int(r.out_height)), _shares(crop.shape[1], int(r.out_width))
         return {"crop": np.floor(np.einsum("yi,ijc,xj->yxc", ys, crop, xs) + 0.5).astype(np.uint8).tobytes()}
 

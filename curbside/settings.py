@@ -77,6 +77,36 @@ class SourceRole:
     role: str  # "train" or "eval"
 
 
+@dataclass(frozen=True)
+class Source:
+    """Where a source's files are and how they are read: ``yolo``, ``mot`` or ``classification_folders``."""
+
+    source_id: str
+    parser: str
+    mount: str
+    lora_splits: tuple[str, ...] = ()
+    eval_splits: tuple[str, ...] = ()
+    splits: dict[str, str] = field(default_factory=dict)
+    label_dirs: dict[str, str] = field(default_factory=dict)
+    sequence_dir: str = ""
+    gt_dir: str = ""
+    positive_dir: str = "1"
+    source_fps: float = 30.0
+    fps: float = 2.0
+    window_seconds: float = 2.0
+
+
+def sources_of(config: dict) -> list[Source]:
+    """The sources of a configuration, in its order."""
+    names = {"kaggle_mount": "mount", "temporal_sampling_fps": "fps", "temporal_window_seconds": "window_seconds"}
+    known = {f.name for f in dataclasses.fields(Source)}
+    found = []
+    for entry in config.get("sources", []):
+        own = {names.get(k, k): v for k, v in entry.items() if v is not None}
+        found.append(Source(**{k: tuple(v) if isinstance(v, list) else v for k, v in own.items() if k in known}))
+    return found
+
+
 def registry(spark: SparkSession, roles: list[SourceRole]) -> DataFrame:
     """The (source_id, split, role) rows of a configuration: a small table, never larger than the configuration."""
     return spark.createDataFrame([(r.source_id, r.split, r.role) for r in roles], "source_id string, split string, role string")

@@ -8,11 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from curbside.functions import geometry as geo, text
 
 
+#: Bytes of a file in which its header's size is looked for first.
+HEAD = 1 << 16
+
+
+def mounted(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def inventory(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     """path, width, height, sha256 of the image files below a folder; unreadable ones are 0 x 0.
 
     Each file is read once; its sides come from its header, and only they and
-    the digest leave the task.
+    the digest leave the task. A PNG's header is read by Spark; of a JPEG file
+    Python gets the first 64 KB, and the whole only where its size comes later.
     """
     own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     own = own.filter(text.is_image_file(F.col("path"))).select("path", _sides("content").alias("s"), F.sha2("content", 256).alias("sha256"))
@@ -41,22 +52,42 @@ def image_sides(data: bytes) -> tuple[int, int]:
 def _sides(content: str) -> Column:
     @F.pandas_udf("width int, height int")
     def sides(files: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([image_sides(bytes(f)) for f in files], columns=["width", "height"])
+        return pd.DataFrame([(0, 0) if f is None else image_sides(bytes(f)) for f in files], columns=["width", "height"])
 
-    return sides(content)
+    data = F.col(content)
+    number = lambda at: F.conv(F.hex(F.substring(data, at, 4)), 16, 10).try_cast("int")
+    is_png = (F.hex(F.substring(data, 1, 8)) == "89504E470D0A1A0A") & (F.hex(F.substring(data, 13, 4)) == "49484452") & (F.octet_length(data) >= 24)
+    is_jpeg = F.hex(F.substring(data, 1, 2)) == "FFD8"
+    head = sides(F.when(is_jpeg, F.substring(data, 1, HEAD)))
+    whole = sides(F.when(is_jpeg & (head["width"] == 0) & (F.octet_length(data) > HEAD), data))
+    read = F.when(head["width"] > 0, head).otherwise(whole)
+    return F.when(is_png, F.struct(F.coalesce(number(17), F.lit(0)).alias("width"), F.coalesce(number(21), F.lit(0)).alias("height"))).otherwise(read)
 
 
-def inventories(spark: SparkSession, roots: dict[str, dict[str, str]], splits: dict[str, list[str]], limit: int | None = None) -> DataFrame:
-    """Inventories of several sources by their configured splits, at most ``limit`` images of each source."""
+def usual_splits(eval_splits: list[str] | None = None, train_splits: list[str] | None = None) -> list[str]:
+    """The splits of a source that are listed where none are named: those of evaluation, else of training, else ``train``."""
+    return list(eval_splits or train_splits or ["train"])
+
+
+def inventories(spark: SparkSession, roots: dict[str, dict[str, str]], splits: dict[str, list[str]], limit: int | None = None, skip_missing: bool = False) -> DataFrame:
+    """Inventories of several sources by their configured splits, at most ``limit`` images of each source.
+
+    A split without a folder in ``roots``, or whose folder isn't there, has no
+    images. A source of whose splits no folder is there isn't mounted: an error,
+    or with ``skip_missing`` passed over.
+    """
     out = None
     for source, wanted in splits.items():
         if source not in roots:
             raise ValueError(f"unknown source {source!r}")
-        for ordinal, split in enumerate(wanted):
+        there = [(i, split) for i, split in enumerate(wanted) if split in roots[source] and mounted(spark, roots[source][split])]
+        if not there and not skip_missing:
+            raise FileNotFoundError(f"no folder of source {source!r} is there")
+        for ordinal, split in there:
             part = inventory(spark, roots[source][split]).withColumns({"source_id": F.lit(source), "split": F.lit(split), "split_ordinal": F.lit(ordinal)})
             out = part if out is None else out.unionByName(part)
     if out is None:
-        raise ValueError("no source is configured")
+        raise FileNotFoundError("no source is configured or there")
     if limit is not None:
         order = Window.partitionBy("source_id").orderBy("split_ordinal", "path")
         out = out.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= limit).drop("__n")
