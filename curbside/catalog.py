@@ -317,4 +317,4 @@ def number_cells(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", text.first_number(cell).alias("first_value"))
 
 
-from curbside import catalog_boxes, catalog_images, catalog_rules  # noqa: E402, F401  its queries are registered when it is imported
+from curbside import catalog_boxes, catalog_images, catalog_rules, catalog_files  # noqa: E402, F401, I001  its queries are registered when it is imported

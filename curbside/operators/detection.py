@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -165,21 +166,75 @@ def compare(a: DataFrame, b: DataFrame, directions: dict[str, bool]) -> DataFram
     return joined.withColumn("delta", F.col("b") - F.col("a")).withColumn("improved", F.when(up, F.col("b") >= F.col("a")).otherwise(F.col("b") <= F.col("a")))
 
 
-def detect(images: DataFrame, fn, schema: str = "image_id string, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double, cls int") -> DataFrame:
-    """Runs a detector over image rows: ``fn`` gets a pandas row batch and returns rows of ``schema``; without one there are no detections."""
+#: Detections, and what a segmenter gives before its masks are numbered.
+DETECTIONS = "image_id string, det_idx int, x1 double, y1 double, x2 double, y2 double, conf double, cls int"
+MASKS = "image_id string, width int, height int, mask binary, x1 double, y1 double, x2 double, y2 double, conf double"
+#: Models of this Python worker, by name.
+_MODELS: dict[str, object] = {}
+
+
+@dataclass(frozen=True)
+class Model:
+    """A model that each Python worker loads once, when it first meets its name, and keeps for its lifetime."""
+
+    name: str
+    load: Callable[[], object]
+
+    def get(self) -> object:
+        if self.name not in _MODELS:
+            _MODELS[self.name] = self.load()
+        return _MODELS[self.name]
+
+
+def detect(images: DataFrame, fn, schema: str = DETECTIONS, model: Model | None = None, rows: int = 64, errors: bool = False) -> DataFrame:
+    """Runs a detector over image rows; without one there are no detections.
+
+    ``fn`` gets a pandas batch of at most ``rows`` rows, behind the loaded
+    ``model`` if there is one, and returns rows of ``schema``. With ``errors``
+    the rows of a batch that fails are tried one by one, and what still fails
+    gives a row with its image_id and the failure in ``error``, a column that is
+    null elsewhere.
+    """
+    if errors:
+        schema += ", error string"
     if fn is None:
         return images.sparkSession.createDataFrame([], schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def plain(found: pd.DataFrame) -> pd.DataFrame:
+        """The columns of the schema, nulls where one lacks, with texts as Python objects, which become one Arrow array."""
+        columns = {n: found[n] if n in found else pd.Series([None] * len(found), dtype=object) for n in names}
+        return pd.DataFrame({n: pd.Series(c.tolist(), dtype=object) if isinstance(c.dtype, pd.StringDtype) else c.reset_index(drop=True) for n, c in columns.items()})
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return plain(fn(pdf) if model is None else fn(model.get(), pdf))
+
+    def told_apart(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield one(pdf)
+        except Exception as e:
+            if len(pdf) > 1:
+                for i in range(len(pdf)):
+                    yield from told_apart(pdf.iloc[i : i + 1])
+            else:
+                failed = {"image_id": pdf["image_id"].iloc[0], "error": f"{type(e).__name__}: {e}"}
+                yield pd.DataFrame({n: pd.Series([failed.get(n)], dtype=object) for n in names})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield fn(pdf)
+            for at in range(0, len(pdf), rows):
+                some = pdf.iloc[at : at + rows]
+                if errors:
+                    yield from told_apart(some)
+                else:
+                    yield one(some)
 
     return images.mapInPandas(work, schema)
 
 
-def segment(images: DataFrame, fn) -> DataFrame:
-    """Runs a segmenter; masks come back as bytes, the most confident first."""
-    found = detect(images, fn, "image_id string, width int, height int, mask binary, x1 double, y1 double, x2 double, y2 double, conf double")
+def segment(images: DataFrame, fn, model: Model | None = None, rows: int = 16) -> DataFrame:
+    """Runs a segmenter like a detector; masks come back as bytes, the most confident first."""
+    found = detect(images, fn, MASKS, model, rows)
     order = Window.partitionBy("image_id").orderBy(F.desc("conf"))
     return found.withColumn("mask_idx", F.row_number().over(order) - 1)
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def _image(data, width, height) -> np.ndarray:
@@ -168,6 +168,36 @@ def background(pairs: DataFrame, dilate_px: int = 8, keep: list[str] | None = No
     return map_rows(pairs, one, "bg_mae double, bg_ssim double", keep or ["case_id"])
 
 
+def tile_background(tiles: DataFrame, dilate_px: int = 8, key: str = "case_id") -> DataFrame:
+    """bg_mae and bg_ssim of pictures that come in tiles, outside the object's box, grown by ``dilate_px``.
+
+    Rows are (key, left, top, width, height, source, target, x1..y2): a tile, its
+    place in the picture, and the box in the picture's coordinates; without one
+    every pixel counts. A tile gives exact integer sums of its pixels, squares and
+    products, and Spark adds them by picture, however many tiles it has.
+    """
+    sums = ["n", "diff", "a", "b", "aa", "bb", "ab"]
+
+    def one(r) -> dict:
+        a, b = (_image(d, r.width, r.height).astype(np.int64) for d in (r.source, r.target))
+        outside = np.ones(a.shape[:2], bool)
+        if r.x1 is not None and r.x1 == r.x1:
+            x1, y1, x2, y2 = (max(0, int(v)) for v in (r.x1, r.y1, r.x2, r.y2))
+            if x2 > x1 and y2 > y1:
+                rows, columns = (slice(max(0, low - dilate_px - at), max(0, high + dilate_px - at)) for low, high, at in ((y1, y2, int(r.top)), (x1, x2, int(r.left))))
+                outside[rows, columns] = False
+        x, y = a.sum(2)[outside], b.sum(2)[outside]  # three times the gray value
+        return dict(zip(sums, map(int, (outside.sum(), np.abs(a - b).sum(2)[outside].sum(), x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum())), strict=True))
+
+    per = map_rows(tiles, one, ", ".join(f"{s} long" for s in sums), [key]).groupBy(key).agg(*[F.sum(s).alias(s) for s in sums])
+    n = F.nullif("n", F.lit(0))
+    ma, mb = F.col("a") / (3 * n), F.col("b") / (3 * n)
+    va, vb, ab = F.col("aa") / (9 * n) - ma * ma, F.col("bb") / (9 * n) - mb * mb, F.col("ab") / (9 * n) - ma * mb
+    c1, c2 = 2.55**2, 7.65**2
+    ssim = (2 * ma * mb + c1) * (2 * ab + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2) + 1e-9)
+    return per.select(key, F.coalesce(F.col("diff") / (3 * n), F.lit(0.0)).alias("bg_mae"), F.coalesce(ssim, F.lit(1.0)).alias("bg_ssim"))
+
+
 def masked_mae(pairs: DataFrame, keep: list[str]) -> DataFrame:
     """Mean absolute difference under a mask (above 0.20), 0 to 1 and 0 to 255; 0 for an empty mask."""
 

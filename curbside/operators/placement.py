@@ -68,19 +68,39 @@ def fitted_height(targets: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def nearest_height(targets: DataFrame, samples: DataFrame, most: float = 70.0, side: int = RESOLUTION) -> DataFrame:
-    """Height at a ground position from the nearest sample, carried along the perspective; null beyond ``most``."""
-    away = F.abs(F.col("ground_y") - F.col("target_y"))
-    joined = targets.select("image_id", "target_y").distinct().join(samples, "image_id")
-    best = joined.groupBy("image_id", "target_y").agg(F.min(F.struct(away.alias("away"), "ground_y", "height")).alias("s"))
+    """Height at a ground position from the nearest sample, carried along the perspective; null beyond ``most``.
+
+    An as-of join: targets and samples of an image stand in one order of the
+    ground, and the last sample before a target and the first one behind it are
+    compared. Equally near ones go to the smaller position, then height.
+    """
+    kinds = "struct<ground_y: double, height: double>"
+    found = samples.filter("ground_y IS NOT NULL AND height IS NOT NULL").groupBy("image_id", F.col("ground_y").cast("double").alias("at")).agg(F.min("height").cast("double").alias("height"))
+    points = found.select("image_id", "at", F.lit(0).alias("kind"), F.struct(F.col("at").alias("ground_y"), "height").alias("sample"), F.lit(None).cast("double").alias("target_y"))
+    asked = targets.select("image_id", "target_y").distinct().filter("target_y IS NOT NULL")
+    points = points.unionByName(asked.select("image_id", F.col("target_y").cast("double").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(kinds).alias("sample"), F.col("target_y").cast("double").alias("target_y")))
+    along = Window.partitionBy("image_id").orderBy("at", "kind")
+    before = F.last("sample", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.first("sample", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    away = lambda s: F.when(s.isNotNull(), F.struct(F.abs(s["ground_y"] - F.col("target_y")).alias("away"), s["ground_y"].alias("ground_y"), s["height"].alias("height")))
+    near = points.withColumns({"before": before, "behind": behind}).filter("kind = 1")
+    best = near.select("image_id", F.col("target_y").cast(dict(targets.dtypes)["target_y"]).alias("target_y"), F.least(away(F.col("before")), away(F.col("behind"))).alias("s"))
     height = F.col("s.height") * scores.perspective_scale(F.col("target_y"), side) / F.greatest(F.lit(1e-6), scores.perspective_scale(F.col("s.ground_y"), side))
     return targets.join(best.select("image_id", "target_y", F.when(F.col("s.away") <= most, height).alias("nearest")), ["image_id", "target_y"], "left")
 
 
 def weighted_height(targets: DataFrame, samples: DataFrame, most: float = 120.0) -> DataFrame:
-    """Height from all samples within ``most``, weighted by 1 / (1 + distance)."""
+    """Height from all samples within ``most``, weighted by 1 / (1 + distance).
+
+    Samples are added up by position first, and a target meets those of its own
+    and the two neighbouring bands of the ground alone.
+    """
     away = F.abs(F.col("ground_y") - F.col("target_y"))
-    near = targets.select("image_id", "target_y").distinct().join(samples, "image_id").filter(away <= most)
-    per = near.groupBy("image_id", "target_y").agg((F.sum(F.col("height") / (1 + away)) / F.sum(1 / (1 + away))).alias("weighted"))
+    band = lambda c: F.floor(F.col(c) / most)
+    at = samples.groupBy("image_id", "ground_y").agg(F.sum("height").alias("height"), F.count("height").alias("n")).withColumn("band", band("ground_y"))
+    asked = targets.select("image_id", "target_y").distinct().withColumn("band", F.explode(F.sequence(band("target_y") - 1, band("target_y") + 1)))
+    near = asked.join(at, ["image_id", "band"]).filter(away <= most)
+    per = near.groupBy("image_id", "target_y").agg((F.sum(F.col("height") / (1 + away)) / F.sum(F.col("n") / (1 + away))).alias("weighted"))
     return targets.join(per, ["image_id", "target_y"], "left")
 
 

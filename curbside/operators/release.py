@@ -7,6 +7,7 @@ occlusion, ignore), registry(source_id, split, role).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -341,6 +342,25 @@ def changed_pairs(pairs: DataFrame, least: int = 64, limit: int | None = None) -
     return numbered.withColumn("case_id", text.stable_id(F.lit("pipe"), F.col("img_id"), F.col("ann_id"), F.col("kept")))
 
 
+def first_changed_pairs(pairs: DataFrame, masks: Callable[[DataFrame], DataFrame], n: int, least: int = 64, batch: int | None = None) -> DataFrame:
+    """The first ``n`` pairs in the order of ``pair_seq`` that have enough changed pixels, numbered as by ``changed_pairs``.
+
+    Ranges of the order are read in growing batches until ``n`` are kept, so that
+    ``masks`` (see ``pixels.change_masks``; it has to keep pair_seq, img_id and
+    ann_id) is asked for little more than what is needed. ``pair_seq`` is a
+    number or text and unique; a range of it is a filter that files can skip by.
+    """
+    order = cut(ranked_in_order(pairs.select("pair_seq"), "pair_seq"), "order")
+    total, begin, size, kept, found = order.count(), 1, batch or max(64, 2 * n), 0, None
+    while kept < n and begin <= total:
+        ends = order.filter(F.col("__rank").between(begin, begin + size - 1)).agg(F.min("pair_seq").alias("low"), F.max("pair_seq").alias("high")).first()
+        own = masks(pairs.filter(F.col("pair_seq").between(ends.low, ends.high)))
+        own = cut(own.filter(F.col("changed") >= least), "changed")
+        kept, found = kept + own.count(), own if found is None else found.unionByName(own)
+        begin, size = begin + size, 2 * size
+    return changed_pairs(masks(pairs.limit(0)) if found is None else found, least, n)
+
+
 def ranked_in_order(rows: DataFrame, order: str) -> DataFrame:
     """Adds ``__rank``, the place in the order of a column: range partitions are counted, and each is numbered by itself."""
     ranged = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()), "ranged")

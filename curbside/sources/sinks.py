@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curbside.operators.release import content_hash
 
@@ -27,6 +29,63 @@ def release_images(crops: DataFrame, path: str) -> None:
     crops.select("file_name", "width", "height", "data", "split").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+class Versions:
+    """Whole sets of tables below a folder, of which a reader sees the last committed one, never half of one.
+
+    The tables of a version go to a folder of its own. When all are written, one
+    small file that names the folder is moved into place; its number is the
+    version's. Of two writers of the same number the second one fails.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _committed(self) -> list[str]:
+        at = self._path(f"{self.folder}/committed")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(at) if not f.getPath().getName().startswith(".")) if self._fs.exists(at) else []
+
+    def current(self) -> str | None:
+        """The folder of the last committed version."""
+        names = self._committed()
+        return f"{self.folder}/{self.spark.read.text(f'{self.folder}/committed/{names[-1]}').first().value}" if names else None
+
+    def publish(self, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None) -> str:
+        """Writes the tables as a new version and commits it; returns its folder."""
+        number = int(self._committed()[-1]) + 1 if self._committed() else 1
+        own = f"version-{number:08d}-{uuid.uuid4().hex[:12]}"
+        for name, df in tables.items():
+            writer = df.write
+            if partition_by and name in partition_by:
+                writer = writer.partitionBy(partition_by[name])
+            writer.parquet(f"{self.folder}/{own}/{name}")
+        self._fs.mkdirs(self._path(f"{self.folder}/committed"))
+        draft = self._path(f"{self.folder}/committed/.{own}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(own.encode()))
+        out.close()
+        final = self._path(f"{self.folder}/committed/{number:08d}")
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise RuntimeError(f"version {number} of {self.folder} was committed by another writer")
+        return f"{self.folder}/{own}"
+
+    def read(self, table: str) -> DataFrame:
+        """A table of the last committed version."""
+        current = self.current()
+        if current is None:
+            raise FileNotFoundError(f"{self.folder} has no committed version")
+        return self.spark.read.parquet(f"{current}/{table}")
+
+
+def publish_release(spark: SparkSession, folder: str, built: dict[str, DataFrame], record: DataFrame, crops: DataFrame | None = None) -> str:
+    """Commits the tables of a release build, its record with the status of its validation, and its crops as one version."""
+    tables = {"samples": built["samples"], "groups": built["groups"], "evaluation": built["evaluation"], "validation_report": built["status"], "release": validated(record, built["status"])}
+    if crops is not None:
+        tables["images"] = crops
+    return Versions(spark, folder).publish(tables, {"samples": "split"} | ({"images": "split"} if crops is not None else {}))
+
+
 def release_record(samples: DataFrame, name: str, trigger: str, template_version: str) -> DataFrame:
     """One row: name, status, trigger, template version, content hash and counts."""
     counts = samples.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"))

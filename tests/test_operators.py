@@ -119,7 +119,7 @@ def test_inventory(spark, tmp_path):
     png(tmp_path / "one_mask.png", np.full((4, 6, 3), 9, np.uint8))
     (tmp_path / "broken.jpg").write_bytes(b"hello")
     got = {r.path.rpartition("/")[2]: r for r in scans.inventory(spark, str(tmp_path)).collect()}
-    assert set(got) == {"one.png", "broken.jpg"} and (got["one.png"].width, got["one.png"].height, got["broken.jpg"].width) == (6, 4, 0)
+    assert set(got) == {"one.png", "one_mask.png", "broken.jpg"} and (got["one.png"].width, got["one.png"].height, got["broken.jpg"].width) == (6, 4, 0)
     assert got["broken.jpg"].sha256.startswith("2cf24dba") and got["broken.jpg"].sha256.endswith("9824")
     with pytest.raises(ValueError):
         scans.inventories(spark, {}, {"nowhere": ["train"]})
@@ -161,7 +161,7 @@ def test_attempt_rules(spark):
     run = spark.createDataFrame([(40, 200, 0.4, 0.9, 0.9, 0.9, 0, 0, 0)], "n_accepted int, n_jobs int, person_p10 double, scale_p10 double, background_p10 double, edge_p10 double, low_person int, bad_scale int, bad_depth int")
     settings = spark.createDataFrame([("CONTEXT_GENERATION_RETRIES", 4.0), ("CONTEXT_PERSON_MIN_CONFIDENCE", 0.12)], "name string, current double")
     got = {r.name: r.value for r in attempts.advice(run, settings).collect()}
-    assert got["CONTEXT_GENERATION_RETRIES"] == pytest.approx(4.6) and got["CONTEXT_PERSON_MIN_CONFIDENCE"] == pytest.approx(0.108)
+    assert got["CONTEXT_GENERATION_RETRIES"] == 5 and got["CONTEXT_PERSON_MIN_CONFIDENCE"] == pytest.approx(0.108)
 
 
 def test_monotonic_heights_follow_the_loop(spark):
@@ -300,8 +300,8 @@ def test_scans_of_folders(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     by_path = scans.dataset(spark, str(tmp_path), {"train": str(tmp_path / "empty")}, default="d")
     assert sorted((r.path[-5:], r.split) for r in by_path.collect()) == [("a.png", "train"), ("b.png", "train"), ("c.png", "val")]
-    both = scans.inventories(spark, {"s": {"t": str(tmp_path / "train"), "v": str(tmp_path / "val")}}, {"s": ["v", "t"]}, 2)
-    assert sorted((r.split, r.path[-5:]) for r in both.collect()) == [("t", "a.png"), ("v", "c.png")]
+    both = scans.inventories(spark, {"s": {"t": str(tmp_path / "train"), "v": str(tmp_path / "val")}}, {"s": ["v", "t"]}, 3)
+    assert sorted((r.split, r.path[-5:]) for r in both.collect()) == [("t", "a.png"), ("v", "c.png"), ("v", "r.png")]
     (tmp_path / "list.txt").write_text("/d/images/x/images/1.2.jpg\n\n/d/plain/7.png\nimages/3.jpg\n")
     rows = scans.split_listing(spark, str(tmp_path / "list.txt"))
     assert sorted(r.label_path for r in rows.collect()) == ["/d/labels/7.txt", "/d/labels/x/images/1.2.txt", "labels/3.txt"]

@@ -1,0 +1,227 @@
+"""Operators that must not gather what grows: order statistics, filters, joins of one key, models, versions."""
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from curbside.functions import scores
+from curbside.operators import attempts, bloom, detection, metrics, order_stats, phrases, pixels, placement, release
+from curbside.sources import sinks
+
+
+@pytest.mark.parametrize("few", [1, 50, 10_000])
+def test_percentiles_equal_numpy(spark, few):
+    rng = np.random.default_rng(1)
+    columns = {
+        "plain": rng.normal(size=3000), "ties": np.where(rng.random(3000) < 0.4, 7.0, rng.integers(0, 20, 3000)).astype(float), "wide": rng.normal(size=3000) * 10.0 ** rng.integers(-200, 200, 3000),
+        "one": np.full(3000, 3.5), "holes": np.where(rng.random(3000) < 0.5, np.nan, rng.random(3000)),
+    }
+    rows = spark.createDataFrame([tuple(None if x != x else float(x) for x in r) for r in zip(*columns.values(), strict=True)], ", ".join(f"{c} double" for c in columns)).repartition(5)
+    shares = [0.0, 0.1, 0.5, 0.95, 1.0]
+    got = order_stats.percentiles(rows, dict.fromkeys(columns, shares), few)
+    for c, values in columns.items():
+        assert [got[c, p] for p in shares] == pytest.approx(list(np.quantile(values[values == values], shares)), rel=1e-12)
+    assert order_stats.percentiles(rows.limit(0), {"plain": [0.5]}) == {("plain", 0.5): None}
+
+
+def test_missing_scores_count_as_nothing(spark):
+    rows = spark.createDataFrame([(0.8, 0.9), (None, 0.9), (0.5, 0.0)], "person_score double, quality_score double")
+    r = metrics.quality_summary(rows, ["person_score", "quality_score"]).first()
+    assert (r.n, r.person_score_mean, r.person_score_p10, r.quality_score_mean) == (2, 0.4, 0.08, 0.9)
+    assert metrics.quality_summary(rows.limit(0), ["person_score"]).first().person_score_p10 == 0.0
+
+
+def test_box_quality_by_hand(spark):
+    values = [(1.0, None, 128.0, 0.9), (1.0, float("nan"), 128.0, 0.9), (1.0, 1.5, 128.0, 0.6), (1.0, 0.0, 512.0, 1.0), (0.5, 0.25, 64.0, 0.525)]
+    rows = spark.createDataFrame(values, "v double, o double, h double, want double")
+    assert all(r.q == pytest.approx(r.want, abs=1e-9) for r in rows.select("want", scores.box_quality(F.col("v"), F.col("o"), F.col("h")).alias("q")).collect())
+
+
+def test_whole_settings_stay_whole_and_modes_of_advice(spark):
+    run = spark.createDataFrame([(40, 200, 0.4, 0.9, 0.9, 0.9, 0, 30, 0)], "n_accepted int, n_jobs int, person_p10 double, scale_p10 double, background_p10 double, edge_p10 double, low_person int, bad_scale int, bad_depth int")
+    settings = spark.createDataFrame([("CONTEXT_GENERATION_RETRIES", 4.0), ("SCALE_CORRECTION_MAX_ATTEMPTS", 2.0), ("CONTEXT_PERSON_MIN_CONFIDENCE", 0.12)], "name string, current double")
+    assert {r.name: r.value for r in attempts.advice(run, settings).collect()} == {"CONTEXT_GENERATION_RETRIES": 5.0, "SCALE_CORRECTION_MAX_ATTEMPTS": 3.0, "CONTEXT_PERSON_MIN_CONFIDENCE": pytest.approx(0.108)}
+    assert {r.name for r in attempts.skipped_advice(run, settings).collect()} == {"MIN_RETRY_PERSON_CONFIDENCE", "SCALE_CORRECTION_HEIGHT_STEP"}
+    told = attempts.advice(run, settings.withColumn("whole", F.col("name") == "CONTEXT_PERSON_MIN_CONFIDENCE"))
+    assert {r.name: r.value for r in told.collect()}["CONTEXT_GENERATION_RETRIES"] == pytest.approx(4.6)
+    counts = spark.createDataFrame([("bad_scale_too_large", 3), ("scale_unrecoverable", 4), ("bad_scale", 1), ("no_person_mask", 2)], "reason string, n long")
+    assert [attempts.reject_figures(counts, m).first().bad_scale for m in ("fixed", "reference")] == [8, 1]
+    assert attempts.reject_figures(counts).first().low_person == 2 and attempts.reject_figures(counts.limit(0)).first().bad_depth == 0
+
+
+def test_nulls_do_not_leak(spark):
+    kind = "image_id int, group_id int, duplicate_cluster_id int, split string"
+    samples = spark.createDataFrame([(1, None, None, "train"), (2, None, None, "val"), (3, 5, 6, "train"), (4, 5, 7, "val")], kind)
+    r = release.leaks(samples, spark.createDataFrame([(None, None), (4, 9)], "image_id int, group_id int")).first()
+    assert (r.shared_group_id, r.shared_duplicate_cluster_id, r.leaked_image_id, r.leaked_group_id) == (1, 0, 1, 0)
+
+
+@pytest.mark.parametrize("distance", [0, 3, 6, 9, 16])
+def test_keys_find_every_pair(spark, distance):
+    rng = np.random.default_rng(distance)
+    base = rng.integers(-(2**63), 2**63, 12)
+    hashes = sorted({int(base[i % 12]) ^ int(np.bitwise_xor.reduce([np.int64(1) << np.int64(b) for b in rng.choice(63, rng.integers(0, 2 + distance), replace=False)] or [np.int64(0)])) for i in range(150)})
+    got = sorted((r.a, r.b, r.distance) for r in release.near_hashes(spark.createDataFrame([("s", h) for h in hashes], "source_id string, h long"), distance).collect())
+    apart = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    assert got == sorted((a, b, apart(a, b)) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if apart(a, b) <= distance)
+    assert sum(w for _, w, _ in release.hash_keys(distance)) == 64
+
+
+def test_keys_of_six_bits_let_few_meet():
+    keys = release.hash_keys(6)
+    assert [(w, f) for _, w, f in keys] == [(16, 1)] * 4
+    assert sum(release._in_ball(w, f) / 2**w for _, w, f in keys) < 0.1 * 7 / 2**9
+
+
+def test_bloom_passes_every_key_and_few_others(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    might = bloom.might_contain(keys, "k", 5000)
+    assert keys.filter(might(F.col("k"))).count() == 5000
+    assert spark.range(10**6, 10**6 + 100_000).filter(might(F.xxhash64("id"))).count() < 200
+    assert spark.range(10).filter(bloom.might_contain(keys, "k", 10**8)(F.col("id"))).count() == 10
+
+
+def test_many_short_phrases(spark):
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, f"{words[i % 300]} {words[(i * 7 + i // 300) % 300]}") for i in range(100_000)] + [(-1, ""), (-2, "absent one"), (-3, None)]
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(30)] + [None, ""]
+    found = phrases.texts_with(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame(items, "item_id long, p string"), "item_id", "p", most=30_000)
+    want = {}
+    for i, p in items:
+        if p is not None and (n := sum(p in t for t in texts if t is not None)):
+            want[i] = n
+    assert {r.item_id: r.n_texts for r in found.collect()} == want
+
+
+def test_contamination_of_all_lengths(spark):
+    rng = np.random.default_rng(4)
+    words = [f"x{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(60)]
+    items = []
+    for i in range(120):
+        t, n = texts[i % 60].split(), 1 + i % 14
+        at = int(rng.integers(0, 80 - n))
+        items.append((i, " ".join(t[at : at + n])[0 if i % 3 else 1 :] or "x"))
+    items.append((999, " ".join(words[:9])))
+    got = {r.item_id: r.n_texts for r in release.contamination(spark.createDataFrame([(t,) for t in [*texts, None]], "caption string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: n for i, p in items if (n := sum(p in t for t in texts))}
+
+
+def test_nearest_sample_of_an_image_with_ten_thousand(spark):
+    rng = np.random.default_rng(5)
+    ys, hs = rng.integers(0, 5000, 10_000) / 10, rng.integers(20, 200, 10_000).astype(float)
+    samples = spark.createDataFrame(list(zip(["i"] * 10_000, map(float, ys), map(float, hs), strict=True)), "image_id string, ground_y double, height double")
+    targets = [float(t) for t in rng.integers(-500, 6000, 200) / 10]
+    got = {r.target_y: r.nearest for r in placement.nearest_height(spark.createDataFrame([("i", t) for t in targets] + [("j", 5.0)], "image_id string, target_y double"), samples).collect()}
+    scale = lambda y: float(spark.range(1).select(scores.perspective_scale(F.lit(float(y)), 512).alias("s")).first().s)
+    for t in targets[:12]:
+        away, y, h = min(zip(np.abs(ys - t), ys, hs, strict=True))
+        assert got[t] == (pytest.approx(h * scale(t) / max(1e-6, scale(y))) if away <= 70 else None)
+    near = {r.target_y: r.weighted for r in placement.weighted_height(spark.createDataFrame([("i", t) for t in targets], "image_id string, target_y double"), samples).collect()}
+    for t in targets:
+        w = np.where(np.abs(ys - t) <= 120, 1 / (1 + np.abs(ys - t)), 0)
+        assert near[t] == (pytest.approx((w * hs).sum() / w.sum()) if w.any() else None)
+
+
+def test_models_load_once_a_worker(spark, tmp_path):
+    import os
+    import uuid
+
+    folder = str(tmp_path)
+
+    def load():
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return 0.5
+
+    def run(conf, pdf):
+        assert len(pdf) <= 8
+        if (pdf.image_id == "bad").any():
+            raise ValueError("broken picture")
+        return pd.DataFrame({"image_id": pdf.image_id, "det_idx": 0, "x1": 0.0, "y1": 0.0, "x2": 1.0, "y2": 1.0, "conf": conf, "cls": 0})
+
+    model = detection.Model(f"test-{uuid.uuid4().hex}", load)
+    rows = spark.createDataFrame([(f"i{i}",) for i in range(100)], "image_id string").repartition(12)
+    assert detection.detect(rows, run, model=model, rows=8).count() == 100
+    assert detection.detect(rows, run, model=model, rows=8).count() == 100
+    pids = [f.name.partition("-")[0] for f in tmp_path.iterdir()]
+    assert 0 < len(pids) == len(set(pids)) <= 12
+    mixed = rows.union(spark.createDataFrame([("bad",)], "image_id string")).coalesce(1)
+    got = detection.detect(mixed, run, model=model, rows=8, errors=True).collect()
+    assert len(got) == 101 and [(r.image_id, r.error, r.conf) for r in got if r.error] == [("bad", "ValueError: broken picture", None)]
+    with pytest.raises(Exception, match="broken picture"):
+        detection.detect(mixed, run, model=model, rows=8).collect()
+
+
+def test_a_reader_never_sees_half_a_version(spark, tmp_path):
+    versions = sinks.Versions(spark, f"file://{tmp_path}/release")
+    with pytest.raises(FileNotFoundError):
+        versions.read("a")
+    one = spark.createDataFrame([(1, "train")], "v int, split string")
+    versions.publish({"a": one, "b": one}, {"a": "split"})
+    broken = one.withColumn("v", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        versions.publish({"a": one.withColumn("v", F.lit(2)), "b": broken})
+    assert [r.v for r in versions.read("a").collect()] == [1] and [r.v for r in versions.read("b").collect()] == [1]
+    late = sinks.Versions(spark, f"file://{tmp_path}/release")
+    late._committed = lambda: []
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.publish({"a": one})
+    versions.publish({"a": one.withColumn("v", F.lit(3)), "b": one})
+    assert [r.v for r in versions.read("a").collect()] == [3]
+
+
+def colours(seed, h, w):
+    return np.random.default_rng(seed).integers(0, 256, (h, w, 3), np.uint8)
+
+
+def test_tiles_equal_the_whole_picture(spark):
+    whole, tiles = [], []
+    for k, box in enumerate([(20.0, 30.0, 70.0, 90.0), (None,) * 4, (0.0, 0.0, 200.0, 200.0)]):
+        a, b = colours(k, 120, 150), colours(k + 50, 120, 150)
+        whole.append((k, 150, 120, bytearray(a.tobytes()), bytearray(b.tobytes()), *box))
+        for top in range(0, 120, 50):
+            for left in range(0, 150, 64):
+                x, y = a[top : top + 50, left : left + 64], b[top : top + 50, left : left + 64]
+                tiles.append((k, left, top, x.shape[1], x.shape[0], bytearray(x.tobytes()), bytearray(y.tobytes()), *box))
+    kinds = "source binary, target binary, x1 double, y1 double, x2 double, y2 double"
+    want = {r.case_id: r for r in pixels.background(spark.createDataFrame(whole, f"case_id int, width int, height int, {kinds}"), 8).collect()}
+    for r in pixels.tile_background(spark.createDataFrame(tiles, f"case_id int, left int, top int, width int, height int, {kinds}"), 8).collect():
+        assert (r.bg_mae, r.bg_ssim) == (pytest.approx(want[r.case_id].bg_mae), pytest.approx(want[r.case_id].bg_ssim))
+
+
+def test_channels_are_told_apart(spark):
+    a = np.zeros((8, 8, 3), np.uint8)
+    b = a.copy()
+    b[0, 0] = (0, 0, 30)  # the largest channel decides, not the mean
+    b[1, 1] = (20, 20, 20)
+    rows = spark.createDataFrame([(1, 8, 8, bytearray(a.tobytes()), bytearray(b.tobytes()))], "pair_id int, width int, height int, source binary, target binary")
+    r = pixels.change_masks(rows, 25).first()
+    assert (r.changed, r.x1, r.y2) == (1, 0, 0)
+    assert pixels._luma(np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [9, 9, 9]]], np.uint8)).tolist() == [[76, 150, 29, 9]]
+
+
+def test_first_cases_read_little(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(i, i, 0, 4, 4, bytearray(bytes(48)), bytearray(bytes([200 if i % 3 else 0]) * 48)) for i in range(2000)], "pair_seq long, img_id long, ann_id long, width int, height int, source binary, target binary")
+
+    def masks(some):
+        seen.add(some.count())
+        return pixels.change_masks(some, keep=["pair_seq", "img_id", "ann_id"])
+
+    got = release.first_changed_pairs(rows, masks, 30, 16).orderBy("kept").collect()
+    assert [(r.pair_seq, r.kept, r.case_id) for r in got] == [(i, n, f"pipe_{i}_0_{n}") for n, i in enumerate([i for i in range(2000) if i % 3][:30])]
+    assert seen.value == 64
+    assert release.first_changed_pairs(rows.limit(0), masks, 3).count() == 0
+
+
+def test_height_from_a_depth_map(spark):
+    depth = [round((x + y) / 20, 3) for y in range(6) for x in range(8)]
+    rows = spark.createDataFrame([(depth, 8, 3.7, 2.2, 400.0, "add_single_pedestrian"), (depth, 8, 50.0, -4.0, 400.0, "add_single_pedestrian"), ([0.0] * 48, 8, 3.0, 3.0, 100.0, "add_single_pedestrian")], "depth array<double>, width int, x double, y double, h double, variant string")
+    c = F.col
+    got = [r.e for r in rows.select(scores.expected_height_from_depth(c("depth"), c("width"), c("x"), c("y"), c("h"), c("variant")).alias("e")).collect()]
+    flat = np.array(depth).reshape(6, 8)
+    usual = spark.range(1).select(scores._height_multiplier(F.lit("add_single_pedestrian")).alias("m")).first().m
+    height = lambda mean, h: max(28.0, max(0.075, min(0.29, 0.075 + mean * 0.215)) * usual * h)
+    assert got == pytest.approx([height(flat[0:5, 1:6].mean(), 400), height(flat[0:3, 5:8].mean(), 400), height(0.0, 100)])
