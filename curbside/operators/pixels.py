@@ -8,11 +8,14 @@ bytes a pixel, blue first.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def _image(data, width, height) -> np.ndarray:
@@ -42,13 +45,17 @@ def map_rows(df: DataFrame, fn: Callable[[object], dict], columns: str, keep: li
     """Columns that ``fn`` computes for each row, beside those to keep."""
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), columns])
+    computed = to_arrow_schema(StructType.fromDDL(columns))
+    row = namedtuple("row", df.columns, rename=True)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = pd.DataFrame([fn(r) for r in pdf.itertuples(index=False)], index=pdf.index)
-            yield pd.concat([pdf[keep], found], axis=1) if len(pdf) else pdf[keep]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            found = [fn(row(*v)) for v in values]
+            made = [pa.array([f[field.name] for f in found], field.type) for field in computed]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *computed.names])
 
-    return df.mapInPandas(work, schema)
+    return df.mapInArrow(work, schema)
 
 
 def dilate(mask: np.ndarray, px: int) -> np.ndarray:
