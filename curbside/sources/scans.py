@@ -234,9 +234,12 @@ def with_captions(images: DataFrame, caption_map: DataFrame, default: str) -> Da
 
 
 def pairs(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Before/after pairs: parquet rows with both images, the instruction and its class."""
+    """Before/after pairs: parquet rows with both images, the instruction and its class.
+
+    With a limit the first rows in the order of the files' names and of their rows.
+    """
     out = spark.read.parquet(path)
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.orderBy("_metadata.file_path", "_metadata.row_index").limit(limit)
 
 
 def label_path(path: Column) -> Column:

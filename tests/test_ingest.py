@@ -135,6 +135,12 @@ def test_caption_files(spark, tmp_path):
     assert [tuple(r) for r in scans.captions(spark, str(other)).collect()] == [("a.png", "right")]
 
 
+def test_first_pairs_in_file_order(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id AS img_id", "100 - id AS other")
+    rows.repartitionByRange(4, "img_id").sortWithinPartitions("img_id").write.parquet(f"{tmp_path}/pairs")
+    assert sorted(r.img_id for r in scans.pairs(spark, f"{tmp_path}/pairs", 30).collect()) == list(range(30))
+
+
 def test_statuses_and_hot_hashes(spark):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 2**62, 30)]
