@@ -202,6 +202,11 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], kinds)
 
 
+def _spread(groups: int) -> int:
+    """Partitions for so many groups of much work: few of them share one."""
+    return max(1, min(4 * groups, 20_000))
+
+
 def build(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The index of all vectors for answers of up to ``k`` neighbours, one row per shard."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -211,7 +216,10 @@ def build(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "em
     nodes = cut(rows.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.size("v").alias("dim"), "v", "ids"), "nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
-    return cut(dealt.select("dim", "shard", "v", "ids").groupBy("dim", "shard").applyInArrow(_build, INDEX), "graphs")
+    # A shard is seconds of work in little data: a number of partitions of its own keeps Spark from putting many into one task.
+    total = shards.agg(F.sum("shards")).first()[0] or 1
+    apart = dealt.select("dim", "shard", "v", "ids").repartition(_spread(total), "dim", "shard")
+    return cut(apart.groupBy("dim", "shard").applyInArrow(_build, INDEX), "graphs")
 
 
 def _answers(k: int, beam: int):
@@ -260,6 +268,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     asked = asked.join(shards, "dim").withColumn("shard", F.explode("shards")).drop("shards")
     graphs = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     keys = ["dim", "shard", "lane"]
+    parts = _spread(index.count() * lanes)
+    graphs, asked = (side.repartition(parts, *keys) for side in (graphs, asked))
     found = graphs.groupBy(keys).cogroup(asked.groupBy(keys)).applyInArrow(_answers(k, beam), "query_id long, tag long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "tag").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
