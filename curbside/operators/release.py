@@ -86,7 +86,7 @@ def hash_keys(distance: int, most_entries: int = 512) -> list[tuple[int, int, in
         keys = [(a, b - a, distance // m) for a, b in zip(edges, edges[1:], strict=False)]
         if sum(_in_ball(w, f) for _, w, f in keys) <= most_entries:
             plans.append((sum(_in_ball(w, f) / 2**w for _, w, f in keys), keys))
-    return min(plans)[1] if plans else [(i, 1, 0) for i in range(64)][: distance + 1]
+    return min(plans)[1]
 
 
 def near_hashes(hashes: DataFrame, distance: int = 6) -> DataFrame:
