@@ -25,14 +25,14 @@ _QUALITY = f"round(0.5 * ({_SEEN}) + CASE WHEN p % 4 = 0 THEN 0.3 WHEN p % 9 = 0
 
 @query(f"""{_WITH}, ok AS (SELECT image_id, source_id FROM images WHERE split = 'train'),
 c AS (SELECT inst.*, source_id, {_SEEN} AS v, {_QUALITY} AS q FROM inst JOIN ok USING (image_id) WHERE class_name = 'N' AND NOT ignore_flag)
-SELECT source_id, count(*) AS n_candidates, count(DISTINCT image_id) AS n_images, round(avg(q), 3) AS mean_quality
+SELECT source_id, count(*) AS n_candidates, count(DISTINCT image_id) AS n_images, round(sum(round(q * 10000)::BIGINT)::DOUBLE / (count(*) * 10000)::DOUBLE, 3) AS mean_quality
 FROM c WHERE h >= 96 AND v >= 0.45 AND q >= 0.7 GROUP BY source_id""")
 def candidates_by_source(spark, sf_dir):
     """Boxes that qualify as training candidates outside eval splits, by source."""
     boxes = release.keep_class(_as_instances(spark, sf_dir), "N")
     images = release.training_images(tables.images(spark, sf_dir), tables.registry(spark, sf_dir))
     found = release.candidates(images, boxes, CurationSettings())
-    return found.groupBy("source_id").agg(F.count("*").alias("n_candidates"), F.countDistinct("image_id").alias("n_images"), F.round(F.avg("quality_score"), 3).alias("mean_quality"))
+    return found.groupBy("source_id").agg(F.count("*").alias("n_candidates"), F.countDistinct("image_id").alias("n_images"), F.round(F.sum(F.round(F.col("quality_score") * 10000).cast("bigint")) / (F.count("*") * 10000), 3).alias("mean_quality"))  # whole numbers add up alike in any order
 
 
 @query(f"""{_WITH} SELECT split, count(*) AS n FROM images WHERE image_id IN (SELECT image_id FROM inst WHERE class_name = 'N' AND NOT ignore_flag) GROUP BY split""")
