@@ -142,6 +142,45 @@ def written_summary(spark, sf_dir):
     return spark.read.schema("n long, n_accepted long").csv(f"{path}/csv", header=True)
 
 
+@query("""WITH s AS (SELECT r, vec_id // 4 AS g, CASE WHEN r = 'flawed' AND vec_id % 7 = 0 THEN '' ELSE '<vin_ped> ' || vec_id END AS caption,
+CASE WHEN (CASE r WHEN 'sound' THEN vec_id // 4 ELSE vec_id END) % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM embeddings, (VALUES ('sound'), ('flawed')) t(r)),
+x AS (SELECT r, count(*) AS shared FROM (SELECT r, g FROM s GROUP BY r, g HAVING count(DISTINCT split) = 2) GROUP BY r),
+c AS (SELECT r, count(*) FILTER (split = 'train') AS train_count, count(*) FILTER (split = 'val') AS val_count, count(*) FILTER (NOT contains(caption, '<vin_ped>')) AS lacking, count(*) FILTER (trim(caption) = '') AS blank FROM s GROUP BY r),
+e AS (SELECT c.*, concat_ws('; ', CASE WHEN lacking > 0 THEN 'captions without trigger' END, CASE WHEN blank > 0 THEN 'blank captions' END, CASE WHEN train_count = 0 THEN 'lora_train is empty' END,
+CASE WHEN val_count = 0 THEN 'lora_val is empty' END, CASE WHEN shared > 0 THEN 'group_id overlap' END) AS errors FROM c LEFT JOIN x USING (r))
+SELECT r AS release_name, CASE WHEN errors = '' THEN 'validated' ELSE 'draft' END AS dataset_status, train_count, val_count, errors FROM e""")
+def written_provenance(spark, sf_dir):
+    """What training runs note about two releases, one sound and one not: the record and the report are read back from files."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("vec_id").alias("duplicate_cluster_id"), F.expr("vec_id div 4").alias("group_id"))
+    out = None
+    for name, dealt in (("sound", F.col("group_id")), ("flawed", F.col("image_id"))):
+        path = scratch(spark, f"provenance_{name}")
+        caption = F.concat(F.lit("<vin_ped> "), F.col("image_id").cast("string"))
+        caption = caption if name == "sound" else F.when(F.col("image_id") % 7 == 0, "").otherwise(caption)
+        samples = rows.withColumns({"split": F.when(dealt % 5 == 0, "val").otherwise("train"), "caption": caption})
+        status = release.status(release.validation(samples, "<vin_ped>"), release.leaks(samples, rows.filter("image_id < 0")))
+        record = sinks.write_validation(sinks.release_record(samples, name, "<vin_ped>", "v1"), status, path)
+        sinks.one_row(sinks.provenance(record, path), f"{path}/dataset")
+        noted = spark.read.json(f"{path}/dataset/json").select("release_name", "dataset_status", "train_count", "val_count")
+        noted = noted.crossJoin(spark.read.schema("errors string").json(f"{path}/validation_report"))  # single rows
+        out = noted if out is None else out.unionByName(noted)
+    return out
+
+
+@query("""SELECT 'images/' || vec_id || '.jpg' AS file_name, 'vector ' || vec_id AS text, CASE WHEN vec_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, 192::BIGINT AS n_bytes FROM embeddings WHERE vec_id % 3 <> 0""")
+def written_metadata(spark, sf_dir):
+    """The metadata of a release beside its crops, by split, read back from files; a third of the samples have no crop."""
+    path = scratch(spark, "metadata")
+    split, number = F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"), F.col("vec_id").cast("string")
+    crop = F.concat(F.lit("/crops/"), number).alias("crop_path")
+    samples = table(spark, sf_dir, "embeddings").select(number.alias("sample_id"), crop, F.concat(F.lit("vector "), number).alias("caption"), split)
+    crops = _pictures(spark, sf_dir).filter("vec_id % 3 <> 0").select(crop, F.concat(F.lit("images/"), number, F.lit(".jpg")).alias("file_name"), "width", "height", F.col("source").alias("data"), split)
+    sinks.release_metadata(samples, crops, f"{path}/metadata")
+    sinks.release_images(crops, f"{path}/images")
+    stored = spark.read.parquet(f"{path}/images").select("file_name", "split", F.octet_length("data").cast("bigint").alias("n_bytes"))
+    return spark.read.schema("file_name string, text string, split string").json(f"{path}/metadata").join(stored, ["file_name", "split"]).select("file_name", "text", "split", "n_bytes")
+
+
 class _Bright:
     """A detector of what is brighter than a level: one box around it, and its mask."""
 

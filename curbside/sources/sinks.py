@@ -132,7 +132,7 @@ def require_validated(record: DataFrame) -> DataFrame:
 
 def provenance(record: DataFrame, release_path: str, commit: str | None = None) -> DataFrame:
     """What a training run notes about its dataset: place, name, status, hash, commit and counts."""
-    return record.select(F.lit(release_path).alias("dataset_release"), F.col("name").alias("release_name"), F.col("status").alias("dataset_status"), "manifest_hash", F.lit(commit).alias("git_commit"), F.col("n_train").alias("train_count"), F.col("n_val").alias("val_count"))
+    return record.select(F.lit(release_path).alias("dataset_release"), F.col("name").alias("release_name"), F.col("status").alias("dataset_status"), "manifest_hash", F.lit(commit).cast("string").alias("git_commit"), F.col("n_train").alias("train_count"), F.col("n_val").alias("val_count"))
 
 
 def generated_path(root: Column, split: Column, bucket: Column, variant: Column, stem: Column, index: Column, folder: str = "images") -> Column:

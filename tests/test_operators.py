@@ -321,6 +321,7 @@ def test_sinks_write_what_they_say(spark, tmp_path):
     written = sinks.write_validation(record, release.status(release.validation(samples, "<vin_ped>"), leaks_), str(tmp_path / "v"))
     assert sinks.require_validated(written).first().n_train == 1 and spark.read.json(str(tmp_path / "v/validation_report")).first().errors == ""
     noted = sinks.provenance(written, "/releases/r1", "abc").first()
+    sinks.one_row(sinks.provenance(written, "/releases/r1"), str(tmp_path / "noted"))  # without a commit
     assert (noted.release_name, noted.dataset_status, noted.val_count, noted.git_commit) == ("r1", "validated", 1, "abc")
     lost = samples.withColumn("crop_path", F.concat(F.lit("/c/"), "sample_id"))
     errors = release.status(release.validation(lost, "", spark.createDataFrame([("/c/s1",)], "crop_path string")), leaks_).first().errors
