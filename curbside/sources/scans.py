@@ -207,8 +207,12 @@ def label_candidates(path: Column, split_folders: dict[str, str] | None = None)
 
 
 def match_labels(images: DataFrame, label_files: DataFrame, split_folders: dict[str, str] | None = None) -> DataFrame:
-    """label_path of each image: the first candidate that exists."""
-    tries = images.select("path", F.posexplode(label_candidates(F.col("path"), split_folders)).alias("rank", "label_path"))
+    """label_path of each image: the first candidate that exists.
+
+    Spark takes the exploded candidates for as small as the paths and would
+    broadcast them, so that join is hinted to be a shuffled one.
+    """
+    tries = images.select("path", F.posexplode(label_candidates(F.col("path"), split_folders)).alias("rank", "label_path")).hint("merge")
     found = tries.join(label_files.select(F.col("path").alias("label_path")), "label_path").groupBy("path").agg(F.min_by("label_path", "rank").alias("label_path"))
     return images.join(found, "path", "left")
 

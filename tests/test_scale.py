@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from curbside.functions import scores
 from curbside.operators import attempts, bloom, detection, metrics, order_stats, phrases, pixels, placement, release
-from curbside.sources import sinks
+from curbside.skew import dealt_join
+from curbside.sources import scans, sinks
 
 
 @pytest.mark.parametrize("few", [1, 50, 10_000])
@@ -225,3 +226,20 @@ def test_height_from_a_depth_map(spark):
     usual = spark.range(1).select(scores._height_multiplier(F.lit("add_single_pedestrian")).alias("m")).first().m
     height = lambda mean, h: max(28.0, max(0.075, min(0.29, 0.075 + mean * 0.215)) * usual * h)
     assert got == pytest.approx([height(flat[0:5, 1:6].mean(), 400), height(flat[0:3, 5:8].mean(), 400), height(0.0, 100)])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def _stored(df, path):
+    df.write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
+def test_exploded_label_candidates_are_not_broadcast(spark, tmp_path):
+    images = spark.createDataFrame([("/d/val/images/1.png",), ("/d/val/images/2.png",), ("/d/val/3.png",)], "path string")
+    files = spark.createDataFrame([("/d/val/labels/1.txt",), ("/d/val/images/1.json",), ("/d/val/3.txt",)], "path string")
+    found = scans.match_labels(_stored(images, tmp_path / "images"), _stored(files, tmp_path / "files"))
+    assert {tuple(r) for r in found.collect()} == {("/d/val/images/1.png", "/d/val/images/1.json"), ("/d/val/images/2.png", None), ("/d/val/3.png", "/d/val/3.txt")}
+    assert _plan(found).count("SortMergeJoin") == 1
