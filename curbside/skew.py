@@ -34,6 +34,7 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, piec
     The rows of ``left`` under a hot key, one with more than ``HOT_SHARE`` of all
     and ``least`` rows, are dealt to ``pieces`` places by a hash of the column
     ``by``; what ``right`` has under it goes to each. Null keys meet nothing.
+    Neither side is broadcast: Spark doesn't see how many rows an explode makes.
     """
     counts = left.groupBy(keys).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n")).first()[0] or 0
@@ -42,4 +43,4 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, piec
     places = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0))))
     a = left.join(hot, keys, "left").withColumn("__place", place).drop("__hot")
     b = right.join(hot, keys, "left").withColumn("__place", places).drop("__hot")
-    return a.join(b, [*keys, "__place"]).drop("__place")
+    return a.join(b.hint("merge"), [*keys, "__place"]).drop("__place")

@@ -243,3 +243,11 @@ def test_exploded_label_candidates_are_not_broadcast(spark, tmp_path):
     found = scans.match_labels(_stored(images, tmp_path / "images"), _stored(files, tmp_path / "files"))
     assert {tuple(r) for r in found.collect()} == {("/d/val/images/1.png", "/d/val/images/1.json"), ("/d/val/images/2.png", None), ("/d/val/3.png", "/d/val/3.txt")}
     assert _plan(found).count("SortMergeJoin") == 1
+
+
+def test_hashes_listed_under_many_keys_are_not_broadcast(spark, tmp_path):
+    hashes = _stored(spark.createDataFrame([("a", 0), ("a", 7), ("a", 2**40 - 1), ("b", 1)], "source_id string, h long"), tmp_path / "hashes")
+    found = release.near_hashes(hashes, 6)
+    assert [tuple(r) for r in found.collect()] == [("a", 0, 7, 3)]
+    assert _plan(found).count("SortMergeJoin") == 1
+    assert _plan(dealt_join(hashes, hashes.withColumnRenamed("h", "o"), ["source_id"], "h")).count("SortMergeJoin") == 1
