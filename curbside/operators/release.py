@@ -142,7 +142,7 @@ def _last_earlier(images: DataFrame, neighbours: DataFrame) -> DataFrame:
     near = offered.unionByName(asked).withColumn("near", F.max(F.when(~F.col("own"), F.struct("s", "i"))).over(inside)).filter("own")
 
     lasts = offers.groupBy("source_id", "o", "segment").agg(F.max(F.struct("s", "i")).alias("last"))
-    lasts = lasts.join(neighbours, ["source_id", "o"]).select("source_id", "h", "segment", "last")
+    lasts = lasts.join(neighbours.hint("merge"), ["source_id", "o"]).select("source_id", "h", "segment", "last")
     per = lasts.unionByName(asked.select("source_id", "h", "segment", F.lit(None).cast(lasts.schema["last"].dataType).alias("last"))).groupBy("source_id", "h", "segment").agg(F.max("last").alias("last"))
     before = Window.partitionBy("source_id", "h").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     carried = per.select("source_id", "h", "segment", F.max("last").over(before).alias("carried"))

@@ -251,3 +251,13 @@ def test_hashes_listed_under_many_keys_are_not_broadcast(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [("a", 0, 7, 3)]
     assert _plan(found).count("SortMergeJoin") == 1
     assert _plan(dealt_join(hashes, hashes.withColumnRenamed("h", "o"), ["source_id"], "h")).count("SortMergeJoin") == 1
+
+
+def test_clusters_do_not_broadcast_neighbours(spark, tmp_path):
+    images = _stored(spark.createDataFrame([(1, "a", 0, 1), (2, "a", 7, 2), (3, "a", 2**40 - 1, 3), (4, "a", 0, 4), (5, "b", 0, 5)], "image_id int, source_id string, h long, ingest_seq int"), tmp_path / "images")
+    neighbours = _stored(spark.createDataFrame([("a", 0, 0), ("a", 0, 7), ("a", 7, 0), ("a", 7, 7), ("a", 2**40 - 1, 2**40 - 1), ("b", 0, 0)], "source_id string, h long, o long"), tmp_path / "neighbours")
+    found = release._last_earlier(images, neighbours)
+    assert {tuple(r) for r in found.collect()} == {(1, None), (2, 1), (3, None), (4, 2), (5, None)}
+    plan = _plan(found)
+    broadcast = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "o#" in line and "__hot" not in line]
+    assert plan.count("SortMergeJoin") >= 2 and not [line for line in broadcast if "LeftOuter" not in line]
