@@ -128,9 +128,9 @@ def crop_pixels(spark, sf_dir):
     return pixels.crop_pixels(rows, ["vec_id"]).select("vec_id", F.hex("crop").alias("crop"))
 
 
-# A picture of 8 x 8 is spread to 32 x 32, each pixel to 4 x 4, before its 8 x 8 low frequencies are taken.
+# A picture of 8 x 8 is spread to 32 x 32, each pixel to 4 x 4, before its 8 x 8 low frequencies are taken, in thousandths.
 @query(f"""{_PX}, k AS (SELECT u, x, sum(cos(pi() / 32 * (4 * x + j + 0.5) * u)) AS c FROM range(8) t(u), range(8) r(x), range(4) q(j) GROUP BY u, x),
-d AS (SELECT vec_id, kv.u AS v, kh.u AS u, sum(a * kv.c * kh.c) AS f FROM px JOIN k kv ON kv.x = px.y JOIN k kh ON kh.x = px.x GROUP BY ALL), m AS (SELECT vec_id, median(f) AS md FROM d GROUP BY vec_id)
+d AS (SELECT vec_id, kv.u AS v, kh.u AS u, floor(sum(a * kv.c * kh.c) * 1000 + 0.5) AS f FROM px JOIN k kv ON kv.x = px.y JOIN k kh ON kh.x = px.x GROUP BY ALL), m AS (SELECT vec_id, median(f) AS md FROM d GROUP BY vec_id)
 SELECT vec_id, sum(CASE WHEN f > md AND v * 8 + u > 0 THEN 1::HUGEINT << (63 - v * 8 - u)::INT ELSE 0 END)::BIGINT AS low_bits FROM d JOIN m USING (vec_id) GROUP BY vec_id""")
 def perceptual_hashes(spark, sf_dir):
     """Hash of the low frequencies of each picture, but for its first bit."""

@@ -242,7 +242,11 @@ def edge_scores(pairs: DataFrame, keep: list[str], px: int = 2) -> DataFrame:
 
 
 def perceptual_hash(images: DataFrame, keep: list[str]) -> DataFrame:
-    """64-bit hash of the low frequencies of a 32 x 32 gray image: ``phash`` (16 hexadecimal digits) and ``h``."""
+    """64-bit hash of the low frequencies of a 32 x 32 gray image: ``phash`` (16 hexadecimal digits) and ``h``.
+
+    A bit tells whether a frequency is above their median, both in thousandths,
+    so that frequencies that are equal but for the order of additions stay equal.
+    """
     k = np.arange(32)
     dct = np.cos(np.pi / 32 * (k[None, :] + 0.5) * k[:, None])
 
@@ -255,8 +259,8 @@ def perceptual_hash(images: DataFrame, keep: list[str]) -> DataFrame:
         y0, y1, x0, x1 = ys[:-1], np.maximum(ys[1:], ys[:-1] + 1).clip(max=gray.shape[0]), xs[:-1], np.maximum(xs[1:], xs[:-1] + 1).clip(max=gray.shape[1])
         y0, x0 = np.minimum(y0, y1 - 1), np.minimum(x0, x1 - 1)
         small = (sums[np.ix_(y1, x1)] - sums[np.ix_(y0, x1)] - sums[np.ix_(y1, x0)] + sums[np.ix_(y0, x0)]) / np.outer(y1 - y0, x1 - x0)
-        low = (dct @ small @ dct.T)[:8, :8].ravel()
-        value = int("".join("1" if v > np.median(low) else "0" for v in low), 2)
+        low = np.floor((dct @ small @ dct.T)[:8, :8].ravel() * 1000 + 0.5)
+        value = int("".join("1" if above else "0" for above in low > np.median(low)), 2)
         return {"phash": f"{value:016x}", "h": value - (1 << 64) if value >> 63 else value}
 
     return map_rows(images, one, "phash string, h bigint", keep)

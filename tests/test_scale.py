@@ -261,3 +261,8 @@ def test_clusters_do_not_broadcast_neighbours(spark, tmp_path):
     plan = _plan(found)
     broadcast = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "o#" in line and "__hot" not in line]
     assert plan.count("SortMergeJoin") >= 2 and not [line for line in broadcast if "LeftOuter" not in line]
+
+
+def test_flat_pictures_have_no_noise_in_their_hash(spark):
+    rows = spark.createDataFrame([(v, 8, 8, bytearray([v] * 192)) for v in (1, 77, 128, 201, 255)], "k int, width int, height int, data binary")
+    assert {r.phash for r in pixels.perceptual_hash(rows, ["k"]).collect()} == {"8000000000000000"}
