@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curbside.functions import scores
 from curbside.operators import attempts, bloom, detection, metrics, order_stats, phrases, pixels, placement, release
 from curbside.skew import dealt_join
-from curbside.sources import scans, sinks
+from curbside.sources import images, scans, sinks
 
 
 @pytest.mark.parametrize("few", [1, 50, 10_000])
@@ -266,3 +266,9 @@ def test_clusters_do_not_broadcast_neighbours(spark, tmp_path):
 def test_flat_pictures_have_no_noise_in_their_hash(spark):
     rows = spark.createDataFrame([(v, 8, 8, bytearray([v] * 192)) for v in (1, 77, 128, 201, 255)], "k int, width int, height int, data binary")
     assert {r.phash for r in pixels.perceptual_hash(rows, ["k"]).collect()} == {"8000000000000000"}
+
+
+def test_flat_picture_files_have_no_noise_in_their_hash(spark, tmp_path):
+    for v in (77, 201):
+        (tmp_path / f"{v}.png").write_bytes(images.png_bytes(8, 8, bytes([v] * 192)))
+    assert [r.phash for r in pixels.perceptual_hash(images.pictures(spark, str(tmp_path)), ["file"]).collect()] == ["8000000000000000"] * 2
