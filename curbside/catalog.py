@@ -164,9 +164,8 @@ def inclusion_metrics(spark, sf_dir):
 SELECT images.image_id, height, CASE WHEN group_id % 300 > 0 THEN round(height / (group_id % 300), 6) END AS scale_ratio, CASE WHEN group_id % 300 > 0 THEN round(abs(height - group_id % 300) / (group_id % 300), 6) END AS scale_error FROM images LEFT JOIN b USING (image_id)""")
 def scale_metrics(spark, sf_dir):
     """Height of the most confident box against an expected one."""
-    boxes = tables.instances(spark, sf_dir).withColumn("det_idx", F.col("det_idx") * 100000000 + F.col("p") * 10000 + F.col("s"))
     expected = tables.images(spark, sf_dir).select("image_id", (F.col("group_id") % 300).alias("expected_height"))
-    return metrics.scale(boxes, expected).select("image_id", "height", F.round("scale_ratio", 6).alias("scale_ratio"), F.round("scale_error", 6).alias("scale_error"))
+    return metrics.scale(tables.instances(spark, sf_dir), expected, ("det_idx", "p", "s")).select("image_id", "height", F.round("scale_ratio", 6).alias("scale_ratio"), F.round("scale_error", 6).alias("scale_error"))
 
 
 @query(f"""{_EVENTS}, l AS (SELECT half, user_id, day, arg_max(value, (ts, event_id)) AS v FROM ev GROUP BY half, user_id, day)

@@ -30,9 +30,9 @@ def inclusion(source: DataFrame, result: DataFrame) -> DataFrame:
     return a.join(b, "image_id").withColumn("person_count_delta", delta).withColumn("object_added", F.when(delta > 0, 1).otherwise(0))
 
 
-def scale(detections: DataFrame, expected: DataFrame) -> DataFrame:
-    """Height of the most confident detection against (image_id, expected_height); ties go to the first."""
-    best = detections.groupBy("image_id").agg(F.max_by(F.col("y2") - F.col("y1"), F.struct("conf", -F.col("det_idx"))).alias("height"))
+def scale(detections: DataFrame, expected: DataFrame, order: tuple[str, ...] = ("det_idx",)) -> DataFrame:
+    """Height of the most confident detection against (image_id, expected_height); ties go to the first by the columns of ``order``."""
+    best = detections.groupBy("image_id").agg(F.max_by(F.col("y2") - F.col("y1"), F.struct("conf", *[(-F.col(c)).alias(c) for c in order])).alias("height"))
     ratio = F.when(F.col("expected_height") > 0, F.col("height") / F.col("expected_height"))
     return expected.join(best, "image_id", "left").withColumn("scale_ratio", ratio).withColumn("scale_error", F.when(F.col("expected_height") > 0, F.abs(F.col("height") - F.col("expected_height")) / F.col("expected_height")))
 

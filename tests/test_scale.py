@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from curbside import catalog
 from curbside.functions import scores
 from curbside.operators import attempts, bloom, detection, metrics, order_stats, phrases, pixels, placement, release
 from curbside.skew import dealt_join
@@ -263,6 +264,14 @@ def test_clusters_do_not_broadcast_neighbours(spark, tmp_path):
     assert plan.count("SortMergeJoin") >= 2 and not [line for line in broadcast if "LeftOuter" not in line]
 
 
+
+def test_scale_metrics_of_a_large_part_key(spark, tmp_path):
+    spark.sql("SELECT 1L o_orderkey, 20L o_custkey, 'F' o_orderstatus, '2-HIGH' o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    line = "SELECT 1L l_orderkey, {} l_linenumber, {}L l_partkey, 3L l_suppkey, 5.0D l_quantity, 0.05D l_discount, 0.0D l_tax, 'N' l_returnflag, 'F' l_linestatus"
+    spark.sql(f"{line.format(1, 20000)} UNION ALL {line.format(2, 1)}").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert catalog.QUERIES["scale_metrics"](spark, str(tmp_path)).first().height == 40 + 20000 % 260
+
+
 def test_flat_pictures_have_no_noise_in_their_hash(spark):
     rows = spark.createDataFrame([(v, 8, 8, bytearray([v] * 192)) for v in (1, 77, 128, 201, 255)], "k int, width int, height int, data binary")
     assert {r.phash for r in pixels.perceptual_hash(rows, ["k"]).collect()} == {"8000000000000000"}
