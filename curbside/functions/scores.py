@@ -9,8 +9,11 @@ from curbside.settings import AFFORDANCE_WEIGHTS, MIN_AFFORDANCE, MIN_OCCLUSION,
 
 
 def clamp01(c: Column) -> Column:
-    """Held within 0 and 1; a missing value is 0 (the least and the greatest of columns pass nulls over)."""
-    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))).otherwise(0.0)
+    """Held within 0 and 1; a missing value is 0 (the least and the greatest of columns pass nulls over).
+
+    The column stands in the expression once, since each repetition doubles the work of what is nested.
+    """
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
 
 
 def visible_ratio(visible_area: Column, full_area: Column) -> Column:

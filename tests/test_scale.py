@@ -281,3 +281,13 @@ def test_flat_picture_files_have_no_noise_in_their_hash(spark, tmp_path):
     for v in (77, 201):
         (tmp_path / f"{v}.png").write_bytes(images.png_bytes(8, 8, bytes([v] * 192)))
     assert [r.phash for r in pixels.perceptual_hash(images.pictures(spark, str(tmp_path)), ["file"]).collect()] == ["8000000000000000"] * 2
+
+
+def test_nested_clamps_grow_by_their_length(spark):
+    rows = spark.createDataFrame([(None,), (-3.0,), (0.25,), (9.0,), (float("nan"),)], "v double")
+    nested = F.col("v")
+    for _ in range(7):
+        nested = scores.clamp01(nested)
+    found = rows.select(nested.alias("c"))
+    assert [r.c for r in found.collect()] == [0.0, 0.0, 0.25, 1.0, 1.0]
+    assert found._jdf.queryExecution().analyzed().toString().count("v#") < 50
