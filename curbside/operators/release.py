@@ -65,7 +65,7 @@ def exact_groups(images: DataFrame) -> DataFrame:
     keyed = images.withColumn("__key", key)
     first = keyed.groupBy("__key").agg(F.min_by("image_id", "ingest_seq").alias("canonical_image_id"), F.count("*").alias("__copies"))
     status = F.when(F.col("canonical_image_id") == F.col("image_id"), "unique").otherwise("exact_duplicate")
-    return spread_join(keyed, first, "__key", "__copies", "image_id").withColumn("dedupe_status", status).drop("__key")
+    return spread_join(keyed, first, "__key", "__copies", "image_id", total=images.count()).withColumn("dedupe_status", status).drop("__key")
 
 
 def _in_ball(bits: int, most: int) -> int:

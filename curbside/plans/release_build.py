@@ -13,24 +13,25 @@ from curbside.settings import CaptionSettings, CurationSettings
 def build(images: DataFrame, instances: DataFrame, registry: DataFrame, curation: CurationSettings, captions: CaptionSettings, mode: str = "reference", name: str = "release") -> dict[str, DataFrame]:
     """samples, groups, evaluation and status of a release.
 
-    ``images`` carries sha256 and the 64-bit hash ``h``; groups are written once,
-    since samples, split and checks all read them. ``mode`` is that of
-    ``near_clusters``; "connected" also splits by cluster, so that near
-    duplicates never stand on both sides.
+    ``images`` carries sha256 and the 64-bit hash ``h``. The boxes of the class,
+    their images, the groups and the samples are each written once, since several
+    later steps read them. ``mode`` is that of ``near_clusters``; "connected" also
+    splits by cluster, so that near duplicates never stand on both sides.
     """
-    boxes = release.keep_class(instances, curation.pedestrian_class)
-    images = release.with_instances(images, boxes)
-    groups = release.exact_groups(images)
+    boxes = cut(release.keep_class(instances, curation.pedestrian_class), "boxes")
+    images = cut(release.with_instances(images, boxes), "images")
+    groups = cut(release.exact_groups(images), "exact")
     unique = release.near_clusters(groups.filter("dedupe_status = 'unique'"), curation.near_distance, mode)
     clusters = unique.select("image_id", "duplicate_cluster_id", F.col("dedupe_status").alias("__near"))
     alone = "image_id" if mode == "reference" else "canonical_image_id"  # of exact duplicates
     groups = groups.join(clusters, "image_id", "left").withColumns({"duplicate_cluster_id": F.coalesce("duplicate_cluster_id", alone), "dedupe_status": F.coalesce("__near", "dedupe_status")})
     groups = cut(groups.drop("__near"), "groups")
-    evaluation = release.eval_images(images, registry).select("image_id", "group_id")
+    evaluation = cut(release.eval_images(images, registry).select("image_id", "group_id"), "evaluation")
     found = release.candidates(release.training_images(images, registry), boxes, curation)
     samples = release.drop_duplicates(release.with_captions(found, captions), groups)
     if "instance_id" in samples.columns:
         samples = samples.withColumn("sample_id", text.stable_id(F.lit(name), F.col("instance_id")))
+    samples = cut(samples, "unsplit")
     key = "duplicate_cluster_id" if mode == "connected" else "group_id"
     samples = cut(release.split_groups(samples, curation.train_ratio, curation.seed, key=key), "samples")
     report = release.validation(samples, captions.trigger)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from curbside import catalog
 from curbside.functions import scores
 from curbside.operators import attempts, bloom, detection, metrics, order_stats, phrases, pixels, placement, release
+from curbside.plans import release_build
+from curbside.settings import CaptionSettings, CurationSettings, SourceRole, registry
 from curbside.skew import dealt_join
 from curbside.sources import images, scans, sinks
 
@@ -306,3 +308,21 @@ def test_confident_matches_without_truth_or_meeting(spark):
     truth = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 9.0, 9.0), (2, 1, 0.0, 50.0, 50.0, 60.0, 60.0), (4, 1, 0.0, 0.0, 0.0, 5.0, 5.0)], kind).drop("conf")
     hits = {(r.threshold, r.image_id, r.idx) for r in detection.confident_matches(truth, predicted, [0.3, 0.5]).collect() if r.hit}
     assert hits == {(0.3, 1, 2), (0.5, 1, 2)}
+
+
+def test_release_computes_its_images_and_boxes_once(spark):
+    seen = {k: spark.sparkContext.accumulator(0) for k in ("images", "boxes")}
+
+    def counted(name, column):
+        def same(v):
+            seen[name].add(1)
+            return v
+
+        return F.udf(same, "string")(column)
+
+    images = spark.createDataFrame([(f"i{k:02d}", "a", "eval" if k % 5 == 0 else "train", f"g{k % 7}", f"s{k // 2}", k * 4099, k) for k in range(40)], "image_id string, source_id string, split string, group_id string, sha256 string, h long, ingest_seq int")
+    boxes = spark.createDataFrame([(f"i{k:02d}", f"b{k}", "pedestrian", 0.0, 0.0, 60.0, 300.0, 60.0, 300.0, 0.0, False) for k in range(40)], "image_id string, instance_id string, class_name string, x double, y double, w double, h double, visible_w double, visible_h double, occlusion double, ignore boolean")
+    roles = registry(spark, [SourceRole("a", "train", "train"), SourceRole("a", "eval", "eval")])
+    built = release_build.build(images.withColumn("sha256", counted("images", "sha256")), boxes.withColumn("instance_id", counted("boxes", "instance_id")), roles, CurationSettings(), CaptionSettings())
+    assert built["groups"].count() == 40 and built["status"].first().n == built["samples"].count() > 0
+    assert {k: v.value for k, v in seen.items()} == {"images": 40, "boxes": 40}
