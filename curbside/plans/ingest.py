@@ -23,10 +23,15 @@ def _below(source: Source, folder: str) -> str:
     return f"{source.mount.rstrip('/')}/{folder.strip('/')}"
 
 
-def _read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, stem, width, height, sha256, phash and h of image files: decoded and hashed where they are read."""
-    hashed = pixels.perceptual_hash(files.pictures(spark, paths), ["file", "width", "height"])
-    return hashed.join(files.digests(spark, paths), "file").withColumn("stem", _stem(F.col("file")))
+def _read(spark: SparkSession, folder: str, chosen: list[str] | None = None) -> DataFrame:
+    """file, stem, width, height, sha256, phash and h of image files: decoded and hashed where they are read.
+
+    Of ``chosen`` files only these are opened: Spark filters its listing of the
+    folder by name, where a path for each of them would be looked up by itself.
+    """
+    wanted = F.lit(True) if chosen is None else F.col("file").isin(chosen)
+    hashed = pixels.perceptual_hash(files.pictures(spark, folder).filter(wanted), ["file", "width", "height"])
+    return hashed.join(files.digests(spark, folder).filter(wanted), "file").withColumn("stem", _stem(F.col("file")))
 
 
 def _first_split(source: Source) -> str:
@@ -74,7 +79,7 @@ def _mot_images(spark: SparkSession, source: Source) -> list[DataFrame]:
     if not chosen:
         return []
     group = text.stable_id(F.lit(source.source_id), F.lit("window"), F.col("window_id"))
-    read = _read(spark, chosen).join(frames, "file")
+    read = _read(spark, _below(source, source.sequence_dir), chosen).join(frames, "file")
     return [read.withColumns({"split": F.lit(_first_split(source)), "image_id": text.stable_id(F.lit(source.source_id), F.col("stem")), "group_id": group}).drop("window_id")]
 
 
@@ -125,7 +130,8 @@ def ingest(spark: SparkSession, sources: list[Source], person: str = "pedestrian
             parts = own if parts is None else parts.unionByName(own)
     if parts is None:
         raise FileNotFoundError("no images found: none of the sources' folders is there")
-    numbered = ranked_in_order(parts, "order").withColumn("ingest_seq", F.col("__rank") - 1)
+    # Ranges are sampled before they are dealt, which would decode every file twice.
+    numbered = ranked_in_order(cut(parts, "parts"), "order").withColumn("ingest_seq", F.col("__rank") - 1)
     images = cut(numbered.withColumnsRenamed({"file": "raw_path", "stem": "source_image_id"}).select(*IMAGES), "images")
     if images.isEmpty():
         raise FileNotFoundError("no images found in the sources' folders")

@@ -76,6 +76,28 @@ def test_release_from_folders(spark, folders):
     assert {r.instance_id for r in built["samples"].collect()} == {"cp_train_b_0", "mot_000001_0"}
 
 
+def test_each_image_is_decoded_once_and_no_frame_beside_the_sample(spark, folders, monkeypatch):
+    seen, hashed = spark.sparkContext.accumulator(0), pixels.perceptual_hash
+
+    def counted(rows, keep):
+        def same(v):
+            seen.add(1)
+            return v
+
+        return hashed(rows.withColumn("width", F.udf(same, "int")("width")), keep)
+
+    monkeypatch.setattr(ingest.pixels, "perceptual_hash", counted)
+    assert ingest.ingest(spark, sources(folders))["images"].count() == 14 == seen.value
+
+
+def test_written_files_leave_nothing_beside_them(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{k % 3}/{k}.txt", f"text {k}") for k in range(20)], "file_name string, content string").repartition(4)
+    for _ in range(2):
+        assert {(r.file_name, r.n_bytes) for r in images.write_files(rows, f"file://{tmp_path}").collect()} == {(f"{k % 3}/{k}.txt", len(f"text {k}")) for k in range(20)}
+    assert {str(f.relative_to(tmp_path)): f.read_text() for f in tmp_path.rglob("*") if f.is_file()} == {f"{k % 3}/{k}.txt": f"text {k}" for k in range(20)}
+    assert {f.name for f in tmp_path.iterdir()} == {"0", "1", "2"}
+
+
 def test_nothing_to_ingest_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         ingest.ingest(spark, sources(tmp_path))
