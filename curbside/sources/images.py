@@ -52,19 +52,26 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     """Writes the ``content`` of each row to the file ``file_name`` below a folder; (file_name, n_bytes) of what was written, when it is read.
 
     A file appears under its name when it is whole, so a repeated task replaces
-    like by like.
+    like by like. Each task makes its files in a hidden folder of its own, as many
+    writers wait for each other where they all make files in one folder.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(folder)
+        own, made = f"{base}/.{uuid.uuid4().hex}.part", set()
+        store.create_dir(own, recursive=True)
         for batch in batches:
             names, contents = batch.column(0).to_pylist(), batch.column(1)
             for name, content in zip(names, contents, strict=True):
-                path, own = f"{base}/{name}", f"{base}/{name}.{uuid.uuid4().hex}.part"
-                store.create_dir(path.rpartition("/")[0], recursive=True)
-                with store.open_output_stream(own, compression=None) as out:
+                path = f"{base}/{name}"
+                at = path.rpartition("/")[0]
+                if at not in made:
+                    store.create_dir(at, recursive=True)
+                    made.add(at)
+                with store.open_output_stream(f"{own}/file", compression=None) as out:
                     out.write(content.as_buffer())
-                store.move(own, path)
+                store.move(f"{own}/file", path)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(c.as_buffer()) for c in contents], pa.int64())], ["file_name", "n_bytes"])
+        store.delete_dir(own)
 
     return rows.select("file_name", F.col("content").cast("binary")).mapInArrow(write, "file_name string, n_bytes long")
 
