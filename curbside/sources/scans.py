@@ -132,13 +132,17 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
+def _fields(line: str, by: str) -> Column:
+    """The fields of a line, as a generated column: Spark moves later filters below a projection, where each condition would split the line anew, but not below an explode."""
+    return F.explode(F.array(F.split(F.trim(line), by)))
+
+
 def yolo_boxes(label_lines: DataFrame, names: dict[int, str], class_mapping: dict[str, str] | None = None) -> DataFrame:
     """Boxes of ``class cx cy w h`` lines (with width and height of the image); short lines are left out.
 
     An id without a name gets ``ignore``; the mapping renames classes.
     """
-    parts = F.split(F.trim("line"), r"\s+")
-    rows = label_lines.withColumn("__parts", parts).filter(F.size("__parts") >= 5)
+    rows = label_lines.withColumn("__parts", _fields("line", r"\s+")).filter(F.size("__parts") >= 5)
     value = [F.get("__parts", F.lit(i)).try_cast("double") for i in range(5)]
     x, y, w, h = geo.from_centre(*value[1:], F.col("width"), F.col("height"))
     name = F.coalesce(*[F.when(value[0].cast("int") == k, v) for k, v in names.items()], F.lit("ignore"))
@@ -160,16 +164,16 @@ def mot_boxes(label_lines: DataFrame, strict: bool = False) -> DataFrame:
     Without a ninth field the visibility is null.
     ``strict`` wants a confidence above 0 and positive sides as well.
     """
-    p = F.split(F.trim("line"), r"\s*,\s*")
+    p = F.col("__parts")
     get = lambda i: F.get(p, F.lit(i)).try_cast("double")
-    rows = label_lines.select(
+    rows = label_lines.withColumn("__parts", _fields("line", r"\s*,\s*")).select(
         "*", get(0).cast("bigint").alias("frame"), get(1).cast("bigint").alias("track_id"), *[get(i + 2).alias(c) for i, c in enumerate("xywh")],
         get(6).alias("conf"), F.when(F.size(p) >= 8, get(7).cast("int")).otherwise(1).alias("cls"), F.when(F.size(p) >= 9, get(8)).alias("visibility"),
     ).filter("frame IS NOT NULL AND h IS NOT NULL AND cls = 1")
     if strict:
         rows = rows.filter("conf > 0 AND w > 0 AND h > 0")
     order = Window.partitionBy("path", "frame").orderBy("line_no")
-    return rows.drop("line").withColumn("box_idx", F.row_number().over(order) - 1)
+    return rows.drop("line", "__parts").withColumn("box_idx", F.row_number().over(order) - 1)
 
 
 def frame_instances(frames: DataFrame, boxes: DataFrame, source_id: str) -> DataFrame:

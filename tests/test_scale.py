@@ -326,3 +326,14 @@ def test_release_computes_its_images_and_boxes_once(spark):
     built = release_build.build(images.withColumn("sha256", counted("images", "sha256")), boxes.withColumn("instance_id", counted("boxes", "instance_id")), roles, CurationSettings(), CaptionSettings())
     assert built["groups"].count() == 40 and built["status"].first().n == built["samples"].count() > 0
     assert {k: v.value for k, v in seen.items()} == {"images": 40, "boxes": 40}
+
+
+def test_label_lines_are_split_once(spark):
+    lines = [(0, "0 0.5 0.5 0.2 0.4"), (1, "1 2"), (2, None), (3, "x 1 1 1 1"), (4, "1,2,3,4,5,6,0.5,1,0.25"), (5, "1,2,3,4,5,6,0,1"), (6, "2, 9 ,1,1,1,1,1")]
+    rows = spark.createDataFrame([("f", n, line, 100, 50) for n, line in lines], "path string, line_no int, line string, width int, height int")
+    yolo, mot = scans.yolo_boxes(rows, {0: "person"}), scans.mot_boxes(rows)
+    assert [(r.line_no, r.class_name, r.x, r.h) for r in yolo.collect()] == [(0, "person", 40.0, 20.0)]
+    assert sorted((r.line_no, r.track_id, r.box_idx, r.visibility) for r in mot.collect()) == [(4, 2, 0, 0.25), (5, 2, 1, None), (6, 9, 0, None)]
+    assert "line" not in mot.columns and "__parts" not in yolo.columns + mot.columns
+    for found in (yolo, mot, scans.mot_boxes(rows, strict=True)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
