@@ -7,7 +7,7 @@ occlusion, ignore), registry(source_id, split, role).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import combinations
 from math import comb
 
@@ -46,13 +46,13 @@ def eval_images(images: DataFrame, registry: DataFrame) -> DataFrame:
     return images.join(registry.filter("role = 'eval'").select("source_id", "split"), ["source_id", "split"], "left_semi")
 
 
-def candidates(images: DataFrame, instances: DataFrame, settings: CurationSettings) -> DataFrame:
-    """Boxes that pass the thresholds, with visible share and quality; images without a row drop out."""
+def candidates(images: DataFrame, instances: DataFrame, settings: CurationSettings, keep: Sequence[str] = ()) -> DataFrame:
+    """Boxes that pass the thresholds, with visible share, quality and the columns of ``images`` in ``keep``; images without a row drop out."""
     area = F.col("w") * F.col("h")
     seen = scores.visible_ratio(F.col("visible_w") * F.col("visible_h"), area)
     boxes = instances.withColumn("visible_ratio", seen).withColumn("quality_score", scores.box_quality(F.col("visible_ratio"), F.col("occlusion"), F.col("h")))
     kept = boxes.filter((F.col("h") >= settings.min_height) & (F.col("visible_ratio") >= settings.min_visible) & (F.col("quality_score") >= settings.min_quality))
-    return kept.join(images.select("image_id", "source_id", "group_id"), "image_id")
+    return kept.join(images.select("image_id", "source_id", "group_id", *keep), "image_id")
 
 
 def exact_groups(images: DataFrame) -> DataFrame:

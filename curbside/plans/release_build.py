@@ -15,20 +15,22 @@ def build(images: DataFrame, instances: DataFrame, registry: DataFrame, curation
 
     ``images`` carries sha256 and the 64-bit hash ``h``. The boxes of the class,
     their images, the groups and the samples are each written once, since several
-    later steps read them. ``mode`` is that of ``near_clusters``; "connected" also
-    splits by cluster, so that near duplicates never stand on both sides.
+    later steps read them. Only unique images are joined with their clusters and
+    asked for samples: their exact duplicates stand in the groups as
+    ``exact_groups`` left them. ``mode`` is that of ``near_clusters``; "connected"
+    also splits by cluster, so that near duplicates never stand on both sides.
     """
     boxes = cut(release.keep_class(instances, curation.pedestrian_class), "boxes")
     images = cut(release.with_instances(images, boxes), "images")
-    groups = cut(release.exact_groups(images), "exact")
-    unique = release.near_clusters(groups.filter("dedupe_status = 'unique'"), curation.near_distance, mode)
-    clusters = unique.select("image_id", "duplicate_cluster_id", F.col("dedupe_status").alias("__near"))
+    exact = cut(release.exact_groups(images), "exact")
+    unique = cut(release.near_clusters(exact.filter("dedupe_status = 'unique'"), curation.near_distance, mode), "unique")
     alone = "image_id" if mode == "reference" else "canonical_image_id"  # of exact duplicates
-    groups = groups.join(clusters, "image_id", "left").withColumns({"duplicate_cluster_id": F.coalesce("duplicate_cluster_id", alone), "dedupe_status": F.coalesce("__near", "dedupe_status")})
-    groups = cut(groups.drop("__near"), "groups")
+    groups = unique.unionByName(exact.filter("dedupe_status <> 'unique'").withColumn("duplicate_cluster_id", F.col(alone)))
     evaluation = cut(release.eval_images(images, registry).select("image_id", "group_id"), "evaluation")
-    found = release.candidates(release.training_images(images, registry), boxes, curation)
-    samples = release.drop_duplicates(release.with_captions(found, captions), groups)
+    ids = ["canonical_image_id", "duplicate_cluster_id"]
+    found = release.candidates(release.training_images(unique, registry), boxes, curation, ids)
+    samples = release.with_captions(found, captions)
+    samples = samples.select(*[c for c in samples.columns if c not in ids], *ids)
     if "instance_id" in samples.columns:
         samples = samples.withColumn("sample_id", text.stable_id(F.lit(name), F.col("instance_id")))
     samples = cut(samples, "unsplit")

@@ -337,3 +337,28 @@ def test_label_lines_are_split_once(spark):
     assert "line" not in mot.columns and "__parts" not in yolo.columns + mot.columns
     for found in (yolo, mot, scans.mot_boxes(rows, strict=True)):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def _small_build(spark, mode="reference"):
+    images = spark.createDataFrame([(f"i{k:02d}", "a", "eval" if k % 5 == 0 else "train", f"g{k % 7}", f"s{k // 2}" if k % 9 else None, (k // 6) * 4099 if k % 11 else None, k) for k in range(40)], "image_id string, source_id string, split string, group_id string, sha256 string, h long, ingest_seq int")
+    boxes = spark.createDataFrame([(f"i{k:02d}", f"b{k}", "pedestrian", 0.0, 0.0, 60.0, 300.0, 60.0, 300.0, 0.0, False) for k in range(40)], "image_id string, instance_id string, class_name string, x double, y double, w double, h double, visible_w double, visible_h double, occlusion double, ignore boolean")
+    roles = registry(spark, [SourceRole("a", "train", "train"), SourceRole("a", "eval", "eval")])
+    return images, boxes, roles, release_build.build(images, boxes, roles, CurationSettings(), CaptionSettings(), mode)
+
+
+@pytest.mark.parametrize("mode", ["reference", "connected"])
+def test_release_joins_and_writes_unique_images_alone(spark, mode):
+    images, boxes, roles, built = _small_build(spark, mode)
+    exact = release.exact_groups(images)
+    again = [f for f in built["groups"].inputFiles() if "/exact-" not in f]
+    n = exact.filter("dedupe_status = 'unique'").count()
+    assert 0 < n < 40 and spark.read.parquet(*again).count() == n
+    # The same rows as by the operators one after the other.
+    near = release.near_clusters(exact.filter("dedupe_status = 'unique'"), CurationSettings().near_distance, mode)
+    cluster = {r.image_id: (r.duplicate_cluster_id, r.dedupe_status) for r in near.collect()}
+    want = {r.image_id: cluster.get(r.image_id, (r.image_id if mode == "reference" else r.canonical_image_id, "exact_duplicate")) for r in exact.collect()}
+    assert {r.image_id: (r.duplicate_cluster_id, r.dedupe_status) for r in built["groups"].collect()} == want and len(want) == 40
+    found = release.with_captions(release.candidates(release.training_images(images, roles), boxes, CurationSettings()), CaptionSettings())
+    plain = release.drop_duplicates(found, built["groups"])
+    assert built["samples"].count() > 0
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, built["samples"].select(*plain.columns).collect()))
