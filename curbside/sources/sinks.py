@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from curbside.operators.release import content_hash
+from curbside.runtime import cut
 
 
 def stage_table(df: DataFrame, path: str) -> None:
@@ -79,8 +80,12 @@ class Versions:
 
 
 def publish_release(spark: SparkSession, folder: str, built: dict[str, DataFrame], record: DataFrame, crops: DataFrame | None = None) -> str:
-    """Commits the tables of a release build, its record with the status of its validation, and its crops as one version."""
-    tables = {"samples": built["samples"], "groups": built["groups"], "evaluation": built["evaluation"], "validation_report": built["status"], "release": validated(record, built["status"])}
+    """Commits the tables of a release build, its record with the status of its validation, and its crops as one version.
+
+    The checks are made once; the report and the record read the row they left.
+    """
+    status = cut(built["status"], "status")
+    tables = {"samples": built["samples"], "groups": built["groups"], "evaluation": built["evaluation"], "validation_report": status, "release": validated(record, status)}
     if crops is not None:
         tables["images"] = crops
     return Versions(spark, folder).publish(tables, {"samples": "split"} | ({"images": "split"} if crops is not None else {}))

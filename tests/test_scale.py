@@ -362,3 +362,19 @@ def test_release_joins_and_writes_unique_images_alone(spark, mode):
     plain = release.drop_duplicates(found, built["groups"])
     assert built["samples"].count() > 0
     assert sorted(map(repr, plain.collect())) == sorted(map(repr, built["samples"].select(*plain.columns).collect()))
+
+
+def test_published_checks_are_made_once(spark, tmp_path):
+    *_, built = _small_build(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(v):
+        seen.add(1)
+        return v
+
+    built["status"] = built["status"].withColumn("errors", F.udf(same, "string")("errors"))
+    record = sinks.release_record(built["samples"].select("image_id", "split"), "r", "<vin_ped>", "v1")
+    sinks.publish_release(spark, f"file://{tmp_path}/release", built, record)
+    own = sinks.Versions(spark, f"file://{tmp_path}/release")
+    assert own.read("release").first().errors == own.read("validation_report").first().errors is not None
+    assert seen.value == 1
