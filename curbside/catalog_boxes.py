@@ -105,7 +105,7 @@ _MOT = f"""m AS (SELECT image_id % 50 AS seq, image_id AS frame, det_idx::BIGINT
 def _mot_lines(spark, sf_dir) -> DataFrame:
     p, s = F.col("p"), F.col("s")
     head = F.concat_ws(",", F.col("image_id"), p, p % 600, s % 300, p % 41, s % 97, F.when(s % 3 == 0, "0").otherwise("1"))
-    line = F.when(p % 11 == 0, head).when(p % 5 == 0, F.concat(head, F.when(p % 2 == 0, ",7").otherwise(",1"))).otherwise(F.concat(head, F.when(p % 2 == 0, ",7,").otherwise(",1,"), F.format_string("%.1f", (s % 10) / 10)))
+    line = F.when(p % 11 == 0, head).when(p % 5 == 0, F.concat(head, F.when(p % 2 == 0, ",7").otherwise(",1"))).otherwise(F.concat(head, F.when(p % 2 == 0, ",7,").otherwise(",1,"), F.lit("0."), s % 10))
     order = F.col("det_idx").cast("bigint") * 1000000000 + p * 10000 + s
     return _distinct(spark, sf_dir).select((F.col("image_id") % 50).cast("string").alias("path"), order.alias("line_no"), line.alias("line"))
 

@@ -161,12 +161,13 @@ def class_boxes(label_lines: DataFrame, class_id: int = 0) -> DataFrame:
 def mot_boxes(label_lines: DataFrame, strict: bool = False) -> DataFrame:
     """Boxes of class 1 of ``frame,id,x,y,w,h,conf,class[,visibility]`` lines, with their index in the frame.
 
-    Without a ninth field the visibility is null.
+    Without a ninth field the visibility is null. The cast to a number takes off
+    the white space around a field; a single character splits without a pattern.
     ``strict`` wants a confidence above 0 and positive sides as well.
     """
     p = F.col("__parts")
     get = lambda i: F.get(p, F.lit(i)).try_cast("double")
-    rows = label_lines.withColumn("__parts", _fields("line", r"\s*,\s*")).select(
+    rows = label_lines.withColumn("__parts", _fields("line", ",")).select(
         "*", get(0).cast("bigint").alias("frame"), get(1).cast("bigint").alias("track_id"), *[get(i + 2).alias(c) for i, c in enumerate("xywh")],
         get(6).alias("conf"), F.when(F.size(p) >= 8, get(7).cast("int")).otherwise(1).alias("cls"), F.when(F.size(p) >= 9, get(8)).alias("visibility"),
     ).filter("frame IS NOT NULL AND h IS NOT NULL AND cls = 1")

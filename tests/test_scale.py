@@ -378,3 +378,13 @@ def test_published_checks_are_made_once(spark, tmp_path):
     own = sinks.Versions(spark, f"file://{tmp_path}/release")
     assert own.read("release").first().errors == own.read("validation_report").first().errors is not None
     assert seen.value == 1
+
+
+def test_sequence_lines_are_split_without_a_pattern(spark):
+    lines = [(0, " 1 ,\t2\t, 3,4 , 5,6,\t0.5 , 1 ,0.25 "), (1, "1,2,3,4,5,6,1,,"), (2, "1,,3,4,5,6,1"), (3, "1 2,2,3,4,5,6,1"), (4, "1,2,3,4,5,6,1,1,")]
+    found = scans.mot_boxes(spark.createDataFrame([("f", n, line) for n, line in lines], "path string, line_no int, line string"))
+    assert sorted((r.line_no, r.track_id, r.x, r.h, r.conf, r.visibility) for r in found.collect()) == [(0, 2, 3.0, 6.0, 0.5, 0.25), (2, None, 3.0, 6.0, 1.0, None), (4, 2, 3.0, 6.0, 1.0, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "\\s" not in plan
+    made = catalog.QUERIES["sequence_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_string" not in made
