@@ -90,12 +90,14 @@ round((cx - w / 2) * 640, 4) AS x, round((cy - h / 2) * 360, 4) AS y, round(w *
 CASE WHEN c = 2 THEN round((cx - w / 2) * 640 + w * 640, 4) END AS car_x2 FROM b""")
 def label_lines(spark, sf_dir):
     """Boxes of label lines in normalised numbers, with renamed classes; short lines drop out."""
-    num = lambda c: F.format_string("%.2f", c)
-    full = F.concat_ws(" ", (F.col("p") % 4).cast("string"), num((F.col("p") % 100) / 100), num((F.col("s") % 100) / 100), num((F.col("p") % 37) / 100), num((F.col("s") % 53) / 100))
+    cents = lambda c: F.concat(F.lit("0."), F.lpad(c.cast("string"), 2, "0"))
+    full = F.concat_ws(" ", (F.col("p") % 4).cast("string"), cents(F.col("p") % 100), cents(F.col("s") % 100), cents(F.col("p") % 37), cents(F.col("s") % 53))
     rows = _distinct(spark, sf_dir).select(*KEYS, F.when(F.col("p") % 7 == 0, "1 0.5").otherwise(full).alias("line"), F.lit(640).alias("width"), F.lit(360).alias("height"))
     found = scans.yolo_boxes(rows, {0: "pedestrian", 1: "rider", 2: "car"}, {"rider": "pedestrian"})
-    cars = scans.class_boxes(rows, 2).select(*KEYS, F.col("x2").alias("car_x2"))
-    return _rounded(found.join(cars, KEYS, "left").drop("width", "height"), 4, *"xywh", "car_x2")
+    cars = scans.class_boxes(rows, 2).select(*[F.col(k).alias(f"car_{k}") for k in KEYS], F.col("x2").alias("car_x2"))
+    # A null key is equal to itself; without a filter on nulls both sides are the same distinct rows, which Spark shuffles once.
+    same = [F.col(k).eqNullSafe(F.col(f"car_{k}")) for k in KEYS]
+    return _rounded(found.join(cars, same, "left").drop("width", "height", *[f"car_{k}" for k in KEYS]), 4, *"xywh", "car_x2")
 
 
 _MOT = f"""m AS (SELECT image_id % 50 AS seq, image_id AS frame, det_idx::BIGINT * 1000000000 + p * 10000 + s AS line_no, p AS track_id, (p % 600)::DOUBLE AS x, (s % 300)::DOUBLE AS y, (p % 41)::DOUBLE AS w, (s % 97)::DOUBLE AS h,

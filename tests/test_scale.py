@@ -388,3 +388,17 @@ def test_sequence_lines_are_split_without_a_pattern(spark):
     assert plan.count("split(") == 1 and "\\s" not in plan
     made = catalog.QUERIES["sequence_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "format_string" not in made
+
+
+def test_label_lines_shuffle_their_distinct_rows_once(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    some = rows.limit(40).withColumn("l_linenumber", F.when(F.col("l_partkey") % 3 > 0, F.col("l_linenumber")))
+    some.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.QUERIES["label_lines"](spark, str(tmp_path))
+    got = found.collect()
+    cars = [r for r in got if r.class_id == 2]
+    assert any(r.det_idx is None for r in cars)  # a row without a number has its car's edge as well
+    assert all((r.car_x2 is not None) == (r.class_id == 2) for r in got)
+    whole = catalog.QUERIES["label_lines"](spark, "/root/testdata/sf0.001")
+    whole.collect()
+    assert "ReusedExchange" in whole._jdf.queryExecution().executedPlan().toString()
